@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe
+from lectern.llm import bpe, neardup
 
 QUERIES = {
     "op7_bpe": bpe.query,
+    "op9_minhash": neardup.query,
+}
+ORACLES: dict[str, str] = {
+    "op9_minhash": neardup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
