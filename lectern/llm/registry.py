@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, neardup
+from lectern.llm import bpe, decontaminate, neardup
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.query,
     "op7_bpe": bpe.query,
     "op9_minhash": neardup.query,
 }
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op9_minhash": neardup.ORACLE,
 }
