@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, decontaminate, neardup
+from lectern.llm import bpe, decontaminate, neardup, reputation
 
 QUERIES = {
+    "op10_reputation": reputation.query,
     "op4_decontaminate": decontaminate.query,
     "op7_bpe": bpe.query,
     "op9_minhash": neardup.query,
 }
 ORACLES: dict[str, str] = {
+    "op10_reputation": reputation.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op9_minhash": neardup.ORACLE,
 }
