@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, decontaminate, neardup, reputation
+from lectern.llm import bpe, chat, decontaminate, neardup, reputation
 
 QUERIES = {
+    "op3_chat": chat.query,
     "op10_reputation": reputation.query,
     "op4_decontaminate": decontaminate.query,
     "op7_bpe": bpe.query,
     "op9_minhash": neardup.query,
 }
 ORACLES: dict[str, str] = {
+    "op3_chat": chat.ORACLE,
     "op10_reputation": reputation.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op9_minhash": neardup.ORACLE,
