@@ -66,3 +66,52 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict
 
     del spark
     return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int, chars: int) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) rows of each class for fitting on the driver, each text up to ``chars`` characters.
+
+    Labels of the held-out fold (``held``: modulus, remainder) are never read. The rows are those of the least
+    hash of doc_id, the same in every run; a label that is null, and a document without text, is left out.
+    """
+    modulus, rest = held
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    own = own.filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), modulus) != rest))
+    own = own.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id"))
+    some = None
+    for value in (0, 1):
+        part = own.filter(F.col("label") == value).orderBy("order", "doc_id").limit(per_class)
+        some = part if some is None else some.unionByName(part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).filter("text IS NOT NULL")
+    # At most 2 * per_class ids are broadcast.
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+
+
+def scored(docs: DataFrame, held: tuple[int, int], work: Callable, rows: int = SLICE) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document; ``work()`` returns a mapper of texts to scores."""
+    modulus, rest = held
+
+    def make():
+        scores = work()
+
+        def each(part: pa.RecordBatch) -> dict:
+            return {"doc_id": part.column("doc_id"), "score": scores(part.column("text").to_pylist())}
+
+        return each
+
+    out = map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, score double", rows)
+    return out.select("doc_id", (fold(F.col("doc_id"), modulus) == rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def rejected(docs: DataFrame, work: Callable, least: float, keep_high: bool, rows: int = SLICE) -> DataFrame:
+    """The rows whose text scores at least ``least`` (keep_high) or below it, with all columns as they are."""
+    prepared(docs.sparkSession)
+
+    def run(batches):
+        scores = work()
+        for part in sliced(batches, rows):
+            high = [s >= least for s in scores(part.column("text").to_pylist())]
+            yield part.filter(pa.array([h == keep_high for h in high], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, chat, decontaminate, neardup, reputation
+from lectern.llm import bpe, chat, decontaminate, neardup, reputation, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.query,
     "op3_chat": chat.query,
     "op10_reputation": reputation.query,
     "op4_decontaminate": decontaminate.query,
