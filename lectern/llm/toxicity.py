@@ -26,7 +26,7 @@ from lectern.llm.common import labelled_sample, prepared, scored, rejected, tabl
 LAMBDA, SPAN, LONGEST = 0.75, 9, 26
 LANDMARKS, PER_CLASS, FIT_CHARS = 64, 1500, 12_000
 COVER = 3  # landmarks wanted for each toxic text
-LEAST = 0.3
+LEAST = 0.45  # less likeness than this counts as none, so that a long text gathers none from many words
 HELD = (5, 0)
 A = 30  # codes: 0 anything else, 1-26 a-z, 27 other letters, 28 begin, 29 end
 _APART = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
@@ -148,7 +148,7 @@ class Kernel:
             own = self.own_values([coded[n] for n in hot])
             both = raw[hot] / np.sqrt(own[:, None] * self.own)
             out[hot] = np.where(self.whole, np.minimum(both, 1.0) ** 1.5, part[hot] ** 3)
-            out[out < LEAST * LEAST] = 0
+            out[out < LEAST] = 0
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -209,21 +209,21 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
     """Words and word beginnings that mark toxic texts, each chosen for the toxic texts that the ones before cover too little."""
     bags = [_marks(t) for t, v in zip(texts, toxic, strict=True) if v]
     bad = Counter(c for b in bags for c in b)
-    bad = {c: v for c, v in bad.items() if v >= max(3, 0.01 * len(bags))}
+    bad = {c: v for c, v in bad.items() if v >= max(3, 0.025 * len(bags))}
     good: Counter = Counter()
     for t, v in zip(texts, toxic, strict=True):
         if not v:
             good.update(_marks(t) & bad.keys())
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rate = {c: (v + 0.1) / n_bad / ((good[c] + 0.1) / n_good) for c, v in bad.items()}
-    able = {c for c, r in rate.items() if r > 8}
+    able = {c for c, r in rate.items() if r > 150}
     left = [[b & able, COVER] for b in bags]
     chosen: list[str] = []
     while len(chosen) < count and able:
         open_ = Counter(c for b, _ in left for c in b)
         if not open_:
             break
-        best = max(open_, key=lambda c: (open_[c] * min(rate[c], 100.0), len(c), c))
+        best = max(open_, key=lambda c: (open_[c] * min(rate[c], 1000.0), len(c), c))
         if open_[best] < 2:
             break
         chosen.append(best)
@@ -285,15 +285,26 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(f * self.curve[0] + self.curve[1], -30, 30)))).tolist()
 
 
-def disguised(texts: list[str], toxic: np.ndarray, marks: list[str], most: int = 400) -> list[str]:
-    """Toxic texts with their landmark words broken up by inserted characters, so that the machine learns to tolerate them."""
-    words = [m[1:-1] for m in marks if m.endswith("$")]
-    if not words:
-        return []
-    found = re.compile(r"\b(" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE)
+_STOP = re.compile(r"[.!?\n]+\s*")
+
+
+def sentences(texts: list[str], toxic: np.ndarray, marks: list[str], most: int = 1200) -> list[tuple[str, int]]:
+    """Labelled sentences: those of toxic texts that have a landmark, as they are and with it broken up by inserted
+    characters, and as many others of clean texts; so that a single insult, also a disguised one, is enough."""
+    found = re.compile("|".join(rf"(?<!\w){re.escape(m.strip('^$'))}" + (r"(?!\w)" if m.endswith("$") else r"\w*") for m in marks), re.IGNORECASE)
     ways = ("-".join, " ".join, lambda w: f"{w[:2]}x{w[2:]}", lambda w: f"{w[:3]}*{w[3:]}", ".".join, lambda w: w[0] + w)
-    own = [t for t, v in zip(texts, toxic, strict=True) if v and found.search(t)][:most]
-    return [found.sub(lambda m, way=ways[n % len(ways)]: way(m[0]), t) for n, t in enumerate(own)]
+    whole = {m[1:-1] for m in marks if m.endswith("$")}
+    out: list[tuple[str, int]] = []
+    clean: list[tuple[str, int]] = []
+    for n, (text, v) in enumerate(zip(texts, toxic, strict=True)):
+        parts = _STOP.split(text)
+        if v and len(out) < most:
+            for part in [x for x in parts if found.search(x)][:2]:
+                out.append((part, 1))
+                out.append((found.sub(lambda m, n=n: ways[n % len(ways)](m[0]) if m[0].lower() in whole else m[0], part), 1))
+        elif not v and len(clean) < 2 * most and len(parts) > 1:
+            clean.append((parts[1], 0))
+    return out + clean
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -301,8 +312,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     marks = choose_landmarks(texts, y) if len(set(y.tolist())) == 2 else []
     if not marks:
         return Model([], np.eye(1), np.zeros(2), (1.0, 0.0))
-    more = disguised(texts, y, marks)
-    texts, y = texts + more, np.r_[y, np.ones(len(more), np.int64)]
+    more = sentences(texts, y, marks)
+    texts, y = texts + [t for t, _ in more], np.r_[y, np.array([v for _, v in more], np.int64)]
     kernel = Kernel(marks)
     scale = np.sqrt(np.diag(kernel.gram))
     gram = np.minimum(kernel.gram / scale / scale[:, None], 1).astype(np.float64) ** 2
