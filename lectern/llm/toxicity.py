@@ -5,7 +5,7 @@ each occurrence weighted LAMBDA to the power of the stretch it spans (at most SP
 begin and end. Inserted characters and gaps weaken it but don't break it; runs of single characters
 ("i d i o t") are read as one word. Landmarks are words and word beginnings that tell the labelled toxic texts
 from the others, chosen to cover different texts. A text's kernel value with a landmark is
-the largest over its words; K_mm^(-1/2) turns these into Nystroem features, a squared-hinge SVM into a decision and a logistic
+the largest over its words, and beside it the logarithm of their sum; K_mm^(-1/2) turns these into Nystroem features, a squared-hinge SVM into a decision and a logistic
 fit into a score from 0 to 1.
 
 Fitted on a bounded sample of labelled texts (PER_CLASS of each class, FIT_CHARS of each); every text is scored whole.
@@ -15,6 +15,7 @@ score is 0; repeated rows each get a row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -49,11 +50,10 @@ def windows(word: str) -> list[list[int]]:
     return [own] if len(own) <= LONGEST else [own[i : i + LONGEST] for i in range(0, len(own) - LONGEST // 2, LONGEST // 2)]
 
 
-def words_of(text: str | None) -> set[str]:
+def words_of(text: str | None) -> Counter:
     low = (text or "").lower()
-    found = set(low.split())
-    for run in _APART.findall(low):
-        found.add("".join(run.split()))
+    found = Counter(low.split())
+    found.update("".join(run.split()) for run in _APART.findall(low))
     return found
 
 
@@ -172,18 +172,20 @@ class Kernel:
         self.memo.update(found)
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        """The largest likeness of each text's words to each landmark."""
+        """The largest likeness of each text's words to each landmark, then the logarithm of one plus their sum."""
         own = [words_of(t) for t in texts]
-        every = set().union(*own)
+        every = set().union(*(w.keys() for w in own))
         if len(self.memo) > 200_000:
             self.memo.clear()
             del self.rows[1:]
         self.learn(every - self.memo.keys())
-        out = np.zeros((len(texts), self.size), np.float32)
+        out = np.zeros((len(texts), 2 * self.size), np.float32)
         for n, words in enumerate(own):
-            hits = {*map(self.memo.__getitem__, words)} - {0}
+            hits = [(m, words[w]) for w in words if (m := self.memo[w])]
             if hits:
-                out[n] = np.max([self.rows[h] for h in hits], axis=0)
+                like = np.array([self.rows[m] for m, _ in hits])
+                out[n, : self.size] = like.max(axis=0)
+                out[n, self.size :] = np.log1p(np.array([c for _, c in hits], np.float32) @ like)
         return out
 
 
@@ -197,7 +199,7 @@ def _marks(text: str) -> set[str]:
                 w = f"^{core}$"
                 if len(w) <= 14:
                     out.add(w)
-                out.update(w[:n] for n in (5, 6, 7) if len(w) > n + 1)
+                out.update(w[:n] for n in range(5, 10) if len(w) > n + 1)
     return out
 
 
@@ -216,14 +218,14 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS
             good.update(_marks(t) & bad.keys())
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rate = {c: (v + 0.1) / n_bad / ((good[c] + 0.1) / n_good) for c, v in bad.items()}
-    able = {c for c, r in rate.items() if r > 150}
+    able = {c for c, r in rate.items() if r > (150 if c.endswith("$") else 8)}
     left = [[b & able, COVER] for b in bags]
     chosen: list[str] = []
     while len(chosen) < count and able:
         open_ = Counter(c for b, _ in left for c in b)
         if not open_:
             break
-        best = max(open_, key=lambda c: (open_[c] * min(rate[c], 1000.0), len(c), c))
+        best = max(open_, key=lambda c: (open_[c] * math.log(min(rate[c], 1000.0)), len(c), c))
         if open_[best] < 2:
             break
         chosen.append(best)
@@ -291,9 +293,11 @@ _STOP = re.compile(r"[.!?\n]+\s*")
 def sentences(texts: list[str], toxic: np.ndarray, marks: list[str], most: int = 1200) -> list[tuple[str, int]]:
     """Labelled sentences: those of toxic texts that have a landmark, as they are and with it broken up by inserted
     characters, and as many others of clean texts; so that a single insult, also a disguised one, is enough."""
-    found = re.compile("|".join(rf"(?<!\w){re.escape(m.strip('^$'))}" + (r"(?!\w)" if m.endswith("$") else r"\w*") for m in marks), re.IGNORECASE)
-    ways = ("-".join, " ".join, lambda w: f"{w[:2]}x{w[2:]}", lambda w: f"{w[:3]}*{w[3:]}", ".".join, lambda w: w[0] + w)
     whole = {m[1:-1] for m in marks if m.endswith("$")}
+    if not whole:
+        return []
+    found = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(whole))) + r")\b", re.IGNORECASE)
+    ways = ("-".join, " ".join, lambda w: f"{w[:2]}x{w[2:]}", lambda w: f"{w[:3]}*{w[3:]}", ".".join, lambda w: w[0] + w)
     out: list[tuple[str, int]] = []
     clean: list[tuple[str, int]] = []
     for n, (text, v) in enumerate(zip(texts, toxic, strict=True)):
@@ -301,7 +305,7 @@ def sentences(texts: list[str], toxic: np.ndarray, marks: list[str], most: int =
         if v and len(out) < most:
             for part in [x for x in parts if found.search(x)][:2]:
                 out.append((part, 1))
-                out.append((found.sub(lambda m, n=n: ways[n % len(ways)](m[0]) if m[0].lower() in whole else m[0], part), 1))
+                out.append((found.sub(lambda m, n=n: ways[n % len(ways)](m[0]), part), 1))
         elif not v and len(clean) < 2 * most and len(parts) > 1:
             clean.append((parts[1], 0))
     return out + clean
@@ -318,7 +322,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     scale = np.sqrt(np.diag(kernel.gram))
     gram = np.minimum(kernel.gram / scale / scale[:, None], 1).astype(np.float64) ** 2
     values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    half = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    root = np.kron(np.eye(2), half)
     x = np.concatenate([kernel.texts(texts[i : i + 256]) for i in range(0, len(texts), 256)]) @ root
     w = fit_svm(x, y)
     return Model(marks, root, w, fit_logistic(np.c_[x, np.ones(len(x))] @ w, y))
