@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, chat, decontaminate, neardup, reputation, toxicity
+from lectern.llm import bpe, chat, decontaminate, neardup, quality, reputation, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op5_toxicity": toxicity.query,
     "op3_chat": chat.query,
     "op10_reputation": reputation.query,
