@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, chat, decontaminate, neardup, quality, reputation, toxicity
+from lectern.llm import bpe, brown, chat, decontaminate, neardup, quality, reputation, toxicity
 
 QUERIES = {
+    "op6_brown": brown.query,
     "op1_quality": quality.query,
     "op5_toxicity": toxicity.query,
     "op3_chat": chat.query,
