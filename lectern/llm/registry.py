@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, brown, chat, decontaminate, neardup, order_minhash, quality, reputation, toxicity
+from lectern.llm import bpe, brown, chat, decontaminate, neardup, order_minhash, packing, quality, reputation, toxicity
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op8_order_minhash": order_minhash.query,
     "op6_brown": brown.query,
     "op1_quality": quality.query,
