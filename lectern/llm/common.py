@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -31,6 +32,14 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, can be read by every executor."""
+    spark = prepared(df.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case and every other character as it is; null gives ''."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

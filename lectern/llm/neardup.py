@@ -266,6 +266,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coor
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords: int = COORDS, agree: int = 33) -> DataFrame:
+    """One document of each near-duplicate group, with all columns as they are; the others go.
+
+    ``agree`` is lower than for 85 %, for the same chance to miss a pair. Rows with one doc_id and text count as one;
+    documents without a doc_id cannot be told apart and stay.
+    """
+    marks = near_duplicates(docs, width, percent, coords, agree)
+    gone = marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct().checkpoint()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    if again.isEmpty():
+        return left
+    rest = left.join(again, F.col("doc_id") == F.col("again"), "left_anti")
+    return rest.unionByName(left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
