@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import audit
+from lectern.plans import audit, relational
 
-QUERIES = {**audit.QUERIES}
-ORACLES = {**audit.ORACLES}
+_PLANS = (audit, relational)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
