@@ -7,7 +7,7 @@
    has can't be among the shared ones, and a class with fewer than ``agree`` shared tokens has
    no partner. Of the rest only the rarest ``shared - agree + 1`` tokens (the prefix) are posted:
    two classes with ``agree`` collisions meet under one of them, however frequent the others are.
-3. Each posting list is first joined as a star around its least class; collisions are counted on
+3. Each posting list is first joined as a star around its most typical class; collisions are counted on
    the signatures, then the likeness is confirmed on the full sets, and components are formed.
    Only lists whose members are still in different components are compared further: members outside
    the list's largest component against all members, in blocks of a bounded size, with
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import map_slices, prepared, table
 
 WIDTH, COORDS, AGREE = 5, 64, 38
-BLOCK = 512
+BLOCK = 768
 #: Up to so many ids (16 bytes each) of classes with possible partners are broadcast; beyond that their texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +140,10 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, coords: int, agree: int) -> DataFrame:
-    """(token, set_key): each class under the rarest of its shared tokens, as many as the prefix needs."""
+    """(token, set_key, typical): each class under the rarest of its shared tokens, as many as the prefix needs.
+
+    ``typical`` is how often all its shared tokens occur: among near copies, the text that the others were made from has the most.
+    """
     every = classes.select("set_key", F.posexplode("sig").alias("at", "value")).select(
         "set_key", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token")
     )
@@ -152,7 +155,8 @@ def postings(classes: DataFrame, coords: int, agree: int) -> DataFrame:
         .filter(F.size("own") >= agree)
     )
     prefix = F.slice("own", F.lit(1), F.size("own") - agree + 1)
-    return chosen.select("set_key", F.explode(prefix).alias("p")).select("set_key", F.col("p.token").alias("token"))
+    typical = F.aggregate("own", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+    return chosen.select("set_key", typical.alias("typical"), F.explode(prefix).alias("p")).select("set_key", "typical", F.col("p.token").alias("token"))
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
@@ -196,43 +200,63 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def across(posted: DataFrame, label: DataFrame, classes: DataFrame, coords: int, agree: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) in different components that meet in a posting list, without its star.
+def across(posted: DataFrame, centres: DataFrame, label: DataFrame, keyed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components that meet in a posting list, without its star.
 
-    Members outside a list's largest component ("strays") meet all members, block by block.
+    Members outside a list's largest component ("strays") meet all members, block by block; each block counts all common
+    shingles at once and returns no more links than it takes to connect what is linked in it.
     """
     named = posted.join(label, posted["set_key"] == label["node"], "left").select("token", "set_key", F.coalesce("label", "set_key").alias("label"))
-    sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("head"))
+    sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = (
         sizes.groupBy("token")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.min("head").alias("head"))
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1 AND n > 2")
-        .select("token", F.col("main.label").alias("main"), "head", F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ks"), F.ceil(F.col("n") / block).cast("int").alias("ka"))
+        .select("token", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ks"), F.ceil(F.col("n") / block).cast("int").alias("ka"))
     )
-    members = named.join(lists, "token").filter("set_key <> head").join(classes.select("set_key", "sig", "n_shingles"), "set_key")
+    members = named.join(lists, "token").join(centres, "token").filter("set_key <> a").join(keyed, "set_key")
     spot = F.xxhash64("set_key")
     i, j = F.pmod(spot, F.col("ks")).cast("int"), F.pmod(spot, F.col("ka")).cast("int")
     stray = members.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("side", F.lit(0))
     every = members.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ks") - 1))).withColumn("side", F.lit(1))
-    fields = ["token", "i", "j", "side", "set_key", "label", "n_shingles", "sig"]
+    fields = ["token", "i", "j", "side", "set_key", "label", "shingles"]
     blocks = stray.select(fields).unionByName(every.select(fields))
 
     def compare(part: pa.Table) -> pa.Table:
         side = part.column("side").to_numpy()
         key = np.array(part.column("set_key").to_pylist(), object)
-        n = part.column("n_shingles").to_numpy()
         group = np.unique(np.array(part.column("label").to_pylist(), object), return_inverse=True)[1]
-        sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, coords)
+        sets = part.column("shingles").combine_chunks()
+        n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        _, place, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        shared = often[place] > 1
+        column = np.cumsum(often > 1) - 1
         rows, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = np.zeros((len(rows), len(others)), np.float32)
+        at_row, at_other = np.full(len(n), -1), np.full(len(n), -1)
+        at_row[rows], at_other[others] = np.arange(len(rows)), np.arange(len(others))
+        own, col = owner[shared], column[place[shared]]
+        width = 4096
+        for low in range(0, int(col.max()) + 1 if len(col) else 0, width):
+            inside = (col >= low) & (col < low + width)
+            o, c = own[inside], col[inside] - low
+            left, right = np.zeros((len(rows), width), np.float32), np.zeros((len(others), width), np.float32)
+            r = at_row[o] >= 0
+            left[at_row[o][r], c[r]] = 1
+            right[at_other[o][~r], c[~r]] = 1
+            common += left @ right.T
+        total = n[rows][:, None] + n[others][None, :]
+        linked = (100 * common >= percent * (total - common)) & (group[rows][:, None] != group[others][None, :])
         a_out, b_out = [], []
-        for r in rows:
-            near = others[(group[others] != group[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
-            half = coords // 2
-            hits = (sig[near, :half] == sig[r, :half]).sum(1)
-            near, hits = near[hits >= agree - half], hits[hits >= agree - half]  # skip those that can no longer reach it
-            near = near[hits + (sig[near, half:] == sig[r, half:]).sum(1) >= agree]
-            a_out += [min(key[r], key[o]) for o in near]
-            b_out += [max(key[r], key[o]) for o in near]
+        for r in np.flatnonzero(linked.any(1)):
+            for o in np.flatnonzero(linked[r]):
+                x, y = group[rows[r]], group[others[o]]
+                if x != y:
+                    group[group == y] = x
+                    ka, kb = key[rows[r]], key[others[o]]
+                    a_out.append(min(ka, kb))
+                    b_out.append(max(ka, kb))
         return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
     return blocks.groupBy("token", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
@@ -244,8 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coor
     marked = signed(docs, width, coords).checkpoint()
     classes = marked.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).checkpoint()
     posted = postings(classes, coords, agree).checkpoint()
-    heads = posted.groupBy("token").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = posted.join(heads, "token").filter("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
+    centres = posted.groupBy("token").agg(F.max(F.struct("typical", "set_key")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.col("c.set_key").alias("a")).checkpoint()
+    star = posted.join(centres, "token").filter("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
     star = colliding(star, classes, agree).checkpoint()
     wanted = posted.select("set_key").distinct()
     owners = classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct().checkpoint()
@@ -255,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coor
     keyed = full_sets(texts, width).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles")).checkpoint()
     links = confirmed(star, keyed, percent).checkpoint()
     label = components(links)
-    more = confirmed(across(posted, label, classes, coords, agree, percent), keyed, percent).checkpoint()
+    more = across(posted, centres, label, keyed, percent).checkpoint()
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(label, classes["set_key"] == label["node"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
