@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import audit, grouping, relational
+from lectern.plans import audit, grouping, relational, texts
 
-_PLANS = (audit, relational, grouping)
+_PLANS = (audit, relational, grouping, texts)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
