@@ -113,7 +113,11 @@ def _joined(docs: DataFrame, grams: DataFrame, widths: list[int], kind: str) ->
     """The same for any number of n-grams: windows and n-grams meet by a shuffle on their hash."""
     marked = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
     hashes = F.transform("_words", lambda x: F.xxhash64(x))
-    every = let(hashes, lambda h: F.concat(*(F.transform(windows_of(h, w), lambda x, i, w=w: F.struct(x.alias("h"), i.alias("start"), F.lit(w).alias("width"))) for w in widths)))
+
+    def placed(h: Column, width: int) -> Column:
+        return F.transform(windows_of(h, width), lambda x, i: F.struct(x.alias("h"), i.alias("start"), F.lit(width).alias("width")))
+
+    every = let(hashes, lambda h: F.concat(*(placed(h, w) for w in widths)))
     at = marked.select("_row", "_words", F.explode(every).alias("x")).select("_row", F.col("x.h"), F.col("x.start"), F.col("x.width"), F.array_join(F.slice("_words", F.col("x.start") + 1, F.col("x.width")), " ").alias("gram"))
     hits = at.join(grams, ["h", "width", "gram"]).groupBy("_row").agg(F.collect_list(F.struct("start", "width", "items")).alias("_hits"))
     out = marked.join(hits, "_row", "left").drop("_row")
@@ -133,19 +137,20 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, bound: int = TABLE
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, bound: int = TABLE_BOUND) -> DataFrame:
     """The documents that have no window of the benchmark, with their columns as they are."""
-    return find(docs, benchmark, n, bound).filter(F.size("_hits") == 0).select(docs.columns)
+    held = docs.select("text", F.struct("*").alias("row"))  # so that no column of docs can clash
+    return find(held, benchmark, n, bound).filter(F.size("_hits") == 0).select("row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, bound: int = TABLE_BOUND) -> DataFrame:
     """All documents; words inside hits are taken out of the text with the separators before them."""
-    found = find(docs, benchmark, n, bound)
+    found = find(docs.select("text", F.struct("*").alias("row")), benchmark, n, bound)
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all("text", F.lit(gap + word), F.lit(0))
     tail = F.regexp_extract("text", f"({gap})$", 1)
     kept = let(F.col("_hits"), lambda hits: F.filter(pieces, lambda p, i: ~F.exists(hits, lambda x: (x["start"] <= i) & (i < x["start"] + x["width"]))))
     cut = F.when(F.size("_hits") == 0, F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return found.withColumn("text", cut).select(docs.columns)
+    return found.select(F.col("row").withField("text", cut).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

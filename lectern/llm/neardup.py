@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coor
     owners = classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct().checkpoint()
     if owners.count() <= BROADCAST_IDS:
         owners = F.broadcast(owners)
-    texts = docs.join(owners, F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left_semi")
+    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left_semi")
     keyed = full_sets(texts, width).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles")).checkpoint()
     links = confirmed(star, keyed, percent).checkpoint()
     label = components(links)
@@ -297,15 +297,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords:
     documents without a doc_id cannot be told apart and stay.
     """
     marks = near_duplicates(docs, width, percent, coords, agree)
-    gone = marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct().checkpoint()
+    gone = marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct().checkpoint()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again_id")).count().filter("count > 1").select("_again_id")
     if again.isEmpty():
         return left
-    rest = left.join(again, F.col("doc_id") == F.col("again"), "left_anti")
-    return rest.unionByName(left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    rest = left.join(again, F.col("doc_id") == F.col("_again_id"), "left_anti")
+    return rest.unionByName(left.join(again, F.col("doc_id") == F.col("_again_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
