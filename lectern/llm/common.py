@@ -27,8 +27,9 @@ def prepared(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
-    if spark.conf.get("spark.checkpoint.dir", "") == "" and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
     return spark
 
 
