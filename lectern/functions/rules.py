@@ -146,3 +146,14 @@ SPLIT_VOWELS = (("\u0bc6\u0bbe", "\u0bca"), ("\u0bc7\u0bbe", "\u0bcb"), ("\u0bc6
 TAMIL_FIXES = (("கூட்ைோஞ்நோெோறு", "கூட்டாஞ்சோறு"), ("கூட்ைோஞ்நோோறு", "கூட்டாஞ்சோறு"), ("ணற்நோகணி", "மணற்கேணி"))
 TITLE_LINE = r"(?i)^(?:lesson\s+\d+|chapter\s+\d+|unit\s+\d+|complete\s+pdf|overall|document:)"
 LIST_ITEM = r'^(?:(?:\d+[\.\)]|[-*•–—])\s+|"[0-9]+\.\s*)(.+)$'
+# Signs around Tamil titles, words that are no titles, and headings inside a unit.
+TITLE_SIGNS = r" \-–—:.0-9●Ø▶*"
+UNIT_WORDS = ("இயல்", "அலகு", "பாடம்", *(w for w in TAMIL_NUMBERS))
+NOT_LESSONS = (
+    r"பாடலின்\s*பொருள்", "கற்கண்டு", r"திறன்\s*அறிவோம்", r"கற்றல்\s*நோக்கங்கள்", r"மொழியை\s*ஆள்வோம்", r"மொழியோடு\s*விளையாடு", "செயல்திட்டம்",
+    r"நிற்க\s*அதற்குத்\s*தக", r"நூல்\s*வெளி", r"நுழையும்\s*முன்", "மதிப்பீடு", r"பலவுள்\s*தெரிக", "குறுவினா", "சிறுவினா", "நெடுவினா", r"பாடநூல்\s*வினாக்கள்",
+    r"கலைச்சொல்\s*அறிவோம்", r"அறிவை\s*விரிவு\s*செய்", r"செய்து\s*கற்போம்", "வாழ்வியல்", "அகரமுதலி", r"இணைப்புப்\s*பக்கம்",
+)
+TITLE_LABEL = r"(?i)(?:topic|lesson|chapter|unit|பாட\s*தலைப்பு|தலைப்பு)\s*[:.-]\s*([^\n\r]{2,100})"
+NOT_TITLE_START = r"(?i)^(?:http|©|government|page |class |std |department|=== page)"
+FILE_WORDS = r"(?i)\b(?:1st|2nd|3rd|\d+th)\s*(?:chapter|week|test|mcq|\d+q)\b"

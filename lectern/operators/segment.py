@@ -132,3 +132,37 @@ def routed(*candidates: DataFrame) -> DataFrame:
     n = every.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc", "_rank")))
     usable = n.filter((F.col("_n") >= 2) | (F.col("_rank") == len(candidates) - 1))
     return usable.withColumn("_best", F.min("_rank").over(Window.partitionBy("doc"))).filter("_rank = _best").drop("_rank", "_n", "_best")
+
+
+def _plausible(title: Column, least: int, most: int) -> Column:
+    named = ~title.rlike("|".join(R.NOT_LESSONS)) & ~title.rlike(r"^(?:\d|" + "|".join(R.UNIT_WORDS) + ")+$")
+    return F.length(title).between(least, most) & named
+
+
+def doubled_heading(lines: Column) -> Column:
+    """A heading that stands twice in a row, as printed shadows do: one line, or two lines together; null without one."""
+    bare = F.transform(lines, lambda x: trimmed(x, R.TITLE_SIGNS))
+    last = F.size(lines)
+    at = lambda n: F.when(last > n, F.sequence(F.lit(1), last - n)).otherwise(F.array().cast("array<int>"))
+    one = F.filter(at(1), lambda i: (F.element_at(bare, i) == F.element_at(bare, i + 1)) & _plausible(F.element_at(bare, i), 3, 45))
+    pair = lambda i: trimmed(F.concat(F.element_at(lines, i), F.element_at(lines, i + 1)), R.TITLE_SIGNS)
+    two = F.filter(at(3), lambda i: (pair(i) == pair(i + 2)) & _plausible(pair(i), 3, 45))
+    return F.coalesce(F.when(F.size(one) > 0, F.element_at(bare, F.get(one, F.lit(0)))), F.when(F.size(two) > 0, pair(F.get(two, F.lit(0)))))
+
+
+def unit_title(lines: Column) -> Column:
+    """The title of a Tamil unit: a doubled heading, else the first plausible of twelve lines."""
+    bare = F.transform(F.slice(lines, 1, 12), lambda x: trimmed(x, R.TITLE_SIGNS))
+    return F.coalesce(doubled_heading(lines), F.get(F.filter(bare, lambda x: _plausible(x, 3, 40)), F.lit(0)), F.lit(""))
+
+
+def document_title(text: Column, name: Column) -> Column:
+    """A document's title: Tamil heading, labelled line, first plausible line, cleaned file name, or 'Lesson 1'."""
+    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: T.strip(x)), lambda x: (x != "") & ~x.startswith("=== PAGE"))
+    tamil = (F.regexp_count(text, F.lit("[஀-௿]")) >= 20) | F.lower(name).contains("tamil")
+    heads = F.filter(F.transform(F.slice(lines, 1, 15), lambda x: trimmed(x, R.TITLE_SIGNS)), lambda x: _plausible(x, 3, 50))
+    labelled = F.filter(F.transform(F.slice(lines, 1, 15), lambda x: F.regexp_extract(x, R.TITLE_LABEL, 1)), lambda x: x != "")
+    plain = F.filter(F.slice(lines, 1, 8), lambda x: (F.length(x) > 4) & (F.length(x) < 80) & ~x.rlike(R.NOT_TITLE_START))
+    cleaned = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[_\\-]+", " "), R.FILE_WORDS, "")))
+    first = lambda a: F.get(a, F.lit(0))
+    return F.coalesce(F.when(tamil, first(heads)), trimmed(first(labelled)), trimmed(first(plain)), F.nullif(cleaned, F.lit("")), F.lit("Lesson 1"))

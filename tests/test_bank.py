@@ -283,3 +283,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_titles(spark):
+    rows = [("x\nTopic: Moving Air - \nmore", "f.pdf"), ("© 2020\nThe Living World\nmore", "f.pdf"), ("12\n", "my_file-5th week.pdf"), ("", "")]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, t string, f string")
+    assert [r["y"] for r in df.select("n", segment.document_title(F.col("t"), F.col("f")).alias("y")).orderBy("n").collect()] == ["Moving Air", "The Living World", "My File", "Lesson 1"]
+    lines = [["1. வான்", "வான்", "z"], ["abc", "def", "abc", "def"], ["a", "b"], []]
+    assert apply(spark, lines, segment.doubled_heading, "array<string>") == ["வான்", "abcdef", None, None]
