@@ -86,6 +86,10 @@ class Merges:
             else:
                 inner[text] = i
         self.inner, self.last = inner, last if cut else inner
+        #: The longest token that ends in two given symbols.
+        self.reach: dict[str, int] = {}
+        for text in inner:
+            self.reach[text[-2:]] = max(len(text), self.reach.get(text[-2:], 0))
         #: No token is longer, so no later token begins further back than this.
         self.lookahead = max(map(len, chain(inner, last)), default=1)
 
@@ -123,7 +127,34 @@ class Merges:
 
     def word(self, text: str) -> tuple[int, ...]:
         whole = self.last.get(text)
-        return (whole,) if whole is not None else tuple(self.stream(text))
+        if whole is not None:
+            return (whole,)
+        return tuple(self.stream(text)) if len(text) > 2 * self.lookahead else self.short(text)
+
+    def short(self, word: str) -> tuple[int, ...]:
+        """The same for a word that fits in the window: nothing has to be emitted before its end."""
+        pairs, reach, known = self.pairs, self.reach.get, self.inner.get
+        tokens, starts, n = [-1], [0], len(word)
+        for e in range(1, n + 1):
+            s = 0
+            if e == n:
+                known = self.last.get
+            else:
+                far = e - reach(word[e - 2 if e > 1 else 0 : e], 1)
+                s = far if far > 0 else 0
+            while s < e:
+                t = known(word[s:e])
+                if t is not None:
+                    before = tokens[s]
+                    if before < 0 or pairs[before << 32 | t]:
+                        tokens.append(t)
+                        starts.append(s)
+                        break
+                s += 1
+            else:
+                tokens.append(-2)
+                starts.append(e - 1)
+        return tuple(self._path(tokens, starts, n))
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Tokens of a stream of symbols, each as soon as it is stable."""
@@ -215,7 +246,7 @@ class Decoder:
 class Tokenizer:
     """A word-end BPE tokenizer file (NFC, lower case, split pattern, byte letters) on the transducer."""
 
-    def __init__(self, blob: bytes, memo: int = 150_000):
+    def __init__(self, blob: bytes, memo: int = 250_000):
         spec = json.loads(blob)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -236,7 +267,11 @@ class Tokenizer:
         return self.merges.word(word.encode().decode("latin-1").translate(self.letters))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if plain.isalpha():  # the split pattern takes a run of letters whole, and a sign after it alone
+            return self.words[plain]
+        if plain[:-1].isalpha() and plain[-1] in ".,;:!?":
+            return self.words[plain[:-1]] + self.words[plain[-1]]
         return tuple(chain.from_iterable(self.words[w] for w in self.pattern.findall(plain)))
 
     def encode(self, text: str | None) -> list[int]:
