@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_schema, prepared, sliced, table
@@ -131,23 +131,39 @@ def _ranges(docs: DataFrame) -> DataFrame:
     if ranges > 1:
         found = docs.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], F.lit(100 * ranges)).alias("c")).first()["c"]
         cuts = sorted({int(c) for c in found or ()}, reverse=True)
-    # part: how many cuts are above the id; a null id is below all of them
-    cut = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    named = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(cut, lambda c: c > F.col("doc_id")))))
+    named = docs.withColumn("part", _above(cuts, F.col("doc_id")))
     tops = {r["part"]: r["top"] for r in named.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
     order = sorted(tops)
     if not order:
         return named.withColumn("extra", F.lit(False))
     before = {p: order[n - 1] for n, p in enumerate(order)}  # the first range follows the last
-    first = F.create_map(*(F.lit(x) for p in order for x in (p, before[p])))
-    top = F.create_map(*(x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))))
-    leads = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("part")))
-    places = F.when(leads, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(F.element_at(first, F.col("part")).alias("part"), F.lit(True).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")))
-    )
+    every = range(len(cuts) + 1)
+    top = F.array(*(F.lit(tops.get(p)).cast("long") for p in every))
+    back = F.array(*(F.lit(before.get(p)).cast("int") for p in every))
+    leads = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("part") + 1))
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
+    copy = F.struct(F.element_at(back, F.col("part") + 1).alias("part"), F.lit(True).alias("extra"))
+    places = F.when(leads, F.array(own, copy)).otherwise(F.array(own))
     return named.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.part").alias("part"), F.col("p.extra").alias("extra"))
 
 
+def _above(cuts: list[int], key: Column) -> Column:
+    """How many of the descending cuts are above a key, by binary search; all of them for a null key."""
+    n = len(cuts)
+    if not n:
+        return F.lit(0)
+    cut = F.array(*(F.lit(c).cast("long") for c in cuts))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_, above = acc["lo"] < acc["hi"], F.element_at(cut, F.least(mid, F.lit(n - 1)) + 1) > key
+        return F.struct(F.when(open_ & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~above, mid).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.array(*(F.lit(i) for i in range(n.bit_length() + 1)))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda acc: acc["lo"])
+    return F.when(key.isNull(), F.lit(n)).otherwise(found)
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
