@@ -1,6 +1,6 @@
 """Token-id output: best-fit-decreasing packing of documents into rows of a fixed length.
 
-Each task encodes its documents, puts the end token after each, splits what is longer than a row into whole rows and a rest
+Each task encodes its documents (byte-level BPE unless a word-end BPE file is given), puts the end token after each, splits what is longer than a row into whole rows and a rest
 (nothing is cut off), and packs groups of a bounded number of tokens: the segments of a group in order of decreasing length, each
 into the row with the least room that still takes it. That row is found in O(log length) by a segment tree over capacities. A row is
 written as little-endian ids of a fixed width (a row of the id matrix, padded), with cumulative segment lengths and
@@ -12,6 +12,8 @@ Defined results: null and empty texts are one end token; repeated rows are packe
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe import Recent, Tokenizer, loaded, read_vocabulary
+from lectern.llm.bpe import Tokenizer, public_path, read_vocabulary
 from lectern.llm.common import arrow_schema, prepared, sliced, table
 
 LENGTH, GROUP_TOKENS = 2048, 2_000_000
-END_TOKEN = "<|endoftext|>"
+END_TOKEN, RANKS = "<|endoftext|>", "byte_bpe_50k.tiktoken"
 SCHEMA = "pack_id long, n_segments int, n_tokens int, doc_ids array<bigint>, parts array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
 
@@ -80,39 +82,66 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-class Ids:
-    """Texts to bytes of ids; the ids of a text's parts between blanks are remembered as bytes."""
+class ByteIds:
+    """Texts to bytes of ids by a byte-level BPE rank file: lossless, so the texts can be had back from the rows."""
 
-    def __init__(self, tok: Tokenizer, memo: int = 250_000):
-        self.tok = tok
-        self.type = np.dtype("<u2" if max(tok.names) < 65536 else "<u4")
-        self.parts = Recent(lambda part: np.array(tok._chunk(part), self.type).tobytes(), memo)
+    def __init__(self, blob: bytes, pattern: str):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
+        self.end = max(ranks.values()) + 1  # the first free id
+        self.type = np.dtype("<u2" if self.end < 65536 else "<u4")
+        self.tok = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def of(self, text: str | None) -> bytes:
+        return np.array(self.tok.encode_ordinary(text or ""), self.type).tobytes()
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.tok.decode_bytes([int(i) for i in ids if i < self.end]).decode()
+
+
+class WordIds:
+    """Texts to bytes of ids by a word-end BPE file, on the transducer."""
+
+    def __init__(self, blob: bytes, pattern: str):
+        del pattern  # the file has its own
+        self.tok = Tokenizer(blob)
+        self.end = self.tok.special.get(END_TOKEN, max(self.tok.names) + 1)
+        self.type = np.dtype("<u2" if max(self.end, *self.tok.names) < 65536 else "<u4")
 
     def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<" in text and self.tok.splits is not None and self.tok.splits.search(text) or self.tok.odd.search(text):
-            return np.array(self.tok.encode(text), self.type).tobytes()
-        return b"".join(map(self.parts.__getitem__, text.split()))
+        return np.array(self.tok.encode(text), self.type).tobytes()
+
+
+_IDS: dict[str, ByteIds | WordIds] = {}
+
+
+def ids_of(blob: bytes, pattern: str) -> ByteIds | WordIds:
+    """One encoder for each file and worker process; JSON files are word-end BPE, others rank files."""
+    key = hashlib.sha256(blob).hexdigest() + pattern
+    if key not in _IDS:
+        _IDS.clear()
+        _IDS[key] = (WordIds if blob.lstrip()[:1] == b"{" else ByteIds)(blob, pattern)
+    return _IDS[key]
+
 
+def public_pattern() -> str:
+    import public_tokenizers
 
-_IDS: dict[int, Ids] = {}
+    return public_tokenizers.PATTERN
 
 
-def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: int = 0, group: int = GROUP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, pattern: str | None = None, pad: int = 0, group: int = GROUP_TOKENS) -> DataFrame:
     """One row a packed sequence: pack_id, n_segments, n_tokens (without padding), doc_ids and parts of the segments,
     cu_seqlens (from 0), position_resets (where each segment begins) and ids."""
     spark = prepared(docs.sparkSession)
-    blob = spark.sparkContext.broadcast(read_vocabulary(path))
+    blob = spark.sparkContext.broadcast(read_vocabulary(path or public_path(RANKS)))  # under 2 MB, fixed
+    split = pattern or public_pattern()
     types = arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = loaded(blob.value)
-        if id(tok) not in _IDS:
-            _IDS.clear()
-            _IDS[id(tok)] = Ids(tok)
-        ids = _IDS[id(tok)]
-        width, stop = ids.type.itemsize, np.array([tok.special.get(END_TOKEN, pad)], ids.type).tobytes()
+        ids = ids_of(blob.value, split)
+        width, stop = ids.type.itemsize, np.array([ids.end], ids.type).tobytes()
         padding = np.array([pad], ids.type).tobytes()
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40

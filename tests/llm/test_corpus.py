@@ -227,9 +227,10 @@ def test_best_fit_is_best_fit():
         assert sorted(length - sum(sizes[n] for n in row) for row in rows) == sorted(rooms)
 
 
-def test_packing_round_trip(odd, none, odd_rows):
-    own = bpe.Tokenizer(bpe.read_vocabulary(None))
-    rows = packing.pack(odd.filter("doc_id <> 5 AND doc_id IS NOT NULL"), length=64, group=5000).collect()
+@pytest.mark.parametrize("path", [None, bpe.public_path()])
+def test_packing_round_trip(odd, none, odd_rows, path):
+    own = packing.ids_of(bpe.read_vocabulary(path or bpe.public_path(packing.RANKS)), packing.public_pattern())
+    rows = packing.pack(odd.filter("doc_id <> 5 AND doc_id IS NOT NULL"), length=64, path=path, group=5000).collect()
     matrix = packing.matrix_of(rows, 64)
     got = {}
     for row, ids in zip(rows, matrix, strict=True):
@@ -239,7 +240,9 @@ def test_packing_round_trip(odd, none, odd_rows):
             got.setdefault(doc, {})[part] = ids[row["cu_seqlens"][n] : row["cu_seqlens"][n + 1]].tolist()
     for doc, text in odd_rows:
         if doc not in (5, None):
-            assert sum((got[doc][k] for k in sorted(got[doc])), []) == [*own.encode(text), 49407]
+            whole = sum((got[doc][k] for k in sorted(got[doc])), [])
+            assert whole == [*np.frombuffer(own.of(text), own.type).tolist(), own.end]
+            assert path or own.text(np.array(whole)) == (text or "")
     assert packing.pack(none).count() == 0
 
 
