@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lowered, table
+from lectern.llm.common import lowered, prepared, table
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Block if the bad rate is over THRESHOLD with about 95 % posterior probability (Z standard deviations).
@@ -58,8 +58,8 @@ def shrunk(level: DataFrame, parent: DataFrame, up: str) -> DataFrame:
     )
     over = (F.col("spread") / F.col("v") - F.col("groups")) / F.nullif(F.col("total") - F.col("groups"), F.lit(0))
     rho = F.least(F.greatest(F.coalesce(F.when(F.col("v") > 0, over), F.lit(0.001)), F.lit(0.001)), F.lit(0.9))
-    strength = fit.select((1 / rho - 1).alias("s")).scalar()
-    rows = rows.withColumn("s", strength)
+    strength = fit.select((1 / rho - 1).alias("s")).first()["s"]  # one number a level
+    rows = rows.withColumn("s", F.lit(strength))
     rows = rows.withColumn("a", F.col("k") + F.col("s") * F.col("m")).withColumn("b", F.col("n") - F.col("k") + F.col("s") * (1 - F.col("m")))
     return rows.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
@@ -69,12 +69,12 @@ def reputations(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESH
     known = outcomes.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("bad").alias("bad"))
     seen = pages.select("host", "domain", "suffix", F.expr(r"try_cast(regexp_extract(path, '/(\\d+)', 1) AS bigint)").alias("doc_id"))
     seen = seen.join(known, "doc_id", "left")
-    hosts = seen.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = seen.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k")).checkpoint()
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).checkpoint()
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("top", F.lit(""))
     top = suffixes.groupBy("top").agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("mean"))
     by_suffix = shrunk(suffixes, top, "top")
-    by_domain = shrunk(domains, by_suffix, "suffix")
+    by_domain = shrunk(domains, by_suffix, "suffix").checkpoint()
     by_host = shrunk(hosts, by_domain.drop("suffix"), "domain")
     size = F.col("a") + F.col("b")
     bound = F.col("mean") - z * F.sqrt(F.col("a") * F.col("b") / (size * size * (size + 1)))
@@ -83,6 +83,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESH
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """page_id, host, path, rule, verdict of each page."""
+    prepared(pages.sparkSession)
     named = parts(pages.select("page_id", "url"))
     hosts = reputations(named, outcomes, threshold, z).select("host", "blocked")
     rule, verdict = matched(rules)
