@@ -1,13 +1,16 @@
 """LM scoring by a class-based bigram model (Brown classes) over all training text.
 
-Counts of all words of the training fold are made by partial sums and one shuffle. The UNITS commonest words are units of their own;
-every other word belongs to the unit of its ending (a hash of its last bytes, ENDINGS of them), so that no word is without a class and the
-unit bigrams, which the driver gets, have a fixed bound whatever the vocabulary. Exchange clustering moves
-each unit to the class that gives the bigram likelihood most, sweep after sweep. A text's probability is the product of
+Counts of all words of the training fold are made by partial sums and one shuffle. Every word with a count of LEAST or more is a unit of its
+own, however many there are; rarer words belong to the unit of their ending (a hash of their last bytes, ENDINGS of them), so that no word is
+without a class. Exchange clustering moves each unit to the class that gives the bigram likelihood most. It begins on the driver with the SEEDS
+commonest units and the endings, sweep after sweep, and goes on over all units: their counts with neighbouring classes are gathered from the
+coded training text as a distributed table, and all units of a sweep choose against the same class table. A sweep that lowers the likelihood is
+undone and is the last. A text's probability is the product of
 class transitions (additive smoothing) and word emissions (count + 1) / (class tokens + class words + 1), one unseen word for each class.
 
-Scoring looks the HEAD commonest words up in a broadcast table of fixed bound; the other words of a document join the count
-table by a shuffle, as sums over (document, word), so the vocabulary may grow without limit.
+Coding and scoring look the HEAD commonest words up in a broadcast table of fixed bound; units beyond them are found by 60 bits of their MD5 in
+a broadcast array of 8 bytes a unit, which grows with the number of words of count LEAST or more. The counts of words beyond HEAD
+join by a shuffle, as sums over (document, word).
 
 Defined results: a null or blank text is its end token alone; repeated rows each get a row; a null doc_id is in the training fold;
 with no training text every token is unknown and base_score is 0.
@@ -15,18 +18,23 @@ with no training text every token is unknown and base_score is 0.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, fold, prepared, sliced, table
+from lectern.llm.common import arrow_schema, fold, prepared, sliced, table, written
 
 UNITS, ENDINGS, CLASSES, HEAD, SWEEPS = 400, 112, 24, 200_000, 12
+#: A word of this count or more is clustered itself; UNITS is only the number of seeds. WIDE sweeps go over all units, in groups of BLOCK.
+LEAST, WIDE, BLOCK = 10, 3, 256
+#: Neighbour pairs counted at a time, and counts a task holds before it sends them.
+CHUNK, HELD_COUNTS = 1_000_000, 3_000_000
 ALPHA = 0.5
 HELD = (7, 2)
 FLUSH = 250_000
@@ -70,46 +78,180 @@ def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-3:]) % endings
 
 
-class Places(dict):
-    """Word to its place: the rank of a head word, or HEAD plus its ending."""
+def mark(word: bytes) -> int:
+    """The first 60 bits of the word's MD5, as in ``marks``."""
+    return int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 4
 
-    def __init__(self, head: list[bytes], endings: int):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.base, self.endings = len(head), endings
 
-    def __missing__(self, word: bytes) -> int:
-        return self.base + zlib.crc32(word[-3:]) % self.endings
+def marks(counts: DataFrame, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mark, count and ending of each word given, in the order of marks."""
+    spot = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(endings)).cast("int")
+    got = counts.select(F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long").alias("mark"), "c", spot.alias("spot")).toArrow()
+    at, c, spots = (got.column(n).to_numpy() for n in ("mark", "c", "spot"))
+    order = np.argsort(at, kind="stable")
+    return at[order], c[order], spots[order]
+
+
+class Places:
+    """Words to places: the rank of a head word, then the units beyond the head by their marks, then the endings."""
+
+    def __init__(self, head: list[bytes], beyond: np.ndarray, endings: int):
+        self.rank = {w: i for i, w in enumerate(head)}
+        self.head, self.beyond, self.endings = len(head), beyond, endings
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        missed = at < 0
+        if missed.any():
+            others = list(compress(words, missed))
+            ends = np.fromiter((zlib.crc32(w[-3:]) for w in others), np.int64, len(others)) % self.endings
+            found = self.head + len(self.beyond) + ends
+            if len(self.beyond):
+                own = np.fromiter(map(mark, others), np.int64, len(others))
+                spot = np.minimum(np.searchsorted(self.beyond, own), len(self.beyond) - 1)
+                found = np.where(self.beyond[spot] == own, self.head + spot, found)
+            at[missed] = found
+        return at
+
+
+def coded(docs: DataFrame, head: list[bytes], beyond: np.ndarray, endings: int, unit_of: np.ndarray) -> DataFrame:
+    """ids of the units of all texts (int32), some texts a row; the last unit is a text's end, also before the first."""
+    spark = prepared(docs.sparkSession)
+    sent = spark.sparkContext.broadcast((head, beyond, unit_of))
+    types = arrow_schema("ids binary")
 
+    def run(batches):
+        head, beyond, unit_of = sent.value
+        places, end = Places(head, beyond, endings), len(unit_of)
+        for part in sliced(batches):
+            row = [np.array([end], np.int32)]
+            for text in part.column(0).to_pylist():
+                row += [unit_of[places.of(tokens_of(text))], row[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(row).tobytes()], pa.binary())], schema=types)
 
-def unit_pairs(docs: DataFrame, units: list[bytes], endings: int) -> np.ndarray:
-    """Counts of neighbouring units (rows before columns) over all documents; the last unit is the text's end, also before its start."""
-    spark = prepared(docs.sparkSession)
-    size = len(units) + endings + 1
-    sent = spark.sparkContext.broadcast(units)
+    return written(docs.select("text").mapInArrow(run, "ids binary"), "coded")
+
+
+def _rows_of(batches):
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield np.frombuffer(batch.column(0)[at].as_buffer(), np.int32)
+
+
+def label_pairs(texts: DataFrame, label: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring labels (rows before columns) over all coded texts."""
+    size = int(label.max()) + 1
+    sent = texts.sparkSession.sparkContext.broadcast(label)
     types = arrow_schema("pair int, n long")
 
     def run(batches):
-        place = Places(sent.value, endings)
         total = np.zeros(size * size, np.int64)
-        for part in sliced(batches):
-            codes = []
-            for text in part.column(0).to_pylist():
-                words = tokens_of(text)
-                u = np.empty(len(words) + 2, np.int64)
-                u[0] = u[-1] = size - 1
-                u[1:-1] = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                codes.append(u[:-1] * size + u[1:])
-            total += np.bincount(np.concatenate(codes), minlength=size * size) if codes else 0
+        for ids in _rows_of(batches):
+            codes = sent.value[ids].astype(np.int64)
+            total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=types)
 
     # At most size * size rows reach the driver.
-    rows = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) == 1:
+        return keys[0], n[0]
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(at, np.concatenate(n)).astype(np.int64)
+
+
+def wide_sweep(texts: DataFrame, label: np.ndarray, joint: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The class each unit chooses by its counts with neighbouring classes; the last unit (the end) keeps its own.
+
+    A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. Tasks send one row for
+    each block of units, and a block's rows are summed in one group: at most block * span counts from each task.
+    """
+    size, end = len(joint), len(label) - 1
+    span = 2 * size + 1
+    sent = texts.sparkSession.sparkContext.broadcast((label, joint))
+    schema, chosen = "block long, keys binary, n binary", "block long, labels binary"
+    types, out_types = arrow_schema(schema), arrow_schema(chosen)
+
+    def packed(keys, n):
+        starts = np.flatnonzero(np.diff(keys // (block * span), prepend=-1))
+        stops = np.append(starts[1:], len(keys))[: len(starts)]
+        blocks = keys[starts] // (block * span)
+        small = (keys % (block * span)).astype(np.uint32)
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), cut(small), cut(n.astype(np.int64))], schema=types)
+
+    def count(batches):
+        label = sent.value[0]
+        held_keys, held_n, held, waiting, room = [], [], 0, [], 0
+
+        def counted():
+            a, b = (np.concatenate(x) for x in zip(*((ids[:-1], ids[1:]) for ids in waiting), strict=True))
+            same = a == b
+            after = a.astype(np.int64) * span + np.where(same, size, label[b])
+            before = b[~same].astype(np.int64) * span + size + 1 + label[a[~same]]
+            keys = np.concatenate((after[a != end], before[b[~same] != end]))
+            return np.unique(keys, return_counts=True)
+
+        for ids in _rows_of(batches):
+            waiting.append(ids)
+            room += len(ids)
+            if room >= CHUNK:
+                keys, n = counted()
+                held_keys, held_n, held, waiting, room = [*held_keys, keys], [*held_n, n], held + len(keys), [], 0
+                if held >= HELD_COUNTS:
+                    yield packed(*_summed(held_keys, held_n))
+                    held_keys, held_n, held = [], [], 0
+        if waiting:
+            keys, n = counted()
+            held_keys, held_n = [*held_keys, keys], [*held_n, n]
+        if held_keys:
+            yield packed(*_summed(held_keys, held_n))
+
+    def choose(rows: pa.Table) -> pa.Table:
+        label, joint = sent.value
+        first = rows.column("block")[0].as_py() * block
+        old = label[first : min(first + block, end)].astype(np.int64)
+        table = np.zeros(block * span)
+        for keys, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist(), strict=True):
+            table[np.frombuffer(keys, np.uint32)] += np.frombuffer(n, np.int64)  # a row's keys are distinct
+        table = table.reshape(block, span)[: len(old)]
+        new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
+        new = np.where(table.sum(1) > 0, new, old).astype(np.int16)
+        return pa.table({"block": pa.array([first // block], pa.int64()), "labels": pa.array([new.tobytes()], pa.binary())}, schema=out_types)
+
+    out = label.copy()
+    # Two bytes for each unit reach the driver.
+    for r in texts.mapInArrow(count, schema).groupBy("block").applyInArrow(choose, chosen).toArrow().to_pylist():
+        new = np.frombuffer(r["labels"], np.int16)
+        out[r["block"] * block : r["block"] * block + len(new)] = new
+    return out
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """Log likelihood of the neighbours under the classes, but for a term that no move of a unit changes."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
+
+
+def clustered(texts: DataFrame, label: np.ndarray, sweeps: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of all units and the table of neighbouring classes, after exchange over all units."""
+    joint = label_pairs(texts, label)
+    for _ in range(sweeps):
+        new = wide_sweep(texts, label, joint)
+        if (new == label).all():
+            break
+        there = label_pairs(texts, new)
+        if likelihood(there) <= likelihood(joint):
+            break
+        label, joint = new, there
+    return label, joint
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -159,13 +301,30 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     return label
 
 
-def log_transitions(pairs: np.ndarray, label: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    member = np.eye(int(label.max()) + 1)[label]
-    joint = member.T @ pairs @ member + alpha
+def best_classes(joint: np.ndarray, old: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The best class of each unit while all others stay, from its counts with the classes after it, before it and with itself; as in ``exchange``."""
+    rows, c = np.arange(len(old)), np.arange(len(joint) - 1)
+    rest = np.repeat(joint[None], len(old), 0)
+    rest[rows, old, :] -= out
+    rest[rows, :, old] -= into
+    rest[rows, old, old] -= own
+    logs = _xlogx(rest)
+    row = (_xlogx(rest + out[:, None, :]) - logs).sum(2)[:, c]
+    col = (_xlogx(rest + into[:, :, None]) - logs).sum(1)[:, c]
+    corner, o, i, own = rest[:, c, c], out[:, c], into[:, c], own[:, None]
+    both = _xlogx(corner + o + i + own) + _xlogx(corner) - _xlogx(corner + o) - _xlogx(corner + i)
+    left, right = rest.sum(2)[:, c] + i, rest.sum(1)[:, c] + o
+    total_out, total_into = out.sum(1)[:, None], into.sum(1)[:, None]
+    margin = _xlogx(left + total_out + own) - _xlogx(left) + _xlogx(right + total_into + own) - _xlogx(right)
+    return np.argmax(row + col + both - margin, 1)
+
+
+def log_transitions(joint: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    joint = joint + alpha
     return np.log10(joint / joint.sum(1, keepdims=True))
 
 
-def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, head_size: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, head_size: int = HEAD, least: int = LEAST, wide: int = WIDE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     spark = prepared(docs.sparkSession)
     modulus, rest = held
@@ -176,47 +335,53 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     total, types = sums["n"] + ends, sums["v"] + (ends > 0)
     head = head_of(counts, head_size)
     words, often = [w for w, _ in head], np.array([c for _, c in head], np.int64)
-    own = words[:units]
-    pairs = unit_pairs(train, own, endings)
-    label = exchange(pairs, classes)
-    end_class, n_classes = int(label[-1]), int(label.max()) + 1
-    by_ending = label[len(own) : -1]
-    # Tokens and words of each class: own units from the head, all other words by their ending.
-    listed = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in own], "word binary"))  # at most ``units`` rows
-    spot = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(endings)).cast("int")
-    rows = counts.join(listed, "word", "left_anti").groupBy(spot.alias("spot")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    # Units: head words and words beyond them with a count of ``least`` or more, then the endings, then the end.
+    beyond, beyond_c, beyond_spot = marks(counts.filter((F.col("c") >= least) & (F.col("c") < (int(often[-1]) if words else 2**62))), endings)
+    spots = np.concatenate([np.fromiter((ending(w, endings) for w in words), np.int64, len(words)), beyond_spot, np.arange(endings)])
+    first_ending = len(words) + len(beyond)
+    n_own = int((often >= least).sum())
+    unit_of = np.arange(len(spots), dtype=np.int32)
+    unit_of[n_own : len(words)] = first_ending + spots[n_own : len(words)]
+    texts = coded(train, words, beyond, endings, unit_of)
+    n_seeds = min(units, n_own)
+    seed_of = np.append(n_seeds + spots, n_seeds + endings).astype(np.int32)
+    seed_of[:n_seeds] = np.arange(n_seeds)
+    label, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), wide)
+    end_class, n_classes = int(label[-1]), len(joint)
+    class_of = label[unit_of]
+    # Tokens and words of each class: units by their counts, all other words by their ending.
+    rows = counts.filter(F.col("c") < least).groupBy(F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(endings)).cast("int").alias("spot")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
-    np.add.at(class_n, label[: len(own)], often[: len(own)])
-    np.add.at(class_v, label[: len(own)], 1)
+    for labels, c in ((class_of[:n_own], often[:n_own]), (class_of[len(words) : first_ending], beyond_c)):
+        np.add.at(class_n, labels, c)
+        np.add.at(class_v, labels, 1)
     for r in rows:
-        class_n[by_ending[r["spot"]]] += r["n"]
-        class_v[by_ending[r["spot"]]] += r["v"]
-    step = log_transitions(pairs, label)
+        class_n[class_of[first_ending + r["spot"]]] += r["n"]
+        class_v[class_of[first_ending + r["spot"]]] += r["v"]
+    step = log_transitions(joint)
     spread = np.log10(class_n + class_v + 1)
-    class_of = np.concatenate([label[: len(own)], by_ending[[ending(w, endings) for w in words[units:]]] if len(words) > units else np.zeros(0, np.int64), by_ending])
-    gain = np.concatenate([np.log10(often + 1.0), np.zeros(endings)])
-    sent = spark.sparkContext.broadcast((words, class_of, gain, step, spread))
+    sent = spark.sparkContext.broadcast((words, beyond, class_of, np.log10(often + 1.0), step, spread))
     schema = "uid long, word binary, tf long, doc_id long, n_tokens long, n_known long, logs double, model double"
     fields = arrow_schema(schema)
 
     def run(batches):
-        words, class_of, gain, step, spread = sent.value
-        place = Places(words, endings)
+        words, beyond, class_of, gain, step, spread = sent.value
+        places = Places(words, beyond, endings)
         known = len(words)
         flat, n = step.ravel(), len(step)
         for part in sliced(batches):
             out: list[tuple] = []
             for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 own = tokens_of(text)
-                at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                c = class_of[at]
+                at = places.of(own)
+                c = class_of[at].astype(np.int64)
                 walk = np.concatenate(([end_class], c, [end_class]))
                 model = flat[walk[:-1] * n + walk[1:]].sum() - spread[c].sum()
                 rare = at >= known
                 for word, tf in Counter(compress(own, rare)).items():
                     out.append((uid, word, tf, None, 0, 0, 0.0, 0.0))
                 # No word begins with a blank: these keys find no count and are spread over all tasks.
-                out.append((uid, b" %d" % uid, 0, doc_id, len(own) + 1, int(len(own) - rare.sum()) + (ends > 0), float(gain[at].sum()), float(model)))
+                out.append((uid, b" %d" % uid, 0, doc_id, len(own) + 1, int(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)] if out else [pa.array([], f.type) for f in fields], schema=fields)
 
     placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -351,6 +351,45 @@ def test_exchange_separates_two_languages():
     assert len(set(label[:4])) == 1 and len(set(label[4:8])) == 1 and label[0] != label[4]
 
 
+def test_all_counted_words_are_clustered_by_their_neighbours(spark):
+    """Two groups of words with the same endings that never stand together: far more words than seeds, most of them beyond the head."""
+    r = random.Random(11)
+    words = {g: [f"{g}{n}end" for n in range(300)] for g in "ab"}
+    rows = [(n, " ".join(r.choice(words["ab"[n % 2]]) for _ in range(200))) for n in range(120)]
+    mixed = [(1000 + n, " ".join(r.choice(words["ab"[k % 2]]) for k in range(200))) for n in range(40)]
+    mixed = [x for x in mixed if brown_held(x[0])]
+    rows = brown.score(docs_of(spark, rows + mixed), units=40, endings=4, classes=2, head_size=100).collect()
+    per = lambda own: [x["score"] / x["n_tokens"] for x in rows if (x["doc_id"] >= 1000) == own]
+    assert per(True) and max(per(True)) < min(per(False)) - 0.2
+
+
+def brown_held(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % brown.HELD[0] == brown.HELD[1]
+
+
+def test_units_choose_as_single_moves(spark):
+    """A sweep's choice for each unit is the move that single moves of ``exchange`` and the likelihood give."""
+    r = np.random.default_rng(4)
+    ids = [np.concatenate(([30], r.integers(0, 30, 400), [30])).astype(np.int32) for _ in range(5)]
+    label = np.append(r.integers(0, 3, 30), 3).astype(np.int16)
+    texts = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary")
+    joint = brown.label_pairs(texts, label)
+    got = brown.wide_sweep(texts, label, joint, block=7)
+    for u in range(30):
+        worth = []
+        for c in range(3):
+            moved = label.copy()
+            moved[u] = c
+            pairs = np.zeros((4, 4))
+            for x in ids:
+                np.add.at(pairs, (moved[x[:-1]], moved[x[1:]]), 1)
+            worth.append(brown.likelihood(pairs))
+        assert got[u] == int(np.argmax(worth))
+    assert got[30] == 3
+
+
 # fingerprints
 
 
