@@ -2,7 +2,7 @@
 
 The ratio is computed in Python only for pairs that survive lossless bounds: the ratio of two texts is at most
 2 * min(length) / sum(length), and at most twice the overlap of their character bags over the sum of lengths. Exact repeats are decided by the
-key alone before any pair is made. Scopes are dealt by key; a scope's kept texts are held one at a time against a candidate, in order.
+key (and the answer, where it counts) before any pair is made. Scopes are dealt by key; a scope's kept texts are held one at a time against a candidate, in order.
 """
 
 from __future__ import annotations
@@ -60,11 +60,13 @@ class Kept:
 def greedy(df: DataFrame, scope: list[str], order: str, key: str, answer: str | None = None, threshold: float = THRESHOLD, with_answer: float | None = None) -> DataFrame:
     """scope columns, order and status (kept, duplicate, empty) of each row, compared with the kept rows before it in its scope.
 
-    Exact repeats of a key are marked before the scopes are dealt, so a group of copies never reaches one task.
+    Exact repeats of a key are marked before the scopes are dealt, so a group of copies never reaches one task. Where answers count, only rows
+    of one key and one answer are repeats: a first row may be dropped for its answer alone, and its key may then stay with another answer.
     """
-    own = df.select(*scope, order, F.col(key).alias("_key"), (F.col(answer) if answer else F.lit("")).alias("_answer"))
-    first = own.groupBy(*scope, "_key").agg(F.min(order).alias("_first"))
-    marked = own.join(first.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col("_key").alias("_k2"), "_first"), (F.col("_key") == F.col("_k2")) & _same(scope), "left")
+    own = df.select(*scope, order, F.col(key).alias("_key"), (F.coalesce(answer, F.lit("")) if answer and with_answer is not None else F.lit("")).alias("_answer"))
+    first = own.groupBy(*scope, "_key", "_answer").agg(F.min(order).alias("_first"))
+    first = first.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col("_key").alias("_k2"), F.col("_answer").alias("_a2"), "_first")
+    marked = own.join(first, (F.col("_key") == F.col("_k2")) & (F.col("_answer") == F.col("_a2")) & _same(scope), "left")
     rest = marked.filter((F.col(order) == F.col("_first")) & (F.col("_key") != "")).select(*scope, order, "_key", "_answer")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(*scope, order).schema) + ", status string"
 

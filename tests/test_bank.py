@@ -97,6 +97,21 @@ def test_greedy_keeps_first_and_compares_with_kept_only(spark):
     assert got == {1: "kept", 2: "duplicate", 3: "kept", 4: "kept", 5: "duplicate", 6: "empty", 7: "kept", 8: "duplicate"}
 
 
+def test_greedy_keeps_a_copy_with_another_answer_of_a_row_dropped_for_its_answer(spark):
+    a, b = "abcdefghij", "abcdefg123"
+    assert 0.68 <= dedup.ratio(b, a) < 0.8
+    rows = [(1, a, "x"), (2, b, "x"), (3, b, "y"), (4, b, "x"), (5, b, "y"), (6, b, None), (7, a, "z"), (8, "", "x"), (9, "", "y")]
+    df = spark.createDataFrame([(n, "f", k, x) for n, k, x in rows], "id int, scope string, key string, answer string")
+    kept, want = [], {}
+    for n, k, x in rows:
+        hit = any((r := dedup.ratio(k, o)) >= 0.8 or r >= 0.68 and x and x == y for o, y in kept)
+        want[n] = "empty" if not k else "duplicate" if hit else "kept"
+        if want[n] == "kept":
+            kept.append((k, x))
+    got = {r["id"]: r["status"] for r in dedup.greedy(df, ["scope"], "id", "key", "answer", with_answer=dedup.WITH_ANSWER).collect()}
+    assert got == want and want[2] == "duplicate" and want[3] == "kept" and want[5] == "duplicate"
+
+
 def test_against_stored_matches_all_pairs(spark):
     import random
 
