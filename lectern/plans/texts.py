@@ -9,6 +9,7 @@ from lectern.functions import numbers as N
 from lectern.functions import questions as Q
 from lectern.functions import text as T
 from lectern.operators import sections as S
+from lectern.operators import segment as G
 from lectern.operators.relational import top_k
 from lectern.sources.tables import table
 
@@ -81,7 +82,7 @@ def lenient_numbers(s, d):
 def payload(s, d):
     docs = table(s, d, "documents").select(
         F.col("doc_id").cast("string").alias("dy_ques_id"), "doc_id", F.col("source").alias("dy_code"), F.lit("LN02").alias("ln_code"), (F.col("n_chars") % 50).cast("string").alias("dy_order"),
-        F.lit(None).cast("string").alias("dy_pattern"), F.concat((F.col("n_chars") % 90).cast("string"), F.lit(" sec")).alias("dy_seconds"), F.substring("text", 1, 40).alias("dy_question"),
+        F.lit(None).cast("string").alias("dy_pattern"), F.concat((F.col("n_chars") % 90).cast("string"), F.lit(" sec")).alias("dy_seconds"), F.col("text").alias("dy_question"),
         F.lit("a").alias("dy_ans_1"), F.lit("b").alias("dy_ans_2"), F.lit("c").alias("dy_ans_3"), F.when(F.col("doc_id") % 4 == 0, "").otherwise("d").alias("dy_ans_4"),
         F.substring(F.lit("ABCDx"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)).alias("dy_correct_ans"), F.lit(None).cast("string").alias("dy_explain"),
     )
@@ -149,10 +150,8 @@ def page_split(s, d):
 
 
 def subsections(s, d):
-    body = F.concat(F.lit("3.1 First part\n3.2.1 Second, part\n4.1 Other\nlines "), F.substring("text", 1, 20))
-    codes = F.regexp_extract_all(body, F.lit(r"(?m)^\s*(3(?:\.\d+)+)\s+([A-Za-z][A-Za-z ,\-]{2,79})"), F.lit(1))
-    titles = F.regexp_extract_all(body, F.lit(r"(?m)^\s*(3(?:\.\d+)+)\s+([A-Za-z][A-Za-z ,\-]{2,79})"), F.lit(2))
-    return _docs(s, d).select("doc_id", F.inline(F.arrays_zip(codes.alias("code"), titles.alias("title")))).toDF("doc_id", "code", "title")
+    body = F.concat(F.lit("3.1 First part\n3.2.1 Second, part\n4.1 Other\nlines "), F.col("text"))
+    return _docs(s, d).select("doc_id", F.inline(G.subsections(F.lit("3"), body))).toDF("doc_id", "code", "title")
 
 
 def line_top(s, d):

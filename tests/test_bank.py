@@ -186,6 +186,15 @@ def test_lessons(spark):
     assert best.count() == 2
 
 
+def test_subsections_query_reads_whole_texts(spark, tmp_path):
+    from lectern.plans import texts
+
+    rows = [(1, "x" * 500 + "\n3.4 Far heading\n9"), (2, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, texts.subsections(spark, str(tmp_path)).collect()))
+    assert got == [(1, "3.1", "First part"), (1, "3.2.1", "Second, part"), (1, "3.4", "Far heading"), (2, "3.1", "First part"), (2, "3.2.1", "Second, part")]
+
+
 def test_jobs(spark):
     rows = [("a", 1, "queued", None), ("a", 2, "done", 5), ("b", 1, "running", None), ("c", 1, "done", 1)]
     df = spark.createDataFrame(rows, "job string, t int, status string, n int").withColumn("ts", F.timestamp_seconds(F.col("t") * 3000))
