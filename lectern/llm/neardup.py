@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import map_slices, prepared, table
+from lectern.llm.common import map_slices, prepared, sliced, table
 
 WIDTH, COORDS, AGREE = 5, 64, 38
 BLOCK = 768
@@ -264,6 +265,11 @@ def across(posted: DataFrame, centres: DataFrame, label: DataFrame, keyed: DataF
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coords: int = COORDS, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document; ``percent`` is the least likeness of a link."""
+    return grouped(docs, width, percent, coords, agree).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, width: int, percent: int, coords: int, agree: int) -> DataFrame:
+    """The columns of ``near_duplicates`` with each row's set_key and the label of its group (null for an empty set)."""
     prepared(docs.sparkSession)
     marked = signed(docs, width, coords).checkpoint()
     classes = marked.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).checkpoint()
@@ -284,28 +290,49 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coor
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(label, classes["set_key"] == label["node"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    group = named.join(least, "label").select("set_key", "component_id")
+    group = named.join(least, "label").select("set_key", "label", "component_id")
     placed = marked.drop("sig").join(group, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "set_key", "label")
+
+
+def keyed_rows(docs: DataFrame, width: int) -> DataFrame:
+    """The rows as they are with ``_set_key``, null for an empty set."""
+    prepared(docs.sparkSession)
+
+    def run(batches):
+        import xxhash
+
+        own = shingler(width, COORDS)
+        for part in sliced(batches):
+            sets = [own.shingles(t) for t in part.column("text").to_pylist()]
+            yield part.append_column("_set_key", pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set_key", T.BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords: int = COORDS, agree: int = 33) -> DataFrame:
     """One document of each near-duplicate group, with all columns as they are; the others go.
 
-    ``agree`` is lower than for 85 %, for the same chance to miss a pair. Rows with one doc_id and text count as one;
-    documents without a doc_id cannot be told apart and stay.
+    ``agree`` is lower than for 85 %, for the same chance to miss a pair. A doc_id on several rows is judged row by row: of its rows in one
+    group one stays if the group has no lower doc_id, and rows with one doc_id and the same blank text count as one.
+    Documents without a doc_id cannot be told apart and stay.
     """
-    marks = near_duplicates(docs, width, percent, coords, agree)
+    marks = grouped(docs, width, percent, coords, agree).checkpoint()
     gone = marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct().checkpoint()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    away = lambda df: df.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
     again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again_id")).count().filter("count > 1").select("_again_id")
     if again.isEmpty():
-        return left
-    rest = left.join(again, F.col("doc_id") == F.col("_again_id"), "left_anti")
-    return rest.unionByName(left.join(again, F.col("doc_id") == F.col("_again_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        return away(docs)
+    rest = away(docs.join(again, F.col("doc_id") == F.col("_again_id"), "left_anti"))
+    stays = marks.filter("kept AND doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id", "label").agg(F.min("set_key").alias("_stay_key"))
+    stays = stays.select(F.col("doc_id").alias("_stay_id"), "_stay_key")
+    several = keyed_rows(docs.join(again, F.col("doc_id") == F.col("_again_id"), "left_semi"), width)
+    blank = several.filter("_set_key IS NULL").dropDuplicates(["doc_id", "text"])
+    full = several.join(stays, (F.col("doc_id").cast("long") == F.col("_stay_id")) & (F.col("_set_key") == F.col("_stay_key")), "left_semi").dropDuplicates(["doc_id", "_set_key"])
+    return rest.unionByName(full.drop("_set_key")).unionByName(blank.drop("_set_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,14 @@ def test_one_of_each_keeps_columns(odd):
     assert ids == [1, 2, 3, 4, 6, 8, 10]
 
 
+def test_one_of_each_judges_rows_of_one_doc_id(spark):
+    """doc_id 9 has a near copy of 3, a text of its own (with a copy under 12), another one, and that one again in capitals."""
+    a, b, c = prose(70, 80), prose(71, 80), prose(72, 80)
+    rows = [(3, a), (9, a + " tail"), (9, b), (12, b), (9, c), (9, c.upper()), (9, ""), (9, ""), (9, c + " tail")]
+    left = sorted((x["doc_id"], x["text"].lower()) for x in neardup.one_of_each(docs_of(spark, rows)).collect())
+    assert [x for x in left if not x[1].startswith(c)] == sorted([(3, a), (9, b), (9, "")]) and sum(x[1].startswith(c) for x in left) == 1
+
+
 # decontamination
 
 
@@ -455,3 +463,25 @@ def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "tokens"]
     out = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(out) < docs.count() and len({x["doc_id"] for x in out}) == len(out)
+
+
+def test_pipeline_stages_match_brute_force(spark, sf):
+    import corpus_pipeline
+
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
+    tokens = bpe.Tokenizer(bpe.read_vocabulary(None))
+    models = {"toxicity": toxicity.trained(spark, sf), "quality": quality.trained(spark, sf)}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect()]
+        out = stage(spark, docs, sf)
+        if name == "tokens":
+            assert sorted((x["doc_id"], list(x["ids"])) for x in out.collect()) == sorted((i, list(tokens.encode(t or ""))) for i, t in rows)
+            return
+        if name in models:
+            wrong = {i for i, t in rows if (models[name].scores([t])[0] >= 0.5) != (name == "quality")}
+        elif name == "near_duplicates":
+            wrong = {i for i, _, least in brute_groups(rows, 80) if i != least}
+        else:
+            wrong = {x[0] for x in brute_hits(rows, [(x["item_id"], x["text"]) for x in items]) if x[-1]}
+        docs = out.checkpoint()
+        assert sorted(x["doc_id"] for x in docs.collect()) == sorted(i for i, _ in rows if i not in wrong), name
