@@ -78,8 +78,8 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int, chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) rows of each class for fitting on the driver, each text up to ``chars`` characters.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int, chars: int | None = None) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) rows of each class for fitting on the driver; whole texts, or up to ``chars`` characters of each.
 
     Labels of the held-out fold (``held``: modulus, remainder) are never read. The rows are those of the least
     hash of doc_id, the same in every run; a label that is null, and a document without text, is left out.
@@ -92,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[
     for value in (0, 1):
         part = own.filter(F.col("label") == value).orderBy("order", "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).filter("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("text")).filter("text IS NOT NULL")
     # At most 2 * per_class ids are broadcast.
     rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]

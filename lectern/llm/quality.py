@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import labelled_sample, prepared, rejected, scored, table
 
 BINS, DIMS, K, SHARP = 1024, 32, 15, 4
-PER_CLASS, FIT_CHARS = 2000, 12_000
+PER_CLASS = 2000
 HELD = (3, 1)
 WIDTH = 3 * BINS + 1
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+")
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> Model:
-    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held, PER_CLASS, FIT_CHARS))
+    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held, PER_CLASS))
 
 
 def worker(spark: SparkSession, model: Model):

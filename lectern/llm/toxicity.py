@@ -8,7 +8,7 @@ from the others, chosen to cover different texts. A text's kernel value with a l
 the largest over its words, and beside it the logarithm of their sum; K_mm^(-1/2) turns these into Nystroem features, a squared-hinge SVM into a decision and a logistic
 fit into a score from 0 to 1.
 
-Fitted on a bounded sample of labelled texts (PER_CLASS of each class, FIT_CHARS of each); every text is scored whole.
+Fitted on a bounded sample of labelled texts (PER_CLASS of each class); every text is fitted and scored whole.
 Defined results: null and empty texts score as a text without any likeness to a landmark; without labels of both classes every
 score is 0; repeated rows each get a row.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import labelled_sample, prepared, scored, rejected, table
 
 LAMBDA, SPAN, LONGEST = 0.75, 9, 26
-LANDMARKS, PER_CLASS, FIT_CHARS = 64, 1500, 12_000
+LANDMARKS, PER_CLASS = 64, 1500
 COVER = 3  # landmarks wanted for each toxic text
 LEAST = 0.45  # less likeness than this counts as none, so that a long text gathers none from many words
 HELD = (5, 0)
@@ -330,7 +330,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> Model:
-    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", held, PER_CLASS, FIT_CHARS))
+    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", held, PER_CLASS))
 
 
 def worker(spark: SparkSession, model: Model):

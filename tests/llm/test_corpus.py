@@ -325,6 +325,16 @@ def test_labels_of_the_held_out_fold_are_never_read(spark, labelled):
     assert labelled_sample(docs, labels, "toxic", (5, 0), 50, 500) == labelled_sample(docs, turned, "toxic", (5, 0), 50, 500)
 
 
+@pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_are_fitted_on_whole_texts(spark, tmp_path, monkeypatch, module, column):
+    ends = [(n, "clean words " * 2000 + f"end{n}") for n in range(20)]
+    docs_of(spark, ends).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, n % 2, n % 2) for n in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(module, "fit", lambda rows: rows)
+    rows = module.trained(spark, str(tmp_path))
+    assert rows and {t for t, _ in rows} <= {t for _, t in ends}
+
+
 # language model
 
 
