@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +18,9 @@ from pyspark.sql import types as T
 
 #: Rows turned into Python objects at a time; bounds a worker's memory on long texts.
 SLICE = 128
+#: Rows of an Arrow batch where the session has Spark's own 10,000: a batch is whole in the memory of both sides before it is sliced.
+BATCH_ROWS = 512
+_FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,23 +28,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library, and sets a checkpoint folder only where the cluster names none."""
+    """Lets Python workers import this library, bounds Arrow batches, and sets a checkpoint folder where none is named.
+
+    Only a session whose executors are this very process may use a folder of this machine; any other has to name ``spark.checkpoint.dir``.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
     return spark
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, can be read by every executor."""
+    """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, can be read by every executor, goes when the program ends."""
     spark = prepared(df.sparkSession)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    if not _FOLDERS:
+        atexit.register(swept)
+    _FOLDERS.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def swept() -> None:
+    """Removes the tables that ``written`` has made, as far as their sessions still run."""
+    while _FOLDERS:
+        spark, folder = _FOLDERS.pop()
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_LAST: list = [None, None]
+
+
+def sole(owner: str, clear: Callable[[], None]) -> None:
+    """Only one operator keeps memos in a worker: those of the one before are cleared when another one begins."""
+    if _LAST[0] not in (None, owner):
+        _LAST[1]()
+    _LAST[:] = owner, clear
+
+
+def given_back() -> None:
+    """Hands the free memory of a worker back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lowered(text: Column) -> Column:
@@ -58,14 +100,16 @@ def arrow_schema(schema: T.StructType | str) -> pa.Schema:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of a task; gives the worker's free memory back at the end of the task."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    given_back()
 
 
 def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE) -> DataFrame:
     """Maps slices of Arrow batches to columns by name. ``work()`` is called once a task and returns the mapper."""
-    spark = prepared(df.sparkSession)
+    prepared(df.sparkSession)
     types = arrow_schema(schema)
 
     def run(batches):
@@ -74,7 +118,6 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict
             made = each(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in types], schema=types)
 
-    del spark
     return df.mapInArrow(run, schema)
 
 

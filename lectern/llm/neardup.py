@@ -8,11 +8,11 @@
    no partner. Of the rest only the rarest ``shared - agree + 1`` tokens (the prefix) are posted:
    two classes with ``agree`` collisions meet under one of them, however frequent the others are.
 3. Each posting list is first joined as a star around its most typical class; collisions are counted on
-   the signatures, then the likeness is confirmed on the full sets, and components are formed.
-   Only lists whose members are still in different components are compared further: members outside
-   the list's largest component against all members, in blocks of a bounded size, with
-   a skip on the size of the sets and on the collisions that are still possible. A large group of near
-   copies thus costs a star, not its square, and no link between components is lost.
+   the signatures, then the likeness is confirmed on the full sets (sorted by centre and streamed, one centre's set at a
+   time), and components are formed. Only lists whose members are still in different components are compared further:
+   members outside the list's largest component against all members whose size allows a link, in blocks bounded by
+   shingles. A block first sees the signatures alone; the full sets go only where enough coordinates collide. A large
+   group of near copies thus costs a star, not its square, and no link between components is lost.
 4. Components by alternating stars (large-star, small-star) until nothing changes.
 
 With 64 coordinates and a threshold of 38 the chance to miss one pair of likeness 0.85 is about 3e-7.
@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_slices, prepared, sliced, table
+from lectern.llm.common import map_slices, prepared, sliced, sole, table, written
 
 WIDTH, COORDS, AGREE = 5, 64, 38
-BLOCK = 768
+#: Members of a block at most, and shingles of a side of a block on average; links of one centre that are dealt together.
+BLOCK, SHINGLES, SPOKES = 1024, 400_000, 256
 #: Up to so many ids (16 bytes each) of classes with possible partners are broadcast; beyond that their texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +53,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -96,6 +97,8 @@ _MADE: dict = {}
 
 
 def shingler(width: int, coords: int) -> Shingler:
+    """One for each shape and worker process."""
+    sole("neardup", _MADE.clear)
     if (width, coords) not in _MADE:
         _MADE[width, coords] = Shingler(width, coords)
     return _MADE[width, coords]
@@ -124,22 +127,39 @@ def signed(docs: DataFrame, width: int = WIDTH, coords: int = COORDS) -> DataFra
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """set_key and the full set of each text that is given."""
+    """set_key and the full set of the texts that are given, each set once a task."""
 
     def work():
         import xxhash
 
-        own = shingler(width, COORDS)
+        own, seen = shingler(width, COORDS), set()
 
         def each(part: pa.RecordBatch) -> dict:
-            sets = [own.shingles(t) for t in part.column("text").to_pylist()]
-            return {"set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+            found = {}
+            for text in part.column("text").to_pylist():
+                s = own.shingles(text)
+                key = xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    found[key] = s.view(np.int64)
+            return {"set_key": list(found), "shingles": list(found.values())}
 
         return each
 
     return map_slices(texts.select("text"), work, "set_key binary, shingles array<bigint>")
 
 
+def sets_of(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """set_key (unique) and the full set of the documents whose doc_id is an ``owner``; other rows of such a doc_id come along."""
+    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left_semi")
+    sets = written(full_sets(texts, width), "sets")
+    twice = sets.groupBy("set_key").count().filter("count > 1").select("set_key")  # reads the keys alone
+    if twice.isEmpty():
+        return sets
+    again = sets.join(twice, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    return written(sets.join(twice, "set_key", "left_anti").unionByName(again), "sets")
+
+
 def postings(classes: DataFrame, coords: int, agree: int) -> DataFrame:
     """(token, set_key, typical): each class under the rarest of its shared tokens, as many as the prefix needs.
 
@@ -160,16 +180,39 @@ def postings(classes: DataFrame, coords: int, agree: int) -> DataFrame:
     return chosen.select("set_key", typical.alias("typical"), F.explode(prefix).alias("p")).select("set_key", "typical", F.col("p.token").alias("token"))
 
 
-def alike(a: Column, b: Column, percent: int) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both * 100 >= percent * (F.size(a) + F.size(b) - both)
+def each_set(part: pa.RecordBatch) -> list[np.ndarray]:
+    """The sets of a batch's column ``shingles``, without a copy."""
+    own = part.column("shingles")
+    ends, flat = own.offsets.to_numpy(), own.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Either key may be hot: the sets are unique by key, so the other side can be split."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").filter(alike(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+    """The pairs (a, b), of centres and members, whose full sets are alike enough.
+
+    A centre's members are dealt in parts of about SPOKES, each sorted behind a copy of the centre's set, so a task holds that set and one batch.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("parts"))
+    hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"))
+    spokes = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    rows = hubs.unionByName(spokes).join(sets, F.coalesce("b", "a") == F.col("set_key"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "part", "b", "shingles")
+    types = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        hub = np.empty(0, np.uint64)
+        for part in sliced(batches):
+            out: list[tuple[bytes, bytes]] = []
+            for a, b, own in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), each_set(part), strict=True):
+                if b is None:
+                    hub = own.copy()
+                elif 100 * min(len(own), len(hub)) >= percent * max(len(own), len(hub)):
+                    both = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
+                    if 100 * both >= percent * (len(own) + len(hub) - both):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], schema=types)
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def colliding(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
@@ -180,11 +223,11 @@ def colliding(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(hits >= agree).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the least node reachable, for every node of the edges (a, b). Alternating stars, one shared checkpoint a round."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node reachable, for every node of the edges (a, b). Alternating stars until nothing changes, one shared checkpoint a round."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
     sign = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -194,54 +237,77 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = small.filter("u <> v").distinct().checkpoint()
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == sign:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         sign = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def across(posted: DataFrame, centres: DataFrame, label: DataFrame, keyed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, agree: int, block: int | None = None) -> DataFrame:
     """Links (a, b) between different components that meet in a posting list, without its star.
 
-    Members outside a list's largest component ("strays") meet all members, block by block; each block counts all common
-    shingles at once and returns no more links than it takes to connect what is linked in it.
+    Members outside a list's largest component ("strays") meet all members of a size class that allows a link, block by block. Blocks get the
+    signatures first; the sets only go to the blocks and members that have a partner there with ``agree`` collisions.
     """
+    block = BLOCK if block is None else block
+    base = 100.001 / percent  # two sets that may be linked are at most one class apart
     named = posted.join(label, posted["set_key"] == label["node"], "left").select("token", "set_key", F.coalesce("label", "set_key").alias("label"))
-    sizes = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = (
-        sizes.groupBy("token")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        .filter("parts > 1 AND n > 2")
-        .select("token", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ks"), F.ceil(F.col("n") / block).cast("int").alias("ka"))
-    )
-    members = named.join(lists, "token").join(centres, "token").filter("set_key <> a").join(keyed, "set_key")
+        named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        .filter("parts > 1 AND n > 2").select("token", F.col("main.label").alias("main"))
+    )
+    sized = classes.select("set_key", F.floor(F.log(F.col("n_shingles")) / float(np.log(base))).cast("int").alias("cls"))
+    members = named.join(lists, "token").join(centres, "token").filter("set_key <> a").join(sized, "set_key").select("token", "set_key", "label", "cls", (F.col("label") != F.col("main")).alias("stray")).checkpoint()
+    near = lambda df: df.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    counts = members.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if("stray").alias("strays"))
+    room = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(SHINGLES / F.pow(F.lit(base), F.col("cls")))))
+    deal = counts.filter("strays > 0").join(near(counts).groupBy("token", "cls").agg(F.sum("n").alias("every")), ["token", "cls"])
+    deal = deal.select("token", "cls", F.ceil(F.col("strays") / room).cast("int").alias("ks"), F.ceil(F.col("every") / room).cast("int").alias("ka")).checkpoint()
     spot = F.xxhash64("set_key")
     i, j = F.pmod(spot, F.col("ks")).cast("int"), F.pmod(spot, F.col("ka")).cast("int")
-    stray = members.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("side", F.lit(0))
-    every = members.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ks") - 1))).withColumn("side", F.lit(1))
-    fields = ["token", "i", "j", "side", "set_key", "label", "shingles"]
-    blocks = stray.select(fields).unionByName(every.select(fields))
+    stray = members.filter("stray").join(deal, ["token", "cls"]).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("side", F.lit(0))
+    every = near(members).join(deal, ["token", "cls"]).withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ks") - 1))).withColumn("side", F.lit(1))
+    cell, own = ["token", "cls", "i", "j"], ["side", "set_key", "label"]
+    blocks = stray.select(*cell, *own).unionByName(every.select(*cell, *own))
+    signed_rows = blocks.join(classes.select("set_key", "sig", "n_shingles"), "set_key").select(*cell, *own, "sig", "n_shingles")
 
-    def compare(part: pa.Table) -> pa.Table:
+    def sides(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side = part.column("side").to_numpy()
-        key = np.array(part.column("set_key").to_pylist(), object)
         group = np.unique(np.array(part.column("label").to_pylist(), object), return_inverse=True)[1]
+        return np.flatnonzero(side == 0), np.flatnonzero(side == 1), group
+
+    def meet(part: pa.Table) -> pa.Table:
+        """The members of a block that have a partner on the other side."""
+        rows, others, group = sides(part)
+        sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+        n = part.column("n_shingles").to_numpy()
+        hits = np.zeros((len(rows), len(others)), np.uint8)
+        for k in range(sig.shape[1]):
+            hits += sig[rows, k][:, None] == sig[others, k]
+        able = (hits >= agree) & (group[rows][:, None] != group[others])
+        low, high = np.minimum(n[rows][:, None], n[others]), np.maximum(n[rows][:, None], n[others])
+        able &= 100 * low >= percent * high
+        return part.take(np.r_[rows[able.any(1)], others[able.any(0)]]).select([*cell, *own])
+
+    def compare(part: pa.Table) -> pa.Table:
+        """No more links of a block than it takes to connect what is linked in it, by counting all common shingles at once."""
+        rows, others, group = sides(part)
+        key = part.column("set_key").to_pylist()
         sets = part.column("shingles").combine_chunks()
         n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
         _, place, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(n)), n)
         shared = often[place] > 1
         column = np.cumsum(often > 1) - 1
-        rows, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        common = np.zeros((len(rows), len(others)), np.float32)
         at_row, at_other = np.full(len(n), -1), np.full(len(n), -1)
         at_row[rows], at_other[others] = np.arange(len(rows)), np.arange(len(others))
-        own, col = owner[shared], column[place[shared]]
-        width = 4096
-        for low in range(0, int(col.max()) + 1 if len(col) else 0, width):
-            inside = (col >= low) & (col < low + width)
-            o, c = own[inside], col[inside] - low
+        owner, col = np.repeat(np.arange(len(n)), n)[shared], column[place[shared]]
+        del place, shared
+        order = np.argsort(col, kind="stable")
+        owner, col = owner[order], col[order]
+        common = np.zeros((len(rows), len(others)), np.float32)
+        width = 1024
+        for low in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+            a, b = np.searchsorted(col, (low, low + width))
+            o, c = owner[a:b], col[a:b] - low
             left, right = np.zeros((len(rows), width), np.float32), np.zeros((len(others), width), np.float32)
             r = at_row[o] >= 0
             left[at_row[o][r], c[r]] = 1
@@ -249,18 +315,17 @@ def across(posted: DataFrame, centres: DataFrame, label: DataFrame, keyed: DataF
             common += left @ right.T
         total = n[rows][:, None] + n[others][None, :]
         linked = (100 * common >= percent * (total - common)) & (group[rows][:, None] != group[others][None, :])
-        a_out, b_out = [], []
-        for r in np.flatnonzero(linked.any(1)):
-            for o in np.flatnonzero(linked[r]):
-                x, y = group[rows[r]], group[others[o]]
-                if x != y:
-                    group[group == y] = x
-                    ka, kb = key[rows[r]], key[others[o]]
-                    a_out.append(min(ka, kb))
-                    b_out.append(max(ka, kb))
-        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+        out = []
+        for r, o in zip(*np.nonzero(linked), strict=True):
+            x, y = group[rows[r]], group[others[o]]
+            if x != y:
+                group[group == y] = x
+                out.append(sorted((key[rows[r]], key[others[o]])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
-    return blocks.groupBy("token", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    kinds = "token long, cls int, i int, j int, side int, set_key binary, label binary"
+    met = signed_rows.groupBy(*cell).applyInArrow(meet, kinds).checkpoint()
+    return met.join(sets, "set_key").groupBy(*cell).applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, coords: int = COORDS, agree: int = AGREE) -> DataFrame:
@@ -281,11 +346,9 @@ def grouped(docs: DataFrame, width: int, percent: int, coords: int, agree: int)
     owners = classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct().checkpoint()
     if owners.count() <= BROADCAST_IDS:
         owners = F.broadcast(owners)
-    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left_semi")
-    keyed = full_sets(texts, width).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles")).checkpoint()
-    links = confirmed(star, keyed, percent).checkpoint()
-    label = components(links)
-    more = across(posted, centres, label, keyed, percent).checkpoint()
+    sets = sets_of(docs, owners, width)
+    label = components(confirmed(star, sets, percent).checkpoint())
+    more = across(posted, centres, label, classes, sets, percent, agree).checkpoint()
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(label, classes["set_key"] == label["node"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))

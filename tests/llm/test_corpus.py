@@ -80,20 +80,52 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == sorted(brute_groups(rows))
 
 
-def test_strays_are_compared_in_blocks(spark):
-    """A chain of texts in which neighbours are alike but the ends are not, in blocks of two."""
+def groups_of(spark, rows, **how):
+    return sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(docs_of(spark, rows), **how).collect())
+
+
+@pytest.mark.parametrize(("block", "shingles", "spokes"), [(2, 400_000, 256), (1024, 300, 2), (1024, 400_000, 256)])
+def test_strays_are_compared_in_blocks(spark, monkeypatch, block, shingles, spokes):
+    """A chain of texts in which neighbours are alike but the ends are not, in blocks of two members or of few shingles."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "SPOKES", spokes)
     w = prose(9, 120).split()
     rows = []
     for n in range(24):
         rows.append((n, " ".join(w)))
         w[(n * 5) % 120] = f"new{n}"
-    old = neardup.across.__defaults__
-    neardup.across.__defaults__ = (2,)
-    try:
-        got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(docs_of(spark, rows)).collect())
-    finally:
-        neardup.across.__defaults__ = old
-    assert got == sorted(brute_groups(rows))
+    assert groups_of(spark, rows) == sorted(brute_groups(rows))
+
+
+@pytest.mark.parametrize("bound", [neardup.BROADCAST_IDS, 0])
+def test_sets_of_repeated_ids(spark, monkeypatch, bound):
+    """A doc_id on many rows, some with one text and some with others; ids sent to all tasks or shuffled."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", bound)
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(1, a)] * 5 + [(1, b), (2, a + " x"), (3, b + " y"), (None, a + " z"), (None, prose(33, 60))]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
+    got = neardup.near_duplicates(docs_of(spark, rows).repartition(4)).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=key) == sorted(brute_groups(rows), key=key)
+    left = neardup.one_of_each(docs_of(spark, rows), percent=85, agree=38)
+    assert sorted(x["doc_id"] for x in left.collect() if x["doc_id"] is not None) == [1, 1]
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Pairs just above and just below the least likeness, of many sizes: every link is found and nothing else."""
+    r = random.Random(77)
+    rows = []
+    for n in range(250):
+        own = [f"p{n}_{k}" for k in range(r.choice((12, 40, 90, 400)))]
+        other = list(own)
+        shingles = len(own) - 4
+        for at in range(0, len(own), 5):  # replaces words from the end until the likeness is near 0.85
+            lost = min(shingles, at + 5)
+            if (shingles - lost) / (shingles + lost) < 0.85:
+                break
+        other[len(own) - max(1, at - r.randint(-4, 4)):] = [f"q{n}_{k}" for k in range(max(1, at - 2))]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(other))]
+    assert groups_of(spark, rows) == sorted(brute_groups(rows))
 
 
 def test_near_duplicates_odd(odd, none, odd_rows):
