@@ -1,16 +1,20 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks and a linear support vector machine.
 
-The kernel of two words is the gap-weighted count of their common subsequences of three characters,
-each occurrence weighted LAMBDA to the power of the stretch it spans (at most SPAN), with marks for a word's
-begin and end. Inserted characters and gaps weaken it but don't break it; runs of single characters
-("i d i o t") are read as one word. Landmarks are words and word beginnings that tell the labelled toxic texts
-from the others, chosen to cover different texts. A text's kernel value with a landmark is
-the largest over its words, and beside it the logarithm of their sum; K_mm^(-1/2) turns these into Nystroem features, a squared-hinge SVM into a decision and a logistic
-fit into a score from 0 to 1.
-
-Fitted on a bounded sample of labelled texts (PER_CLASS of each class); every text is fitted and scored whole.
-Defined results: null and empty texts score as a text without any likeness to a landmark; without labels of both classes every
-score is 0; repeated rows each get a row.
+One kernel is used throughout: the gap-weighted count of the common subsequences of three characters of two words, each occurrence
+weighted LAMBDA to the power of the stretch it spans in either word, divided by the words' own values and taken to the power POWER (again a
+kernel). Words carry marks for begin and end; letters of every script are told apart by their code points, and any other character is only a
+gap. Inserted characters and gaps weaken the kernel but don't break it; runs of single characters ("i d i o t") are read as one word. Of a
+word longer than LONGEST with its marks, overlapping windows are taken and the largest value with each landmark counts.
+
+The kernel of a text with a landmark word is the largest of its words' kernels, and beside it the logarithm of one plus their sum. Landmarks are
+words of labelled toxic texts, chosen by how much of the toxic texts, beyond what clean texts have, they cover in the kernel, and the words of clean
+texts that come nearest to them. K_mm^(-1/2) of the same kernels turns the values into Nystroem features. A squared-hinge SVM learns from the labelled
+texts and from all their sentences: those of clean texts, and those of toxic texts that have a landmark, as they are and with the landmark
+broken up by inserted characters. A logistic fit makes a score of the decision.
+
+Fitted on a bounded sample of labelled texts (PER_CLASS of each class, whole texts); every text is scored whole.
+Defined results: null and empty texts score as a text without any likeness to a landmark; without labels of both classes, or without a
+landmark, every score is 0; repeated rows each get a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,238 +22,218 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import labelled_sample, prepared, scored, rejected, table
+from lectern.llm.common import labelled_sample, prepared, rejected, scored, sole, table
 
-LAMBDA, SPAN, LONGEST = 0.75, 9, 26
-LANDMARKS, PER_CLASS = 64, 1500
+LAMBDA, POWER, LONGEST = 0.75, 3, 26
+LANDMARKS, CONTRASTS, CANDIDATES, PER_CLASS = 32, 16, 600, 1500
 COVER = 3  # landmarks wanted for each toxic text
-LEAST = 0.45  # less likeness than this counts as none, so that a long text gathers none from many words
+SENTENCE = 24  # words of a sentence at most; longer ones count as several
+FLOOR, RIDGE = 1e-2, 1e-3  # least eigenvalue of a Gram matrix; weight of the SVM's margin
+MEMO = 150_000  # words whose rows a worker remembers
 HELD = (5, 0)
-A = 30  # codes: 0 anything else, 1-26 a-z, 27 other letters, 28 begin, 29 end
+BEGIN, END = -2, -3
 _APART = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_STOPS = (".", "!", "?")
+_SIGNS = ".,;:!?*#%&$()[]{}<>|\"'-_/\\"
 
 
-def codes(word: str) -> list[int]:
-    return [ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0 for c in word]
+def words_of(text: str | None) -> list[str]:
+    return _APART.sub(lambda run: "".join(run[0].split()), (text or "").lower()).split()
 
 
 def windows(word: str) -> list[list[int]]:
-    """Coded words with marks; over-long ones in overlapping windows, so that all of them is read."""
-    own = codes(word)
-    while own and own[-1] == 0:
+    """Code points of a word between marks, 0 for what is no letter; over-long ones in overlapping windows, so that all of them is read."""
+    own = [ord(c) if c.isalpha() else 0 for c in word]
+    while own and not own[-1]:
         own.pop()
     skip = next((i for i, c in enumerate(own) if c), len(own))
-    own = own[skip:]
-    if not own:
+    if skip == len(own):
         return []
-    own = [28, *own, 29]
+    own = [BEGIN, *own[skip:], END]
     return [own] if len(own) <= LONGEST else [own[i : i + LONGEST] for i in range(0, len(own) - LONGEST // 2, LONGEST // 2)]
 
 
-def words_of(text: str | None) -> Counter:
-    low = (text or "").lower()
-    found = Counter(low.split())
-    found.update("".join(run.split()) for run in _APART.findall(low))
-    return found
-
-
-def _triples(length: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    at = [(i, j, k) for i in range(length) for k in range(i + 2, min(length, i + span)) for j in range(i + 1, k)]
-    i, j, k = (np.array(x, np.int64) for x in (zip(*at, strict=True) if at else ((), (), ())))
-    return i, j, k, (LAMBDA ** (k - i + 1)).astype(np.float32)
+def by_length(coded: list[list[int]], room: int = 1 << 20):
+    """(numbers, characters) of words of one length, as many at a time as have ``room`` triples together."""
+    by: dict[int, list[int]] = {}
+    for n, c in enumerate(coded):
+        by.setdefault(len(c), []).append(n)
+    for length, rows in by.items():
+        step = max(1, room // max(1, math.comb(length, 3)))
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step], np.array([coded[n] for n in rows[at : at + step]], np.int32)
+
+
+def own_values(coded: list[list[int]]) -> np.ndarray:
+    """The kernel of each word with itself, by the recursion over prefixes as products of matrices."""
+    out = np.zeros(len(coded), np.float64)
+    for rows, c in by_length(coded, 1 << 19):
+        length = c.shape[1]
+        a = np.arange(length)
+        gap = np.where(a[:, None] > a, LAMBDA ** np.maximum(a[:, None] - 1 - a, 0), 0).astype(np.float32)
+        same = ((c[:, :, None] == c[:, None, :]) & (c != 0)[:, :, None]).astype(np.float32) * np.float32(LAMBDA**2)
+        once = same * (gap @ same @ gap.T)
+        out[rows] = (same * (gap @ once @ gap.T)).sum((1, 2))
+    return out
 
 
 class Kernel:
-    """Kernel values of words with fixed landmarks, each divided by the landmark's own value."""
-
-    def __init__(self, marks: list[str]):
-        landmarks = [coded_mark(m) for m in marks]
-        self.size = len(landmarks)
-        self.whole = np.array([m.endswith("$") for m in marks])
-        self.triples: dict[int, tuple] = {}
-        self.table = np.zeros((A**3, self.size), np.float32)
-        self.own = np.ones(self.size, np.float32)
-        for n, mark in enumerate(landmarks):
-            c = np.array(mark, np.int64)
-            i, j, k, w = _triples(len(c))
-            code = (c[i] * A + c[j]) * A + c[k]
-            live = (c[i] > 0) & (c[j] > 0) & (c[k] > 0)
-            np.add.at(self.table[:, n], code[live], w[live])
-        self.any = self.table.any(axis=1)
-        self.gram = self._raw(landmarks)
-        self.own = np.maximum(np.diag(self.gram), 1e-9).astype(np.float32)
-        # whole words with inserted characters fall off by LAMBDA for each; beginnings must match
-        self.floor = self.own * np.where(self.whole, 0.2, 0.5)
-        self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = [np.zeros(self.size, np.float32)]
-
-    def _raw(self, coded: list[list[int]]) -> np.ndarray:
-        """Kernel of each coded word with each landmark."""
+    """Kernel values of words with fixed landmarks."""
+
+    def __init__(self, landmarks: list[str]):
+        coded = [windows(x)[0] for x in landmarks]
+        self.size = len(coded)
+        letters = sorted({c for x in coded for c in x})
+        self.letters = {c: n + 1 for n, c in enumerate(letters)}
+        self.base = len(letters) + 1
+        cells: dict[int, np.ndarray] = {}
+        for n, x in enumerate(coded):
+            code, weight = self._triples(np.array([[self.letters[c] for c in x]], np.int32))
+            for t, w in zip(code[0].tolist(), weight.tolist(), strict=True):
+                cells.setdefault(t, np.zeros(self.size, np.float32))[n] += w
+        self.place = np.zeros(self.base**3, np.int32)  # triples to rows of values; row 0 for triples of no landmark
+        self.place[list(cells)] = np.arange(1, len(cells) + 1)
+        self.values = np.vstack([np.zeros((1, self.size), np.float32), *cells.values()])
+        self.own = np.ones(self.size)
+        self.own = own_values(coded)
+        self.gram = self.of(coded)
+
+    def _triples(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all triples of each word (0 if a character is in no landmark) and their weights."""
+        i, j, k = _places(c.shape[1])
+        known = c > 0
+        code = (c[:, i] * self.base + c[:, j]) * self.base + c[:, k]
+        code[~(known[:, i] & known[:, j] & known[:, k])] = 0
+        return code, (LAMBDA ** (k - i + 1)).astype(np.float32)
+
+    def of(self, coded: list[list[int]]) -> np.ndarray:
+        """The normalised kernel, to the power POWER, of each coded word with each landmark."""
         out = np.zeros((len(coded), self.size), np.float32)
-        by: dict[int, list[int]] = {}
-        for n, c in enumerate(coded):
-            by.setdefault(len(c), []).append(n)
-        for length, rows in by.items():
-            i, j, k, w = self._cut(length)
-            if not len(i):
+        get = self.letters.get
+        for rows, c in by_length([[get(x, 0) for x in w] for w in coded]):
+            if c.shape[1] < 3:
                 continue
-            for at in range(0, len(rows), 2048):
-                own = rows[at : at + 2048]
-                c = np.array([coded[n] for n in own], np.int32)
-                code = (c[:, i] * A + c[:, j]) * A + c[:, k]
-                r, t = np.nonzero(self.any[code])
-                if not len(r):
-                    continue
-                first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                values = self.table[code[r, t]] * w[t][:, None]
-                out[np.array(own)[r[first]]] = np.add.reduceat(values, first, axis=0)
-        return out
-
-    def own_values(self, coded: list[list[int]]) -> np.ndarray:
-        """Kernel of each coded word with itself: squared sums of the weights of equal triples."""
-        out = np.ones(len(coded), np.float32)
-        by: dict[int, list[int]] = {}
-        for n, c in enumerate(coded):
-            by.setdefault(len(c), []).append(n)
-        for length, rows in by.items():
-            i, j, k, w = self._cut(length)
-            for at in range(0, len(rows) if len(i) else 0, 2048):
-                own = rows[at : at + 2048]
-                c = np.array([coded[n] for n in own], np.int32)
-                ci, cj, ck = c[:, i], c[:, j], c[:, k]
-                live = (ci > 0) & (cj > 0) & (ck > 0)
-                code = np.where(live, (ci * A + cj) * A + ck, 0)
-                order = np.argsort(code, axis=1)
-                code = np.take_along_axis(code, order, 1)
-                weight = np.where(code > 0, w[order], 0)
-                starts = np.ones(code.shape, bool)
-                starts[:, 1:] = code[:, 1:] != code[:, :-1]
-                first = np.flatnonzero(starts)
-                sums = np.add.reduceat(weight.ravel(), first) ** 2
-                out[own] = np.maximum(np.bincount(first // code.shape[1], sums, len(own)), 1e-9)
-        return out
-
-    def _cut(self, length: int) -> tuple:
-        if length not in self.triples:
-            self.triples[length] = _triples(length)
-        return self.triples[length]
-
-    def likeness(self, coded: list[list[int]]) -> np.ndarray:
-        """Normalised values: for whole-word landmarks by both words' own values (to the power 1.5); for beginnings by the landmark's, cubed."""
-        raw = self._raw(coded)
-        part = np.minimum(raw / self.own, 1.0)
-        hot = np.flatnonzero((raw > self.floor).any(axis=1))
-        out = np.zeros_like(raw)
-        if len(hot):
-            own = self.own_values([coded[n] for n in hot])
-            both = raw[hot] / np.sqrt(own[:, None] * self.own)
-            out[hot] = np.where(self.whole, np.minimum(both, 1.0) ** 1.5, part[hot] ** 3)
-            out[out < LEAST] = 0
+            code, weight = self._triples(c)
+            place = self.place[code]
+            r, t = np.nonzero(place)
+            if not len(r):
+                continue
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            for a in range(0, len(first), 512):  # some words at a time
+                b = min(a + 512, len(first))
+                low, high = first[a], first[b] if b < len(first) else len(r)
+                out[np.array(rows)[r[first[a:b]]]] = np.add.reduceat(self.values[place[r[low:high], t[low:high]]] * weight[t[low:high]][:, None], first[a:b] - low, axis=0)
+        some = np.flatnonzero(out.any(axis=1))
+        if len(some):
+            own = own_values([coded[n] for n in some])
+            out[some] = np.minimum(out[some] / np.sqrt(own[:, None] * self.own), 1) ** POWER
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Remembers the row of each new word; words without likeness to any landmark share row 0."""
+    def words(self, words: list[str]) -> np.ndarray:
+        """The kernel of each word with each landmark; of several windows the largest value."""
+        cores: dict[str, int] = {}
+        at = [cores.setdefault(w.strip(_SIGNS), len(cores)) for w in words]
         coded, owner = [], []
-        fresh = list(words)
-        for n, word in enumerate(fresh):
-            for c in windows(word):
+        for core, n in cores.items():
+            for c in windows(core):
                 coded.append(c)
                 owner.append(n)
-        found = dict.fromkeys(fresh, 0)
-        if coded:
-            like = self.likeness(coded)
-            for m in np.flatnonzero(like.any(axis=1)):
-                word = fresh[owner[m]]
-                if found[word]:
-                    self.rows[found[word]] = np.maximum(self.rows[found[word]], like[m])
-                else:
-                    found[word] = len(self.rows)
-                    self.rows.append(like[m])
-        self.memo.update(found)
-
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """The largest likeness of each text's words to each landmark, then the logarithm of one plus their sum."""
-        own = [words_of(t) for t in texts]
-        every = set().union(*(w.keys() for w in own))
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-            del self.rows[1:]
-        self.learn(every - self.memo.keys())
-        out = np.zeros((len(texts), 2 * self.size), np.float32)
-        for n, words in enumerate(own):
-            hits = [(m, words[w]) for w in words if (m := self.memo[w])]
-            if hits:
-                like = np.array([self.rows[m] for m, _ in hits])
-                out[n, : self.size] = like.max(axis=0)
-                out[n, self.size :] = np.log1p(np.array([c for _, c in hits], np.float32) @ like)
-        return out
-
-
-def _marks(text: str) -> set[str]:
-    """Candidates of a text: its words of letters, with marks, and their beginnings."""
-    out = set()
-    for word in words_of(text):
-        for part in word.split("'"):
-            core = part.strip(".,;:!?\"()*-_%&$#")
-            if core.isalpha():
-                w = f"^{core}$"
-                if len(w) <= 14:
-                    out.add(w)
-                out.update(w[:n] for n in range(5, 10) if len(w) > n + 1)
-    return out
-
-
-def coded_mark(mark: str) -> list[int]:
-    return [28 if c == "^" else 29 if c == "$" else codes(c)[0] for c in mark]
-
-
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings that mark toxic texts, each chosen for the toxic texts that the ones before cover too little."""
-    bags = [_marks(t) for t, v in zip(texts, toxic, strict=True) if v]
-    bad = Counter(c for b in bags for c in b)
-    bad = {c: v for c, v in bad.items() if v >= max(3, 0.025 * len(bags))}
-    good: Counter = Counter()
-    for t, v in zip(texts, toxic, strict=True):
-        if not v:
-            good.update(_marks(t) & bad.keys())
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    rate = {c: (v + 0.1) / n_bad / ((good[c] + 0.1) / n_good) for c, v in bad.items()}
-    able = {c for c, r in rate.items() if r > (150 if c.endswith("$") else 8)}
-    left = [[b & able, COVER] for b in bags]
-    chosen: list[str] = []
-    while len(chosen) < count and able:
-        open_ = Counter(c for b, _ in left for c in b)
-        if not open_:
-            break
-        best = max(open_, key=lambda c: (open_[c] * math.log(min(rate[c], 1000.0)), len(c), c))
-        if open_[best] < 2:
+        like, out = self.of(coded), np.zeros((len(cores), self.size), np.float32)
+        owner = np.array(owner, np.int64)
+        out[owner] = like
+        several = np.bincount(owner, minlength=len(cores))[owner] > 1
+        np.maximum.at(out, owner[several], like[several])
+        return out[at]
+
+
+_PLACES: dict[int, tuple] = {}
+
+
+def _places(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions i < j < k of all triples."""
+    if length not in _PLACES:
+        a = np.arange(length, dtype=np.int16)
+        i, j, k = np.meshgrid(a, a, a, indexing="ij")
+        at = (i < j) & (j < k)
+        _PLACES[length] = i[at], j[at], k[at]
+    return _PLACES[length]
+
+
+def sentence_starts(words: list[str]) -> np.ndarray:
+    """Where sentences begin: behind a word that ends in a stop, and after SENTENCE words."""
+    n = len(words)
+    stop = np.fromiter(map(str.endswith, words, repeat(_STOPS)), bool, n)
+    begins = np.flatnonzero(np.r_[True, stop[:-1]])
+    long = np.diff(np.r_[begins, n]) > SENTENCE
+    if long.any():
+        last = np.zeros(n, np.int64)
+        last[begins] = begins
+        begins = np.flatnonzero((np.arange(n) - np.maximum.accumulate(last)) % SENTENCE == 0)
+    return begins
+
+
+def bare(word: str) -> str:
+    """A word without what is no letter at its ends, '' if it is too short or long for a landmark."""
+    core = re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word)
+    return core if 3 <= len(core) <= LONGEST - 2 else ""
+
+
+def choose_landmarks(bags: list[set[str]], toxic: np.ndarray) -> tuple[list[str], list[str]]:
+    """Words that cover the toxic texts in the kernel, and the words of clean texts nearest to them.
+
+    Candidates are the CANDIDATES words that most significantly stand in more toxic than clean texts (two texts at least).
+    """
+    bad = Counter(w for b, v in zip(bags, toxic, strict=True) if v for w in b)
+    good = Counter(w for b, v in zip(bags, toxic, strict=True) if not v for w in b)
+    n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
+
+    def surplus(word: str) -> float:
+        p, q = bad[word] / n_bad, (good[word] + 0.5) / n_good
+        both = (bad[word] + good[word] + 0.5) / (n_bad + n_good)
+        return (p - q) / math.sqrt(both * (1 - both) * (1 / n_bad + 1 / n_good) + 1e-12)
+
+    able = sorted(((surplus(w), w) for w, c in bad.items() if c >= 2), reverse=True)
+    able = [w for z, w in able[:CANDIDATES] if z > 2]
+    if not able:
+        return [], []
+    like = Kernel(able).gram
+    at = {w: n for n, w in enumerate(able)}
+    covers = np.array([like[own].max(0) if (own := [at[w] for w in b if w in at]) else np.zeros(len(able), np.float32) for b in bags])
+    weight = np.where(toxic == 1, 1 / n_bad, -1 / n_good)
+    covered, chosen = np.zeros(len(bags), np.float32), []
+    while len(chosen) < LANDMARKS:
+        gain = weight @ (np.minimum(COVER, covered[:, None] + covers) - covered[:, None])
+        gain[chosen] = -1
+        best = int(gain.argmax())
+        if gain[best] <= 0:
             break
         chosen.append(best)
-        for pair in left:
-            if best in pair[0]:
-                pair[1] -= 1
-                # what begins or continues the chosen one says nothing new
-                pair[0] = {c for c in pair[0] if not (c.startswith(best) or best.startswith(c))} if pair[1] else set()
-    return chosen
+        covered = np.minimum(COVER, covered + covers[:, best])
+    marks = [able[n] for n in chosen]
+    others = [w for w, c in good.most_common(20_000) if w not in at and c > 1]
+    near = Kernel(marks).words(others).max(1) if others and marks else np.zeros(0)
+    near = near * np.log1p([good[w] for w in others])
+    return marks, [others[n] for n in np.argsort(-near, kind="stable")[:CONTRASTS] if near[n] > 0]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 40) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps on the points inside the margin; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    sign = 2.0 * y - 1
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
+    sign, cost = (2.0 * y - 1).astype(np.float32), cost.astype(np.float32)
+    small = np.eye(x.shape[1]) * RIDGE
+    small[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        m = sign * (x @ w) < 1
-        g = x[m] * (cost / len(y))
-        new = np.linalg.solve(ridge * 1e-2 + g.T @ x[m], g.T @ sign[m])
-        if np.allclose(new, w, atol=1e-8):
-            break
+        m = sign * (x @ w.astype(np.float32)) < 1
+        g, c = x[m], cost[m]
+        new = np.linalg.solve(small + (g.T @ (g * c[:, None])).astype(np.float64), (g.T @ (sign[m] * c)).astype(np.float64))
+        if np.abs(new - w).max() < 1e-3 * np.abs(new).max():
+            return new
         w = new
     return w
 
@@ -259,8 +243,8 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
     target = np.where(y == 1, hi, lo)
     x = np.c_[f, np.ones(len(f))]
-    b = np.array([1.0, 0.0])
-    for _ in range(60):
+    b = np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, x.T @ (target - p) - 1e-3 * b)
@@ -270,63 +254,112 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
+class View:
+    """Texts by their kernel values with the landmarks; rows of words are remembered up to a bound."""
+
+    def __init__(self, kernel: Kernel):
+        self.kernel, self.at = kernel, {}
+        self.rows = np.zeros((1024, kernel.size), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.at) + len(words) > MEMO:
+            self.at.clear()
+            self.rows = self.rows[:1024].copy()
+        fresh = list(words.difference(self.at))
+        end = len(self.at) + len(fresh)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((end, self.kernel.size), np.float32)])
+        self.rows[len(self.at) : end] = self.kernel.words(fresh)
+        self.at.update(zip(fresh, range(len(self.at), end), strict=True))
+
+    def texts(self, texts: list[list[str]]) -> np.ndarray:
+        """The largest kernel value of each text's words with each landmark, then the logarithm of one plus their sum."""
+        every = set().union(*texts)
+        if not every <= self.at.keys():
+            self.learn(every)
+        out = np.zeros((len(texts), 2 * self.kernel.size), np.float32)
+        for n, words in enumerate(texts):
+            if words:
+                like = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+                out[n] = np.r_[like.max(0), np.log1p(like.sum(0))]
+        return out
+
+
 class Model:
     def __init__(self, landmarks: list[str], root: np.ndarray, weights: np.ndarray, curve: tuple[float, float]):
         self.landmarks, self.root, self.weights, self.curve = landmarks, root, weights, curve
-        self.kernel: Kernel | None = None
+        self.view: View | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "kernel": None}
+        return {**self.__dict__, "view": None}
+
+    def forget(self) -> None:
+        self.view = None
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.landmarks:
             return [0.0] * len(texts)
-        if self.kernel is None:
-            self.kernel = Kernel(self.landmarks)
-        f = np.c_[self.kernel.texts(texts) @ self.root, np.ones(len(texts))] @ self.weights
+        if self.view is None:
+            self.view = View(Kernel(self.landmarks))
+        f = np.c_[self.view.texts([words_of(t) for t in texts]) @ self.root, np.ones(len(texts))] @ self.weights
         return (1 / (1 + np.exp(-np.clip(f * self.curve[0] + self.curve[1], -30, 30)))).tolist()
 
 
-_STOP = re.compile(r"[.!?\n]+\s*")
+NOTHING = Model([], np.zeros((0, 0)), np.zeros(0), (1.0, 0.0))
 
 
-def sentences(texts: list[str], toxic: np.ndarray, marks: list[str], most: int = 1200) -> list[tuple[str, int]]:
-    """Labelled sentences: those of toxic texts that have a landmark, as they are and with it broken up by inserted
-    characters, and as many others of clean texts; so that a single insult, also a disguised one, is enough."""
-    whole = {m[1:-1] for m in marks if m.endswith("$")}
-    if not whole:
-        return []
-    found = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(whole))) + r")\b", re.IGNORECASE)
-    ways = ("-".join, " ".join, lambda w: f"{w[:2]}x{w[2:]}", lambda w: f"{w[:3]}*{w[3:]}", ".".join, lambda w: w[0] + w)
-    out: list[tuple[str, int]] = []
-    clean: list[tuple[str, int]] = []
-    for n, (text, v) in enumerate(zip(texts, toxic, strict=True)):
-        parts = _STOP.split(text)
-        if v and len(out) < most:
-            for part in [x for x in parts if found.search(x)][:2]:
-                out.append((part, 1))
-                out.append((found.sub(lambda m, n=n: ways[n % len(ways)](m[0]), part), 1))
-        elif not v and len(clean) < 2 * most and len(parts) > 1:
-            clean.append((parts[1], 0))
-    return out + clean
+def broken(word: str, n: int) -> str:
+    """A word with inserted characters, in one of six ways."""
+    half = len(word) // 2
+    ways = ("-".join(word), ".".join(word), f"{word[:half]}x{word[half:]}", f"{word[:half]}*{word[half:]}", word[0] + word, word[:half] + word[half - 1 :])
+    return ways[n % len(ways)]
+
+
+def sentences(texts: list[list[str]], toxic: np.ndarray, marks: set[str]) -> tuple[list[list[str]], np.ndarray]:
+    """Labelled sentences: all those of clean texts, and those of toxic texts that have a landmark, as they are and with it broken up."""
+    out: list[list[str]] = []
+    label: list[int] = []
+    for n, words in enumerate(texts):
+        starts = sentence_starts(words) if words else []
+        for a, b in zip(starts, [*starts[1:], len(words)], strict=True):
+            part = words[a:b]
+            if not toxic[n]:
+                out.append(part)
+                label.append(0)
+            elif any(bare(w) in marks for w in part):
+                out += [part, [broken(bare(w), n + int(a)) if bare(w) in marks else w for w in part]]
+                label += [1, 1]
+    return out, np.array(label, np.int64)
+
+
+def root_of(gram: np.ndarray) -> np.ndarray:
+    """The inverse square root of a Gram matrix; eigenvalues count as FLOOR at least."""
+    values, vectors = np.linalg.eigh(gram.astype(np.float64))
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, FLOOR))) @ vectors.T
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    texts, y = [t for t, _ in rows], np.array([v for _, v in rows], np.int64)
-    marks = choose_landmarks(texts, y) if len(set(y.tolist())) == 2 else []
+    toxic = np.array([v for _, v in rows], np.int64)
+    texts = [words_of(t) for t, _ in rows]
+    if len(set(toxic.tolist())) < 2:
+        return NOTHING
+    marks, others = choose_landmarks([{b for w in set(words) if (b := bare(w))} for words in texts], toxic)
     if not marks:
-        return Model([], np.eye(1), np.zeros(2), (1.0, 0.0))
-    more = sentences(texts, y, marks)
-    texts, y = texts + [t for t, _ in more], np.r_[y, np.array([v for _, v in more], np.int64)]
-    kernel = Kernel(marks)
-    scale = np.sqrt(np.diag(kernel.gram))
-    gram = np.minimum(kernel.gram / scale / scale[:, None], 1).astype(np.float64) ** 2
-    values, vectors = np.linalg.eigh(gram)
-    half = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    root = np.kron(np.eye(2), half)
-    x = np.concatenate([kernel.texts(texts[i : i + 256]) for i in range(0, len(texts), 256)]) @ root
-    w = fit_svm(x, y)
-    return Model(marks, root, w, fit_logistic(np.c_[x, np.ones(len(x))] @ w, y))
+        return NOTHING
+    kernel = Kernel(marks + others)
+    root = np.zeros((2 * kernel.size, 2 * kernel.size), np.float32)
+    root[: kernel.size, : kernel.size] = root_of(kernel.gram)
+    root[kernel.size :, kernel.size :] = root_of(np.log1p(kernel.gram))
+    more, own = sentences(texts, toxic, set(marks))
+    view, every = View(kernel), texts + more
+    x = np.concatenate([view.texts(every[i : i + 512]) for i in range(0, len(every), 512)]) @ root
+    y = np.r_[toxic, own]
+    cost = np.zeros(len(y))
+    for part in (slice(0, len(texts)), slice(len(texts), None)):  # texts and sentences, and each class of them, weigh alike
+        for v in (0, 1):
+            cost[part][y[part] == v] = 0.25 / max(1, (y[part] == v).sum())
+    weights = fit_svm(x, y, cost)
+    return Model(marks + others, root, weights.astype(np.float32), fit_logistic(np.c_[x, np.ones(len(x))] @ weights, y))
 
 
 def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> Model:
@@ -334,9 +367,14 @@ def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> M
 
 
 def worker(spark: SparkSession, model: Model):
-    """A factory of scorers for tasks; the model is broadcast (LANDMARKS rows, fixed size)."""
+    """A factory of scorers for tasks; the model is broadcast (LANDMARKS + CONTRASTS words, fixed size)."""
     sent = prepared(spark).sparkContext.broadcast(model)
-    return lambda: sent.value.scores
+
+    def make():
+        sole("toxicity", sent.value.forget)
+        return sent.value.scores
+
+    return make
 
 
 def classify(docs: DataFrame, model: Model, held: tuple[int, int] = HELD) -> DataFrame:
