@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions import rules as R
 from lectern.functions.text import strip
 
 
@@ -52,3 +53,20 @@ def padded(number: Column, width: int = 3) -> Column:
 def lesson_id(number: Column) -> Column:
     """lesson_07 for digits, lesson_IV for anything else."""
     return F.concat(F.lit("lesson_"), F.when(number.rlike("^[0-9]+$"), padded(F.regexp_replace(number, "^0+(?=.)", ""), 2)).otherwise(number))
+
+
+def subject_prefix(subject: Column) -> Column:
+    """The prefix of question ids of a subject; null for an unknown one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in R.SUBJECT_PREFIXES.items() for x in pair)), subject)
+
+
+def utc_now() -> Column:
+    """The time now in UTC, without a zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+
+
+def iso(at: Column) -> Column:
+    """A time as ISO text; fractions of a second only where there are some."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers as N
 from lectern.functions import rules as R
+from lectern.functions import scripts as S
 from lectern.functions import text as T
 
 LETTERS = ("A", "B", "C", "D")
@@ -72,19 +73,52 @@ def missing(required: tuple[str, ...] = R.REQUIRED_PAYLOAD) -> Column:
 
 
 def succeeded(http_ok: Column, body: Column) -> Column:
-    """Whether a push reply counts as success; ``body`` is its JSON text.
+    """Whether a push reply counts as success; ``body`` is its JSON text. Keys and their types are those of the outermost object.
 
-    The first known success key with a boolean or a known word decides; else any failure key with a value means failure.
+    The first known success key with a boolean or a known word decides; else any failure key with a value means failure. Of keys that differ in
+    case alone the last one counts.
     """
-    parsed = F.from_json(body, "map<string,string>")
-    raw = F.transform_keys(parsed, lambda k, _: F.lower(k))
-    typed = lambda k: F.regexp_extract(body, rf'(?i)"{k}"\s*:\s*(true|false|")', 1)
+    entries = F.map_entries(F.from_json(body, "map<string,variant>"))
+
+    def value(key: str) -> tuple[Column, Column]:
+        own = F.filter(entries, lambda e: F.lower(e["key"]) == key)
+        last = F.get(own, F.size(own) - 1)["value"]
+        return F.schema_of_variant(last), last.cast("string")
+
     verdict = F.lit(None).cast("boolean")
     for key in reversed(R.SUCCESS_KEYS):
-        value = F.lower(F.trim(F.try_element_at(raw, F.lit(key))))
-        kind = F.lower(typed(key))
-        word = F.when((kind == '"') & value.isin(*R.SUCCESS_WORDS), True).when((kind == '"') & value.isin(*R.FAILURE_WORDS), False)
-        verdict = F.coalesce(F.when(kind.isin("true", "false"), kind == "true"), word, verdict)
-    failed = reduce(lambda a, b: a | b, (~F.coalesce(F.try_element_at(raw, F.lit(k)), F.lit("")).isin("", "false", "0", "null", "[]", "{}") for k in R.FAILURE_KEYS))
-    is_object = F.coalesce(body, F.lit("")).rlike(r"^\s*\{") & parsed.isNotNull()
-    return F.when(~http_ok, False).when(~is_object, True).otherwise(F.coalesce(verdict, ~failed))
+        kind, text = value(key)
+        word = F.lower(T.strip(text))
+        said = F.when(kind == "BOOLEAN", text == "true").when((kind == "STRING") & word.isin(*R.SUCCESS_WORDS), True).when((kind == "STRING") & word.isin(*R.FAILURE_WORDS), False)
+        verdict = F.coalesce(said, verdict)
+
+    def filled(key: str) -> Column:
+        kind, text = value(key)
+        number = F.coalesce(text.try_cast("double") != 0, F.lit(True))
+        full = F.when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}")
+        return F.coalesce(full.otherwise(number) & kind.isNotNull(), F.lit(False))
+
+    failed = reduce(lambda a, b: a | b, map(filled, R.FAILURE_KEYS))
+    return F.when(~http_ok, False).when(entries.isNull(), True).otherwise(F.coalesce(verdict, ~failed))
+
+
+def cleaned(question: Column) -> Column:
+    """A question (struct) with its texts repaired: extraction first, then formulas; options A to D one by one, fields that are null or absent as they are."""
+    clean = lambda c: T.clean_math(S.clean_extraction(c))
+    own = question["options"]
+    lettered = F.map_from_arrays(F.array(*map(F.lit, LETTERS)), F.array(*(clean(F.try_element_at(own, F.lit(x))) for x in LETTERS)))
+    options = F.map_concat(F.map_filter(lettered, lambda k, _: F.map_contains_key(own, k)), F.map_filter(own, lambda k, _: ~k.isin(*LETTERS)))
+    out = question
+    for field in ("question", "explanation", "correct_answer_text"):
+        out = out.withField(field, F.when(question[field].isNotNull(), clean(question[field])))
+    return out.withField("options", options)
+
+
+def api_row(selected: Column) -> dict[str, Column]:
+    """The fields of a stored question as the service shows them."""
+    c = F.col
+    plain = "id source_filename dy_ques_id dy_code ln_code dy_order dy_question dy_ans_1 dy_ans_2 dy_ans_3 dy_ans_4 dy_correct_ans dy_explain difficulty batch_id board standard group_name subject".split()
+    shown = {name: c(name) for name in plain}
+    shown |= {"dy_pattern": N.digits_or(c("dy_pattern"), 1), "dy_seconds": N.digits_or(c("dy_seconds"), 18)}
+    shown |= {name: F.coalesce(c(name), F.lit("")) for name in ("dy_image_name", "dy_explain_image_name")}
+    return shown | {name: N.iso(c(name)) for name in ("created_at", "updated_at")} | {"selected": selected}

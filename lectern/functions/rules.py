@@ -60,11 +60,10 @@ PRINT_SIGNS = (
     (r"\pi", "π"), (r"\Omega", "Ω"), (r"\sqrt", "√"),
 )
 # Greek letters by name, in order.
-GREEK = dict(
-    alpha="α", beta="β", gamma="γ", theta="θ", mu="μ", pi="π", phi="φ", sigma="σ", omega="ω", delta="δ", epsilon="ε", eta="η",
-    psi="ψ", tau="τ", chi="χ", xi="ξ", zeta="ζ", **{"lambda": "λ"},
+GREEK = (
+    ("alpha", "α"), ("beta", "β"), ("gamma", "γ"), ("theta", "θ"), ("lambda", "λ"), ("mu", "μ"), ("pi", "π"), ("phi", "φ"), ("sigma", "σ"), ("omega", "ω"),
+    ("delta", "δ"), ("epsilon", "ε"), ("eta", "η"), ("psi", "ψ"), ("tau", "τ"), ("chi", "χ"), ("xi", "ξ"), ("zeta", "ζ"),
 )
-GREEK_ORDER = "alpha beta gamma theta lambda mu pi phi sigma omega delta epsilon eta psi tau chi xi zeta".split()
 # Other LaTeX commands in formulas, in order.
 FORMULA_SIGNS = (
     (r"\times", "×"), (r"\cdot", "·"), (r"\pm", "±"), (r"\neq", "≠"), (r"\le", "≤"), (r"\ge", "≥"), (r"\infty", "∞"), (r"\approx", "≈"),
@@ -77,6 +76,12 @@ TAMIL_NUMBERS = {
     "ஒன்று": "1", "இரண்டு": "2", "மூன்று": "3", "மூன்ற": "3", "நான்கு": "4", "நான்க": "4", "ோன்கு": "4", "ஐந்து": "5",
     "ஆறு": "6", "ஏழு": "7", "எட்டு": "8", "ஒன்பது": "9", "பத்து": "10",
 }
+# Headings inside a Tamil unit.
+SUBHEADINGS = (
+    r"பாடலின்\s*பொருள்", "கற்கண்டு", r"திறன்\s*அறிவோம்", r"கற்றல்\s*நோக்கங்கள்", r"மொழியை\s*ஆள்வோம்", r"மொழியோடு\s*விளையாடு", "செயல்திட்டம்",
+    r"நிற்க\s*அதற்குத்\s*தக", r"நூல்\s*வெளி", r"நுழையும்\s*முன்", "மதிப்பீடு", r"பலவுள்\s*தெரிக", "குறுவினா", "சிறுவினா", "நெடுவினா", r"பாடநூல்\s*வினாக்கள்",
+    r"கலைச்சொல்\s*அறிவோம்", r"அறிவை\s*விரிவு\s*செய்",
+)
 # Running headers that name no lesson.
 GENERIC_HEADERS = (
     "introduction", r"learning\s+objectives", r"points\s+to\s+remember", "summary", "glossary", "evaluation", "exercises", "activities",
@@ -85,7 +90,7 @@ GENERIC_HEADERS = (
     r"standard\s+\w+", r"\d+(?:st|nd|rd|th)\s+standard", r"class\s+\d+", r"std\s*\.?\s*\d+", "cbse", "ncert", "icse", r"state\s+board",
     r"choose\s+the\s+correct\s+answer", r"fill\s+in\s+the\s+blanks", r"match\s+the\s+following", r"true\s+or\s+false",
     r"assertion\s+and\s+reason", r"very\s+short\s+answer", r"short\s+answer", r"long\s+answer", r"hot\s+questions", r"concept\s+map",
-    r"reference\s+books", r"ict\s+corner", r"textbook\s+evaluation",
+    r"reference\s+books", r"ict\s+corner", r"textbook\s+evaluation", *SUBHEADINGS,
 )
 GENERIC_HEADER = r"(?i)^\s*(?:" + "|".join(GENERIC_HEADERS) + r")\s*$"
 # First-page marks, sections and headings.
@@ -121,8 +126,8 @@ FORMULAS = (
     (r"(?i)\bz\s+bar\b", "z\u0305"),
     (r"(?i)\bzbar\b", "z\u0305"),
     (r"(?i)\b([A-Za-z])_bar\b", "$1\u0305"),
-    *((rf"(?i)\\{g}", GREEK[g]) for g in GREEK_ORDER),
-    *((rf"(?i)\b{g}\b", GREEK[g]) for g in GREEK_ORDER),
+    *((rf"(?i)\\{name}", sign) for name, sign in GREEK),
+    *((rf"(?i)\b{name}\b", sign) for name, sign in GREEK),
     *(("\\" + command, sign) for command, sign in FORMULA_SIGNS),
     (r"\\bar\{([^{}]+)\}", "bar($1)"),
     (r"\\bar\s+([A-Za-z0-9_]+)", "bar($1)"),
@@ -149,11 +154,59 @@ LIST_ITEM = r'^(?:(?:\d+[\.\)]|[-*•–—])\s+|"[0-9]+\.\s*)(.+)$'
 # Signs around Tamil titles, words that are no titles, and headings inside a unit.
 TITLE_SIGNS = r" \-–—:.0-9●Ø▶*"
 UNIT_WORDS = ("இயல்", "அலகு", "பாடம்", *(w for w in TAMIL_NUMBERS))
-NOT_LESSONS = (
-    r"பாடலின்\s*பொருள்", "கற்கண்டு", r"திறன்\s*அறிவோம்", r"கற்றல்\s*நோக்கங்கள்", r"மொழியை\s*ஆள்வோம்", r"மொழியோடு\s*விளையாடு", "செயல்திட்டம்",
-    r"நிற்க\s*அதற்குத்\s*தக", r"நூல்\s*வெளி", r"நுழையும்\s*முன்", "மதிப்பீடு", r"பலவுள்\s*தெரிக", "குறுவினா", "சிறுவினா", "நெடுவினா", r"பாடநூல்\s*வினாக்கள்",
-    r"கலைச்சொல்\s*அறிவோம்", r"அறிவை\s*விரிவு\s*செய்", r"செய்து\s*கற்போம்", "வாழ்வியல்", "அகரமுதலி", r"இணைப்புப்\s*பக்கம்",
-)
+NOT_LESSONS = (*SUBHEADINGS, r"செய்து\s*கற்போம்", "வாழ்வியல்", "அகரமுதலி", r"இணைப்புப்\s*பக்கம்")
 TITLE_LABEL = r"(?i)(?:topic|lesson|chapter|unit|பாட\s*தலைப்பு|தலைப்பு)\s*[:.-]\s*([^\n\r]{2,100})"
 NOT_TITLE_START = r"(?i)^(?:http|©|government|page |class |std |department|=== page)"
 FILE_WORDS = r"(?i)\b(?:1st|2nd|3rd|\d+th)\s*(?:chapter|week|test|mcq|\d+q)\b"
+# Headings of exercises and papers; a page that begins with one starts no unit.
+EXERCISE_HEADINGS = (
+    r"choose\s+the", r"fill\s+in", r"match\s+the", r"true\s+or\s+false", r"answer\s+(?:the|in|all)", r"short\s+answer", r"long\s+answer", r"one\s+mark", r"two\s+mark", r"five\s+mark",
+    r"part\s*[-–]\s*[a-d]", r"section\s*[-–]\s*[a-d]", r"time\s*:\s*\d", r"maximum\s+marks", r"marks\s*:\s*\d", r"சரியான\s*விடையை", "கோடிட்ட", "பொருத்துக", r"சுருக்கமான\s*விடை",
+    r"விரிவான\s*விடை", *SUBHEADINGS,
+)
+EXERCISE_HEADING = r"(?iU)\b(?:" + "|".join(EXERCISE_HEADINGS) + r")\b"
+# Words by which a line is no title of a unit.
+NO_TITLE = (
+    "introduction", r"learning\s+objectives", r"points\s+to\s+remember", "summary", "glossary", "evaluation", "exercises", "activities", "references", "index", r"table\s+of\s+contents", "contents",
+    "preface", "syllabus", "acknowledgements", r"model\s+question\s+paper", r"government\s+of", r"department\s+of", r"state\s+council", r"all\s+rights\s+reserved", r"not\s+for\s+sale", r"http[s]?://",
+    r"www\.", r"concept\s+map", r"ict\s+corner", r"textbook\s+evaluation", *SUBHEADINGS,
+)
+NO_TITLE_LINE = r"(?iU)\b(?:" + "|".join(NO_TITLE) + r")\b"
+# Words that name a unit, and how headings of units and lessons are written.
+ENGLISH_UNITS = ("lesson", "chapter", "unit", "module", "topic", "section", "part", "session", "period", "theme", "block")
+TAMIL_UNITS = ("பாடம்", "பாடல்", "அலகு", "இயல்", "பகுதி", "அத்தியாயம்", "உரைநடை", "செய்யுள்", "துணைப்பாடம்", "இலக்கணம்", "கட்டுரை")
+_NUMBERED = r"\s*[-:.]?\s*(\d+[A-Za-z]?|[IVXLCDM]+)\b(?:\s*[-–—:.]\s*([^\n\r]{0,120}))?"
+LESSON_HEADING = (
+    r"(?imdU)^[ \t]*(?:(?:" + "|".join(ENGLISH_UNITS) + ")" + _NUMBERED + "|(?:" + "|".join(TAMIL_UNITS) + ")" + _NUMBERED
+    + r"|(\d{1,2})\s*[-–—:]\s*([A-Za-z\u0B80-\u0BFF][^\n\r]{2,80})|(\d{1,2})\s*[\r\n]+[ \t]*([A-Z\u0B80-\u0BFF][A-Za-z\u0B80-\u0BFF\s\-]{2,80}))[ \t]*$"
+)
+UNIT_HEADING = (
+    r"(?iU)\b(?:UNIT|LESSON|CHAPTER|MODULE|TOPIC|SECTION|PART|அலகு|பாடம்|இயல்|பகுதி|அத்தியாயம்|உரைநடை|செய்யுள்|துணைப்பாடம்|இலக்கணம்|கட்டுரை)\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)\b"
+    r"(?:\s*[-:.]\s*([^\n\r]{2,80}))?"
+)
+UNIT_IN_FOOTER = r"(?i)(?:Unit|Lesson|Chapter)[-_](\d{1,2})"
+# Where the number of a lesson stands in its text, section numbers that are none, and its sections.
+FIRST_SECTION = r"(?m)^\s*(\d{1,2})\.1(?:\.1)?\s+[A-Za-z\u0B80-\u0BFF]"
+NUMBER_NEAR_START = r"(?i)\b(?:UNIT|LESSON|CHAPTER|MODULE|TOPIC|PART|அலகு|பாடம்|இயல்)\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)(?![\w])"
+NOT_SECTIONS = ("97", "22", "35", "0")
+SECTION_TITLE = r"\s+([A-Za-z\u0B80-\u0BFF\s,\-]{3,80})"
+BOOK_TITLE_LINE = r"(?i)^\s*(?:\d+|(?:\d+th|th)?\s*standard\s+science)\s*$"
+# Places where a long text may be cut.
+CUT_MARK = r"\n=== PAGE \d+ ===\n|\n\n\n|\n\n"
+# Repairs of extracted Tamil (pattern, replacement) before and after split vowels are joined.
+TAMIL = "\u0b80-\u0bff"
+TAMIL_REPAIRS = (
+    (r"[\ufffd\x00-\x08\x0b\x0c\x0e-\x1f]", ""),
+    (rf"(?<=[{TAMIL}])[A-Za-z]+(?=[{TAMIL}])", ""),
+    (rf"(?<=[{TAMIL}])[A-Za-z]+(?=\s|[-–—:.,!?]|$)", ""),
+    (rf"(?:\b|(?<=\s))[A-Za-z]+(?=[{TAMIL}])", ""),
+    (rf"([{TAMIL_MARKS}])\1+", "$1"),
+)
+# Prefixes of question ids by subject.
+SUBJECT_PREFIXES = {
+    "Tamil": "TA", "English": "EN", "Maths": "MA", "Science": "SC", "Social Science": "SO", "Physics": "PH", "Chemistry": "CH", "Biology": "BI", "Computer Science": "CS", "Botany": "BO",
+    "Zoology": "ZO", "Commerce": "CO", "Economics": "EC", "Accountancy": "AC", "Business Mathematics": "BM", "Mathematics": "MA",
+}
+# The languages text recognition expects, whatever the subject and board.
+RECOGNITION_LANGUAGE = "eng+tam"
+LEVELS = ("easy", "moderate", "hard")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,8 +12,6 @@ from pyspark.sql.types import StringType
 
 from lectern.functions import rules as R
 
-_TAMIL = "஀-௿"
-
 
 @F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
@@ -25,18 +24,16 @@ def nfc(text: Column) -> Column:
 
 
 def clean_tamil(text: Column) -> Column:
-    """Without control characters, Latin runs stuck to Tamil letters and repeated signs; split vowels composed."""
-    out = F.regexp_replace(text, r"[�\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    out = F.regexp_replace(out, rf"(?<=[{_TAMIL}])[A-Za-z]+(?=[{_TAMIL}])", "")
-    out = F.regexp_replace(out, rf"(?<=[{_TAMIL}])[A-Za-z]+(?=\s|[-–—:.,!?]|$)", "")
-    out = F.regexp_replace(out, rf"(?:\b|(?<=\s))[A-Za-z]+(?=[{_TAMIL}])", "")
-    out = F.regexp_replace(out, rf"([{R.TAMIL_MARKS}])\1+", "$1")
-    for split, whole in R.SPLIT_VOWELS:
-        out = F.replace(out, F.lit(split), F.lit(whole))
-    out = F.regexp_replace(out, rf"([{R.TAMIL_CONSONANTS}])\1+", "$1")
-    for wrong, right in R.TAMIL_FIXES:
-        out = F.replace(out, F.lit(wrong), F.lit(right))
-    return nfc(out)
+    """Tamil without what extraction adds: each step needs the ones before it.
+
+    First what is no text and Latin runs that stick to Tamil letters go, then repeated signs, so that the halves of a split vowel meet and
+    can be joined; only then are repeated consonants real repeats, and whole words can be told.
+    """
+    steps = [lambda c, p=p, to=to: F.regexp_replace(c, p, to) for p, to in R.TAMIL_REPAIRS]
+    steps += [lambda c, x=x: F.replace(c, F.lit(x[0]), F.lit(x[1])) for x in R.SPLIT_VOWELS]
+    steps.append(lambda c: F.regexp_replace(c, rf"([{R.TAMIL_CONSONANTS}])\1+", "$1"))
+    steps += [lambda c, x=x: F.replace(c, F.lit(x[0]), F.lit(x[1])) for x in R.TAMIL_FIXES]
+    return nfc(reduce(lambda c, step: step(c), steps, text))
 
 
 def clean_extraction(text: Column) -> Column:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions import rules as R
 
 
+#: White space of any script.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normal_key(text: Column) -> Column:

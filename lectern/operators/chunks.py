@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_MARK = "\n=== PAGE"
+from lectern.functions import rules as R
+
+_MARK = re.compile(R.CUT_MARK)
 
 
 def cut(text: str, most: int = 60_000, overlap: int = 400) -> list[str]:
-    """Chunks of at most ``most`` characters, each ending at the last page mark or blank line in it, if there is one.
+    """Chunks of at most ``most`` characters, each ending at the last cut mark in it, if there is one.
 
-    The next chunk begins ``overlap`` before the end of the one before, but always moves on.
+    Marks don't overlap: of three line feeds the first two are one. The next chunk begins ``overlap`` before the end of the one before, but always moves on.
     """
-    if len(text) <= most:
-        return [text]
+    marks = [m.start() for m in _MARK.finditer(text)]
     out, start = [], 0
-    while start < len(text):
-        end = min(start + most, len(text))
-        if end < len(text):
-            at = max(text.rfind(_MARK, start + 1, end + len(_MARK)), text.rfind("\n\n", start + 1, end + 2))
-            end = at if at > start else end
-        out.append(text[start:end])
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    while len(text) - start > most:
+        mark = marks[at - 1] if (at := bisect_right(marks, start + most)) else 0
+        stop = mark if mark > start else start + most
+        out.append(text[start:stop])
+        start = max(stop - overlap, start + 1)
+    return [*out, text[start:]]
 
 
 def chunked(text: Column, most: int = 60_000, overlap: int = 400) -> Column:

@@ -8,13 +8,15 @@ key (and the answer, where it counts) before any pair is made. Scopes are dealt
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, WITH_ANSWER = 0.8, 0.68
+#: Characters are counted in so many bins; more characters in a bin can only raise the bound.
+BINS = 64
 
 
 def ratio(newer: str, kept: str) -> float:
@@ -22,39 +24,49 @@ def ratio(newer: str, kept: str) -> float:
     return difflib.SequenceMatcher(None, newer, kept).ratio()
 
 
-def possible(a: str, b: str, bag_a: Counter, bag_b: Counter, least: float) -> bool:
-    """False only if the ratio is surely below ``least``."""
-    total = len(a) + len(b)
-    if not total:
-        return True
-    if 2 * min(len(a), len(b)) < least * total:
-        return False
-    return 2 * sum((bag_a & bag_b).values()) >= least * total
+def bag(text: str) -> np.ndarray:
+    """Characters of a text counted in bins."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS).astype(np.int32)
+
+
+def possible(length: int, own: np.ndarray, lengths: np.ndarray, bags: np.ndarray, least: np.ndarray | float) -> np.ndarray:
+    """For each of many texts, by length and bag: False only if the ratio with the one text is surely below ``least``."""
+    total = lengths + length
+    able = 2 * np.minimum(lengths, length) >= least * total
+    at = np.flatnonzero(able)
+    least = np.broadcast_to(least, lengths.shape)
+    able[at] = 2 * np.minimum(bags[at], own).sum(1) >= least[at] * total[at]
+    return able | (total == 0)
 
 
 class Kept:
-    """The kept texts of one scope."""
+    """The kept texts of one scope; bounds are taken of all of them at once, the ratio only of those that may be alike."""
 
     def __init__(self, threshold: float = THRESHOLD, with_answer: float | None = WITH_ANSWER):
         self.threshold, self.with_answer = threshold, with_answer
-        self.rows: list[tuple[str, Counter, str]] = []
-        self.exact: dict[str, None] = {}
+        self.keys: list[str] = []
+        self.exact: set[str] = set()
+        self.answers: dict[str, int] = {"": 0}
+        self.lengths, self.bags, self.of = np.zeros(16, np.int64), np.zeros((16, BINS), np.int32), np.zeros(16, np.int64)
 
     def match(self, key: str, answer: str = "") -> bool:
         """Whether a kept text is alike: at the threshold, or at the lower one with the same non-empty answer."""
         if key in self.exact:
             return True
-        bag = Counter(key)
-        for other, other_bag, other_answer in self.rows:
-            same = self.with_answer is not None and bool(answer) and answer == other_answer
-            least = self.with_answer if same else self.threshold
-            if possible(key, other, bag, other_bag, least) and ratio(key, other) >= least:
-                return True
-        return False
+        n = len(self.keys)
+        least = np.full(n, self.threshold)
+        if self.with_answer is not None and answer:
+            least[self.of[:n] == self.answers.get(answer, -1)] = self.with_answer
+        able = np.flatnonzero(possible(len(key), bag(key), self.lengths[:n], self.bags[:n], least))
+        return any(ratio(key, self.keys[m]) >= least[m] for m in able)
 
     def add(self, key: str, answer: str = "") -> None:
-        self.rows.append((key, Counter(key), answer))
-        self.exact[key] = None
+        n = len(self.keys)
+        if n == len(self.lengths):
+            self.lengths, self.bags, self.of = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.bags, self.of))
+        self.lengths[n], self.bags[n], self.of[n] = len(key), bag(key), self.answers.setdefault(answer, len(self.answers))
+        self.keys.append(key)
+        self.exact.add(key)
 
 
 def greedy(df: DataFrame, scope: list[str], order: str, key: str, answer: str | None = None, threshold: float = THRESHOLD, with_answer: float | None = None) -> DataFrame:
@@ -62,8 +74,9 @@ def greedy(df: DataFrame, scope: list[str], order: str, key: str, answer: str |
 
     Exact repeats of a key are marked before the scopes are dealt, so a group of copies never reaches one task. Where answers count, only rows
     of one key and one answer are repeats: a first row may be dropped for its answer alone, and its key may then stay with another answer.
+    A null key is empty.
     """
-    own = df.select(*scope, order, F.col(key).alias("_key"), (F.coalesce(answer, F.lit("")) if answer and with_answer is not None else F.lit("")).alias("_answer"))
+    own = df.select(*scope, order, F.coalesce(key, F.lit("")).alias("_key"), (F.coalesce(answer, F.lit("")) if answer and with_answer is not None else F.lit("")).alias("_answer"))
     first = own.groupBy(*scope, "_key", "_answer").agg(F.min(order).alias("_first"))
     first = first.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col("_key").alias("_k2"), F.col("_answer").alias("_a2"), "_first")
     marked = own.join(first, (F.col("_key") == F.col("_k2")) & (F.col("_answer") == F.col("_a2")) & _same(scope), "left")
@@ -93,7 +106,7 @@ def _same(scope: list[str]):
 
 
 def against_stored(new: DataFrame, stored: DataFrame, scope: list[str], key_id: str, key: str, answer: str | None = None, threshold: float = THRESHOLD, with_answer: float | None = None) -> DataFrame:
-    """new's ids with duplicate: whether a stored text of the same scope (null-safe) is alike.
+    """new's ids with duplicate: whether a stored text of the same scope (null-safe) is alike. An id counts within its scope; a null text is empty.
 
     Pairs are made within length classes only: a text of length n can match lengths from n*t/(2-t) to n*(2-t)/t, which span at most two
     neighbouring classes on a scale of that ratio to each side; the bags and the ratio are taken in Arrow batches.
@@ -101,8 +114,8 @@ def against_stored(new: DataFrame, stored: DataFrame, scope: list[str], key_id:
     least = min(threshold, with_answer or threshold)
     base = (2 - least) / least
     own = lambda df, names: df.select(*names, F.floor(F.log(base, F.greatest(F.length("_key"), F.lit(1)))).cast("int").alias("_class"))
-    a = own(new.select(*scope, key_id, F.col(key).alias("_key"), (F.col(answer) if answer else F.lit("")).alias("_answer")), [*scope, key_id, "_key", "_answer"])
-    b = stored.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col(key).alias("_key"), (F.col(answer) if answer else F.lit("")).alias("_answer")).distinct()
+    a = own(new.select(*scope, key_id, F.coalesce(key, F.lit("")).alias("_key"), (F.coalesce(answer, F.lit("")) if answer else F.lit("")).alias("_answer")), [*scope, key_id, "_key", "_answer"])
+    b = stored.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.coalesce(key, F.lit("")).alias("_key"), (F.coalesce(answer, F.lit("")) if answer else F.lit("")).alias("_answer")).distinct()
     b = own(b, [*(f"_s_{c}" for c in scope), "_key", "_answer"]).select(*(f"_s_{c}" for c in scope), F.col("_key").alias("_key_b"), F.col("_answer").alias("_answer_b"), F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class_b"))
     n, m = F.length("_key"), F.length("_key_b")
     pairs = a.join(b, (F.col("_class") == F.col("_class_b")) & _same(scope)).filter(2 * F.least(n, m) >= least * (n + m))
@@ -112,8 +125,10 @@ def against_stored(new: DataFrame, stored: DataFrame, scope: list[str], key_id:
         out = []
         for p, q, ap, aq in zip(k, o, x, y, strict=True):
             need = with_answer if with_answer is not None and ap and ap == aq else threshold
-            out.append(p == q or possible(p, q, Counter(p), Counter(q), need) and ratio(p, q) >= need)
+            out.append(p == q or bool(possible(len(p), bag(p), np.array([len(q)]), bag(q)[None], need)[0]) and ratio(p, q) >= need)
         return pd.Series(out)
 
-    hits = pairs.filter(alike("_key", "_key_b", "_answer", "_answer_b")).select(F.col(key_id).alias("_hit")).distinct()
-    return new.select(*scope, key_id).join(hits, F.col(key_id) == F.col("_hit"), "left").select(*scope, key_id, F.col("_hit").isNotNull().alias("duplicate"))
+    hits = pairs.filter(alike("_key", "_key_b", "_answer", "_answer_b")).select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col(key_id).alias("_hit")).distinct()
+    hits = hits.withColumn("duplicate", F.lit(True))
+    both = new.select(*scope, key_id).join(hits, F.col(key_id).eqNullSafe(F.col("_hit")) & _same(scope), "left")
+    return both.select(*scope, key_id, F.coalesce("duplicate", F.lit(False)).alias("duplicate"))

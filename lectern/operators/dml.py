@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators.relational import in_keys, not_in
+from lectern.sources.tables import shared
 
 
 def append_with_ids(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """``new`` with ids that follow the largest stored one; distributed: offsets by partition, no single sorted task."""
-    last = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).scalar()
-    spread = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id())
+    """``new`` with ids that follow the largest stored one."""
+    return numbered(new, key, order, stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).scalar())
+
+
+def numbered(new: DataFrame, key: str, order: list[Column], last: Column) -> DataFrame:
+    """Numbers after ``last`` in an order of all rows; distributed: offsets by partition, no single sorted task. The sorted rows are checkpointed, as they are read twice."""
+    shared(new.sparkSession)
+    spread = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()).checkpoint()
     size = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_nth").alias("_low"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = size.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_part", "_before", "_low")  # one row a partition
@@ -43,6 +50,32 @@ def point_update(df: DataFrame, where: Column, **values: Column) -> DataFrame:
     return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+LETTERS = ("A", "B", "C", "D")
+
+
+def edit_errors(question: Column, answer: Column, options: Column) -> Column:
+    """What is wrong with an edit, the first of: no question, no answer letter, not all four options; null if nothing."""
+    empty = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""
+    unfilled = F.exists(F.array(*map(F.lit, LETTERS)), lambda x: empty(F.try_element_at(options, x)))
+    letter = F.upper(T.strip(F.coalesce(answer, F.lit(""))))
+    return F.when(empty(question), "question").when(~letter.isin(*LETTERS), "answer").when(unfilled, "options")
+
+
+def edited(bank: DataFrame, edits: DataFrame, key: str, now: Column) -> DataFrame:
+    """The bank with valid edits (key, question, options, answer, explanation) trimmed and put in, letters as numbers and ``updated_at`` set.
+
+    Edits that are wrong by ``edit_errors`` and those of unknown keys change nothing; of several edits of a key any one counts.
+    """
+    c = F.col
+    good = edits.filter(edit_errors(c("question"), c("answer"), c("options")).isNull()).dropDuplicates([key])
+    text = lambda x: T.strip(F.coalesce(x, F.lit("")))
+    fields = {"dy_question": text(c("question")), **{f"dy_ans_{n}": text(F.try_element_at("options", F.lit(x))) for n, x in enumerate(LETTERS, 1)}}
+    fields |= {"dy_correct_ans": (F.ascii(F.upper(text(c("answer")))) - 64).cast("string"), "dy_explain": text(c("explanation")), "updated_at": now}
+    new = good.select(c(key), F.lit(True).alias("_edit"), *(v.alias(f"_new_{k}") for k, v in fields.items()))
+    both = bank.join(new, key, "left")
+    return both.withColumns({k: F.when(c("_edit"), c(f"_new_{k}")).otherwise(c(k)) for k in fields}).select(bank.columns)
+
+
 def tag(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Non-null new values overwrite, '' too; null ones keep the old."""
     new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in columns)).dropDuplicates([key])

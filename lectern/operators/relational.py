@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def optional_filters(df: DataFrame, **wanted) -> DataFrame:
@@ -19,12 +20,12 @@ def null_safe(column: str, value) -> Column:
 
 
 def in_keys(df: DataFrame, column: str, keys: list | DataFrame, few: int = 1000) -> DataFrame:
-    """Rows whose key is in a short list (IN) or in a table of keys (semi join); Spark chooses the side to send by its size."""
-    if isinstance(keys, DataFrame):
-        return df.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(column) == F.col("_key"), "left_semi")
-    if len(keys) > few:
-        raise ValueError(f"more than {few} keys: give them as a table")
-    return df.filter(F.col(column).isin(keys))
+    """Rows whose key is in a short list (IN), or in a longer list or a table of keys (semi join); Spark chooses the side to send by its size."""
+    if not isinstance(keys, DataFrame) and len(keys) <= few:
+        return df.filter(F.col(column).isin(keys))
+    if not isinstance(keys, DataFrame):
+        keys = df.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("_key", df.schema[column].dataType)]))
+    return df.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(column) == F.col("_key"), "left_semi")
 
 
 def first_row(df: DataFrame, key: str, value) -> DataFrame:
@@ -56,3 +57,10 @@ def top_k(df: DataFrame, partition: list[str], by: list[Column], k: int) -> Data
 def zipped(left: DataFrame, right: DataFrame, keys: list[str], order_left: list[Column], order_right: list[Column]) -> DataFrame:
     """Pairs rows of two tables by their position within each key; the longer side's rest is left out."""
     return ranked(left, "_pos", order_left, keys).join(ranked(right, "_pos", order_right, keys), [*keys, "_pos"]).drop("_pos")
+
+
+def by_number_in_text(df: DataFrame, name: str, text: str, position: str) -> DataFrame:
+    """The place of each row by the whole number in a text of digits (0 for any other), rows of one number in the order of ``position``."""
+    core = F.btrim(F.coalesce(text, F.lit("")))
+    number = F.coalesce(F.when(core.rlike("^[0-9]+$"), core.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return ranked(df, name, [number, F.col(position)])

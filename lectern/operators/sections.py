@@ -46,17 +46,18 @@ def harvested(df: DataFrame, key: str, text: str, most: int = 150) -> DataFrame:
 
 
 def bullets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Bullets of a plain reply: list items, quoted lines, long lines; titles are skipped."""
+    """Bullets of a plain reply: list items, quoted lines, long lines; titles are skipped. A line is read by two patterns at most."""
     rows = lines(df, key, text, "\r\n|[\n\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029]").withColumn("line", T.strip(F.col("line")))
-    line = F.col("line")
-    clean = lambda c, chars: F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
-    item = clean(F.regexp_extract(line, R.LIST_ITEM, 1), "\", ")
-    loose = clean(line, "\", ")
+    rows = rows.filter("line <> ''").withColumn("listed", F.regexp_extract("line", R.LIST_ITEM, 1))
+    line, trim = F.col("line"), lambda c, signs: F.btrim(c, F.lit(signs))
+    item, loose = trim(F.col("listed"), '", '), trim(line, '", ')
     quoted = line.startswith('"') & line.endswith('"') & (F.length(line) > 15)
-    plain = ~line.rlike(r"^[{}\[]") & ~line.endswith("]") & (F.length(line) > 25)
-    out = F.when((line == "") | line.rlike(R.TITLE_LINE), None).when(line.rlike(R.LIST_ITEM), F.when(F.length(item) > 10, item))
-    out = out.when(quoted, clean(line, '"')).when(plain, F.when((loose != "") & ~loose.endswith("{"), loose))
-    return rows.withColumn("bullet", out).filter("bullet IS NOT NULL").select(key, "line_no", "bullet")
+    first = F.substring(line, 1, 1)
+    plain = ~first.isin("{", "}", "[") & ~line.endswith("]") & (F.length(line) > 25)
+    out = F.when(line.rlike(R.TITLE_LINE), None).when(F.col("listed") != "", F.when(F.length(item) > 10, item))
+    out = out.when(quoted, trim(line, '"')).when(plain, F.when((loose != "") & ~loose.endswith("{"), loose))
+    # exploded rather than filtered: a filter would be pushed below and read every line twice
+    return rows.select(key, "line_no", F.explode(F.array_compact(F.array(out))).alias("bullet"))
 
 
 def pages(df: DataFrame, key: str, text: str) -> DataFrame:

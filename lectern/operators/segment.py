@@ -24,7 +24,7 @@ def trimmed(text: Column, signs: str = r" \-:.") -> Column:
 
 def running_header(lines: Column) -> Column:
     """The first line that is no number and no book title, if it has 3 to 100 characters."""
-    skip = lambda x: x.rlike(r"(?i)^\s*(?:\d+|(?:\d+th|th)?\s*standard\s+science)\s*$")
+    skip = lambda x: x.rlike(R.BOOK_TITLE_LINE)
     head = trimmed(F.get(F.filter(lines, lambda x: ~skip(x)), F.lit(0)))
     return F.coalesce(F.when(F.length(head).between(3, 100), head), F.lit(""))
 
@@ -36,18 +36,25 @@ def intro_page(lines: Column, text: Column) -> Column:
 
 def lesson_number(text: Column, fallback: Column) -> Column:
     """The number of a first section n.1, else of a unit or lesson heading near the start, else the fallback."""
-    section = F.regexp_extract(text, r"(?m)^\s*(\d{1,2})\.1(?:\.1)?\s+[A-Za-z஀-௿]", 1)
-    unit = F.regexp_extract(F.substring(text, 1, 2500), r"(?i)\b(?:UNIT|LESSON|CHAPTER|MODULE|TOPIC|PART|அலகு|பாடம்|இயல்)\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)(?![\w])", 1)
-    return F.coalesce(F.when((section != "") & ~section.isin("97", "22", "35", "0"), section), F.nullif(unit, F.lit("")), fallback)
+    section = F.regexp_extract(text, R.FIRST_SECTION, 1)
+    unit = F.regexp_extract(F.substring(text, 1, 2500), R.NUMBER_NEAR_START, 1)
+    return F.coalesce(F.when((section != "") & ~section.isin(*R.NOT_SECTIONS), section), F.nullif(unit, F.lit("")), fallback)
 
 
-def subsections(number: Column, text: Column) -> Column:
+def subsections(number: Column, text: Column, title: str = R.SECTION_TITLE) -> Column:
     """Sections number.x of a lesson with their titles."""
-    pattern = F.concat(F.lit(r"(?m)^\s*("), number, F.lit(r"(?:\.\d+)+)\s+([A-Za-z஀-௿\s,\-]{3,80})"))
+    pattern = F.concat(F.lit(r"(?m)^\s*("), number, F.lit(r"(?:\.\d+)+)" + title))
     codes, titles = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
     return F.transform(F.arrays_zip(codes.alias("code"), titles.alias("title")), lambda x: F.struct(T.strip(x["code"]).alias("code"), T.strip(x["title"]).alias("title")))
 
 
+def missing_topics(sections: Column, blob: Column, most: int | None = 15) -> Column:
+    """Sections (code, title) of which neither the code nor any Latin title word of four letters or more is inside the lower-cased text; the first ``most``."""
+    named = lambda x: F.exists(F.regexp_extract_all(F.lower(x["title"]), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.contains(blob, w))
+    missing = F.filter(sections, lambda x: ~named(x) & ~F.contains(blob, x["code"]))
+    return missing if most is None else F.slice(missing, 1, most)
+
+
 def by_running_headers(pages: DataFrame) -> DataFrame:
     """Lessons of documents whose running headers name at least two: (doc, lesson_no, lesson_name, start_page, end_page, text)."""
     w = Window.partitionBy("doc")
@@ -67,33 +74,98 @@ def by_running_headers(pages: DataFrame) -> DataFrame:
 
 
 def lessons_of(spans: DataFrame, pages: DataFrame, least: int) -> DataFrame:
-    """Spans [start, end) of pages with their joined text; shorter texts than ``least`` are left out."""
-    inside = spans.select("doc", "lesson_no", F.col("h").alias("lesson_name"), F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1))).alias("page_no")).join(
+    """Spans [start, end) of pages with their joined text; shorter texts than ``least`` are left out.
+
+    A span that has a ``unit`` has that number and its name as it is; others take the number from their text and a name without unit words.
+    """
+    spans = spans if "unit" in spans.columns else spans.withColumn("unit", F.lit(None).cast("string"))
+    inside = spans.select("doc", "lesson_no", "unit", F.col("h").alias("lesson_name"), F.explode(F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1))).alias("page_no")).join(
         pages.select("doc", "page_no", "num", "text"), ["doc", "page_no"]
     )
     own = F.sort_array(F.collect_list(F.struct("page_no", "num", "text")))
-    made = inside.groupBy("doc", "lesson_no", "lesson_name").agg(own.alias("p"))
+    made = inside.groupBy("doc", "lesson_no", "unit", "lesson_name").agg(own.alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
-    made = made.select("doc", "lesson_no", "lesson_name", F.get("p", F.lit(0))["num"].alias("start_page"), F.element_at("p", -1)["num"].alias("end_page"), text.alias("text"))
+    made = made.select("doc", "lesson_no", "unit", "lesson_name", F.get("p", F.lit(0))["num"].alias("start_page"), F.element_at("p", -1)["num"].alias("end_page"), text.alias("text"))
     made = made.filter(F.length(T.strip(F.col("text"))) > least)
-    number = lesson_number(F.col("text"), F.col("lesson_no").cast("string"))
+    number = F.coalesce("unit", lesson_number(F.col("text"), F.col("lesson_no").cast("string")))
     name = trimmed(F.regexp_replace(trimmed(F.regexp_replace("lesson_name", r"[_\\-]+", " ")), r"(?i)^(?:Unit|Lesson|Chapter)\s*\d+[-:\s]*", ""))
+    name = F.when(F.col("unit").isNotNull(), F.col("lesson_name")).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.col("lesson_name")))
     return made.withColumn("lesson_number", number).select(
-        "doc", "lesson_no", N.lesson_id(F.col("lesson_number")).alias("lesson_id"), "lesson_number", F.coalesce(F.nullif(name, F.lit("")), F.col("lesson_name")).alias("lesson_name"),
+        "doc", "lesson_no", N.lesson_id(F.col("lesson_number")).alias("lesson_id"), "lesson_number", name.alias("lesson_name"),
         "start_page", "end_page", subsections(F.col("lesson_number"), F.col("text")).alias("subsections"), T.strip(F.col("text")).alias("text"),
     )
 
 
-HEADING = r"(?im)^[ \t]*(?:lesson|chapter|unit|module|topic|section|part|session|period|theme|block|பாடம்|பாடல்|அலகு|இயல்|பகுதி|அத்தியாயம்)\s*[-:.]?\s*(\d+[A-Za-z]?|[IVXLCDM]+)\b(?:\s*[-–—:.]\s*([^\n\r]{0,120}))?[ \t]*$"
+def by_line_headings(df: DataFrame, key: str, text: str, heading: str = R.LESSON_HEADING, least: int = 30) -> DataFrame:
+    """Lessons from heading lines: the text from a heading's end to the next one, if longer than ``least``.
+
+    ``heading`` has pairs of groups, number and name, one of which takes part in a match. All are on page 1, as page marks are not read.
+    """
+    pairs = range(1, 9, 2) if heading == R.LESSON_HEADING else range(1, 3, 2)
+    groups = [F.regexp_extract_all(text, F.lit(heading), F.lit(n + k)).alias(f"{kind}{n}") for n in pairs for k, kind in enumerate(("number", "name"))]
+    counted = F.size(F.regexp_extract_all(text, F.lit(heading), F.lit(0)))
+    parts = F.slice(F.split(text, heading), F.lit(2), counted)
+    rows = df.select(key, F.posexplode(F.arrays_zip(*groups, parts.alias("text"))).alias("at", "l"))
+    first = lambda kind: F.coalesce(*(F.nullif(F.col(f"l.{kind}{n}"), F.lit("")) for n in pairs))
+    number = F.coalesce(first("number"), (F.col("at") + 1).cast("string"))
+    out = rows.select(key, (F.col("at") + 1).alias("lesson_no"), number.alias("lesson_number"), trimmed(F.coalesce(first("name"), F.lit("")), r" \-–—:.").alias("name"), T.strip(F.col("l.text")).alias("text"))
+    out = out.filter(F.length("text") > least).withColumn("lesson_name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Lesson "), "lesson_number")))
+    return out.select(
+        key, "lesson_no", N.lesson_id(F.col("lesson_number")).alias("lesson_id"), "lesson_number", "lesson_name", F.lit(1).alias("start_page"), F.lit(1).alias("end_page"),
+        subsections(F.col("lesson_number"), F.col("text"), r"\s+([A-Za-z\s,\-]{3,80})").alias("subsections"), "text",
+    )
+
+
+def taken(candidates: DataFrame, apart: int, weak_apart: int | None = None) -> DataFrame:
+    """Candidates (doc, page_no, unit, title, strong) that are taken, with lesson_no: the unit differs from the last one taken and lies ``apart`` pages after it.
 
+    With ``weak_apart`` only candidates that are not strong have to lie apart. A fold over the candidates of a document, some numbers and a title each.
+    """
 
-def by_line_headings(df: DataFrame, key: str, text: str, heading: str = HEADING, least: int = 30) -> DataFrame:
-    """Lessons from heading lines: the text from a heading's end to the next one, if longer than ``least``."""
-    numbers, names = F.regexp_extract_all(text, F.lit(heading), F.lit(1)), F.regexp_extract_all(text, F.lit(heading), F.lit(2))
-    parts = F.slice(F.split(text, heading), F.lit(2), F.size(numbers))
-    rows = df.select(key, F.posexplode(F.arrays_zip(numbers.alias("number"), names.alias("name"), parts.alias("text"))).alias("at", "l"))
-    out = rows.select(key, (F.col("at") + 1).alias("lesson_no"), F.col("l.number").alias("lesson_number"), trimmed(F.coalesce("l.name", F.lit(""))).alias("lesson_name"), T.strip(F.col("l.text")).alias("text"))
-    return out.filter(F.length("text") > least)
+    def scan(part):
+        part, keep, last = part.sort_values("page_no", kind="stable"), [], None
+        for page, unit, strong in zip(part["page_no"], part["unit"], part["strong"], strict=True):
+            least = apart if weak_apart is None else 0 if strong else weak_apart
+            fresh = last is None or unit != last[1] and page - last[0] >= least
+            keep.append(fresh)
+            last = (page, unit) if fresh else last
+        out = part[keep].copy()
+        out["lesson_no"] = range(1, len(out) + 1)
+        return out[["doc", "page_no", "unit", "title", "lesson_no"]]
+
+    kind = candidates.schema["doc"].dataType.simpleString()
+    return candidates.select("doc", "page_no", "unit", "title", "strong").groupBy("doc").applyInPandas(scan, f"doc {kind}, page_no int, unit string, title string, lesson_no int")
+
+
+def spans_of(starts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Starts (doc, lesson_no, start, ...) with ``end``: the next start or the number of pages."""
+    total = pages.groupBy("doc").agg((F.max("page_no") + 1).alias("n_pages"))
+    return starts.join(total, "doc").withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy("doc").orderBy("lesson_no")), F.col("n_pages")))
+
+
+def by_unit_headings(pages: DataFrame, least: int = 30) -> DataFrame:
+    """Lessons that begin at pages with a unit heading, or with a unit in the footer at two pages from the last one; for documents with two or more.
+
+    Pages that begin with an exercise or a back-matter heading start none. A unit without a title takes the first plausible line after its heading, else
+    the commonest running header of its pages that is not on 35 % of all pages, else its number.
+    """
+    text = F.col("text")
+    skipped = F.substring(text, 1, 200).rlike(R.EXERCISE_HEADING) | F.coalesce(F.get("lines", F.lit(0)).rlike(R.BACK_MATTER_LINE), F.lit(False))
+    unit, footer = F.regexp_extract(text, R.UNIT_HEADING, 1), F.regexp_extract(text, R.UNIT_IN_FOOTER, 1)
+    after = F.transform(F.split(F.element_at(F.split(text, R.UNIT_HEADING, 2), -1), "\r\n|[\n\r]"), lambda x: trimmed(x))
+    line = F.get(F.filter(after, lambda x: F.length(x).between(3, 79) & ~x.rlike(R.NO_TITLE_LINE)), F.lit(0))
+    title = F.coalesce(F.nullif(T.strip(F.regexp_extract(text, R.UNIT_HEADING, 2)), F.lit("")), line)
+    found = pages.filter(~skipped).select("doc", "page_no", F.coalesce(F.nullif(unit, F.lit("")), F.nullif(footer, F.lit(""))).alias("unit"), F.when(unit != "", title).alias("title"), (unit != "").alias("strong")).filter("unit IS NOT NULL")
+    starts = taken(found, 0, weak_apart=2).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc"))).filter("n >= 2")
+    spans = spans_of(starts.select("doc", "lesson_no", "unit", "title", F.col("page_no").alias("start")), pages)
+    heads = pages.filter((F.col("header") != "") & (F.length("header") < 70)).withColumn("total", F.lit(1))
+    size = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("n_all"))
+    rare = heads.groupBy("doc", "header").agg(F.count(F.lit(1)).alias("n")).join(size, "doc").filter("n < 0.35 * n_all").select("doc", "header")
+    plain = heads.filter(~F.col("header").rlike("^[0-9]+$") & (F.length("header") > 3) & ~F.col("header").rlike(R.NO_TITLE_LINE)).join(rare, ["doc", "header"], "left_semi")
+    owner = spans.select("doc", "lesson_no", F.explode(F.when(F.col("end") > F.col("start"), F.sequence("start", F.col("end") - 1))).alias("page_no"))
+    common = A.most_frequent(plain.join(owner, ["doc", "page_no"]), ["doc", "lesson_no"], "header", "page_no").select("doc", "lesson_no", "header")
+    named = spans.join(common, ["doc", "lesson_no"], "left").withColumn("h", F.coalesce("title", "header", F.concat(F.lit("Lesson "), "unit")))
+    return lessons_of(named.drop("title", "header"), pages, least)
 
 
 def unit_numbers(text: Column) -> Column:
@@ -107,31 +179,52 @@ def unit_numbers(text: Column) -> Column:
 def by_units(pages: DataFrame, apart: int = 3, title: Column | None = None, least: int = 30) -> DataFrame:
     """Lessons that begin where the unit number differs from the last unit taken and lies ``apart`` pages after it; the first snaps to page 0 within three pages."""
     own = pages.select("doc", "page_no", unit_numbers(F.col("text")).alias("unit"), (title if title is not None else running_header(F.col("lines"))).alias("title")).filter("unit IS NOT NULL")
-    rows = own.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page_no", "unit", "title"))).alias("own"))
-    none = F.array().cast("array<struct<page_no:int,unit:string,title:string>>")
+    starts = taken(own.withColumn("strong", F.lit(True)), apart)
+    start = F.when((F.col("lesson_no") == 1) & (F.col("page_no") <= 3), 0).otherwise(F.col("page_no"))
+    spans = spans_of(starts.select("doc", "lesson_no", F.coalesce(F.nullif("title", F.lit("")), F.col("unit")).alias("h"), start.alias("start")), pages)
+    return lessons_of(spans, pages, least)
 
-    def take(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | ((last["unit"] != x["unit"]) & (x["page_no"] - last["page_no"] >= apart))
-        return F.when(fresh, F.concat(acc, F.array(x.cast("struct<page_no:int,unit:string,title:string>")))).otherwise(acc)
 
-    taken = rows.select("doc", F.posexplode(F.aggregate("own", none, take)).alias("at", "b"))
-    start = F.when((F.col("at") == 0) & (F.col("b.page_no") <= 3), 0).otherwise(F.col("b.page_no"))
-    total = pages.groupBy("doc").agg((F.max("page_no") + 1).alias("n_pages"))
-    spans = taken.select("doc", (F.col("at") + 1).alias("lesson_no"), F.coalesce(F.nullif("b.title", F.lit("")), F.col("b.unit")).alias("h"), start.alias("start")).join(total, "doc")
-    spans = spans.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy("doc").orderBy("lesson_no")), F.col("n_pages")))
-    return lessons_of(spans, pages, least)
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """Each document (doc, text, name) as one lesson, without its page marks."""
+    plain = F.regexp_replace("text", r"\n=== PAGE \d+ ===\n", "\n")
+    return docs.select(
+        "doc", F.lit(1).alias("lesson_no"), F.lit("lesson_01").alias("lesson_id"), F.lit("1").alias("lesson_number"), document_title(plain, F.coalesce("name", F.lit(""))).alias("lesson_name"),
+        F.lit(1).alias("start_page"), F.greatest(F.lit(1), F.regexp_count("text", F.lit(R.PAGE_MARK))).alias("end_page"),
+        F.array().cast("array<struct<code:string,title:string>>").alias("subsections"), T.strip(plain).alias("text"),
+    )
+
+
+def tamil_documents(docs: DataFrame) -> Column:
+    """Whether a document is Tamil: twenty Tamil letters, or so named by file, board or subject."""
+    told = F.concat_ws(" ", *(F.lower(c) for c in ("name", "board", "subject") if c in docs.columns))
+    return (F.regexp_count("text", F.lit("[\u0b80-\u0bff]")) >= 20) | F.contains(told, F.lit("tamil")) | F.contains(told, F.lit("தமிழ்"))
+
+
+def split_lessons(docs: DataFrame) -> DataFrame:
+    """Lessons of documents (doc, text, name, and board and subject if there are any): by Tamil units for Tamil documents, then by running headers,
+    by unit headings, by heading lines, and the whole document as the last resort; blank documents have none.
+
+    The first method that finds anything in a document counts; each is planned once for all documents, and only Tamil ones go to the first.
+    """
+    from lectern.operators import sections as S
+
+    own = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+    pages = S.pages(own.filter(F.col("text").rlike(R.PAGE_MARK)), "doc", "text")
+    tamil = own.filter(tamil_documents(own)).select("doc")
+    plain = own.select("doc", F.regexp_replace("text", r"\n=== PAGE \d+ ===\n", "\n").alias("text"))
+    by_lines = by_line_headings(plain, "doc", "text")
+    return routed(by_units(pages.join(tamil, "doc", "left_semi"), title=unit_title(F.col("lines"))), by_running_headers(pages), by_unit_headings(pages), by_lines, whole_documents(own))
 
 
 def routed(*candidates: DataFrame) -> DataFrame:
-    """For each document the lessons of the first method that found two or more, else the last method's."""
+    """For each document the lessons of the first method that found any."""
     every = None
     for rank, found in enumerate(candidates):
         rows = found.withColumn("_rank", F.lit(rank))
         every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
-    n = every.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc", "_rank")))
-    usable = n.filter((F.col("_n") >= 2) | (F.col("_rank") == len(candidates) - 1))
-    return usable.withColumn("_best", F.min("_rank").over(Window.partitionBy("doc"))).filter("_rank = _best").drop("_rank", "_n", "_best")
+    best = every.groupBy("doc").agg(F.min("_rank").alias("_best"))
+    return every.join(best, "doc").filter("_rank = _best").drop("_rank", "_best")
 
 
 def _plausible(title: Column, least: int, most: int) -> Column:

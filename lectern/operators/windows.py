@@ -44,9 +44,12 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Da
 
 
 def outside(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points that lie in no interval [start, end): interval rows become points, so the join is by key alone."""
-    covered = intervals.select(*keys, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias(at)).filter(F.col(at).isNotNull())
-    return points.join(covered.distinct(), [*keys, at], "left_anti")
+    """Points that lie in no interval [start, end): one pass over both in order, with the largest end of the intervals begun so far."""
+    marked = points.withColumn("_end", F.lit(None).cast(intervals.schema[end].dataType)).withColumn("_point", F.lit(1))
+    begun = intervals.select(*keys, F.col(start).alias(at), F.col(end).alias("_end"), F.lit(0).alias("_point"))
+    w = Window.partitionBy(*keys).orderBy(at, "_point").rowsBetween(Window.unboundedPreceding, 0)
+    every = marked.unionByName(begun, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(w))
+    return every.filter((F.col("_point") == 1) & ~F.coalesce(F.col("_reach") > F.col(at), F.lit(False))).select(points.columns)
 
 
 def text_windows(df: DataFrame, text: str, count: Column, size: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lectern.functions import questions as Q
 from lectern.functions import text as T
 from lectern.operators.dml import last_of
-from lectern.operators.relational import not_in
+from lectern.operators.relational import by_number_in_text, not_in
 
 _DELAY = re.compile(r"retryDelay['\"]?\s*:\s*['\"]?(\d+)")
 
@@ -82,6 +82,11 @@ def to_push(bank: DataFrame, log: DataFrame, exam_type: str, force: bool = False
     return not_in(bank, log.filter((F.col("exam_type") == exam_type) & (F.col("status") == "success")), "dy_ques_id", "dy_ques_id")
 
 
+def in_push_order(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the order in which they are pushed: by the whole number in dy_order (0 without one), then as they were numbered by id."""
+    return by_number_in_text(rows, "place", "dy_order", "id")
+
+
 def pushed(rows: DataFrame, exam_type: str, exam_code: str, post: Callable[[dict], tuple[int, str]]) -> DataFrame:
     """dy_ques_id, ok, detail of each row; incomplete payloads are not sent and fail with the names of the missing fields."""
     fields = Q.payload(F.lit(exam_type), F.lit(exam_code))
@@ -101,7 +106,7 @@ def pushed(rows: DataFrame, exam_type: str, exam_code: str, post: Callable[[dict
                     out.append((row["quesId"], 0, str(e)))
             yield pd.DataFrame(out, columns=["dy_ques_id", "http_status", "detail"])
 
-    sent = ready.coalesce(1).mapInPandas(run, "dy_ques_id string, http_status int, detail string")
+    sent = ready.repartition(1).mapInPandas(run, "dy_ques_id string, http_status int, detail string")
     return sent.select("dy_ques_id", F.coalesce(Q.succeeded(F.col("http_status").between(200, 299), F.col("detail")), F.lit(False)).alias("ok"), "detail")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import dedup as D
 from lectern.operators import sections as S
 from lectern.operators import segment as G
-from lectern.sources.tables import table
+from lectern.sources.tables import shared, table
 from lectern.streaming import jobs as P
 
 
@@ -75,14 +74,12 @@ def progress(s, d):
 
 def stream_state(s, d):
     source = s.readStream.schema(table(s, d, "events").schema).parquet(_folder(s, d, "events"))
-    name = "jobs_" + uuid.uuid4().hex
-    return P.run_once(P.streamed_state(source, "user_id", ["ts", "event_id"], ["event_type", "value", "props"]), name, _checkpoint(s, name))
+    return P.run_once(P.streamed_state(source, "user_id", ["ts", "event_id"], ["event_type", "value", "props"]), f"{shared(s)}/jobs_{uuid.uuid4().hex}")
 
 
 def stream_windows(s, d):
     source = s.readStream.schema(table(s, d, "events").schema).parquet(_folder(s, d, "events"))
-    name = "days_" + uuid.uuid4().hex
-    out = P.run_once(P.windowed_counts(source, "ts", "event_type"), name, _checkpoint(s, name))
+    out = P.run_once(P.windowed_counts(source, "ts", "event_type"), f"{shared(s)}/days_{uuid.uuid4().hex}")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -91,11 +88,6 @@ def _folder(s, d, name):
     return f"{d}/{name}.parquet" if len(table(s, d, name).inputFiles()) > 1 else f"{d}/{name}.parque[t]"
 
 
-def _checkpoint(s, name):
-    base = s.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    return f"{base}/{name}"
-
-
 QUERIES = {
     "d06_exact_dedup": exact_dedup, "d04_greedy_near_dup": greedy_dedup, "d03_greedy_with_answer": greedy_with_answer, "j06_vs_stored": vs_stored,
     "g04_running_headers": running_headers, "g06_line_headings": line_headings, "g05_unit_split": unit_split,

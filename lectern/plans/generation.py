@@ -13,8 +13,9 @@ from lectern.functions import numbers as N
 from lectern.functions import questions as Q
 from lectern.functions import scripts as S
 from lectern.functions import text as T
+from lectern.operators.chunks import asked
 from lectern.operators import dedup as D
-from lectern.operators import windows as W
+from lectern.operators import dml as K
 
 
 def questions_of(replies: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def sifted(questions: DataFrame, language: str) -> DataFrame:
     options = F.map_from_arrays(F.array(*map(F.lit, Q.LETTERS)), F.array(*(clean(F.try_element_at(o, F.lit(x))) for x in Q.LETTERS)))
     rows = questions.withColumn("bad", bad).withColumns({"question": F.when(~bad, clean(q)).otherwise(q), "options": F.when(~bad, options).otherwise(o)})
     rows = rows.withColumn("explanation", F.when(F.trim(F.coalesce(e, F.lit(""))) != "", clean(e)).otherwise(Q.with_default_explanation(e, F.col("options"), F.col("answer"))))
-    rows = rows.withColumn("place", F.col("window_no").cast("long") * 1_000_000_000 + F.col("chunk_no") * 10_000 + F.col("position"))
+    rows = rows.withColumn("place", F.format_string("%010d.%010d.%010d", "window_no", "chunk_no", "position"))
     rows = rows.withColumn("key", T.normal_key(F.col("question"))).withColumn("answer_text", Q.answer_text(F.col("options"), F.col("answer"))).withColumn("scope", F.lit(0))
     status = D.greedy(rows.filter("NOT bad"), ["scope"], "place", "key", "answer_text", with_answer=D.WITH_ANSWER).select(F.col("place").alias("_place"), "status")
     both = rows.join(status, F.col("place") == F.col("_place"), "left")
@@ -44,7 +45,7 @@ def sifted(questions: DataFrame, language: str) -> DataFrame:
 
 def bank_rows(kept: DataFrame, prefix: str, dy_code: str, last: int = 0) -> DataFrame:
     """Numbered rows for the bank: ids, order, language code and constants."""
-    numbered = W.allocated(kept.withColumn("_all", F.lit(0)), ["_all"], [F.col("place")], F.lit(last), "order").drop("_all")
+    numbered = K.numbered(kept, "order", [F.col("place")], F.lit(last))
     option = lambda x: F.try_element_at(F.col("options"), F.lit(x))
     return numbered.select(
         F.concat(F.lit(prefix), N.padded(F.col("order"))).alias("dy_ques_id"), F.lit(dy_code).alias("dy_code"),
@@ -54,6 +55,22 @@ def bank_rows(kept: DataFrame, prefix: str, dy_code: str, last: int = 0) -> Data
     )
 
 
+def topped_up(ask, count: int, first: list, rounds: int = 5, windows: int = 1) -> list:
+    """A list of results filled up to ``count``: ``ask(short, window, avoid)`` gives more, at most ``rounds`` times, from the windows in turn.
+
+    ``short`` is how many to ask for, ``avoid`` the last sixty results. A round that fails counts and gives nothing; what is over ``count`` is left out.
+    """
+    out = list(first)
+    for n in range(rounds):
+        if len(out) >= count:
+            break
+        try:
+            out += ask(asked(count - len(out)), n % windows, out[-60:])
+        except Exception:  # noqa: BLE001  a failed round is a round without results
+            continue
+    return out[:count]
+
+
 def generated(replies: DataFrame, language: str, prefix: str, dy_code: str, count: int, last: int = 0) -> DataFrame:
     """The first ``count`` kept questions of all replies as bank rows."""
     kept = sifted(questions_of(replies), language).filter("status = 'ok'").orderBy("place").limit(count)

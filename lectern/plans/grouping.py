@@ -69,7 +69,7 @@ def page_count(s, d):
 
 
 def number_alloc(s, d):
-    rows = table(s, d, "documents").filter("n_chars < 900").select("doc_id", "source")
+    rows = table(s, d, "documents").select("doc_id", "source")
     return W.allocated(rows, ["source"], [F.col("doc_id")], F.lit(100))
 
 
@@ -181,7 +181,7 @@ SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY use
 WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[À-ÿ]'))::int AS marked, len(regexp_extract_all(text, '[A-Za-z]'))::int AS latin FROM documents)
 SELECT *, CASE WHEN marked / nullif(marked + latin, 0) > 0.1 THEN 'marked' ELSE 'plain' END AS language FROM c""",
     "a12_page_count": "SELECT page_id, len(regexp_extract_all(html, '<p>'))::int AS paragraphs FROM pages",
-    "w01_number_alloc": "SELECT doc_id, source, 100 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents WHERE n_chars < 900",
+    "w01_number_alloc": "SELECT doc_id, source, 100 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents",
     "w02_order_alloc": """
 WITH u AS (SELECT conv_id, max(turn) AS largest FROM conversations GROUP BY conv_id),
 c AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN largest + 5 WHEN conv_id % 3 = 1 THEN largest - 1 END AS counter FROM u)

@@ -97,12 +97,12 @@ def untag_rows(s, d):
 
 def insert_missing(s, d):
     stored = table(s, d, "labels").select("doc_id", F.lit("stored").alias("origin"))
-    return K.insert_if_absent(stored, _docs(s, d, "doc_id").filter("doc_id < 300").withColumn("origin", F.lit("new")), "doc_id")
+    return K.insert_if_absent(stored, _docs(s, d, "doc_id").withColumn("origin", F.lit("new")), "doc_id")
 
 
 def merge_log(s, d):
     stored = table(s, d, "labels").filter("quality = 1").select("doc_id", F.lit("online").alias("exam_type"), F.lit("success").alias("status"), F.lit(0).cast("long").alias("at"))
-    changes = _docs(s, d).filter("n_chars < 800").select("doc_id", F.lit("online").alias("exam_type"), F.when(F.col("lang") == "en", "failed").otherwise("success").alias("status"), F.col("n_chars").alias("at"))
+    changes = _docs(s, d).select("doc_id", F.lit("online").alias("exam_type"), F.when(F.col("lang") == "en", "failed").otherwise("success").alias("status"), F.col("n_chars").alias("at"))
     changes = K.last_of(changes.unionByName(changes.withColumn("at", F.col("at") - 1)), ["doc_id", "exam_type"], [F.col("at")])
     return K.upsert(stored, changes, ["doc_id", "exam_type"])
 
@@ -155,13 +155,13 @@ UNION ALL SELECT 'selection', doc_id FROM labels WHERE quality <> 0""",
     "k06_tag_upsert": """
 SELECT d.doc_id, CASE WHEN toxic = 1 THEN '' ELSE lang END AS lang, CASE WHEN quality = 0 THEN 'bad' ELSE source END AS source
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
-    "k06_insert_missing": "SELECT doc_id, 'stored' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id < 300 AND doc_id NOT IN (SELECT doc_id FROM labels)",
+    "k06_insert_missing": "SELECT doc_id, 'stored' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "k07_untag": """
 SELECT d.doc_id, CASE WHEN toxic = 1 THEN NULL ELSE lang END AS lang, CASE WHEN toxic = 1 THEN NULL ELSE source END AS source
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "k08_merge_log": """
 WITH s AS (SELECT doc_id FROM labels WHERE quality = 1),
-c AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'failed' ELSE 'success' END AS status, n_chars AS at FROM documents WHERE n_chars < 800)
+c AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'failed' ELSE 'success' END AS status, n_chars AS at FROM documents)
 SELECT coalesce(s.doc_id, c.doc_id) AS doc_id, 'online' AS exam_type, coalesce(c.status, 'success') AS status, coalesce(c.at, 0) AS at
 FROM s FULL JOIN c ON s.doc_id = c.doc_id""",
     "k13_migrate": """

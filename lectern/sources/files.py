@@ -73,3 +73,26 @@ def uploaded(spark: SparkSession, text: str) -> DataFrame:
     rows = one.select(F.when(F.ltrim("body").startswith("["), bare).otherwise(wrapped).alias("rows"))
     checked = rows.select(F.when(F.size("rows") > 0, F.col("rows")).otherwise(F.raise_error("a non-empty list of questions is needed")).alias("rows"))
     return checked.select(F.inline("rows"))
+
+
+def marked_text(pages: DataFrame) -> DataFrame:
+    """path, key and the text of each paged file with a mark before every page."""
+    own = F.sort_array(F.collect_list(F.struct("num", "text")))
+    text = F.array_join(F.transform(own, lambda x: F.concat(F.lit("\n=== PAGE "), x["num"].cast("string"), F.lit(" ===\n"), x["text"], F.lit("\n"))), "")
+    return pages.groupBy("path", "key").agg(text.alias("text"))
+
+
+def legacy_text(pages: DataFrame, most: int = 25_000) -> DataFrame:
+    """path, key and the first ``most`` characters of each file without page marks, as the command line tool reads them."""
+    own = F.sort_array(F.collect_list(F.struct("num", "text")))
+    return pages.groupBy("path", "key").agg(F.substring(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), 1, most).alias("text"))
+
+
+def read_through(found: DataFrame, cache: DataFrame, read: Callable[[DataFrame], DataFrame], language: str = "eng+tam") -> tuple[DataFrame, DataFrame]:
+    """Texts (path, key, text) of files by their content, and the rows to add to the cache (key, language, text).
+
+    ``read`` turns files into (key, text) and sees each content that is not in the cache once; the caller writes the new rows and may read again.
+    """
+    new = read(unread(found, cache, language).dropDuplicates(["key"])).groupBy("key").agg(F.min("text").alias("text"))
+    known = cache.filter(F.col("language") == language).groupBy("key").agg(F.min("text").alias("text"))
+    return found.select("path", "key").join(known.unionByName(new), "key").select("path", "key", "text"), new.select("key", F.lit(language).alias("language"), "text")

@@ -1,10 +1,25 @@
-"""Scans of the Parquet tables."""
+"""Scans of the Parquet tables, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of a folder of Parquet tables; any store that Spark can read."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one the cluster names; one of this machine only where the executors are this very process."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
+    return named

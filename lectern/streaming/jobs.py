@@ -41,8 +41,14 @@ def windowed_counts(updates: DataFrame, at: str, key: str, width: str = "1 day",
     return stamped.groupBy(F.window("_at", width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there into an in-memory table and returns it; for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns its last result, which every batch writes as a table of its own under ``folder``."""
+    spark, seen = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number:06d}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}.checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={seen[-1]:06d}") if seen else spark.createDataFrame([], stream.schema)

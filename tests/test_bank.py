@@ -4,6 +4,7 @@ import difflib
 import glob
 import json
 import os
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -67,6 +68,8 @@ def test_push_replies(spark):
     bodies = ["true", '{"success":false}', '{"status":"duplicate"}', '{"message":"created"}', '{"status":1}', '{"Success":true}', "not json", '{"ok":"Created"}']
     assert apply(spark, bodies, lambda c: questions.succeeded(F.lit(True), c)) == [True, False, False, False, True, True, True, True]
     assert apply(spark, bodies[:1], lambda c: questions.succeeded(F.lit(False), c)) == [False]
+    nested = ['{"data":{"status":true},"status":"failed"}', '{"status":"maybe","error":"x"}', '{"error":"","message":null,"errors":[]}', '{"errors":{"a":1}}', '{"error":0}', '{"error":"0"}', '{"OK":"no","ok":"yes","Ok":" Created "}', '[{"success":false}]', None]
+    assert apply(spark, nested, lambda c: questions.succeeded(F.lit(True), c)) == [False, False, True, False, True, False, True, True, True]
 
 
 def test_json_replies(spark):
@@ -82,19 +85,19 @@ def test_ratio_depends_on_order_and_bounds_are_safe():
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd ", max_size=30), st.text("abcd ", max_size=30), st.sampled_from([0.68, 0.8]))
 def test_pruning_is_lossless(a, b, least):
-    from collections import Counter
+    import numpy as np
 
     if difflib.SequenceMatcher(None, a, b).ratio() >= least:
-        assert dedup.possible(a, b, Counter(a), Counter(b), least)
+        assert dedup.possible(len(a), dedup.bag(a), np.array([len(b)]), dedup.bag(b)[None], least)[0]
 
 
 def test_greedy_keeps_first_and_compares_with_kept_only(spark):
     a, b, c = "abcdefghij", "abcdefgh12", "abcdef1234"
     assert dedup.ratio(b, a) >= 0.8 > dedup.ratio(c, a) and dedup.ratio(c, b) >= 0.8
-    rows = [(1, "f", a), (2, "f", b), (3, "f", c), (4, "g", a), (5, "f", a), (6, "f", ""), (7, None, a), (8, None, a)]
+    rows = [(1, "f", a), (2, "f", b), (3, "f", c), (4, "g", a), (5, "f", a), (6, "f", ""), (7, None, a), (8, None, a), (9, "f", None)]
     df = spark.createDataFrame(rows, "id int, scope string, key string")
     got = {r["id"]: r["status"] for r in dedup.greedy(df, ["scope"], "id", "key").collect()}
-    assert got == {1: "kept", 2: "duplicate", 3: "kept", 4: "kept", 5: "duplicate", 6: "empty", 7: "kept", 8: "duplicate"}
+    assert got == {1: "kept", 2: "duplicate", 3: "kept", 4: "kept", 5: "duplicate", 6: "empty", 7: "kept", 8: "duplicate", 9: "empty"}
 
 
 def test_greedy_keeps_a_copy_with_another_answer_of_a_row_dropped_for_its_answer(spark):
@@ -124,6 +127,147 @@ def test_against_stored_matches_all_pairs(spark):
     assert got == {n: any(dedup.ratio(t, u) >= 0.8 for _, _, u in stored) for n, _, t in new}
 
 
+def test_against_stored_keeps_ids_within_their_scope(spark):
+    new = spark.createDataFrame([(0, 1, "abcdefghij"), (0, 2, "abcdefghij"), (0, None, "abcdefghij"), (None, 1, "abcdefghij"), (1, 1, None)], "id int, scope int, key string")
+    stored = spark.createDataFrame([(1, "abcdefghij"), (None, "abcdefghik")], "scope int, key string")
+    got = {(r["scope"], r["id"]): r["duplicate"] for r in dedup.against_stored(new, stored, ["scope"], "id", "key").collect()}
+    assert got == {(1, 0): True, (2, 0): False, (None, 0): True, (1, None): True, (1, 1): False}
+
+
+def test_clean_up_finds_and_deletes(spark):
+    from lectern.plans import audit
+
+    rows = [(1, "f", "abcdefghij"), (2, "f", "abcdefghi1"), (3, "g", "abcdefghij"), (4, "f", "அ é"), (5, "f", "other text"), (6, "f", ""), (7, "f", "")]
+    bank = spark.createDataFrame(rows, "id int, file string, q string")
+    found = audit.flagged(bank, T.normal_key(F.col("q")), questions.record_corrupted(F.col("q")), ["file"], "id")
+    assert sorted(map(tuple, found.collect())) == [(2, "duplicate"), (4, "corrupted")]
+    left, chosen = audit.cleaned(bank, spark.createDataFrame([(2,), (3,)], "question_id int"), found, "id", "question_id")
+    assert sorted(r["id"] for r in left.collect()) == [1, 3, 5, 6, 7] and [r["question_id"] for r in chosen.collect()] == [3]
+    counts = audit.audit(bank, T.normal_key(F.col("q")), F.lit(False), ["file"]).collect()
+    assert counts == []
+
+
+def test_long_key_lists_become_a_table(spark):
+    df = spark.range(20)
+    assert relational.in_keys(df, "id", list(range(5, 5000)), few=100).count() == 15 and relational.in_keys(df, "id", [1, 2]).count() == 2
+
+
+def test_edits_are_checked_and_trimmed(spark):
+    bank = spark.createDataFrame([(1, "q", "a", "b", "c", "d", "1", "e", None), (2, "r", "a", "b", "c", "d", "2", None, None)], "id int, dy_question string, dy_ans_1 string, dy_ans_2 string, dy_ans_3 string, dy_ans_4 string, dy_correct_ans string, dy_explain string, updated_at string")
+    full = {"A": " w ", "B": "x", "C": "y", "D": "z"}
+    edits = spark.createDataFrame([(1, " new ", full, " c ", None), (2, "  ", full, "A", ""), (9, "n", full, "A", "")], "id int, question string, options map<string,string>, answer string, explanation string")
+    got = {r["id"]: tuple(r)[1:] for r in dml.edited(bank, edits, "id", F.lit("now")).collect()}
+    assert got == {1: ("new", "w", "x", "y", "z", "3", "", "now"), 2: ("r", "a", "b", "c", "d", "2", None, None)}
+    wrong = [("q", "E", full), ("q", "a", full | {"D": " "}), (None, "A", full), ("q", "A", full)]
+    df = spark.createDataFrame(wrong, "q string, a string, o map<string,string>")
+    assert [r[0] for r in df.select(dml.edit_errors(F.col("q"), F.col("a"), F.col("o"))).collect()] == ["answer", "options", "question", None]
+
+
+def test_push_order_is_by_number_then_id(spark):
+    df = spark.createDataFrame([(1, "10"), (2, "9"), (3, "x"), (4, None), (5, " 9 ")], "id int, dy_order string")
+    assert [r["id"] for r in adapters.in_push_order(df).orderBy("place").collect()] == [3, 4, 2, 5, 1]
+
+
+def test_api_rows_and_times(spark):
+    names = "source_filename dy_ques_id dy_code ln_code dy_order dy_question dy_ans_1 dy_ans_2 dy_ans_3 dy_ans_4 dy_correct_ans dy_explain difficulty batch_id board standard group_name subject dy_image_name dy_explain_image_name".split()
+    df = spark.range(1).withColumns({n: F.lit(None).cast("string") for n in names}).withColumns({"dy_pattern": F.lit("x"), "dy_seconds": F.lit(" 25 "), "created_at": F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"), "updated_at": F.lit("2024-01-02 03:04:05.5").cast("timestamp_ntz")})
+    row = df.select(*(c.alias(k) for k, c in questions.api_row(F.lit(True)).items())).first()
+    assert (row["dy_pattern"], row["dy_seconds"], row["dy_image_name"], row["created_at"], row["updated_at"], row["selected"]) == (1, 25, "", "2024-01-02T03:04:05", "2024-01-02T03:04:05.500000", True)
+    assert len(row) == 26 and apply(spark, ["Maths", "Music", None], numbers.subject_prefix) == ["MA", None, None]
+
+
+def test_payloads_are_cleaned(spark):
+    kind = "struct<question:string,options:map<string,string>,answer:string,correct_answer_text:string,explanation:string>"
+    df = spark.createDataFrame([(("a plus b", {"A": "x minus y", "B": "z"}, "A", "p equals q", None),)], f"q {kind}")
+    q = df.select(questions.cleaned(F.col("q")).alias("q")).first()["q"]
+    assert (q["question"], q["options"], q["correct_answer_text"], q["explanation"], q["answer"]) == ("a + b", {"A": "x - y", "B": "z"}, "p = q", None, "A")
+
+
+def test_summaries(spark):
+    from lectern.plans import summaries
+
+    replies = spark.createDataFrame([(1, '{"bullets":["one two", "One  two", "three"]}'), (2, "1. a first item of the list\n2. a second item of the list"), (3, "")], "lesson_no int, reply string")
+    bullets = summaries.replies_to_bullets(replies)
+    assert {r["lesson_no"]: r["bullets"] for r in bullets.collect()} == {1: ["one two", "three"], 2: ["a first item of the list", "a second item of the list"]}
+    lessons = spark.createDataFrame([(1, "1", "L", 1, 2, [("1.1", "Three kinds"), ("1.2", "Light")]), (2, "2", "M", 3, 4, [])], "lesson_no int, lesson_number string, lesson_name string, start_page int, end_page int, subsections array<struct<code:string,title:string>>")
+    assert [[tuple(x) for x in r["missing"]] for r in summaries.uncovered(lessons, bullets).collect()] == [[("1.2", "Light")]]
+    more = summaries.with_more(bullets, spark.createDataFrame([(1, ["light"])], "lesson_no int, bullets array<string>"))
+    old = spark.createDataFrame([(7,)], "id long")
+    rows = summaries.stored(lessons.join(more, "lesson_no"), old, {"board": "B", "batch_id": "x"}, F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+    got = {r["id"]: (r["lesson_name"], json.loads(r["bullets"]), r["difficulty"], r["board"]) for r in rows.collect()}
+    assert got == {8: ("L", ["one two", "three", "light"], "moderate", "B"), 9: ("M", ["a first item of the list", "a second item of the list"], "moderate", "B")}
+    overall = rows.unionByName(rows.filter("id = 8").withColumn("lesson_number", F.lit("OVERALL")))
+    assert summaries.shown(overall, board="B", subject="").count() == 2 and summaries.shown(overall).filter("id = 8").first()["created_at"] == "2024-01-02T03:04:05"
+    assert [r["id"] for r in summaries.exported(overall, "x").orderBy("place").collect()] == [8, 9]
+
+
+def test_question_files(spark):
+    from lectern.plans import summaries
+
+    rows = [("hard", 1, "q2", {"A": "x"}, "A"), ("easy", 2, "q1", {"A": "x", "B": "y"}, "B"), ("other", 1, "z", {}, "A")]
+    lines = summaries.question_lines(spark.createDataFrame(rows, "level string, position int, question string, options map<string,string>, answer string"))
+    text = "\n".join(r["line"] for r in lines.orderBy("level_no", "number", "line_no").collect())
+    bar = "=" * 15
+    assert text == f"\n{bar} EASY {bar}\n\nQ1.q1\n  A. x\n  B. y\n   correct Answer: B\n\n{bar} MODERATE {bar}\n\n{bar} HARD {bar}\n\nQ1.q2\n  A. x\n   correct Answer: A"
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [summaries.next_name(names(*x)) for x in (["a.txt"], ["generated_questions1.txt", "generated_questions2.txt", "generated_questions5.txt"], ["generated_questions2.txt"])] == ["generated_questions1.txt", "generated_questions3.txt", "generated_questions1.txt"]
+
+
+def test_rounds_fill_up():
+    asked = []
+
+    def ask(short, window, avoid):
+        asked.append((short, window, len(avoid)))
+        if len(asked) == 2:
+            raise OSError
+        return list(range(4))
+
+    assert len(generation.topped_up(ask, 10, [0] * 3, rounds=5, windows=2)) == 10 and asked == [(14, 0, 3), (6, 1, 7), (6, 0, 7)]
+    assert len(generation.topped_up(lambda *_: [], 10, [1], rounds=2)) == 1
+
+
+def test_office_files(spark, tmp_path):
+    import zipfile
+
+    from lectern.sources import readers
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>one </w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')
+    p, d = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
+    r, k = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/relationships"
+    slide = lambda *t: f'<p:sld xmlns:p="{p}" xmlns:a="{d}"><p:cSld><p:spTree><p:sp><p:txBody><a:p>' + "".join(f"<a:r><a:t>{x}</a:t></a:r>" for x in t) + "</a:p></p:txBody></p:sp><p:pic/></p:spTree></p:cSld></p:sld>"
+    with zipfile.ZipFile(tmp_path / "b.pptx", "w") as z:
+        z.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId id="1" r:id="r2"/><p:sldId id="2" r:id="r1"/></p:sldIdLst></p:presentation>')
+        z.writestr("ppt/_rels/presentation.xml.rels", f'<Relationships xmlns="{k}"><Relationship Id="r1" Target="slides/slide1.xml"/><Relationship Id="r2" Target="slides/slide2.xml"/></Relationships>')
+        z.writestr("ppt/slides/slide1.xml", slide("last"))
+        z.writestr("ppt/slides/slide2.xml", slide("a", "b"))
+    (tmp_path / "c.txt").write_bytes(b"x\r\ny")
+    found = files.files(spark, str(tmp_path))
+    pages = files.read_pages(found, readers.READERS)
+    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in pages.collect()}
+    assert got == {"a.docx": "one \ttwo\n\nthree", "b.pptx": "\n--- slide1 --\na b \n\n--- slide2 --\nlast \n", "c.txt": "x\ny"}
+    assert {r["text"] for r in files.legacy_text(pages, 3).collect()} == {"one", "\n--", "x\ny"} and files.marked_text(pages).filter("text LIKE '%=== PAGE 1 ===%'").count() == 3
+    cache = spark.createDataFrame([(r["key"], "eng+tam", "cached") for r in found.filter("kind = '.txt'").collect()] + [("k", "eng", "no")], "key string, language string, text string")
+    texts, new = files.read_through(found, cache, lambda x: files.marked_text(files.read_pages(x, readers.READERS)).select("key", "text"))
+    assert texts.count() == 3 and texts.filter("text = 'cached'").count() == 1 and new.count() == 2
+    for reader in (readers.read_pdf, readers.read_image):
+        try:
+            reader(b"")
+        except RuntimeError as e:
+            assert "needs" in str(e)
+        except Exception:  # noqa: BLE001  a library is installed and refuses the empty file
+            pass
+
+
+def test_prompts(spark):
+    from lectern.plans import prompts
+
+    c = F.lit
+    row = spark.range(1).select(prompts.questions(c("notes here"), c(2), c("hard"), c("Tamil"), F.array(c(1), c(2)), avoid=F.array(c("old one")), book=F.array().cast("array<string>")).alias("q"), prompts.coverage(F.array(F.struct(c("1.2").alias("code"), c("Light").alias("title"))), F.array(c("b")), c("L")).alias("c")).first()
+    assert "Write 2 multiple choice" in row["q"] and "- old one" in row["q"] and "book" not in row["q"] and row["q"].endswith("notes here") and "- 1.2 Light" in row["c"]
+
+
 def test_tables_change(spark):
     bank = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", "y")], "id int, name string, board string")
     changes = spark.createDataFrame([(1, ""), (2, None)], "id int, board string")
@@ -181,18 +325,66 @@ def test_lessons(spark):
     got = segment.by_running_headers(pages).orderBy("lesson_no").collect()
     assert [(r["lesson_name"], r["start_page"], r["end_page"]) for r in got] == [("Plants", 1, 3), ("Animals", 4, 7)]
     heads = segment.by_line_headings(spark.createDataFrame([(1, "Lesson 1: Air\n" + "x" * 40 + "\nChapter IV\n" + "y" * 50)], "id int, t string"), "id", "t").orderBy("lesson_no").collect()
-    assert [(r["lesson_number"], r["lesson_name"]) for r in heads] == [("1", "Air"), ("IV", "")]
+    assert [(r["lesson_number"], r["lesson_name"]) for r in heads] == [("1", "Air"), ("IV", "Lesson IV")]
     best = segment.routed(segment.by_running_headers(pages), segment.by_units(pages))
     assert best.count() == 2
 
 
+def test_heading_lines_have_four_forms(spark):
+    body = "some words that are long enough to be a lesson "
+    text = f"Unit 3 - Motion\n3.1 Speed\n{body}\nகட்டுரை 2: வான்\n{body}\n4: Sound and Light\n{body}\n5\nThe Living World\n{body}1\nTopic 6\nshort"
+    got = segment.by_line_headings(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("lesson_no").collect()
+    assert [(r["lesson_id"], r["lesson_name"]) for r in got] == [("lesson_03", "Motion"), ("lesson_02", "வான்"), ("lesson_04", "Sound and Light"), ("lesson_05", "The Living World")]
+    assert [tuple(x) for x in got[0]["subsections"]] == [("3.1", "Speed\n" + body.strip())] and {(r["start_page"], r["end_page"]) for r in got} == {(1, 1)}
+
+
+def paged(*texts):
+    return "".join(f"\n=== PAGE {n} ===\n{t}\n" for n, t in enumerate(texts, 1))
+
+
+def test_unit_headings_skip_exercises_and_find_titles(spark):
+    long = "words of the lesson " * 4
+    texts = [f"Unit 1: Air\n{long}", f"Fill in the blanks\nUnit 9\n{long}", f"Evaluation\nUnit 8\n{long}", f"Unit 2\nSummary\nThe Water Cycle\n{long}", f"page {long}\nUnit_3", f"x {long}\nUnit_4", f"Plant Life\n{long}\nChapter 5", f"Plant Life\n{long}"]
+    pages = sections.pages(spark.createDataFrame([("d", paged(*texts)), ("e", paged(f"Unit 1\n{long}", long))], "doc string, t string"), "doc", "t")
+    got = segment.by_unit_headings(pages).orderBy("doc", "lesson_no").collect()
+    assert [(r["lesson_number"], r["lesson_name"], r["start_page"], r["end_page"]) for r in got] == [("1", "Air", 1, 3), ("2", "The Water Cycle", 4, 5), ("4", "Lesson 4", 6, 6), ("5", "Plant Life", 7, 8)]
+
+
+def test_router_takes_the_first_method_that_finds_lessons(spark):
+    long = "words of the lesson " * 4
+    rows = [
+        ("headings", f"Lesson 1: Air\n{long}\nLesson 2: Water\n{long}", "f.txt"),
+        ("units", paged(f"Unit 1: Air\n{long}", f"a {long}", f"Unit 2: Sea\n{long}"), "f.pdf"),
+        ("whole", "Topic: Moving Air\nnothing else", "f.txt"),
+        ("blank", " \n", "f.txt"),
+        ("none", None, None),
+    ]
+    got = segment.split_lessons(spark.createDataFrame(rows, "doc string, text string, name string")).orderBy("doc", "lesson_no").collect()
+    assert [(r["doc"], r["lesson_name"]) for r in got] == [("headings", "Air"), ("headings", "Water"), ("units", "Air"), ("units", "Sea"), ("whole", "Moving Air")]
+
+
+def test_cuts_are_at_whole_marks(spark):
+    text = "a" * 20 + "\n\n\n" + "b" * 20 + "\n=== PAGE x" + "c" * 20 + "\n=== PAGE 7 ===\n" + "d" * 40
+    marks = [20, 74]
+    parts, start, want = chunks.cut(text, 60, 5), 0, []
+    while len(text) - start > 60:
+        stop = max([m for m in marks if start < m <= start + 60], default=start + 60)
+        want.append(text[start:stop])
+        start = max(stop - 5, start + 1)
+    assert parts == [*want, text[start:]]
+
+
 def test_subsections_query_reads_whole_texts(spark, tmp_path):
     from lectern.plans import texts
 
     rows = [(1, "x" * 500 + "\n3.4 Far heading\n9"), (2, "plain")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, texts.subsections(spark, str(tmp_path)).collect()))
-    assert got == [(1, "3.1", "First part"), (1, "3.2.1", "Second, part"), (1, "3.4", "Far heading"), (2, "3.1", "First part"), (2, "3.2.1", "Second, part")]
+    want = []
+    for n, t in rows:
+        body = f"3.1 First part\n{t}\n3.2.1 Second, part\n4.1 Other\n{t}\n 3.4 Last"
+        want += [(n, m[1].strip(), m[2].strip()) for m in re.finditer(r"(?m)^\s*(3(?:\.\d+)+)\s+([A-Za-z\u0B80-\u0BFF\s,\-]{3,80})", body)]
+    assert got == sorted(want) and any(x[2].startswith("Far heading") for x in got)
 
 
 def test_jobs(spark):
