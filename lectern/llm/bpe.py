@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import map_slices, prepared, table
+from lectern.llm.common import map_slices, prepared, sole, table
 
 FAR = 1 << 62
 
@@ -295,6 +295,7 @@ _LOADED: dict[str, Tokenizer] = {}
 
 def loaded(blob: bytes) -> Tokenizer:
     """One tokenizer for each file and worker process."""
+    sole("bpe", _LOADED.clear)
     key = hashlib.sha256(blob).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
@@ -318,8 +319,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     """Encodes whole texts and decodes them again; one row out for each row in, no shuffle.
 
     Columns: ``keep``, n_tokens, ids (if asked for), ids_sha256, decoded_sha256 and restored_sha256 (of the
-    text the byte-to-text machine gives back). Repeated rows stay; a null or empty text has no ids.
+    text the byte-to-text machine gives back). Repeated rows stay; a null or empty text has no ids. A kept column can't have the name of a made one.
     """
+    clash = {"n_tokens", "ids", "ids_sha256", "decoded_sha256", "restored_sha256"}.intersection(keep)
+    if clash:
+        raise ValueError(f"rename {', '.join(sorted(clash))} first")
     spark = prepared(docs.sparkSession)
     blob = spark.sparkContext.broadcast(read_vocabulary(path))
     kept = [docs.schema[c] for c in keep]

@@ -57,6 +57,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def compact(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """A checkpoint in as many files as ``rows`` need at ``each`` a file, and in no more than there are partitions: small tables don't become many files."""
+    return df.coalesce(max(1, -(-rows // each))).checkpoint()
+
+
 def swept() -> None:
     """Removes the tables that ``written`` has made, as far as their sessions still run."""
     while _FOLDERS:

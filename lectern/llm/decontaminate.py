@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lowered, table
+from lectern.llm.common import lowered, prepared, table
 
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,8 +110,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, bound: int = TABLE_B
 
 
 def _joined(docs: DataFrame, grams: DataFrame, widths: list[int], kind: str) -> DataFrame:
-    """The same for any number of n-grams: windows and n-grams meet by a shuffle on their hash."""
-    marked = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    """The same for any number of n-grams: windows and n-grams meet by a shuffle on their hash.
+
+    The numbered rows are checkpointed, so that a row that is made again after an executor is lost keeps its number.
+    """
+    prepared(docs.sparkSession)
+    marked = docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint().withColumn("_words", words_of(F.col("text")))
     hashes = F.transform("_words", lambda x: F.xxhash64(x))
 
     def placed(h: Column, width: int) -> Column:

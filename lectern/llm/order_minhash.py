@@ -6,7 +6,7 @@ hash of that tuple is the coordinate. Equal coordinates therefore need the same
 edit distance more closely than sets do. The likeness of two fingerprints is the share of equal coordinates.
 
 For ``edited`` texts the next document in descending doc_id is needed. Documents are dealt by ranges of doc_id with
-boundaries from an approximate quantile of the ids; the first document of each range is also dealt to the range before it, and each range is
+boundaries from a range shuffle of the ids alone; the first document of each range is also dealt to the range before it, and each range is
 sorted and streamed, so the texts are shuffled once and a task holds two of them at a time.
 
 Defined results: null text is ''; all texts without code points have one and the same fingerprint; texts shorter than ``k`` are one k-mer; of equal
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, prepared, sliced, table
+from lectern.llm.common import arrow_schema, compact, prepared, sliced, table
 from lectern.llm.neardup import mixed
 
 KMER, COORDS = 8, 32
-#: Documents in a range of doc_id, on average; bounds the number of ranges and of boundaries on the driver.
-RANGE_ROWS, MOST_RANGES = 4000, 20_000
+#: Documents in a range of doc_id, on average, and the most ranges (8 bytes each in every task): ranges are larger only beyond 4 billion documents.
+RANGE_ROWS, MOST_RANGES = 4000, 1_000_000
 
 
 class Sketcher:
@@ -124,44 +124,33 @@ def edited(text: str, after: str) -> str:
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """Adds part (range of descending doc_id) and extra (a copy of the first document of the range after)."""
-    rows = docs.count()
-    ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    cuts: list[int] = []
-    if ranges > 1:
-        found = docs.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], F.lit(100 * ranges)).alias("c")).first()["c"]
-        cuts = sorted({int(c) for c in found or ()}, reverse=True)
-    named = docs.withColumn("part", _above(cuts, F.col("doc_id")))
-    tops = {r["part"]: r["top"] for r in named.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
-    order = sorted(tops)
-    if not order:
-        return named.withColumn("extra", F.lit(False))
-    before = {p: order[n - 1] for n, p in enumerate(order)}  # the first range follows the last
-    every = range(len(cuts) + 1)
-    top = F.array(*(F.lit(tops.get(p)).cast("long") for p in every))
-    back = F.array(*(F.lit(before.get(p)).cast("int") for p in every))
-    leads = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("part") + 1))
+    """Adds part (range of descending doc_id) and extra (a copy of the first document of the range after; the first range follows the last)."""
+    ranges = max(1, min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    dealt = docs.filter("doc_id IS NOT NULL").select("doc_id").repartitionByRange(ranges, F.desc("doc_id"))
+    tops = compact(dealt.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("top")).select("top"), ranges)
+    n = tops.count()
+    if not n:
+        return docs.withColumn("part", F.lit(0)).withColumn("extra", F.lit(False)).unionByName(docs.limit(1).withColumn("part", F.lit(0)).withColumn("extra", F.lit(True)))
+    # One row for each range, in descending order, as one value that every task holds.
+    named = docs.withColumn("tops", tops.agg(F.sort_array(F.collect_list("top"), asc=False)).scalar())
+    named = named.withColumn("part", F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.greatest(_reached(F.col("tops"), F.col("doc_id"), n) - 1, F.lit(0))))
+    leads = F.coalesce(F.col("doc_id") == F.element_at("tops", F.col("part") + 1), F.lit(False))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
-    copy = F.struct(F.element_at(back, F.col("part") + 1).alias("part"), F.lit(True).alias("extra"))
+    copy = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("extra"))
     places = F.when(leads, F.array(own, copy)).otherwise(F.array(own))
     return named.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.part").alias("part"), F.col("p.extra").alias("extra"))
 
 
-def _above(cuts: list[int], key: Column) -> Column:
-    """How many of the descending cuts are above a key, by binary search; all of them for a null key."""
-    n = len(cuts)
-    if not n:
-        return F.lit(0)
-    cut = F.array(*(F.lit(c).cast("long") for c in cuts))
+def _reached(tops: Column, key: Column, n: int) -> Column:
+    """How many of the ``n`` descending tops are not under a key, by binary search."""
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        open_, above = acc["lo"] < acc["hi"], F.element_at(cut, F.least(mid, F.lit(n - 1)) + 1) > key
-        return F.struct(F.when(open_ & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~above, mid).otherwise(acc["hi"]).alias("hi"))
+        open_, reached = acc["lo"] < acc["hi"], F.element_at(tops, F.least(mid, F.lit(n - 1)) + 1) >= key
+        return F.struct(F.when(open_ & reached, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~reached, mid).otherwise(acc["hi"]).alias("hi"))
 
     steps = F.array(*(F.lit(i) for i in range(n.bit_length() + 1)))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda acc: acc["lo"])
-    return F.when(key.isNull(), F.lit(n)).otherwise(found)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda acc: acc["lo"])
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

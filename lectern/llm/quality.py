@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 Terms of a text: the shapes of its tokens (letter and digit runs as one sign, other signs kept), pairs of neighbouring shapes,
-the first letters of words, and repeats of the token before, each hashed to a fixed number of columns. A truncated singular
+words in lower case, and repeats of the token before, each hashed to a fixed number of columns. A truncated singular
 value decomposition of the weighted terms of labelled texts gives the latent space. The labelled vectors (at most
 2 * PER_CLASS rows of DIMS numbers) are broadcast; each block of documents is multiplied with all of them, so the cosines are
 exact, and the K nearest vote, each with its cosine to the power SHARP as weight.
@@ -20,7 +20,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import labelled_sample, prepared, rejected, scored, table
+from lectern.llm.common import labelled_sample, prepared, rejected, scored, sole, table
 
 BINS, DIMS, K, SHARP = 1024, 32, 15, 4
 PER_CLASS = 2000
@@ -30,17 +30,17 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\
 
 
 def _shape(token: str) -> str:
-    return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", token)))[:12]
+    return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", token)))
 
 
 class Terms(dict):
     """Token to shape column * BINS + word column, remembered up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         shape = zlib.crc32(_shape(token).encode()) % BINS
-        word = zlib.crc32(token[:4].lower().encode()) % BINS
+        word = zlib.crc32(token.lower().encode()) % BINS
         found = self[token] = shape * BINS + word
         return found
 
@@ -116,7 +116,12 @@ def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> M
 def worker(spark: SparkSession, model: Model):
     """A factory of scorers for tasks; the model is broadcast (at most 2 * PER_CLASS vectors and the space, about 1 MB)."""
     sent = prepared(spark).sparkContext.broadcast(model)
-    return lambda: sent.value.scores
+
+    def make():
+        sole("quality", _TERMS.clear)
+        return sent.value.scores
+
+    return make
 
 
 def classify(docs: DataFrame, model: Model, held: tuple[int, int] = HELD) -> DataFrame:

@@ -23,21 +23,26 @@ from lectern.llm.common import lowered, prepared, table
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Block if the bad rate is over THRESHOLD with about 95 % posterior probability (Z standard deviations).
 THRESHOLD, Z = 0.35, 1.645
-#: Suffixes of more than one label under which names are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Second labels under which names are registered in the countries of COUNTRIES (all pairs of the two), and other suffixes of more than one label.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "gv", "ltd", "mil", "net", "nom", "or", "org", "plc", "sch")
+COUNTRIES = ("ae", "ar", "at", "au", "br", "cn", "co", "cr", "eg", "es", "gr", "hk", "id", "il", "in", "jp", "ke", "kr", "lk", "mx", "my", "ng", "nz", "pe", "ph", "pk", "pl", "pt", "sa", "sg", "th", "tr", "tw", "ua", "uk", "uy", "ve", "vn", "za")
+LONG_SUFFIXES = tuple(f"{s}.{c}" for c in COUNTRIES for s in SECOND) + ("go.jp", "ne.jp", "go.kr", "re.kr", "go.id", "go.th", "nhs.uk", "police.uk", "me.uk", "asso.fr", "gouv.fr", "github.io", "blogspot.com")
+ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
 
 
-def parts(pages: DataFrame) -> DataFrame:
-    """Adds host, path, domain (registered) and suffix."""
+def parts(pages: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+    """Adds host, path, domain (registered) and suffix; an address of numbers is its own domain, under the suffix ''."""
     url = F.coalesce("url", F.lit(""))
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     host = lowered(F.regexp_extract(rest, r"^[^/?#]*", 0))
-    name = F.regexp_replace(F.col("host"), r":\d*$", "")
-    long = "|".join(x.replace(".", r"\.") for x in LONG_SUFFIXES)
-    suffix = F.regexp_extract(name, rf"(?:^|\.)({long}|[^.]*)$", 1)
-    domain = F.regexp_extract(name, rf"([^.]*\.)?({long}|[^.]*)$", 0)
     out = pages.withColumn("host", host).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
-    return out.withColumn("domain", domain).withColumn("suffix", suffix)
+    name = F.regexp_replace(F.col("host"), r":\d*$", "")
+    tail = F.regexp_extract(name, r"(?:^|\.)([^.]*\.[^.]*)$", 1)  # the last two labels
+    suffix = F.when(tail.isin(*long_suffixes), tail).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
+    before = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
+    domain = F.concat(F.regexp_extract(before, r"([^.]*\.)?$", 0), suffix)
+    number = name.rlike(ADDRESS)
+    return out.withColumn("domain", F.when(number, name).otherwise(domain)).withColumn("suffix", F.when(number, "").otherwise(suffix))
 
 
 def matched(rules: tuple[tuple[str, str, str], ...]) -> tuple:
@@ -49,9 +54,8 @@ def matched(rules: tuple[tuple[str, str, str], ...]) -> tuple:
     return rule, verdict
 
 
-def shrunk(level: DataFrame, parent: DataFrame, up: str) -> DataFrame:
-    """Posterior a, b of each key of a level (up, n, k) towards its parent's mean (up, mean)."""
-    rows = level.join(parent.select(up, F.col("mean").alias("m")), up)
+def shrunk(rows: DataFrame) -> DataFrame:
+    """Posterior a, b and mean of each key of a level (n, k, m) towards its parent's mean m."""
     fit = rows.filter("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2)).alias("spread"),
         (F.sum(F.col("n") * F.col("m") * (1 - F.col("m"))) / F.sum("n")).alias("v"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"),
@@ -71,11 +75,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESH
     seen = seen.join(known, "doc_id", "left")
     hosts = seen.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k")).checkpoint()
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).checkpoint()
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("top", F.lit(""))
-    top = suffixes.groupBy("top").agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("mean"))
-    by_suffix = shrunk(suffixes, top, "top")
-    by_domain = shrunk(domains, by_suffix, "suffix").checkpoint()
-    by_host = shrunk(hosts, by_domain.drop("suffix"), "domain")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    whole = suffixes.agg((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).first()[0]  # one number
+    by_suffix = shrunk(suffixes.withColumn("m", F.lit(whole)))
+    by_domain = shrunk(domains.join(by_suffix.select("suffix", F.col("mean").alias("m")), "suffix")).checkpoint()
+    by_host = shrunk(hosts.join(by_domain.select("domain", "suffix", F.col("mean").alias("m")), ["domain", "suffix"]))
     size = F.col("a") + F.col("b")
     bound = F.col("mean") - z * F.sqrt(F.col("a") * F.col("b") / (size * size * (size + 1)))
     return by_host.select("host", F.col("n").cast("long").alias("n_labelled"), F.col("k").cast("long").alias("n_bad"), "mean", bound.alias("bound"), (bound > threshold).alias("blocked"))
@@ -100,20 +104,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), label_outcomes(table(spark, sf_dir, "labels")))
 
 
-ORACLE = r"""
+ORACLE = (r"""
 WITH r AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 d AS (
-  SELECT *, regexp_extract(regexp_replace(host, ':\d*$', ''), '(?:^|\.)(co\.uk|org\.uk|ac\.uk|com\.au|co\.jp|com\.br|[^.]*)$', 1) AS suffix,
-         regexp_extract(regexp_replace(host, ':\d*$', ''), '([^.]*\.)?(co\.uk|org\.uk|ac\.uk|com\.au|co\.jp|com\.br|[^.]*)$') AS domain FROM h),
+  SELECT *, CASE WHEN name IN (""" + ", ".join(f"'{x}'" for x in LONG_SUFFIXES) + r""") OR regexp_extract(name, '(?:^|\.)([^.]*\.[^.]*)$', 1) IN (""" + ", ".join(f"'{x}'" for x in LONG_SUFFIXES) + r""")
+                 THEN regexp_extract(name, '(?:^|\.)([^.]*\.[^.]*)$', 1) WHEN regexp_matches(name, '""" + ADDRESS + r"""') THEN '' ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix
+  FROM (SELECT *, regexp_replace(host, ':\d*$', '') AS name FROM h)),
+e AS (
+  SELECT *, CASE WHEN regexp_matches(name, '""" + ADDRESS + r"""') THEN name ELSE regexp_extract(left(name, length(name) - length(suffix)), '([^.]*\.)?$') || suffix END AS domain FROM d),
 l AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (
   SELECT host, domain, suffix, count(bad)::double AS n, coalesce(sum(bad), 0)::double AS k
-  FROM d LEFT JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/(\d+)', 1) AS bigint) GROUP BY ALL),
+  FROM e LEFT JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/(\d+)', 1) AS bigint) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 s0 AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM suffixes) AS m FROM suffixes),
@@ -123,19 +130,19 @@ s3 AS (SELECT suffix, (k + s * m) / (n + s) AS mean FROM s0, s2),
 d0 AS (SELECT domains.*, mean AS m FROM domains JOIN s3 USING (suffix)),
 d1 AS (SELECT sum(n * pow(k / n - m, 2)) AS spread, sum(n * m * (1 - m)) / sum(n) AS v, sum(n) AS total, count(*) AS groups FROM d0 WHERE n > 0),
 d2 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN v > 0 THEN (spread / v - groups) / nullif(total - groups, 0) END, 0.001), 0.001), 0.9) - 1 AS s FROM d1),
-d3 AS (SELECT domain, (k + s * m) / (n + s) AS mean FROM d0, d2),
-h0 AS (SELECT hosts.*, mean AS m FROM hosts JOIN d3 USING (domain)),
+d3 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS mean FROM d0, d2),
+h0 AS (SELECT hosts.*, mean AS m FROM hosts JOIN d3 USING (domain, suffix)),
 h1 AS (SELECT sum(n * pow(k / n - m, 2)) AS spread, sum(n * m * (1 - m)) / sum(n) AS v, sum(n) AS total, count(*) AS groups FROM h0 WHERE n > 0),
 h2 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN v > 0 THEN (spread / v - groups) / nullif(total - groups, 0) END, 0.001), 0.001), 0.9) - 1 AS s FROM h1),
 h3 AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM h0, h2),
 h4 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.35 AS blocked FROM h3),
 ruled AS (
-  SELECT d.*, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  SELECT e.*, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
                    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
                    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
                    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-                   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM d)
+                   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM e)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN h4 USING (host)
-"""
+""")

@@ -577,3 +577,101 @@ def test_pipeline_stages_match_brute_force(spark, sf):
             wrong = {x[0] for x in brute_hits(rows, [(x["item_id"], x["text"]) for x in items]) if x[-1]}
         docs = out.checkpoint()
         assert sorted(x["doc_id"] for x in docs.collect()) == sorted(i for i, _ in rows if i not in wrong), name
+
+
+@pytest.mark.parametrize("name", ["op3_chat", "op4_decontaminate", "op9_minhash", "op10_reputation"])
+def test_queries_match_their_oracles(spark, sf, tmp_path, name):
+    import duckdb
+
+    from lectern.llm import registry
+
+    c = duckdb.connect()
+    for t in ("documents", "labels", "pages", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    registry.QUERIES[name](spark, sf).write.parquet(str(tmp_path / name))
+    mine, want = c.sql(f"SELECT * FROM '{tmp_path / name}/*.parquet'"), c.sql(registry.ORACLES[name])
+    columns = sorted(mine.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda r: sorted(map(repr, r.project(", ".join(f'"{x}"' for x in columns)).fetchall()))
+    assert rows(mine) == rows(want)
+
+
+def test_reputation_domains(spark):
+    hosts = ["a.b.co.uk", "b.gov.uk", "co.uk", "x.com", "a.b.x.com", "1.2.3.4", "1.2.3.4:80", "[::1]", "com", ""]
+    pages = spark.createDataFrame([(n, f"http://{h}/1") for n, h in enumerate(hosts)], "page_id long, url string")
+    got = {x["page_id"]: (x["domain"], x["suffix"]) for x in reputation.parts(pages).collect()}
+    assert [got[n] for n in range(len(hosts))] == [("b.co.uk", "co.uk"), ("b.gov.uk", "gov.uk"), ("co.uk", "co.uk"), ("x.com", "com"), ("x.com", "com"), ("1.2.3.4", ""), ("1.2.3.4", ""), ("[::1]", ""), ("com", "com"), ("", "")]
+    assert reputation.parts(pages, ()).filter("page_id = 0").first()["domain"] == "co.uk"
+
+
+def test_quality_votes_are_those_of_plain_nearest_neighbours():
+    """Scores against the same vectors compared one by one."""
+    r = random.Random(6)
+    good = [" ".join(r.choice(WORDS[:200]).capitalize() + "." for _ in range(30)) for _ in range(60)]
+    bad = [" ".join(r.choice(WORDS[200:]) + r.choice("!#$%") for _ in range(30)) for _ in range(60)]
+    model = quality.fit([(t, 1) for t in good] + [(t, 0) for t in bad])
+    texts = [good[0] + " " + bad[0], bad[1], good[1], "w1 w2 w3", "!!! 12", prose(4, 2000)]
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        own = unit((unit(quality.vectors([text])[0]) * model.weight) @ model.space)
+        votes = sorted(((float(own @ k), float(y)) for k, y in zip(model.known, model.label, strict=True)), reverse=True)[: quality.K]
+        weight = [max(cos, 0) ** quality.SHARP for cos, _ in votes]
+        want = sum(w * y for w, (_, y) in zip(weight, votes, strict=True)) / sum(weight) if sum(weight) > 1e-9 else model.base
+        assert got == pytest.approx(want, abs=2e-3)
+    assert model.scores([None, "", " "]) == [model.base] * 3
+
+
+def test_brown_score_is_that_of_a_plain_class_model(spark):
+    """Scores from a dictionary model with the same classes: transitions with additive smoothing and emissions with one unseen word a class."""
+    import math
+    import zlib
+    from collections import Counter
+
+    r = random.Random(21)
+    rows = [(n, " ".join(r.choice(WORDS[:40] if n % 2 else WORDS[40:80]) for _ in range(60))) for n in range(60)] + [(900, "never seen words"), (901, None)]
+    seen = {}
+    real = brown.clustered
+
+    def spy(texts, label, sweeps):
+        seen["label"], seen["joint"] = real(texts, label, sweeps)
+        return seen["label"], seen["joint"]
+
+    brown.clustered = spy
+    try:
+        got = {x["doc_id"]: x["score"] for x in brown.score(docs_of(spark, rows), units=30, endings=4, classes=3, head_size=1000, least=2).collect()}
+    finally:
+        brown.clustered = real
+    train = [(t or "").encode().lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    own = [w for w in ranked if counts[w] >= 2]
+    label = [int(x) for x in seen["label"]]
+    unit = {w: n for n, w in enumerate(ranked)}
+    class_of = lambda w: label[unit[w]] if w in own else label[len(ranked) + zlib.crc32(w[-3:]) % 4]
+    end = label[-1]
+    pairs, tokens, kinds = Counter(), Counter(), Counter()
+    for t in train:
+        walk = [end, *map(class_of, t), end]
+        pairs.update(zip(walk, walk[1:], strict=False))
+        tokens.update(map(class_of, t))
+    kinds.update(map(class_of, counts))
+    n = max(label) + 1
+    step = lambda a, b: math.log10((pairs[a, b] + brown.ALPHA) / (sum(pairs[a, c] for c in range(n)) + n * brown.ALPHA))
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        walk = [end, *map(class_of, words), end]
+        want = sum(step(a, b) for a, b in zip(walk, walk[1:], strict=False)) + sum(math.log10((counts[w] + 1) / (tokens[class_of(w)] + kinds[class_of(w)] + 1)) for w in words)
+        assert got[i] == pytest.approx(want, abs=1e-6), i
+
+
+def test_bpe_kept_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "one two", 5, "x")], "doc_id long, text string, n_tokens int, ids string")
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode_documents(df, keep=("doc_id", "n_tokens"))
+    assert bpe.encode_documents(df.withColumnRenamed("n_tokens", "n"), keep=("doc_id", "n", "text")).first()["n"] == 5
+
+
+def test_packed_rows_are_written_whole(odd, tmp_path, spark):
+    rows = packing.pack(odd, length=64, group=5000)
+    packing.write_packed(rows, str(tmp_path / "packed"))
+    assert spark.read.parquet(str(tmp_path / "packed")).count() == rows.count()
