@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_slices, prepared, sliced, sole, table, written
+from lectern.llm.common import compact, map_slices, prepared, sliced, sole, table, written
 
 WIDTH, COORDS, AGREE = 5, 64, 38
 #: Members of a block at most, and shingles of a side of a block on average; links of one centre that are dealt together.
@@ -223,9 +223,9 @@ def colliding(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(hits >= agree).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable, for every node of the edges (a, b). Alternating stars until nothing changes, one shared checkpoint a round."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, label): the least node reachable, for every node of at most ``rows`` edges (a, b). Alternating stars until nothing changes, one shared checkpoint a round."""
+    now = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), rows)
     sign = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -234,20 +234,19 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = small.filter("u <> v").distinct().checkpoint()
+        now = compact(small.filter("u <> v").distinct(), rows)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == sign:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        sign = seen
+        sign, rows = seen, seen[0]
 
 
-def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, agree: int, block: int | None = None) -> DataFrame:
+def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, agree: int, rows: int) -> DataFrame:
     """Links (a, b) between different components that meet in a posting list, without its star.
 
     Members outside a list's largest component ("strays") meet all members of a size class that allows a link, block by block. Blocks get the
-    signatures first; the sets only go to the blocks and members that have a partner there with ``agree`` collisions.
+    signatures first; the sets only go to the blocks and members that have a partner there with ``agree`` collisions. ``rows``: number of documents.
     """
-    block = BLOCK if block is None else block
     base = 100.001 / percent  # two sets that may be linked are at most one class apart
     named = posted.join(label, posted["set_key"] == label["node"], "left").select("token", "set_key", F.coalesce("label", "set_key").alias("label"))
     lists = (
@@ -256,12 +255,13 @@ def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: Dat
         .filter("parts > 1 AND n > 2").select("token", F.col("main.label").alias("main"))
     )
     sized = classes.select("set_key", F.floor(F.log(F.col("n_shingles")) / float(np.log(base))).cast("int").alias("cls"))
-    members = named.join(lists, "token").join(centres, "token").filter("set_key <> a").join(sized, "set_key").select("token", "set_key", "label", "cls", (F.col("label") != F.col("main")).alias("stray")).checkpoint()
+    members = named.join(lists, "token").join(centres, "token").filter("set_key <> a").join(sized, "set_key").select("token", "set_key", "label", "cls", (F.col("label") != F.col("main")).alias("stray"))
+    members = compact(members, rows)
     near = lambda df: df.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
     counts = members.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if("stray").alias("strays"))
-    room = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(SHINGLES / F.pow(F.lit(base), F.col("cls")))))
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(SHINGLES / F.pow(F.lit(base), F.col("cls")))))
     deal = counts.filter("strays > 0").join(near(counts).groupBy("token", "cls").agg(F.sum("n").alias("every")), ["token", "cls"])
-    deal = deal.select("token", "cls", F.ceil(F.col("strays") / room).cast("int").alias("ks"), F.ceil(F.col("every") / room).cast("int").alias("ka")).checkpoint()
+    deal = compact(deal.select("token", "cls", F.ceil(F.col("strays") / room).cast("int").alias("ks"), F.ceil(F.col("every") / room).cast("int").alias("ka")), rows)
     spot = F.xxhash64("set_key")
     i, j = F.pmod(spot, F.col("ks")).cast("int"), F.pmod(spot, F.col("ka")).cast("int")
     stray = members.filter("stray").join(deal, ["token", "cls"]).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("side", F.lit(0))
@@ -324,7 +324,7 @@ def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: Dat
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     kinds = "token long, cls int, i int, j int, side int, set_key binary, label binary"
-    met = signed_rows.groupBy(*cell).applyInArrow(meet, kinds).checkpoint()
+    met = compact(signed_rows.groupBy(*cell).applyInArrow(meet, kinds), rows, 5_000)
     return met.join(sets, "set_key").groupBy(*cell).applyInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -337,20 +337,23 @@ def grouped(docs: DataFrame, width: int, percent: int, coords: int, agree: int)
     """The columns of ``near_duplicates`` with each row's set_key and the label of its group (null for an empty set)."""
     prepared(docs.sparkSession)
     marked = signed(docs, width, coords).checkpoint()
-    classes = marked.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).checkpoint()
-    posted = postings(classes, coords, agree).checkpoint()
-    centres = posted.groupBy("token").agg(F.max(F.struct("typical", "set_key")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.col("c.set_key").alias("a")).checkpoint()
+    n = marked.count()  # of documents, so that of classes at most
+    classes = compact(marked.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), n, 5_000)
+    posted = compact(postings(classes, coords, agree), n, 5_000)
+    centres = compact(posted.groupBy("token").agg(F.max(F.struct("typical", "set_key")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.col("c.set_key").alias("a")), n)
     star = posted.join(centres, "token").filter("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
-    star = colliding(star, classes, agree).checkpoint()
+    star = compact(colliding(star, classes, agree), n)
     wanted = posted.select("set_key").distinct()
-    owners = classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct().checkpoint()
+    owners = compact(classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct(), n)
     if owners.count() <= BROADCAST_IDS:
         owners = F.broadcast(owners)
     sets = sets_of(docs, owners, width)
-    label = components(confirmed(star, sets, percent).checkpoint())
-    more = across(posted, centres, label, classes, sets, percent, agree).checkpoint()
-    if not more.isEmpty():
-        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    links = compact(confirmed(star, sets, percent), n, 5_000)
+    label = components(links, links.count())
+    more = compact(across(posted, centres, label, classes, sets, percent, agree, n), n)
+    extra = more.count()
+    if extra:
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), n + extra)
     named = classes.join(label, classes["set_key"] == label["node"], "left").select("set_key", "least", F.coalesce("label", "set_key").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     group = named.join(least, "label").select("set_key", "label", "component_id")
@@ -359,19 +362,19 @@ def grouped(docs: DataFrame, width: int, percent: int, coords: int, agree: int)
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "set_key", "label")
 
 
-def keyed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """The rows as they are with ``_set_key``, null for an empty set."""
-    prepared(docs.sparkSession)
+def keyed_rows(held: DataFrame, width: int) -> DataFrame:
+    """The rows as they are with ``_set_key`` of their ``_text``, null for an empty set."""
+    prepared(held.sparkSession)
 
     def run(batches):
         import xxhash
 
         own = shingler(width, COORDS)
         for part in sliced(batches):
-            sets = [own.shingles(t) for t in part.column("text").to_pylist()]
+            sets = [own.shingles(t) for t in part.column("_text").to_pylist()]
             yield part.append_column("_set_key", pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set_key", T.BinaryType())]))
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("_set_key", T.BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords: int = COORDS, agree: int = 33) -> DataFrame:
@@ -382,20 +385,22 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords:
     Documents without a doc_id cannot be told apart and stay.
     """
     marks = grouped(docs, width, percent, coords, agree).checkpoint()
-    gone = marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct().checkpoint()
+    gone = compact(marks.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct(), marks.count())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    away = lambda df: df.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
-    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again_id")).count().filter("count > 1").select("_again_id")
+    # Rows go along as one column, so that no column of docs can clash.
+    held = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    away = lambda df: df.join(gone, F.col("_id") == F.col("_gone_id"), "left_anti")
+    again = held.filter("_id IS NOT NULL").groupBy(F.col("_id").alias("_again_id")).count().filter("count > 1").select("_again_id")
     if again.isEmpty():
-        return away(docs)
-    rest = away(docs.join(again, F.col("doc_id") == F.col("_again_id"), "left_anti"))
+        return away(held).select("_row.*")
+    rest = away(held.join(again, F.col("_id") == F.col("_again_id"), "left_anti"))
     stays = marks.filter("kept AND doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id", "label").agg(F.min("set_key").alias("_stay_key"))
     stays = stays.select(F.col("doc_id").alias("_stay_id"), "_stay_key")
-    several = keyed_rows(docs.join(again, F.col("doc_id") == F.col("_again_id"), "left_semi"), width)
-    blank = several.filter("_set_key IS NULL").dropDuplicates(["doc_id", "text"])
-    full = several.join(stays, (F.col("doc_id").cast("long") == F.col("_stay_id")) & (F.col("_set_key") == F.col("_stay_key")), "left_semi").dropDuplicates(["doc_id", "_set_key"])
-    return rest.unionByName(full.drop("_set_key")).unionByName(blank.drop("_set_key"))
+    several = keyed_rows(held.join(again, F.col("_id") == F.col("_again_id"), "left_semi"), width)
+    blank = several.filter("_set_key IS NULL").dropDuplicates(["_id", "_text"])
+    full = several.join(stays, (F.col("_id") == F.col("_stay_id")) & (F.col("_set_key") == F.col("_stay_key")), "left_semi").dropDuplicates(["_id", "_set_key"])
+    return rest.select("_row.*").unionByName(full.select("_row.*")).unionByName(blank.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -675,3 +675,24 @@ def test_packed_rows_are_written_whole(odd, tmp_path, spark):
     rows = packing.pack(odd, length=64, group=5000)
     packing.write_packed(rows, str(tmp_path / "packed"))
     assert spark.read.parquet(str(tmp_path / "packed")).count() == rows.count()
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, odd_rows, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing names, no labels and no benchmark; then no documents at all."""
+    import corpus_pipeline
+
+    extra = odd.withColumn("_row", F.lit(1)).withColumn("_gone_id", F.lit("g")).withColumn("_set_key", F.lit("k")).withColumn("_words", F.lit("w"))
+    for name, docs in (("odd", extra), ("none", extra.limit(0))):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        now = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, now, str(folder))
+            if stage != "tokens":
+                assert sorted(out.columns) == sorted(docs.columns)
+            now = out.checkpoint()
+        got = sorted((x["doc_id"] or 0, x["n_tokens"] > 0) for x in now.collect())
+        assert got == (sorted([(0, True), (0, False), (1, False), (2, False), (3, False), (4, True), (6, True), (8, True), (10, True)]) if name == "odd" else [])
+        assert corpus_pipeline.run(spark, str(folder)).count() == len(got)
