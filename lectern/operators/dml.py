@@ -26,6 +26,13 @@ def numbered(new: DataFrame, key: str, order: list[Column], last: Column) -> Dat
     return numbered.withColumn(key, last + F.col("_before") + F.col("_nth") - F.col("_low") + 1).drop("_part", "_nth", "_before", "_low")
 
 
+def by_number_in_text(df: DataFrame, name: str, text: str, position: str) -> DataFrame:
+    """The place of each row by the whole number in a text of digits (0 for any other), rows of one number in the order of ``position``."""
+    core = T.strip(F.coalesce(text, F.lit("")))
+    number = F.coalesce(F.when(core.rlike("^[0-9]+$"), core.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return numbered(df.withColumn("_number", number), name, [F.col("_number"), F.col(position)], F.lit(0)).drop("_number")
+
+
 def replace_partition(stored: DataFrame, new: DataFrame, column: str, value) -> DataFrame:
     """All rows of one partition value replaced by ``new``."""
     return stored.filter(~F.col(column).eqNullSafe(F.lit(value))).unionByName(new)

@@ -57,10 +57,3 @@ def top_k(df: DataFrame, partition: list[str], by: list[Column], k: int) -> Data
 def zipped(left: DataFrame, right: DataFrame, keys: list[str], order_left: list[Column], order_right: list[Column]) -> DataFrame:
     """Pairs rows of two tables by their position within each key; the longer side's rest is left out."""
     return ranked(left, "_pos", order_left, keys).join(ranked(right, "_pos", order_right, keys), [*keys, "_pos"]).drop("_pos")
-
-
-def by_number_in_text(df: DataFrame, name: str, text: str, position: str) -> DataFrame:
-    """The place of each row by the whole number in a text of digits (0 for any other), rows of one number in the order of ``position``."""
-    core = F.btrim(F.coalesce(text, F.lit("")))
-    number = F.coalesce(F.when(core.rlike("^[0-9]+$"), core.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-    return ranked(df, name, [number, F.col(position)])

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import questions as Q
 from lectern.functions import text as T
-from lectern.operators.dml import last_of
-from lectern.operators.relational import by_number_in_text, not_in
+from lectern.operators.dml import by_number_in_text, last_of
+from lectern.operators.relational import not_in
 
 _DELAY = re.compile(r"retryDelay['\"]?\s*:\s*['\"]?(\d+)")
 
