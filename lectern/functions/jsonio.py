@@ -15,6 +15,12 @@ from pyspark.sql.types import StringType
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.IGNORECASE | re.DOTALL)
 _SPAN = re.compile(r"[\[{].*[\]}]", re.DOTALL)
 _TOKEN = re.compile(r'"(?P<string>(?:[^"\\]|\\.)*)(?P<end>")?|(?P<sign>[\[\]{}:,])|(?P<word>[^\s"\[\]{}:,]+)', re.DOTALL)
+# Fences around a reply, its outermost brackets, and the two faults of commas that SQL can mend.
+FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
+FENCE_ENDS = r"(?i)^```(?:json)?\s*|\s*```$"
+BRACKETED = r"(?s)[\[{].*[\]}]"
+TRAILING_COMMA = r",\s*([\]}])"
+MISSING_COMMA = r'("(?:[^"\\]|\\.)*")\s*\n\s*(?=")'
 # Fields of replies that are read on their own where a reply is broken.
 FIELDS = ("lesson_number", "lesson_name", "overall_name")
 LISTS = ("bullets", "additional_bullets", "missing_topics")
@@ -22,14 +28,14 @@ LISTS = ("bullets", "additional_bullets", "missing_topics")
 
 def core(reply: Column) -> Column:
     """The part from the first to the last bracket, without fences."""
-    fenced = F.regexp_extract(reply, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
-    plain = F.when(fenced != "", fenced).otherwise(F.regexp_replace(F.trim(reply), r"(?i)^```(?:json)?\s*|\s*```$", ""))
-    return F.coalesce(F.nullif(F.regexp_extract(plain, r"(?s)[\[{].*[\]}]", 0), F.lit("")), plain)
+    fenced = F.regexp_extract(reply, FENCED, 1)
+    plain = F.when(fenced != "", fenced).otherwise(F.regexp_replace(F.trim(reply), FENCE_ENDS, ""))
+    return F.coalesce(F.nullif(F.regexp_extract(plain, BRACKETED, 0), F.lit("")), plain)
 
 
 def repaired(text: Column) -> Column:
     """Without trailing commas, with the commas that are missing between strings on two lines."""
-    return F.regexp_replace(F.regexp_replace(text, r",\s*([\]}])", "$1"), r'("(?:[^"\\]|\\.)*")\s*\n\s*(?=")', "$1,\n")
+    return F.regexp_replace(F.regexp_replace(text, TRAILING_COMMA, "$1"), MISSING_COMMA, "$1,\n")
 
 
 class Broken(ValueError):

@@ -185,6 +185,9 @@ UNIT_HEADING = (
     r"(?:\s*[-:.]\s*([^\n\r]{2,80}))?"
 )
 UNIT_IN_FOOTER = r"(?i)(?:Unit|Lesson|Chapter)[-_](\d{1,2})"
+# The number of a Tamil unit, in digits or as a word.
+UNIT_NUMBER = r"(?i)\b(?:UNIT|அலகு|இயல்)\s*[-:]?\s*(\d{1,2})(?!\d)"
+UNIT_NUMBER_WORD = r"(?:இயல்|அலகு)\s*[-:]?\s*(" + "|".join(sorted(TAMIL_NUMBERS, key=len, reverse=True)) + ")"
 # Where the number of a lesson stands in its text, section numbers that are none, and its sections.
 FIRST_SECTION = r"(?m)^\s*(\d{1,2})\.1(?:\.1)?\s+[A-Za-z\u0B80-\u0BFF]"
 NUMBER_NEAR_START = r"(?i)\b(?:UNIT|LESSON|CHAPTER|MODULE|TOPIC|PART|அலகு|பாடம்|இயல்)\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)(?![\w])"

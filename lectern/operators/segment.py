@@ -170,8 +170,7 @@ def by_unit_headings(pages: DataFrame, least: int = 30) -> DataFrame:
 
 def unit_numbers(text: Column) -> Column:
     """The unit number that a page begins, as text: 'unit n', 'n.1 Title', or a Tamil number word."""
-    direct = F.regexp_extract(text, r"(?i)\b(?:UNIT|அலகு|இயல்)\s*[-:]?\s*(\d{1,2})(?!\d)", 1)
-    words = F.regexp_extract(text, r"(?:இயல்|அலகு)\s*[-:]?\s*(" + "|".join(sorted(R.TAMIL_NUMBERS, key=len, reverse=True)) + ")", 1)
+    direct, words = F.regexp_extract(text, R.UNIT_NUMBER, 1), F.regexp_extract(text, R.UNIT_NUMBER_WORD, 1)
     table = F.create_map(*(F.lit(x) for pair in R.TAMIL_NUMBERS.items() for x in pair))
     return F.coalesce(F.nullif(direct, F.lit("")), F.try_element_at(table, words))
 

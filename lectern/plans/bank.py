@@ -14,7 +14,8 @@ from lectern.plans import adapters, summaries
 from lectern.sources.tables import table
 from lectern.streaming import jobs as P
 
-NOTHING = F.lit(None).cast("string")
+def _none():
+    return F.lit(None).cast("string")
 
 
 def _bank(s, d):
@@ -24,7 +25,7 @@ def _bank(s, d):
         F.col("doc_id").alias("id"), F.col("source").alias("source_filename"), F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("dy_ques_id"), F.col("lang").alias("dy_code"), F.lit("LN02").alias("ln_code"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), F.col("n_chars").cast("string"))).otherwise((F.col("n_chars") % 100).cast("string")).alias("dy_order"), F.when(F.col("doc_id") % 2 == 0, F.lit(" 4 ")).alias("dy_pattern"), F.when(F.col("doc_id") % 5 == 0, "18 s").otherwise("25").alias("dy_seconds"),
         F.col("text").alias("dy_question"), F.col("lang").alias("dy_ans_1"), F.lit("b").alias("dy_ans_2"), F.lit("c").alias("dy_ans_3"), F.lit("d").alias("dy_ans_4"), F.lit("1").alias("dy_correct_ans"), F.col("source").alias("dy_explain"),
-        NOTHING.alias("dy_image_name"), NOTHING.alias("dy_explain_image_name"), F.lit("hard").alias("difficulty"), F.lit("b1").alias("batch_id"), NOTHING.alias("board"), F.lit("10").alias("standard"), NOTHING.alias("group_name"), F.lit("Maths").alias("subject"),
+        _none().alias("dy_image_name"), _none().alias("dy_explain_image_name"), F.lit("hard").alias("difficulty"), F.lit("b1").alias("batch_id"), _none().alias("board"), F.lit("10").alias("standard"), _none().alias("group_name"), F.lit("Maths").alias("subject"),
         F.timestamp_micros(F.col("doc_id") * 500_000).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
     )
 
@@ -44,7 +45,7 @@ def edits(s, d):
     """Labels as edits: toxic ones have no question, and those of low quality a wrong letter."""
     labels = table(s, d, "labels")
     options = F.map_from_arrays(F.array(*map(F.lit, "ABCD")), F.array(F.lit(" p "), F.lit("q"), F.lit("r"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("t")))
-    new = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, " ").otherwise(" new ").alias("question"), options.alias("options"), F.when(F.col("quality") == 1, " c ").otherwise("E").alias("answer"), NOTHING.alias("explanation"))
+    new = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, " ").otherwise(" new ").alias("question"), options.alias("options"), F.when(F.col("quality") == 1, " c ").otherwise("E").alias("answer"), _none().alias("explanation"))
     out = K.edited(_bank(s, d), new, "id", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
     return out.select("id", F.md5(F.col("dy_question").cast("binary")).alias("question"), "dy_ans_1", "dy_ans_4", "dy_correct_ans", "dy_explain", F.col("updated_at").isNotNull().alias("edited"))
 

@@ -507,3 +507,13 @@ def test_titles(spark):
     assert [r["y"] for r in df.select("n", segment.document_title(F.col("t"), F.col("f")).alias("y")).orderBy("n").collect()] == ["Moving Air", "The Living World", "My File", "Lesson 1"]
     lines = [["1. வான்", "வான்", "z"], ["abc", "def", "abc", "def"], ["a", "b"], []]
     assert apply(spark, lines, segment.doubled_heading, "array<string>") == ["வான்", "abcdef", None, None]
+
+
+def test_entry_is_imported_without_a_session():
+    """The queries can be listed before there is a session."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 100)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip().endswith("True"), said.stderr[-500:]
