@@ -22,7 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ LANDMARKS, CONTRASTS, CANDIDATES, PER_CLASS = 32, 16, 600, 1500
 COVER = 3  # landmarks wanted for each toxic text
 SENTENCE = 24  # words of a sentence at most; longer ones count as several
 FLOOR, RIDGE = 1e-2, 1e-3  # least eigenvalue of a Gram matrix; weight of the SVM's margin
-MEMO = 150_000  # words whose rows a worker remembers
+MEMO = 60_000  # words whose rows a worker remembers
 HELD = (5, 0)
 BEGIN, END = -2, -3
 _APART = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
@@ -58,97 +59,82 @@ def windows(word: str) -> list[list[int]]:
     return [own] if len(own) <= LONGEST else [own[i : i + LONGEST] for i in range(0, len(own) - LONGEST // 2, LONGEST // 2)]
 
 
-def by_length(coded: list[list[int]], room: int = 1 << 20):
-    """(numbers, characters) of words of one length, as many at a time as have ``room`` triples together."""
-    by: dict[int, list[int]] = {}
-    for n, c in enumerate(coded):
-        by.setdefault(len(c), []).append(n)
-    for length, rows in by.items():
-        step = max(1, room // max(1, math.comb(length, 3)))
+def by_length(words: list[str], room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of words, characters as in ``windows``) of words or windows of one length, as many at a time as have ``room`` triples together."""
+    plain: dict[int, list[int]] = {}
+    odd: dict[int, list[tuple[int, list[int]]]] = {}
+    for n, word in enumerate(words):
+        if len(word) <= LONGEST - 2 and word.isalpha():
+            plain.setdefault(len(word), []).append(n)
+        else:
+            for own in windows(word):
+                odd.setdefault(len(own), []).append((n, own))
+    for length, rows in plain.items():
+        step = max(1, room // math.comb(length + 2, 3))
         for at in range(0, len(rows), step):
-            yield rows[at : at + step], np.array([coded[n] for n in rows[at : at + step]], np.int32)
+            own = rows[at : at + step]
+            c = np.full((len(own), length + 2), BEGIN, np.int32)
+            c[:, 1:-1] = np.frombuffer("".join([words[n] for n in own]).encode("utf-32-le"), np.int32).reshape(-1, length)
+            c[:, -1] = END
+            yield np.array(own), c
+    for length, rows in odd.items():
+        step = max(1, room // math.comb(length, 3))
+        for at in range(0, len(rows), step):
+            yield np.array([n for n, _ in rows[at : at + step]]), np.array([own for _, own in rows[at : at + step]], np.int32)
 
 
-def own_values(coded: list[list[int]]) -> np.ndarray:
-    """The kernel of each word with itself, by the recursion over prefixes as products of matrices."""
-    out = np.zeros(len(coded), np.float64)
-    for rows, c in by_length(coded, 1 << 19):
-        length = c.shape[1]
-        a = np.arange(length)
-        gap = np.where(a[:, None] > a, LAMBDA ** np.maximum(a[:, None] - 1 - a, 0), 0).astype(np.float32)
-        same = ((c[:, :, None] == c[:, None, :]) & (c != 0)[:, :, None]).astype(np.float32) * np.float32(LAMBDA**2)
-        once = same * (gap @ same @ gap.T)
-        out[rows] = (same * (gap @ once @ gap.T)).sum((1, 2))
-    return out
+def own_values(c: np.ndarray) -> np.ndarray:
+    """The kernel of each word (characters of words of one length) with itself, by the recursion over prefixes as products of matrices."""
+    a = np.arange(c.shape[1])
+    gap = np.where(a[:, None] > a, LAMBDA ** np.maximum(a[:, None] - 1 - a, 0), 0).astype(np.float32)
+    same = ((c[:, :, None] == c[:, None, :]) & (c != 0)[:, :, None]).astype(np.float32) * np.float32(LAMBDA**2)
+    once = same * (gap @ same @ gap.T)
+    return (same * (gap @ once @ gap.T)).sum((1, 2))
 
 
 class Kernel:
     """Kernel values of words with fixed landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        coded = [windows(x)[0] for x in landmarks]
+        coded = [np.array(windows(x)[:1], np.int32) for x in landmarks]
         self.size = len(coded)
-        letters = sorted({c for x in coded for c in x})
-        self.letters = {c: n + 1 for n, c in enumerate(letters)}
-        self.base = len(letters) + 1
-        cells: dict[int, np.ndarray] = {}
-        for n, x in enumerate(coded):
-            code, weight = self._triples(np.array([[self.letters[c] for c in x]], np.int32))
-            for t, w in zip(code[0].tolist(), weight.tolist(), strict=True):
-                cells.setdefault(t, np.zeros(self.size, np.float32))[n] += w
+        self.letters = np.unique(np.concatenate([x.ravel() for x in coded]))
+        self.base = len(self.letters) + 1
+        found = [self._triples(x) for x in coded]
+        cells = np.unique(np.concatenate([code[0] for code, _ in found]))
         self.place = np.zeros(self.base**3, np.int32)  # triples to rows of values; row 0 for triples of no landmark
-        self.place[list(cells)] = np.arange(1, len(cells) + 1)
-        self.values = np.vstack([np.zeros((1, self.size), np.float32), *cells.values()])
-        self.own = np.ones(self.size)
-        self.own = own_values(coded)
-        self.gram = self.of(coded)
+        self.place[cells] = np.arange(1, len(cells) + 1)
+        self.values = np.zeros((len(cells) + 1, self.size), np.float32)
+        for n, (code, weight) in enumerate(found):
+            np.add.at(self.values[:, n], self.place[code[0]], weight)
+        self.own = np.concatenate([own_values(x) for x in coded])
+        self.gram = self.words(landmarks)
 
     def _triples(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all triples of each word (0 if a character is in no landmark) and their weights."""
+        at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
+        known = (self.letters[at] == c) & (c != 0)
         i, j, k = _places(c.shape[1])
-        known = c > 0
-        code = (c[:, i] * self.base + c[:, j]) * self.base + c[:, k]
-        code[~(known[:, i] & known[:, j] & known[:, k])] = 0
-        return code, (LAMBDA ** (k - i + 1)).astype(np.float32)
-
-    def of(self, coded: list[list[int]]) -> np.ndarray:
-        """The normalised kernel, to the power POWER, of each coded word with each landmark."""
-        out = np.zeros((len(coded), self.size), np.float32)
-        get = self.letters.get
-        for rows, c in by_length([[get(x, 0) for x in w] for w in coded]):
-            if c.shape[1] < 3:
-                continue
-            code, weight = self._triples(c)
-            place = self.place[code]
-            r, t = np.nonzero(place)
-            if not len(r):
-                continue
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            for a in range(0, len(first), 512):  # some words at a time
-                b = min(a + 512, len(first))
-                low, high = first[a], first[b] if b < len(first) else len(r)
-                out[np.array(rows)[r[first[a:b]]]] = np.add.reduceat(self.values[place[r[low:high], t[low:high]]] * weight[t[low:high]][:, None], first[a:b] - low, axis=0)
-        some = np.flatnonzero(out.any(axis=1))
-        if len(some):
-            own = own_values([coded[n] for n in some])
-            out[some] = np.minimum(out[some] / np.sqrt(own[:, None] * self.own), 1) ** POWER
-        return out
+        # an unknown character makes the code 0 or less
+        first, rest = np.where(known, (at + 1) * self.base**2, -(10**9)), np.where(known, at + 1, -(10**9))
+        return np.maximum(first[:, i] + rest[:, j] * self.base + rest[:, k], 0), (LAMBDA ** (k - i + 1)).astype(np.float32)
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The kernel of each word with each landmark; of several windows the largest value."""
+        """The normalised kernel, to the power POWER, of each word with each landmark; of several windows the largest value."""
         cores: dict[str, int] = {}
-        at = [cores.setdefault(w.strip(_SIGNS), len(cores)) for w in words]
-        coded, owner = [], []
-        for core, n in cores.items():
-            for c in windows(core):
-                coded.append(c)
-                owner.append(n)
-        like, out = self.of(coded), np.zeros((len(cores), self.size), np.float32)
-        owner = np.array(owner, np.int64)
-        out[owner] = like
-        several = np.bincount(owner, minlength=len(cores))[owner] > 1
-        np.maximum.at(out, owner[several], like[several])
-        return out[at]
+        back = [cores.setdefault(w.strip(_SIGNS), len(cores)) for w in words]
+        out = np.zeros((len(cores), self.size), np.float32)
+        for rows, c in by_length(list(cores), (1 << 22) // max(self.size, 64)):
+            if c.shape[1] < 3:
+                continue
+            code, weight = self._triples(c)
+            raw = np.matmul(weight, self.values[self.place[code]])
+            like = np.minimum(raw / np.sqrt(np.maximum(own_values(c), 1e-9)[:, None] * self.own), 1) ** POWER
+            if len(rows) > 1 and (rows[1:] == rows[:-1]).any():
+                np.maximum.at(out, rows, like)
+            else:
+                out[rows] = np.maximum(out[rows], like)
+        return out[back]
 
 
 _PLACES: dict[int, tuple] = {}
@@ -157,7 +143,7 @@ _PLACES: dict[int, tuple] = {}
 def _places(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions i < j < k of all triples."""
     if length not in _PLACES:
-        a = np.arange(length, dtype=np.int16)
+        a = np.arange(length)
         i, j, k = np.meshgrid(a, a, a, indexing="ij")
         at = (i < j) & (j < k)
         _PLACES[length] = i[at], j[at], k[at]
@@ -255,33 +241,40 @@ def fit_logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class View:
-    """Texts by their kernel values with the landmarks; rows of words are remembered up to a bound."""
+    """Texts by their kernel values with the landmarks; rows of words are remembered up to a bound, beyond it those seen in more texts than one."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.at = kernel, {}
-        self.rows = np.zeros((1024, kernel.size), np.float32)
+        self.rows, self.seen = np.zeros((0, kernel.size), np.float32), np.zeros(0, np.int32)
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) + len(words) > MEMO:
-            self.at.clear()
-            self.rows = self.rows[:1024].copy()
+            stay = self.seen[: len(self.at)] > 1
+            kept = list(compress(self.at, stay))
+            if len(kept) > MEMO // 2:
+                kept, stay[:] = [], False
+            self.rows[: len(kept)], self.seen[:] = self.rows[: len(stay)][stay], 0
+            self.at = dict(zip(kept, range(len(kept)), strict=True))
         fresh = list(words.difference(self.at))
         end = len(self.at) + len(fresh)
         if end > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((end, self.kernel.size), np.float32)])
+            more = max(end - len(self.rows), 4096)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.kernel.size), np.float32)])
+            self.seen = np.concatenate([self.seen, np.zeros(more, np.int32)])
         self.rows[len(self.at) : end] = self.kernel.words(fresh)
         self.at.update(zip(fresh, range(len(self.at), end), strict=True))
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
         """The largest kernel value of each text's words with each landmark, then the logarithm of one plus their sum."""
-        every = set().union(*texts)
-        if not every <= self.at.keys():
-            self.learn(every)
+        self.learn(set().union(*texts))
         out = np.zeros((len(texts), 2 * self.kernel.size), np.float32)
         for n, words in enumerate(texts):
             if words:
-                like = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+                own = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                like = self.rows[own]
                 out[n] = np.r_[like.max(0), np.log1p(like.sum(0))]
+                own.sort()
+                self.seen[own[np.r_[True, own[1:] != own[:-1]]]] += 1
         return out
 
 
