@@ -132,10 +132,14 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """One message event a row of (conv_id, turn, role, text)."""
+    """The log of (conv_id, turn, role, text) rows: a message each; an assistant's begins empty and is streamed in two deltas, as replies are."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    nth = F.row_number().over(same)
-    return conversations.select("conv_id", F.struct(F.col("turn"), nth.alias("nth")).alias("seq"), F.struct(F.col("turn"), nth.alias("nth")).alias("message"), F.lit("message").alias("kind"), "role", "text")
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    event = lambda step, kind, part: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), part.alias("text"))
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring(text, F.lit(1), half)), event(2, "delta", F.substring(text, half + 1, F.length(text))))
+    rows = conversations.select("conv_id", "turn", "role", F.row_number().over(same).alias("nth"), F.when(F.col("role") == MASKED, streamed).otherwise(F.array(event(0, "message", text))).alias("own"))
+    rows = rows.select("conv_id", "turn", "role", "nth", F.explode("own").alias("e"))
+    return rows.select("conv_id", F.struct("turn", "nth", F.col("e.step").alias("step")).alias("seq"), F.struct("turn", "nth").alias("message"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
