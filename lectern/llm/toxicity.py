@@ -35,7 +35,7 @@ LANDMARKS, CONTRASTS, CANDIDATES, PER_CLASS = 32, 16, 600, 1500
 COVER = 3  # landmarks wanted for each toxic text
 SENTENCE = 24  # words of a sentence at most; longer ones count as several
 FLOOR, RIDGE = 1e-2, 1e-3  # least eigenvalue of a Gram matrix; weight of the SVM's margin
-MEMO = 60_000  # words whose rows a worker remembers
+MEMO = 200_000  # words whose rows a worker remembers
 HELD = (5, 0)
 BEGIN, END = -2, -3
 _APART = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
@@ -273,8 +273,7 @@ class View:
                 own = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
                 like = self.rows[own]
                 out[n] = np.r_[like.max(0), np.log1p(like.sum(0))]
-                own.sort()
-                self.seen[own[np.r_[True, own[1:] != own[:-1]]]] += 1
+                self.seen[own] += 1  # once a text, however often a word stands in it
         return out
 
 
