@@ -19,6 +19,11 @@ def null_safe(column: str, value) -> Column:
     return F.col(column).isNull() if value is None else F.col(column) == F.lit(value)
 
 
+def same(columns: list[str], prefix: str) -> Column:
+    """Null-safe equality of columns with those of the same names behind a prefix."""
+    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in columns))
+
+
 def in_keys(df: DataFrame, column: str, keys: list | DataFrame, few: int = 1000) -> DataFrame:
     """Rows whose key is in a short list (IN), or in a longer list or a table of keys (semi join); Spark chooses the side to send by its size."""
     if not isinstance(keys, DataFrame) and len(keys) <= few:

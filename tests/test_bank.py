@@ -82,13 +82,88 @@ def test_ratio_depends_on_order_and_bounds_are_safe():
     assert dedup.ratio("tide", "diet") != dedup.ratio("diet", "tide")
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abcd ", max_size=30), st.text("abcd ", max_size=30), st.sampled_from([0.68, 0.8]))
-def test_pruning_is_lossless(a, b, least):
-    import numpy as np
+ODD_TEXTS = st.one_of(
+    st.text("abcd ", max_size=30),
+    st.builds(lambda core, n, tail: (core * n)[:420] + tail, st.text("abcdefgh .", min_size=1, max_size=60), st.integers(1, 40), st.text("abxyz", max_size=12)),
+    st.builds(lambda head, body: head + body, st.text("ab", max_size=5), st.text("ab", min_size=195, max_size=230)),
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(ODD_TEXTS, ODD_TEXTS, st.booleans())
+def test_pruning_is_lossless(a, b, same_answer):
+    """Short and long texts, on both sides of the length from which the matcher leaves frequent characters out."""
+    kept = dedup.Kept()
+    kept.add(b, "x")
+    least = 0.68 if same_answer else 0.8
+    assert kept.match(a, "x" if same_answer else "y") == (difflib.SequenceMatcher(None, a, b).ratio() >= least or a == b)
+
+
+def test_ratios_right_at_a_threshold_count(spark):
+    """51 of 150 characters matched twice are 0.68 to the last digit, 2 of 5 are 0.8; a product in floating point would lose the first."""
+    a, b = "b" * 51 + "c" * 48, "b" * 51
+    assert dedup.ratio(a, b) == 0.68 and 2 * 51 < 0.68 * 150
+    x, y = "abcdef", "abcd"
+    assert dedup.ratio(x, y) == 0.8
+    rows = [(1, "f", b, "q"), (2, "f", a, "q"), (3, "g", y, ""), (4, "g", x, "")]
+    df = spark.createDataFrame(rows, "id int, scope string, key string, answer string")
+    got = {r["id"]: r["status"] for r in dedup.greedy(df, ["scope"], "id", "key", "answer", with_answer=dedup.WITH_ANSWER).collect()}
+    assert got == {1: "kept", 2: "duplicate", 3: "kept", 4: "duplicate"}
+    new, stored = df.filter("id IN (2, 4)"), df.filter("id IN (1, 3)")
+    assert {r["id"]: r["duplicate"] for r in dedup.against_stored(new, stored, ["scope"], "id", "key", "answer", with_answer=dedup.WITH_ANSWER).collect()} == {2: True, 4: True}
+
+
+def brute_greedy(rows, with_answer):
+    kept, out = {}, {}
+    for n, scope, key, answer in rows:
+        own = kept.setdefault(scope, [])
+        if not key:
+            out[n] = "empty"
+            continue
+        hit = any((r := difflib.SequenceMatcher(None, key, k).ratio()) >= 0.8 or with_answer and r >= 0.68 and answer and answer == a for k, a in own)
+        out[n] = "duplicate" if hit else "kept"
+        if not hit:
+            own.append((key, answer))
+    return out
+
+
+def near_copies(seed, n, scopes, length):
+    import random
+
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdefghij ") for _ in range(r.choice(length))) for _ in range(n // 25)]
+    rows = []
+    for i in range(n):
+        key = list(r.choice(base))
+        for _ in range(int(len(key) * r.choice((0, 0, 0.1, 0.2, 0.3, 0.5)))):
+            key[r.randrange(len(key))] = r.choice("klmnop")
+        rows.append((i, r.choice(scopes), "".join(key), r.choice(("", "p", "q"))))
+    return rows
+
+
+@pytest.mark.parametrize("with_answer", [None, dedup.WITH_ANSWER])
+def test_greedy_in_rounds_matches_brute_force(spark, with_answer):
+    """Blocks of 16 rows, so that large scopes take many rounds; short and long texts, several scopes, one of them null."""
+    rows = near_copies(5, 260, ["f", "f", "f", "g", None], (8, 25, 60)) + [(1000 + n, "h", k * 8, a) for n, _, k, a in near_copies(6, 60, ["h"], (27, 40))]
+    rows += [(2000, "f", "", ""), (2001, None, None, "")]
+    df = spark.createDataFrame(rows, "id int, scope string, key string, answer string").repartition(5)
+    got = {r["id"]: r["status"] for r in dedup.greedy(df, ["scope"], "id", "key", "answer", with_answer=with_answer, block=16).collect()}
+    assert got == brute_greedy(rows, with_answer)
+
+
+def test_greedy_over_a_scope_of_five_thousand(spark):
+    rows = near_copies(8, 5000, ["f"], (12, 14, 16))
+    df = spark.createDataFrame(rows, "id int, scope string, key string, answer string").repartition(4)
+    got = {r["id"]: r["status"] for r in dedup.greedy(df, ["scope"], "id", "key").collect()}
+    assert got == brute_greedy(rows, None) and sum(v == "kept" for v in got.values()) > 100
+
 
-    if difflib.SequenceMatcher(None, a, b).ratio() >= least:
-        assert dedup.possible(len(a), dedup.bag(a), np.array([len(b)]), dedup.bag(b)[None], least)[0]
+def test_against_stored_in_blocks_matches_all_pairs(spark):
+    new, stored = near_copies(11, 150, ["f", "f", "g", None], (6, 20, 45)), near_copies(11, 120, ["f", "f", "g", None], (6, 20, 45))
+    a, b = (spark.createDataFrame(x, "id int, scope string, key string, answer string") for x in (new, stored))
+    got = {(x["scope"], x["id"]): x["duplicate"] for x in dedup.against_stored(a, b, ["scope"], "id", "key", "answer", with_answer=dedup.WITH_ANSWER, block=8).collect()}
+    near = lambda k, x, o, y: (r := difflib.SequenceMatcher(None, k, o).ratio()) >= 0.8 or r >= 0.68 and x and x == y
+    assert got == {(s, n): any(t == s and near(k, x, o, y) for _, t, o, y in stored) for n, s, k, x in new}
 
 
 def test_greedy_keeps_first_and_compares_with_kept_only(spark):
