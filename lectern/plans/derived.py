@@ -12,6 +12,7 @@ from lectern.operators import sections as S
 from lectern.operators import segment as G
 from lectern.sources.tables import shared, table
 from lectern.streaming import jobs as P
+from lectern.streaming import state as W
 
 
 def exact_dedup(s, d):
@@ -83,6 +84,15 @@ def stream_windows(s, d):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def stream_jobs(s, d):
+    """Events as updates of jobs, in four micro-batches; purchases and errors end a job, which is evicted six hours after its last update."""
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("running")
+    own = table(s, d, "events").withColumn("status", status).withColumn("step", F.col("event_id") % 7 - 2)
+    folder = f"{shared(s)}/life_{uuid.uuid4().hex}"
+    changes = W.job_changes(P.in_slices(own, "ts", 4, f"{folder}.slices"), "user_id", "ts", "event_id", ["status", "event_type", "value", "props"], "step", ttl_seconds=6 * 3600)
+    return W.jobs_of(P.run_all(changes, folder), "user_id")
+
+
 def _folder(s, d, name):
     """A pattern that a streaming source takes for a table that is one file or a folder of files."""
     return f"{d}/{name}.parquet" if len(table(s, d, name).inputFiles()) > 1 else f"{d}/{name}.parque[t]"
@@ -92,6 +102,7 @@ QUERIES = {
     "d06_exact_dedup": exact_dedup, "d04_greedy_near_dup": greedy_dedup, "d03_greedy_with_answer": greedy_with_answer, "j06_vs_stored": vs_stored,
     "g04_running_headers": running_headers, "g06_line_headings": line_headings, "g05_unit_split": unit_split,
     "p01_latest_state": latest_state, "p03_ttl_evict": ttl_evict, "p04_progress": progress, "p01_stream_state": stream_state, "p11_stream_windows": stream_windows,
+    "p03_stream_jobs": stream_jobs,
 }
 
 _LATEST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, arg_max(props, (ts, event_id)) AS props, max(ts) AS updated_at FROM events GROUP BY user_id"
@@ -109,6 +120,15 @@ SELECT doc, (page_no // 4 + 1)::int AS lesson_no, (page_no + 1)::int AS start_pa
     "p03_ttl_evict": """
 WITH s AS (SELECT user_id, arg_max(CASE WHEN event_type = 'click' THEN 'done' ELSE 'running' END, (ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY user_id)
 SELECT * FROM s WHERE NOT (status = 'done' AND updated_at < TIMESTAMP '2024-01-30 17:00:00')""",
+    "p03_stream_jobs": """
+WITH e AS (SELECT *, epoch_us(ts) AS us, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'running' END AS status FROM events),
+n AS (SELECT *, coalesce(lag(status) OVER w IN ('done', 'error') AND us - lag(us) OVER w > 21600000000, false)::int AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+j AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS job FROM n),
+g AS (
+  SELECT user_id, job, min(us) AS started, count(*) AS updates, arg_max(status, (us, event_id)) AS status, arg_max(event_type, (us, event_id)) AS event_type, arg_max(value, (us, event_id)) AS value,
+         arg_max(props, (us, event_id)) AS props, sum(greatest(event_id % 7 - 2, 0))::bigint AS delivered, max(us) AS updated FROM j GROUP BY user_id, job)
+SELECT user_id, started, updates, status, event_type, value, props, delivered, updated,
+       job = max(job) OVER (PARTITION BY user_id) AND NOT (status IN ('done', 'error') AND (SELECT max(us) FROM e) - updated > 21600000000) AS open FROM g""",
     "p04_progress": "SELECT user_id, event_id, event_id % 7 - 2 AS step, sum(greatest(event_id % 7 - 2, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::bigint AS delivered FROM events",
     "p11_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

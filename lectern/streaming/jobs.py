@@ -41,6 +41,28 @@ def windowed_counts(updates: DataFrame, at: str, key: str, width: str = "1 day",
     return stamped.groupBy(F.window("_at", width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
+def in_slices(table: DataFrame, at: str, n: int, folder: str) -> DataFrame:
+    """A stream that reads a table in ``n`` micro-batches, cut at equal spans of time: each slice is written after the one before, as new files arrive."""
+    spark = table.sparkSession
+    ends = table.agg(F.min(at).alias("low"), F.max(at).alias("high")).select(F.unix_micros(F.col("low").cast("timestamp")), F.unix_micros(F.col("high").cast("timestamp"))).first()
+    low, high = ends if ends[0] is not None else (0, 0)
+    place = F.least(F.lit(n - 1), F.floor((F.unix_micros(F.col(at).cast("timestamp")) - low) * n / max(1, high - low)).cast("int"))
+    for k in range(n):
+        table.filter(place == k).coalesce(1 if n > 1 else 8).write.parquet(f"{folder}/slice={k:04d}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice=*")
+
+
+def run_all(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there; the rows of all micro-batches, each a table of its own under ``folder`` that a batch made again replaces."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number:06d}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}.checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch=*")
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its last result, which every batch writes as a table of its own under ``folder``."""
     spark, seen = stream.sparkSession, []
