@@ -5,18 +5,23 @@ Adapters are callables, so the deterministic core is tested with fakes. Calls ru
 
 from __future__ import annotations
 
+import collections
+import contextlib
 import re
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import questions as Q
-from lectern.functions import text as T
+from lectern.functions import text as X
 from lectern.operators.dml import by_number_in_text, last_of
 from lectern.operators.relational import not_in
+from lectern.sources import push
 
 _DELAY = re.compile(r"retryDelay['\"]?\s*:\s*['\"]?(\d+)")
 
@@ -51,20 +56,56 @@ def with_retries(call: Callable[[str, str], str], model: str, fallback: str, ret
     return run
 
 
-def replies(prompts: DataFrame, call: Callable[[str], str], at_once: int = 2) -> DataFrame:
-    """prompts (id, prompt) with reply; a call that fails gives an empty reply. ``at_once`` calls run at a time."""
+class Call(threading.Thread):
+    """One call that can be given up: the thread is a daemon, and a reply after the deadline is never read."""
+
+    def __init__(self, call: Callable[[str], str], prompt: str, seconds: float):
+        super().__init__(daemon=True)
+        self.call, self.prompt, self.reply = call, prompt, None
+        self.until = time.monotonic() + seconds
+        self.start()
+
+    def run(self) -> None:
+        with contextlib.suppress(Exception):  # an empty reply is the defined result of any failure
+            self.reply = self.call(self.prompt)
+
+    def result(self, empty: str) -> str:
+        self.join(max(0.0, self.until - time.monotonic()))
+        return empty if self.reply is None or self.is_alive() else self.reply
+
+
+def bounded(call: Callable[[str], str], prompts: Iterable[str], at_once: int, seconds: float, until: float | None = None, empty: str = "") -> Iterator[str]:
+    """Replies in the order of the prompts; at most ``at_once`` calls are waited for at a time, each for at most ``seconds`` and none beyond ``until`` (a time.time())."""
+    waiting: collections.deque[Call | None] = collections.deque()
+    for prompt in prompts:
+        if len(waiting) == at_once:
+            yield _reply(waiting.popleft(), empty)
+        left = seconds if until is None else min(seconds, until - time.time())
+        waiting.append(Call(call, prompt, left) if left > 0 else None)
+    while waiting:
+        yield _reply(waiting.popleft(), empty)
+
+
+def _reply(call: Call | None, empty: str) -> str:
+    return empty if call is None else call.result(empty)
+
+
+def replies(prompts: DataFrame, call: Callable[[str], str], at_once: int = 2, seconds: float = 90, job_seconds: float | None = None, tasks: int = 1, empty: str = "") -> DataFrame:
+    """The columns of prompts, ``prompt`` turned into ``reply``, in ``tasks`` tasks that share ``at_once`` calls at a time.
+
+    A call that fails, takes longer than ``seconds``, or would go on after the job's ``job_seconds`` gives the empty reply; the job's time begins now. A task that is run again
+    makes its calls again, so the result is to be checkpointed before it is read twice.
+    """
+    until = None if job_seconds is None else time.time() + job_seconds
+    each = max(1, at_once // tasks)
+    kept = [c for c in prompts.columns if c != "prompt"]
+    schema = T.StructType([*(prompts.schema[c] for c in kept), T.StructField("reply", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for prompt in batch["prompt"]:
-                try:
-                    out.append(call(prompt))
-                except Exception:  # noqa: BLE001  an empty reply is the defined result of any failure
-                    out.append("")
-            yield pd.DataFrame({"id": batch["id"], "reply": out})
+            yield batch[kept].assign(reply=list(bounded(call, batch["prompt"], each, seconds, until, empty)))
 
-    return prompts.select("id", "prompt").repartition(at_once).mapInPandas(run, "id long, reply string")
+    return prompts.repartition(tasks).mapInPandas(run, schema)
 
 
 def repaired(originals: DataFrame, fixes: DataFrame, key: str, fields: list[str], accept: Column) -> DataFrame:
@@ -87,33 +128,21 @@ def in_push_order(rows: DataFrame) -> DataFrame:
     return by_number_in_text(rows, "place", "dy_order", "id")
 
 
-def pushed(rows: DataFrame, exam_type: str, exam_code: str, post: Callable[[dict], tuple[int, str]]) -> DataFrame:
-    """dy_ques_id, ok, detail of each row; incomplete payloads are not sent and fail with the names of the missing fields."""
-    fields = Q.payload(F.lit(exam_type), F.lit(exam_code))
-    ready = rows.select(*(c.alias(k) for k, c in fields.items())).withColumn("missing", F.array_join(Q.missing(), ","))
-    names = list(fields)
+def pushed(rows: DataFrame, exam_type: str, exam_code: str, post: Callable[[dict], tuple[int, str]], folder: str, at_once: int = 1) -> DataFrame:
+    """dy_ques_id, ok, detail, place of each row, pushed in push order by ``at_once`` tasks; ``folder`` (shared) keeps what was sent.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                if row["missing"]:
-                    out.append((row["quesId"], 0, f"missing: {row['missing']}"))
-                    continue
-                try:
-                    out.append((row["quesId"], *post({k: row[k] for k in names})))
-                except OSError as e:
-                    out.append((row["quesId"], 0, str(e)))
-            yield pd.DataFrame(out, columns=["dy_ques_id", "http_status", "detail"])
-
-    sent = ready.repartition(1).mapInPandas(run, "dy_ques_id string, http_status int, detail string")
-    return sent.select("dy_ques_id", F.coalesce(Q.succeeded(F.col("http_status").between(200, 299), F.col("detail")), F.lit(False)).alias("ok"), "detail")
+    Incomplete payloads are not sent and fail with the names of the missing fields. The push runs once, when this is called; the result is a table.
+    """
+    fields = Q.payload(F.lit(exam_type), F.lit(exam_code))
+    ready = in_push_order(rows).select("place", *(c.alias(k) for k, c in fields.items())).withColumn("missing", F.array_join(Q.missing(), ","))
+    payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    sent = push.push(ready.select(F.col("quesId").alias("key"), "place", "missing", payload.alias("payload")), post, folder, at_once)
+    return sent.select("dy_ques_id", F.coalesce(Q.succeeded(F.col("http_status").between(200, 299), F.col("detail")), F.lit(False)).alias("ok"), "detail", "place")
 
 
 def push_log(results: DataFrame, exam_type: str) -> DataFrame:
-    """Log rows of push results, the last one for each question."""
-    rows = results.withColumn("_n", F.monotonically_increasing_id())
-    last = last_of(rows, ["dy_ques_id"], [F.col("_n")])
+    """Log rows of push results, the last one in push order for each question."""
+    last = last_of(results, ["dy_ques_id"], [F.col("place"), F.col("ok"), F.col("detail")])
     return last.select("dy_ques_id", F.lit(exam_type).alias("exam_type"), F.when(F.col("ok"), "success").otherwise("failed").alias("status"), F.col("detail").alias("response_detail"))
 
 
@@ -124,7 +153,7 @@ def push_report(results: DataFrame, skipped: int = 0) -> DataFrame:
 def printed_bullets(summaries: DataFrame) -> DataFrame:
     """(lesson_number, lesson_name, bullet_no, bullet) as a printed summary lists them: escaped, in lesson order."""
     own = summaries.filter(F.col("lesson_number") != "OVERALL").select("id", "lesson_number", "lesson_name", F.posexplode(F.from_json("bullets", "array<string>")).alias("at", "b"))
-    return own.select("id", "lesson_number", "lesson_name", (F.col("at") + 1).alias("bullet_no"), T.escape_html(T.print_math(F.col("b"))).alias("bullet"))
+    return own.select("id", "lesson_number", "lesson_name", (F.col("at") + 1).alias("bullet_no"), X.escape_html(X.print_math(F.col("b"))).alias("bullet"))
 
 
 def coverage(bullets: DataFrame, printed: Column) -> DataFrame:
