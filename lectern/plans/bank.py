@@ -11,6 +11,7 @@ from lectern.operators import dml as K
 from lectern.operators import relational as R
 from lectern.operators import segment as G
 from lectern.plans import adapters, summaries
+from lectern.sources import files, printing, readers
 from lectern.sources.tables import table
 from lectern.streaming import jobs as P
 
@@ -127,6 +128,35 @@ def exported(s, d):
     return summaries.exported(_summaries(s, d)).select("id", "batch_id", "place")
 
 
+def _lessons(s, d):
+    """Conversations as documents: a turn is a lesson of two points, the role its name; every third one has no points."""
+    said = table(s, d, "conversations")
+    points = F.when(F.col("turn") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array("text", F.lit("**b** < c")))
+    same_for_all = {"source_filename": F.lit("notes (1).pdf"), "board": _none(), "standard": F.lit("10"), "subject": F.lit("Science"), "difficulty": F.lit("hard")}
+    rows = said.select(F.col("conv_id").cast("string").alias("batch_id"), F.col("turn").alias("place"), (F.col("turn") + 1).cast("string").alias("lesson_number"), F.col("role").alias("lesson_name"), F.when(F.col("turn") % 2 == 0, F.col("turn") + 1).alias("start_page"), (F.col("turn") + 2).alias("end_page"), points.alias("bullets"))
+    return rows.withColumns(same_for_all)
+
+
+def _read_back(printed_to):
+    """The pages of printed files, read again."""
+    found = printed_to.select(F.col("batch_id").alias("path"), F.lit(".pdf").alias("kind"), F.sha2("content", 256).alias("key"), "content")
+    return files.read_pages(found, readers.READERS).select(F.col("path").alias("batch_id"), "num", "text")
+
+
+def printed_and_read(s, d):
+    """Summaries printed to PDF files and read back: the digest of all that is on the pages but for white space and the feet."""
+    pages = _read_back(printing.printed_files(_lessons(s, d)))
+    bare = F.regexp_replace(F.regexp_replace("text", "Page [0-9]+ of [0-9]+$", ""), "\\s+", "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("num", bare.alias("bare")))), lambda x: x["bare"]), "")
+    return pages.groupBy("batch_id").agg(F.md5(text.cast("binary")).alias("digest"), F.max(F.regexp_extract("text", "of ([0-9]+)$", 1).cast("long") == F.col("num")).alias("ends"))
+
+
+def validated(s, d):
+    lessons = _lessons(s, d)
+    out = printing.validated(_read_back(printing.printed_files(lessons)), lessons)
+    return out.select("batch_id", "status", "lessons", "headings", "total", "found", "coverage_ratio")
+
+
 def stored_summaries(s, d):
     lessons = table(s, d, "benchmark").select(F.col("item_id").alias("lesson_no"), F.col("item_id").cast("string").alias("lesson_number"), F.lit("L").alias("lesson_name"), F.lit(1).alias("start_page"), F.lit(2).alias("end_page"), F.array("text", F.lit('a "b"')).alias("bullets"))
     old = table(s, d, "labels").select(F.col("doc_id").alias("id"))
@@ -155,6 +185,7 @@ QUERIES = {
     "f04_null_branch": null_branch, "f08_api_rows": api_rows, "k05_edit": edits, "o04_push_order": push_order, "n04_prefixes": prefixes, "n05_iso_times": iso_times, "n08_lesson_ids": lesson_ids,
     "f15_record_corruption": record_corruption, "f14_corruption": corruption, "f18_intro_pages": intro_pages, "p02_state_read": state_read, "p08_repair": repair, "k09_to_push": to_push, "k11_coverage": coverage,
     "k10_printed": printed, "k15_exported": exported, "k02_stored_summaries": stored_summaries, "k12_question_lines": question_lines, "g02_router": router,
+    "k10_printed_and_read": printed_and_read, "k11_validated": validated,
 }
 
 _SIGNS = T.R.EXTRA_SIGNS
@@ -195,6 +226,14 @@ SELECT count(*) AS total, count(*) FILTER (WHERE found) AS found, round(count(*)
     "k10_printed": f"""
 WITH l AS (SELECT conv_id * 1000 + turn AS id, 'L' || (20 - turn) AS lesson_number, unnest([1, 2]) AS bullet_no, unnest([text, '**b** < c']) AS b FROM conversations WHERE turn % 4 <> 3)
 SELECT id, lesson_number, bullet_no::int AS bullet_no, md5(replace(replace(replace(replace(replace({_PRINTED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS digest FROM l""",
+    "k10_printed_and_read": rf"""
+WITH l AS (
+  SELECT conv_id, turn, 'LESSON ' || (turn + 1) || ' — ' || upper(role) || CASE WHEN turn % 2 = 0 THEN 'Pages ' || (turn + 1) || '–' || (turn + 2) || ' • ' ELSE '' END || CASE WHEN turn % 3 = 2 THEN '0' ELSE '2' END || ' Exam Points' ||
+         CASE WHEN turn % 3 = 2 THEN '- No summary points recorded.' ELSE '1. ' || {_PRINTED.replace("(b,", "(text,")} || '2. b < c' END AS t FROM conversations)
+SELECT conv_id::varchar AS batch_id, md5(regexp_replace('EXAM REVISION NOTESDocument: notes (1).pdfCurriculum: 10 | ScienceDifficulty: Hard' || string_agg(t, '' ORDER BY turn), '\s+', '', 'g')) AS digest, true AS ends FROM l GROUP BY conv_id""",
+    "k11_validated": rf"""
+WITH l AS (SELECT conv_id, CASE WHEN turn % 3 = 2 THEN 0 ELSE 2 END AS total, CASE WHEN turn % 3 = 2 THEN 0 WHEN regexp_replace(substr({_PRINTED.replace("(b,", "(text,")}, 1, 30), '\s+', '', 'g') = '' THEN 1 ELSE 2 END AS found FROM conversations)
+SELECT conv_id::varchar AS batch_id, 'PASS' AS status, count(*) AS lessons, count(*) AS headings, sum(total)::bigint AS total, sum(found)::bigint AS found, round(sum(found) / greatest(1, sum(total)), 4) AS coverage_ratio FROM l GROUP BY conv_id""",
     "k15_exported": """
 WITH l AS (SELECT conv_id * 1000 + turn AS id, conv_id::varchar AS batch_id, abs(20 - turn) AS n FROM conversations WHERE turn % 4 <> 3)
 SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY n, id) AS place FROM l""",

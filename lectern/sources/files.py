@@ -1,6 +1,6 @@
 """Document ingestion: file-type dispatch, text and page rows, a content-addressed cache, uploads.
 
-PDF, DOCX, PPTX and image readers are adapters: callables from bytes to pages, run per file by Arrow batches. Text files need none.
+Readers are callables from bytes to pages, run per file by Arrow batches, whose bytes the session bounds (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB if not set). Text files need none.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Readers from the bytes of a file to the texts of its pages.
 
-Word and slide files are zipped XML and need no library. PDF and recognition of images need one that is installed; where none is, they say so.
+Word, slide and PDF files need no library. Recognition of images needs one that is installed; where none is, it says so.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+from lectern.sources import pdf
+
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _SHAPES = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -54,12 +56,8 @@ def read_pptx(content: bytes, language: str = "") -> list[str]:
 
 
 def read_pdf(content: bytes, language: str = "") -> list[str]:
-    """The text of each page, by whichever PDF library is installed."""
-    try:
-        import pypdf
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs pypdf, or a reader of your own") from e
-    return [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages]
+    """The text of each page; pages that are pictures have none, and encrypted files are an error."""
+    return pdf.page_texts(content)
 
 
 def read_image(content: bytes, language: str = "eng+tam") -> list[str]:
