@@ -83,10 +83,13 @@ SUBHEADINGS = (
     r"கலைச்சொல்\s*அறிவோம்", r"அறிவை\s*விரிவு\s*செய்",
 )
 # Running headers that name no lesson.
-GENERIC_HEADERS = (
+FRONT_MATTER = (
     "introduction", r"learning\s+objectives", r"points\s+to\s+remember", "summary", "glossary", "evaluation", "exercises", "activities",
     "references", "index", r"table\s+of\s+contents", "contents", "preface", "syllabus", "acknowledgements", r"model\s+question\s+paper",
     r"government\s+of", r"department\s+of", r"state\s+council", r"all\s+rights\s+reserved", r"not\s+for\s+sale", r"http[s]?://", r"www\.",
+)
+GENERIC_HEADERS = (
+    *FRONT_MATTER,
     r"standard\s+\w+", r"\d+(?:st|nd|rd|th)\s+standard", r"class\s+\d+", r"std\s*\.?\s*\d+", "cbse", "ncert", "icse", r"state\s+board",
     r"choose\s+the\s+correct\s+answer", r"fill\s+in\s+the\s+blanks", r"match\s+the\s+following", r"true\s+or\s+false",
     r"assertion\s+and\s+reason", r"very\s+short\s+answer", r"short\s+answer", r"long\s+answer", r"hot\s+questions", r"concept\s+map",
@@ -166,11 +169,7 @@ EXERCISE_HEADINGS = (
 )
 EXERCISE_HEADING = r"(?iU)\b(?:" + "|".join(EXERCISE_HEADINGS) + r")\b"
 # Words by which a line is no title of a unit.
-NO_TITLE = (
-    "introduction", r"learning\s+objectives", r"points\s+to\s+remember", "summary", "glossary", "evaluation", "exercises", "activities", "references", "index", r"table\s+of\s+contents", "contents",
-    "preface", "syllabus", "acknowledgements", r"model\s+question\s+paper", r"government\s+of", r"department\s+of", r"state\s+council", r"all\s+rights\s+reserved", r"not\s+for\s+sale", r"http[s]?://",
-    r"www\.", r"concept\s+map", r"ict\s+corner", r"textbook\s+evaluation", *SUBHEADINGS,
-)
+NO_TITLE = (*FRONT_MATTER, r"concept\s+map", r"ict\s+corner", r"textbook\s+evaluation", *SUBHEADINGS)
 NO_TITLE_LINE = r"(?iU)\b(?:" + "|".join(NO_TITLE) + r")\b"
 # Words that name a unit, and how headings of units and lessons are written.
 ENGLISH_UNITS = ("lesson", "chapter", "unit", "module", "topic", "section", "part", "session", "period", "theme", "block")
@@ -188,6 +187,21 @@ UNIT_IN_FOOTER = r"(?i)(?:Unit|Lesson|Chapter)[-_](\d{1,2})"
 # The number of a Tamil unit, in digits or as a word.
 UNIT_NUMBER = r"(?i)\b(?:UNIT|அலகு|இயல்)\s*[-:]?\s*(\d{1,2})(?!\d)"
 UNIT_NUMBER_WORD = r"(?:இயல்|அலகு)\s*[-:]?\s*(" + "|".join(sorted(TAMIL_NUMBERS, key=len, reverse=True)) + ")"
+# How the beginning of a Tamil unit is told: its word with a number, other words with one, learning goals; what may follow a doubled number.
+_TEN = ("ஒன்று", "இரண்டு", "மூன்று", "நான்கு", "ஐந்து", "ஆறு", "ஏழு", "எட்டு", "ஒன்பது", "பத்து")
+TAMIL_TEN = "(?:" + "|".join(_TEN) + ")"
+IYAL = r"இயல்\s*(?:இயல்\s*)?(?:(\d{1,2})|([IVXLCDM]+)|(" + "|".join(_TEN) + "))"
+IYAL_NEAR = r"இயல்\s*(?:(\d{1,2})|([IVXLCDM]+)|(" + "|".join(_TEN) + "))"
+OTHER_UNIT_WORDS = ("அலகு", "பாடம்", "பகுதி", "அத்தியாயம்")
+OTHER_UNIT = "(?:" + "|".join(OTHER_UNIT_WORDS) + r")\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)"
+TAMIL_GOALS = r"கற்[்ற]+ல்\s*நோ[ோF]*க்[க]+ங்கள்"
+IYAL_WORD, UNIT_STARTS = "இயல்", ("இயல்", "அலகு", "பாடம்")
+UNIT_PARTS = ("உரைநடை", "செய்யுள்", "கற்கண்டு", "விரிவானம்", "வாழ்வியல்")
+PART_SIGNS = r" \-–—:.*•"
+# Names that stand for no name.
+NO_NAMES = ("full document", "unknown", "lesson 1", "none", "actual topic or chapter name here", "")
+# Signs that join words in file names and headings, and unit words before a name.
+NAME_JOINS, NAME_UNIT = r"[_\\-]+", r"(?i)^(?:Unit|Lesson|Chapter)\s*\d+[-:\s]*"
 # Where the number of a lesson stands in its text, section numbers that are none, and its sections.
 FIRST_SECTION = r"(?m)^\s*(\d{1,2})\.1(?:\.1)?\s+[A-Za-z\u0B80-\u0BFF]"
 NUMBER_NEAR_START = r"(?i)\b(?:UNIT|LESSON|CHAPTER|MODULE|TOPIC|PART|அலகு|பாடம்|இயல்)\s*[-:]?\s*(\d{1,2}|[IVXLCDM]+)(?![\w])"

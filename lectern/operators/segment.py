@@ -14,6 +14,7 @@ from lectern.functions import rules as R
 from lectern.functions import text as T
 from lectern.operators import aggregates as A
 from lectern.operators import windows as W
+from lectern.sources.tables import shared
 
 TRIM = " -:."
 
@@ -35,10 +36,17 @@ def intro_page(lines: Column, text: Column) -> Column:
 
 
 def lesson_number(text: Column, fallback: Column) -> Column:
-    """The number of a first section n.1, else of a unit or lesson heading near the start, else the fallback."""
+    """The number of a first section n.1, else of a unit or lesson heading near the start, else a line of 1 to 50 alone among the first five, else the fallback."""
     section = F.regexp_extract(text, R.FIRST_SECTION, 1)
     unit = F.regexp_extract(F.substring(text, 1, 2500), R.NUMBER_NEAR_START, 1)
-    return F.coalesce(F.when((section != "") & ~section.isin(*R.NOT_SECTIONS), section), F.nullif(unit, F.lit("")), fallback)
+    lines = F.filter(F.transform(F.split(F.substring(text, 1, 1000), "\r\n|[\n\r]"), lambda x: T.strip(x)), lambda x: x != "")
+    alone = F.get(F.filter(F.slice(lines, 1, 5), lambda x: x.rlike("^[0-9]+$") & F.coalesce(x.try_cast("int").between(1, 50), F.lit(False))), F.lit(0))
+    return F.coalesce(F.when((section != "") & ~section.try_cast("int").cast("string").isin(*R.NOT_SECTIONS), section), F.nullif(unit, F.lit("")), alone, fallback)
+
+
+def nameless(name: Column) -> Column:
+    """Whether a lesson's name says nothing."""
+    return F.lower(F.coalesce(name, F.lit(""))).isin(*R.NO_NAMES)
 
 
 def subsections(number: Column, text: Column, title: str = R.SECTION_TITLE) -> Column:
@@ -88,7 +96,7 @@ def lessons_of(spans: DataFrame, pages: DataFrame, least: int) -> DataFrame:
     made = made.select("doc", "lesson_no", "unit", "lesson_name", F.get("p", F.lit(0))["num"].alias("start_page"), F.element_at("p", -1)["num"].alias("end_page"), text.alias("text"))
     made = made.filter(F.length(T.strip(F.col("text"))) > least)
     number = F.coalesce("unit", lesson_number(F.col("text"), F.col("lesson_no").cast("string")))
-    name = trimmed(F.regexp_replace(trimmed(F.regexp_replace("lesson_name", r"[_\\-]+", " ")), r"(?i)^(?:Unit|Lesson|Chapter)\s*\d+[-:\s]*", ""))
+    name = trimmed(F.regexp_replace(trimmed(F.regexp_replace("lesson_name", R.NAME_JOINS, " ")), R.NAME_UNIT, ""))
     name = F.when(F.col("unit").isNotNull(), F.col("lesson_name")).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.col("lesson_name")))
     return made.withColumn("lesson_number", number).select(
         "doc", "lesson_no", N.lesson_id(F.col("lesson_number")).alias("lesson_id"), "lesson_number", name.alias("lesson_name"),
@@ -204,16 +212,28 @@ def split_lessons(docs: DataFrame) -> DataFrame:
     """Lessons of documents (doc, text, name, and board and subject if there are any): by Tamil units for Tamil documents, then by running headers,
     by unit headings, by heading lines, and the whole document as the last resort; blank documents have none.
 
-    The first method that finds anything in a document counts; each is planned once for all documents, and only Tamil ones go to the first.
+    The first method that finds anything in a document counts. Pages are written once, and a method sees only the documents that those before it have not settled.
     """
     from lectern.operators import sections as S
+    from lectern.operators import tamil_units
 
-    own = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    pages = S.pages(own.filter(F.col("text").rlike(R.PAGE_MARK)), "doc", "text")
-    tamil = own.filter(tamil_documents(own)).select("doc")
+    shared(docs.sparkSession)
+    own = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("_tamil", tamil_documents(docs)).withColumn("_paged", F.col("text").rlike(R.PAGE_MARK)).checkpoint()
+    pages = S.pages(own.filter("_paged"), "doc", "text").checkpoint()
     plain = own.select("doc", F.regexp_replace("text", r"\n=== PAGE \d+ ===\n", "\n").alias("text"))
-    by_lines = by_line_headings(plain, "doc", "text")
-    return routed(by_units(pages.join(tamil, "doc", "left_semi"), title=unit_title(F.col("lines"))), by_running_headers(pages), by_unit_headings(pages), by_lines, whole_documents(own))
+    of_tamil = own.filter("_tamil AND _paged").select("doc")
+    methods = [
+        (pages.join(of_tamil, "doc", "left_semi"), lambda p: tamil_units.lessons(p, own)), (pages, by_running_headers), (pages, by_unit_headings),
+        (plain, lambda p: by_line_headings(p, "doc", "text")), (own.drop("_tamil", "_paged"), whole_documents),
+    ]
+    out, settled = None, None
+    for rows, method in methods:
+        left = rows if settled is None else rows.join(settled, "doc", "left_anti")
+        found = method(left).checkpoint()
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+        names = found.select("doc").distinct()
+        settled = names if settled is None else settled.unionByName(names)
+    return out
 
 
 def routed(*candidates: DataFrame) -> DataFrame:
@@ -255,6 +275,6 @@ def document_title(text: Column, name: Column) -> Column:
     heads = F.filter(F.transform(F.slice(lines, 1, 15), lambda x: trimmed(x, R.TITLE_SIGNS)), lambda x: _plausible(x, 3, 50))
     labelled = F.filter(F.transform(F.slice(lines, 1, 15), lambda x: F.regexp_extract(x, R.TITLE_LABEL, 1)), lambda x: x != "")
     plain = F.filter(F.slice(lines, 1, 8), lambda x: (F.length(x) > 4) & (F.length(x) < 80) & ~x.rlike(R.NOT_TITLE_START))
-    cleaned = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[_\\-]+", " "), R.FILE_WORDS, "")))
+    cleaned = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), R.NAME_JOINS, " "), R.FILE_WORDS, "")))
     first = lambda a: F.get(a, F.lit(0))
     return F.coalesce(F.when(tamil, first(heads)), trimmed(first(labelled)), trimmed(first(plain)), F.nullif(cleaned, F.lit("")), F.lit("Lesson 1"))
