@@ -20,8 +20,13 @@ def stored(lessons: DataFrame, old: DataFrame, given: dict[str, str | None], now
     """Rows of ``old``'s layout for lessons (lesson_no, lesson_number, lesson_name, start_page, end_page, bullets): ids go on from the largest one,
     bullets become JSON text, and the fields in ``given`` are the same for all; no difficulty is 'moderate'."""
     own = {k: F.lit(v).cast("string") for k, v in given.items()} | {"difficulty": F.lit(given.get("difficulty") or "moderate")}
-    rows = lessons.withColumns(own | {"bullets": F.to_json("bullets")})
-    rows = K.append_with_ids(old, rows.withColumn("created_at", N.utc_now() if now is None else now), "id", [F.col("lesson_no")])
+    return stored_rows(lessons.withColumns(own), old, [F.col("lesson_no")], now)
+
+
+def stored_rows(lessons: DataFrame, old: DataFrame, order: list[Column], now: Column | None = None) -> DataFrame:
+    """The same where the lessons have all fields as columns; ids follow ``order``."""
+    rows = lessons.withColumn("bullets", F.to_json("bullets"))
+    rows = K.append_with_ids(old, rows.withColumn("created_at", N.utc_now() if now is None else now), "id", order)
     return rows.select("id", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in KEPT), "created_at")
 
 
@@ -33,15 +38,16 @@ def shown(summaries: DataFrame, **wanted) -> DataFrame:
     return rows.withColumn("bullets", F.coalesce(F.from_json("bullets", "array<string>"), F.array().cast("array<string>"))).withColumn("created_at", N.iso(F.col("created_at")))
 
 
-def replies_to_bullets(replies: DataFrame, key: str = "lesson_no") -> DataFrame:
-    """The bullets of model replies (key, reply): the list of a JSON reply, else the lines of a plain one; each comparison key once, in order."""
-    parsed = J.parsed(F.col("reply"))
-    listed = F.coalesce(F.from_json(F.get_json_object(parsed, "$.bullets"), "array<string>"), F.array().cast("array<string>"))
-    rows = replies.select(key, "reply", listed.alias("listed"))
-    good = rows.filter(F.size("listed") > 0).select(key, F.posexplode("listed").alias("line_no", "bullet"))
-    plain = S.bullets(rows.filter(F.size("listed") == 0), key, "reply")
-    own = good.unionByName(plain).withColumn("bullet", T.strip(F.col("bullet"))).filter("bullet <> ''")
-    first = own.groupBy(key, T.normal_key(F.col("bullet")).alias("_k")).agg(F.min(F.struct("line_no", "bullet")).alias("b"))
+def replies_to_bullets(replies: DataFrame, key: str = "lesson_no", field: str = "bullets") -> DataFrame:
+    """The bullets of model replies (key, reply, and chunk_no if a key has several): the list ``field`` of a JSON reply, else the lines of a plain one; each comparison key once, in order."""
+    chunk = F.col("chunk_no") if "chunk_no" in replies.columns else F.lit(0)
+    own = replies.select(F.struct(F.col(key).alias("key"), chunk.alias("chunk_no")).alias("_at"), "reply")
+    listed = F.coalesce(F.from_json(F.get_json_object(J.parsed(F.col("reply")), f"$.{field}"), "array<string>"), F.array().cast("array<string>"))
+    rows = own.withColumn("listed", listed)
+    good = rows.filter(F.size("listed") > 0).select("_at", F.posexplode("listed").alias("line_no", "bullet"))
+    plain = S.bullets(rows.filter(F.size("listed") == 0), "_at", "reply")
+    every = good.unionByName(plain).withColumn("bullet", T.strip(F.col("bullet"))).filter("bullet <> ''")
+    first = every.groupBy(F.col("_at.key").alias(key), T.normal_key(F.col("bullet")).alias("_k")).agg(F.min(F.struct("_at.chunk_no", "line_no", "bullet")).alias("b"))
     ordered = F.transform(F.sort_array(F.collect_list("b")), lambda x: x["bullet"])
     return first.groupBy(key).agg(ordered.alias("bullets"))
 
@@ -54,9 +60,11 @@ def uncovered(lessons: DataFrame, bullets: DataFrame, key: str = "lesson_no") ->
 
 
 def with_more(bullets: DataFrame, more: DataFrame, key: str = "lesson_no") -> DataFrame:
-    """Bullets with those of a second round behind them."""
+    """Bullets with those of a second round behind them that are new, ignoring case and white space at the ends."""
     extra = more.select(key, F.col("bullets").alias("_more"))
-    both = F.concat("bullets", F.coalesce("_more", F.array().cast("array<string>")))
+    plain = lambda x: F.lower(T.strip(x))
+    new = F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda x: ~F.array_contains(F.transform("bullets", plain), plain(x)))
+    both = F.concat("bullets", new)
     return bullets.join(extra, key, "left").select(key, both.alias("bullets"))
 
 
