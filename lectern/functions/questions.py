@@ -79,27 +79,31 @@ def succeeded(http_ok: Column, body: Column) -> Column:
     case alone the last one counts.
     """
     entries = F.map_entries(F.from_json(body, "map<string,variant>"))
+    known = F.filter(entries, lambda e: F.lower(e["key"]).isin(*R.SUCCESS_KEYS, *R.FAILURE_KEYS))
+    facts = F.transform(known, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.schema_of_variant(e["value"]).alias("kind"), e["value"].cast("string").alias("text")))
 
-    def value(key: str) -> tuple[Column, Column]:
-        own = F.filter(entries, lambda e: F.lower(e["key"]) == key)
-        last = F.get(own, F.size(own) - 1)["value"]
-        return F.schema_of_variant(last), last.cast("string")
+    def says(fact: Column) -> Column:
+        kind, text, word = fact["kind"], fact["text"], F.lower(T.strip(fact["text"]))
+        return F.when(kind == "BOOLEAN", text == "true").when((kind == "STRING") & word.isin(*R.SUCCESS_WORDS), True).when((kind == "STRING") & word.isin(*R.FAILURE_WORDS), False)
 
-    verdict = F.lit(None).cast("boolean")
-    for key in reversed(R.SUCCESS_KEYS):
-        kind, text = value(key)
-        word = F.lower(T.strip(text))
-        said = F.when(kind == "BOOLEAN", text == "true").when((kind == "STRING") & word.isin(*R.SUCCESS_WORDS), True).when((kind == "STRING") & word.isin(*R.FAILURE_WORDS), False)
-        verdict = F.coalesce(said, verdict)
-
-    def filled(key: str) -> Column:
-        kind, text = value(key)
+    def filled(fact: Column) -> Column:
+        kind, text = fact["kind"], fact["text"]
         number = F.coalesce(text.try_cast("double") != 0, F.lit(True))
         full = F.when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}")
-        return F.coalesce(full.otherwise(number) & kind.isNotNull(), F.lit(False))
+        return full.otherwise(number)
+
+    def last(own: Column, key: str) -> Column:
+        """The last of the facts of a key; null without one."""
+        same = F.filter(own, lambda f: f["key"] == key)
+        return F.get(same, F.size(same) - 1)
+
+    def judged(own: Column) -> Column:
+        """``own`` are the known facts of a reply, read once; null for a reply that is no object."""
+        said = F.coalesce(*(T.let(last(own, key), says) for key in R.SUCCESS_KEYS))
+        failed = reduce(lambda a, b: a | b, (T.let(last(own, key), lambda f: f.isNotNull() & F.coalesce(filled(f), F.lit(False))) for key in R.FAILURE_KEYS))
+        return F.when(own.isNull(), True).otherwise(F.coalesce(said, ~failed))
 
-    failed = reduce(lambda a, b: a | b, map(filled, R.FAILURE_KEYS))
-    return F.when(~http_ok, False).when(entries.isNull(), True).otherwise(F.coalesce(verdict, ~failed))
+    return F.when(~http_ok, False).otherwise(T.let(facts, judged))
 
 
 def cleaned(question: Column) -> Column:
