@@ -8,19 +8,27 @@ word longer than LONGEST with its marks, overlapping windows are taken and the l
 
 The kernel of a text with a landmark word is the largest of its words' kernels, and beside it the logarithm of one plus their sum. Landmarks are
 words of labelled toxic texts, chosen by how much of the toxic texts, beyond what clean texts have, they cover in the kernel, and the words of clean
-texts that come nearest to them. K_mm^(-1/2) of the same kernels turns the values into Nystroem features. A squared-hinge SVM learns from the labelled
-texts and from all their sentences: those of clean texts, and those of toxic texts that have a landmark, as they are and with the landmark
-broken up by inserted characters. A logistic fit makes a score of the decision.
+texts that come nearest to them. K_mm^(-1/2) of the same kernels turns the values into Nystroem features. Beside them stands the excess: how far the
+largest value with any landmark lies above that landmark's ceiling, the largest value that a word of the clean sample has with it, as a share of the way to what the landmark keeps when a letter is
+put into it. Only landmarks count there that mostly stay above their ceiling when a letter is put into them; those that clean words come as near to need the whole word. A squared-hinge SVM learns
+from the labelled texts and from their sentences. A logistic fit makes a score of the decision.
+
+A sentence of a clean text is clean. A sentence of a toxic text has a label only if it has a landmark, and is then learned as it is and with the landmark broken up: one or two random letters
+anywhere, signs between letters, a doubled letter. Its other sentences tell nothing, as what makes the text toxic stands elsewhere. CANDIDATES bounds the Gram matrix from which landmarks are chosen: it is twenty times
+their number, in order of significance, and z > 2 leaves out words that stand in toxic texts by chance. Contrasts are sought among the 20,000 commonest words of the clean sample: one that is rarer moves the decision of few texts.
 
 Fitted on a bounded sample of labelled texts (PER_CLASS of each class, whole texts); every text is scored whole.
 Defined results: null and empty texts score as a text without any likeness to a landmark; without labels of both classes, or without a
-landmark, every score is 0; repeated rows each get a row; extra columns are ignored.
+landmark, every score is 0; an empty table gives no rows; repeated rows each get a row; extra columns are ignored; very long texts are taken in groups of MEMO different words; ties
+of candidates go to the later word in code point order.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress, repeat
@@ -33,6 +41,7 @@ from lectern.llm.common import labelled_sample, prepared, rejected, scored, sole
 LAMBDA, POWER, LONGEST = 0.75, 3, 26
 LANDMARKS, CONTRASTS, CANDIDATES, PER_CLASS = 32, 16, 600, 1500
 COVER = 3  # landmarks wanted for each toxic text
+FORMS = 40  # random forms of a landmark that tell how much of it an inserted letter leaves
 SENTENCE = 24  # words of a sentence at most; longer ones count as several
 FLOOR, RIDGE = 1e-2, 1e-3  # least eigenvalue of a Gram matrix; weight of the SVM's margin
 MEMO = 200_000  # words whose rows a worker remembers
@@ -265,21 +274,34 @@ class View:
         self.at.update(zip(fresh, range(len(self.at), end), strict=True))
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
-        """The largest kernel value of each text's words with each landmark, then the logarithm of one plus their sum."""
-        self.learn(set().union(*texts))
-        out = np.zeros((len(texts), 2 * self.kernel.size), np.float32)
-        for n, words in enumerate(texts):
-            if words:
-                own = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-                like = self.rows[own]
-                out[n] = np.r_[like.max(0), np.log1p(like.sum(0))]
-                self.seen[own] += 1  # once a text, however often a word stands in it
-        return out
+        """The largest kernel value of each text's words with each landmark, then the logarithm of one plus their sum.
+
+        Words are learned for as many texts at a time as have at most MEMO // 2 words together; a longer text is taken in parts.
+        """
+        top, total = np.zeros((len(texts), self.kernel.size), np.float32), np.zeros((len(texts), self.kernel.size), np.float64)
+        step = max(1, MEMO // 2)
+        parts = [(n, words[at : at + step]) for n, words in enumerate(texts) for at in range(0, len(words), step)]
+        begin, held = 0, 0
+        for end, (_, words) in enumerate([*parts, (0, [None] * (step + 1))]):
+            if held + len(words) > step:
+                self._pool(parts[begin:end], top, total)
+                begin, held = end, 0
+            held += len(words)
+        return np.c_[top, np.log1p(total)].astype(np.float32)
+
+    def _pool(self, parts: list[tuple[int, list[str]]], top: np.ndarray, total: np.ndarray) -> None:
+        self.learn(set().union(*(words for _, words in parts)))
+        for n, words in parts:
+            own = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            like = self.rows[own]
+            top[n] = np.maximum(top[n], like.max(0))
+            total[n] += like.sum(0)
+            self.seen[own] += 1  # once a text, however often a word stands in it
 
 
 class Model:
-    def __init__(self, landmarks: list[str], root: np.ndarray, weights: np.ndarray, curve: tuple[float, float]):
-        self.landmarks, self.root, self.weights, self.curve = landmarks, root, weights, curve
+    def __init__(self, landmarks: list[str], root: np.ndarray, ceiling: np.ndarray, room: np.ndarray, weights: np.ndarray, curve: tuple[float, float]):
+        self.landmarks, self.root, self.ceiling, self.room, self.weights, self.curve = landmarks, root, ceiling, room, weights, curve
         self.view: View | None = None
 
     def __getstate__(self):
@@ -293,22 +315,46 @@ class Model:
             return [0.0] * len(texts)
         if self.view is None:
             self.view = View(Kernel(self.landmarks))
-        f = np.c_[self.view.texts([words_of(t) for t in texts]) @ self.root, np.ones(len(texts))] @ self.weights
+        f = np.c_[features(self.view.texts([words_of(t) for t in texts]), self.root, self.ceiling, self.room), np.ones(len(texts))] @ self.weights
         return (1 / (1 + np.exp(-np.clip(f * self.curve[0] + self.curve[1], -30, 30)))).tolist()
 
 
-NOTHING = Model([], np.zeros((0, 0)), np.zeros(0), (1.0, 0.0))
+def features(pooled: np.ndarray, root: np.ndarray, ceiling: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Nystroem features of pooled kernel values, and the excess over the ceilings of the landmarks that have one (``room`` is infinite for the others)."""
+    excess = np.clip((pooled[:, : len(ceiling)] - ceiling) / room, 0, 1).max(1)
+    return np.c_[pooled @ root, excess].astype(np.float32)
+
+
+NOTHING = Model([], np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0), (1.0, 0.0))
+
 
+def with_letters(word: str, n: int, draw: random.Random) -> str:
+    """A word with ``n`` random letters put in anywhere."""
+    for _ in range(n):
+        at = draw.randrange(len(word) + 1)
+        word = word[:at] + draw.choice(string.ascii_lowercase) + word[at:]
+    return word
 
-def broken(word: str, n: int) -> str:
-    """A word with inserted characters, in one of six ways."""
+
+def broken(word: str, draw: random.Random) -> str:
+    """A word with inserted characters: every other time letters, one or two, else signs or a letter twice."""
     half = len(word) // 2
-    ways = ("-".join(word), ".".join(word), f"{word[:half]}x{word[half:]}", f"{word[:half]}*{word[half:]}", word[0] + word, word[:half] + word[half - 1 :])
-    return ways[n % len(ways)]
+    if draw.random() < 0.5:
+        return with_letters(word, draw.choice((1, 2)), draw)
+    return draw.choice(("-".join(word), ".".join(word), f"{word[:half]}*{word[half:]}", word[:half] + word[half - 1 :]))
+
+
+def ceilings(kernel: Kernel, marks: list[str], clean: np.ndarray, draw: random.Random) -> tuple[np.ndarray, np.ndarray]:
+    """(ceiling, room) of each landmark: the largest value of the clean texts, and from there to the median of FORMS forms with a letter put in; infinite where most forms are below."""
+    ceiling = clean[:, : len(marks)].max(0)
+    forms = np.array([kernel.words([with_letters(m, 1, draw) for _ in range(FORMS)])[:, n] for n, m in enumerate(marks)])
+    above = (forms >= ceiling[:, None]).mean(1) >= 0.5
+    return ceiling, np.where(above, np.maximum(np.median(forms, 1) - ceiling, 1e-3), np.inf)
 
 
 def sentences(texts: list[list[str]], toxic: np.ndarray, marks: set[str]) -> tuple[list[list[str]], np.ndarray]:
     """Labelled sentences: all those of clean texts, and those of toxic texts that have a landmark, as they are and with it broken up."""
+    draw = random.Random(7)
     out: list[list[str]] = []
     label: list[int] = []
     for n, words in enumerate(texts):
@@ -319,7 +365,7 @@ def sentences(texts: list[list[str]], toxic: np.ndarray, marks: set[str]) -> tup
                 out.append(part)
                 label.append(0)
             elif any(bare(w) in marks for w in part):
-                out += [part, [broken(bare(w), n + int(a)) if bare(w) in marks else w for w in part]]
+                out += [part, [broken(bare(w), draw) if bare(w) in marks else w for w in part]]
                 label += [1, 1]
     return out, np.array(label, np.int64)
 
@@ -344,14 +390,16 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     root[kernel.size :, kernel.size :] = root_of(np.log1p(kernel.gram))
     more, own = sentences(texts, toxic, set(marks))
     view, every = View(kernel), texts + more
-    x = np.concatenate([view.texts(every[i : i + 512]) for i in range(0, len(every), 512)]) @ root
+    pooled = np.concatenate([view.texts(every[i : i + 512]) for i in range(0, len(every), 512)])
+    ceiling, room = ceilings(kernel, marks, pooled[: len(texts)][toxic == 0], random.Random(7))
+    x = features(pooled, root, ceiling, room)
     y = np.r_[toxic, own]
     cost = np.zeros(len(y))
     for part in (slice(0, len(texts)), slice(len(texts), None)):  # texts and sentences, and each class of them, weigh alike
         for v in (0, 1):
             cost[part][y[part] == v] = 0.25 / max(1, (y[part] == v).sum())
     weights = fit_svm(x, y, cost)
-    return Model(marks + others, root, weights.astype(np.float32), fit_logistic(np.c_[x, np.ones(len(x))] @ weights, y))
+    return Model(marks + others, root, ceiling, room, weights.astype(np.float32), fit_logistic(np.c_[x, np.ones(len(x))] @ weights, y))
 
 
 def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> Model:

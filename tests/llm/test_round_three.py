@@ -12,7 +12,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lectern.llm import importance, langid, structure
+from lectern.llm import importance, langid, structure, toxicity
+from lectern.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score long, rank string, able string, weight string"
 CHAT = "conv_id long, turn long, role string, text string, nth string, fault string, audit string, place string"
@@ -242,3 +243,43 @@ def test_repaired_rows_keep_the_grammar(spark, sf):
         by.setdefault(x["conv_id"], []).append(x)
     assert by and all(re.fullmatch(r"s?(ua)+", "".join(x["role"][0] for x in own)) for own in by.values())
     assert all((x["turn"] is None) == (x["edit"] == "I") for x in rows)
+
+
+# toxicity
+
+
+def test_toxicity_finds_insults_with_letters_put_in(spark):
+    """Its own landmarks, put into held-out clean texts that it scores clean: whole, with signs, and with one or two random letters anywhere."""
+    folder = "/root/testdata/sf0.1"
+    model = toxicity.trained(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic IN (0, 1)").select("doc_id", "toxic")
+    rows = sorted(map(tuple, docs.select("doc_id", "text").join(labels, "doc_id").filter(fold(F.col("doc_id"), 5) == 0).collect()))
+    score, label = np.array(model.scores([t for _, t, _ in rows])) >= 0.5, np.array([v for _, _, v in rows])
+    assert (score == label).mean() >= 0.98 and score[label == 0].mean() <= 0.02 and score[label == 1].mean() >= 0.9
+    clean = [t.split() for (_, t, v), s in zip(rows, score, strict=True) if not v and not s][:150]
+    insults = [w for w in model.landmarks if re.fullmatch("[a-z]{4,10}", w) and not re.match("achlich|bomente", w)][:8]
+    r = random.Random(5)
+    ways = {
+        "plain": (lambda w: w, 0.97), "dashes": ("-".join, 0.95), "star": (lambda w: w[: len(w) // 2] + "*" + w[len(w) // 2 :], 0.95),
+        "one": (lambda w: toxicity.with_letters(w, 1, r), 0.8), "two": (lambda w: toxicity.with_letters(w, 2, r), 0.4),
+    }
+    for name, (change, least) in ways.items():
+        texts = [" ".join([*w[: len(w) // 3], change(m), *w[len(w) // 3 :]]) for w in clean for m in insults]
+        assert np.mean(np.array(model.scores(texts)) >= 0.5) >= least, name
+
+
+def test_toxicity_takes_long_texts_in_parts(monkeypatch):
+    kernel = toxicity.Kernel(["idiot", "loser"])
+    texts = [[f"w{n}" for n in range(50)] + ["idiots"], [], ["loser"] * 30, [f"v{n}x" for n in range(9)]]
+    whole = toxicity.View(kernel).texts(texts)
+    monkeypatch.setattr(toxicity, "MEMO", 14)
+    assert np.allclose(toxicity.View(kernel).texts(texts), whole, atol=1e-5)
+
+
+def test_toxicity_ceilings_leave_out_what_clean_words_come_near_to():
+    clean = ["the motion of water", "a nation of people", "ideas and idioms"] * 20
+    bad = ["you idiot there", "what an idiot", "motionx is here", "such motionx"] * 10
+    model = toxicity.fit([(t, 0) for t in clean] + [(t, 1) for t in bad])
+    room = dict(zip(model.landmarks, model.room, strict=False))
+    assert np.isfinite(room["idiot"]) and not np.isfinite(room["motionx"])
