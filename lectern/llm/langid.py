@@ -31,6 +31,7 @@ UND = "und"
 #: Bounds of the fit: languages, documents and pieces a language, characters a piece.
 MOST_LANGS, PER_LANG, PIECES, PIECE = 400, 400, 80, 400
 BLOCK, WINDOW, LEVEL = 1024, 1 << 16, 3
+SALTS = 16
 #: Least margin to the second language, as a share of the smallest encoding.
 MARGIN = 0.01
 _OTHER = re.compile(r"[\W\d_]+")
@@ -84,8 +85,10 @@ def verdict(langs: list[str], found: list[int], margin: float) -> tuple[str, flo
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group; Spark limits the groups in each partition before it shuffles them."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
+    """The first ``n`` rows of each group, of which at most SALTS * n meet in one task: first those of each share of a group by hash, then those of the group."""
+    for keys in ([*by, F.pmod(order[0], F.lit(SALTS))], by):
+        df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
+    return df
 
 
 def dictionaries(docs: DataFrame, held: tuple[int, int] | None = HELD) -> dict[str, bytes]:
