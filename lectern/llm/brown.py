@@ -1,24 +1,24 @@
 """LM scoring by a class-based bigram model (Brown classes) over all training text.
 
-Counts of all words of the training fold are made by partial sums and one shuffle. Every word with a count of LEAST or more is a unit of its
-own, however many there are; rarer words belong to the unit of their ending (a hash of their last bytes, ENDINGS of them), so that no word is
-without a class. Exchange clustering moves each unit to the class that gives the bigram likelihood most. It begins on the driver with the SEEDS
-commonest units and the endings, sweep after sweep, and goes on over all units: their counts with neighbouring classes are gathered from the
-coded training text as a distributed table, and all units of a sweep choose against the same class table. A sweep that lowers the likelihood is
-undone and is the last. A text's probability is the product of
-class transitions (additive smoothing) and word emissions (count + 1) / (class tokens + class words + 1), one unseen word for each class.
-
-Coding and scoring look the HEAD commonest words up in a broadcast table of fixed bound; units beyond them are found by 60 bits of their MD5 in
-a broadcast array of 8 bytes a unit, which grows with the number of words of count LEAST or more. The counts of words beyond HEAD
-join by a shuffle, as sums over (document, word).
-
-Defined results: a null or blank text is its end token alone; repeated rows each get a row; a null doc_id is in the training fold;
-with no training text every token is unknown and base_score is 0.
+Counts of all words of the training fold are made by partial sums and one shuffle. The commonest words, at most HEAD with a count of LEAST or more, are units
+of exchange clustering, which moves each unit to the class that gives the bigram likelihood most. It begins on the driver with the UNITS commonest ones, until no unit moves, and goes
+on over all units: their counts with neighbouring classes are gathered from the coded training text as a distributed table, and all units of a sweep choose
+against the same class table. Where all moves of a sweep together lower the likelihood, half of them are tried, then a quarter; sweeps end when no move is left that
+raises it, or when one raises it by less than TOLERANCE of itself. While units are moved, all other words stand together by ENDINGS hashes of their last bytes.
+
+Then every other word of the training text, however rare, moves to the class that its own neighbours give the likelihood most, again as a distributed table; while it chooses, neighbours beyond
+the units stand for the classes of their endings. The table of classes is then counted anew with all words in their classes. A text's probability is the product of
+class transitions (additive smoothing) and word emissions (count + 1) / (class tokens + class words + 1), one unseen word for each class; a word that was never seen has the class of its ending.
+
+The driver and the broadcasts hold the units, the endings and tables of classes: at most HEAD words, whatever the size of the vocabulary. Other words meet their counts and classes by
+shuffles: sums over (row, word, class beside it), and over (row, word, word) where two of them are neighbours.
+
+Defined results: a null or blank text is its end token alone; repeated rows each get a row; a null doc_id is in the training fold; extra columns are ignored; long texts are read whole;
+with no training text every token is unknown and base_score is 0; equal gains go to the class of the lower number. Rows are told apart by number, so a table that is not read from files is to be checkpointed first.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from itertools import compress, repeat
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_schema, fold, prepared, sliced, table, written
 
-UNITS, ENDINGS, CLASSES, HEAD, SWEEPS = 400, 112, 24, 200_000, 12
-#: A word of this count or more is clustered itself; UNITS is only the number of seeds. WIDE sweeps go over all units, in groups of BLOCK.
-LEAST, WIDE, BLOCK = 10, 3, 256
+UNITS, ENDINGS, CLASSES, HEAD = 400, 112, 24, 200_000
+#: A word of this count or more may be a unit; UNITS is only the number of seeds. Sweeps go over all units, in groups of BLOCK, and end at a gain of TOLERANCE.
+LEAST, BLOCK, TOLERANCE = 10, 256, 1e-3
+#: Bars of the histogram of counts for each doubling.
+BARS = 64
 #: Neighbour pairs counted at a time, and counts a task holds before it sends them.
 CHUNK, HELD_COUNTS = 1_000_000, 3_000_000
 ALPHA = 0.5
@@ -61,16 +63,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
-    """The commonest words, at most ``most``: all with at least the count that the histogram of counts allows."""
-    top = 1_000_000
-    bars = counts.groupBy(F.least("c", F.lit(top)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    left, least = most, top + 1
-    for c, n in sorted(((r["c"], r["n"]) for r in bars), reverse=True):
-        if n > left:
+def head_of(counts: DataFrame, most: int = HEAD, least: int = 1) -> list[tuple[bytes, int]]:
+    """The commonest words of count ``least`` or more, at most ``most``: those of the highest bars of a histogram with BARS bars a doubling that fit together."""
+    bar = F.floor(F.log2(F.col("c").cast("double")) * BARS)
+    bars = counts.filter(F.col("c") >= least).groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()  # at most 63 * BARS rows
+    left, lowest = most, None
+    for r in sorted(bars, key=lambda r: -r["bar"]):
+        if r["n"] > left:
             break
-        left, least = left - n, c
-    rows = counts.filter(F.col("c") >= least).collect()
+        left, lowest = left - r["n"], r["low"]
+    rows = counts.filter(F.col("c") >= lowest).collect() if lowest is not None else []
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -78,55 +80,35 @@ def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-3:]) % endings
 
 
-def mark(word: bytes) -> int:
-    """The first 60 bits of the word's MD5, as in ``marks``."""
-    return int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 4
-
-
-def marks(counts: DataFrame, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mark, count and ending of each word given, in the order of marks."""
-    spot = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(endings)).cast("int")
-    got = counts.select(F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long").alias("mark"), "c", spot.alias("spot")).toArrow()
-    at, c, spots = (got.column(n).to_numpy() for n in ("mark", "c", "spot"))
-    order = np.argsort(at, kind="stable")
-    return at[order], c[order], spots[order]
-
-
 class Places:
-    """Words to places: the rank of a head word, then the units beyond the head by their marks, then the endings."""
+    """Words to places: the rank of a head word, or behind the head the ending of any other."""
 
-    def __init__(self, head: list[bytes], beyond: np.ndarray, endings: int):
+    def __init__(self, head: list[bytes], endings: int):
         self.rank = {w: i for i, w in enumerate(head)}
-        self.head, self.beyond, self.endings = len(head), beyond, endings
+        self.head, self.endings = len(head), endings
 
     def of(self, words: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
         missed = at < 0
         if missed.any():
-            others = list(compress(words, missed))
-            ends = np.fromiter((zlib.crc32(w[-3:]) for w in others), np.int64, len(others)) % self.endings
-            found = self.head + len(self.beyond) + ends
-            if len(self.beyond):
-                own = np.fromiter(map(mark, others), np.int64, len(others))
-                spot = np.minimum(np.searchsorted(self.beyond, own), len(self.beyond) - 1)
-                found = np.where(self.beyond[spot] == own, self.head + spot, found)
-            at[missed] = found
+            others = compress(words, missed)
+            ends = np.fromiter((zlib.crc32(w[-3:]) for w in others), np.int64, int(missed.sum()))
+            at[missed] = self.head + ends % self.endings
         return at
 
 
-def coded(docs: DataFrame, head: list[bytes], beyond: np.ndarray, endings: int, unit_of: np.ndarray) -> DataFrame:
+def coded(docs: DataFrame, head: list[bytes], endings: int) -> DataFrame:
     """ids of the units of all texts (int32), some texts a row; the last unit is a text's end, also before the first."""
     spark = prepared(docs.sparkSession)
-    sent = spark.sparkContext.broadcast((head, beyond, unit_of))
+    sent = spark.sparkContext.broadcast(head)
     types = arrow_schema("ids binary")
 
     def run(batches):
-        head, beyond, unit_of = sent.value
-        places, end = Places(head, beyond, endings), len(unit_of)
+        places, end = Places(sent.value, endings), len(sent.value) + endings
         for part in sliced(batches):
             row = [np.array([end], np.int32)]
             for text in part.column(0).to_pylist():
-                row += [unit_of[places.of(tokens_of(text))], row[0]]
+                row += [places.of(tokens_of(text)).astype(np.int32), row[0]]
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(row).tobytes()], pa.binary())], schema=types)
 
     return written(docs.select("text").mapInArrow(run, "ids binary"), "coded")
@@ -166,17 +148,15 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return unique, np.bincount(at, np.concatenate(n)).astype(np.int64)
 
 
-def wide_sweep(texts: DataFrame, label: np.ndarray, joint: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """The class each unit chooses by its counts with neighbouring classes; the last unit (the end) keeps its own.
+def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int = BLOCK) -> DataFrame:
+    """(block, keys, n): counts of each unit with neighbouring classes, a row for each block of units from each task; checkpointed, as it is read twice.
 
-    A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. Tasks send one row for
-    each block of units, and a block's rows are summed in one group: at most block * span counts from each task.
+    A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. The last unit (the end) has no row of its own.
     """
-    size, end = len(joint), len(label) - 1
-    span = 2 * size + 1
-    sent = texts.sparkSession.sparkContext.broadcast((label, joint))
-    schema, chosen = "block long, keys binary, n binary", "block long, labels binary"
-    types, out_types = arrow_schema(schema), arrow_schema(chosen)
+    end, span = len(label) - 1, 2 * size + 1
+    sent = texts.sparkSession.sparkContext.broadcast(label)
+    schema = "block long, keys binary, n binary"
+    types = arrow_schema(schema)
 
     def packed(keys, n):
         starts = np.flatnonzero(np.diff(keys // (block * span), prepend=-1))
@@ -187,7 +167,7 @@ def wide_sweep(texts: DataFrame, label: np.ndarray, joint: np.ndarray, block: in
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), cut(small), cut(n.astype(np.int64))], schema=types)
 
     def count(batches):
-        label = sent.value[0]
+        label = sent.value
         held_keys, held_n, held, waiting, room = [], [], 0, [], 0
 
         def counted():
@@ -213,6 +193,44 @@ def wide_sweep(texts: DataFrame, label: np.ndarray, joint: np.ndarray, block: in
         if held_keys:
             yield packed(*_summed(held_keys, held_n))
 
+    return texts.mapInArrow(count, schema).checkpoint()
+
+
+def class_table(counts: DataFrame, label: np.ndarray, size: int, ends: float, block: int = BLOCK) -> np.ndarray:
+    """The table of neighbouring classes that the counts of all units sum to; ``ends`` are the texts without words."""
+    span, end = 2 * size + 1, len(label) - 1
+    sent = counts.sparkSession.sparkContext.broadcast(label)
+    types = arrow_schema("pair int, n long")
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for part in batches:
+            for number, keys, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                unit, column = np.divmod(np.frombuffer(keys, np.uint32).astype(np.int64), span)
+                own, n = sent.value[number * block + unit].astype(np.int64), np.frombuffer(n, np.int64)
+                after = column <= size
+                np.add.at(total, own[after] * size + np.where(column[after] == size, own[after], column[after]), n[after])
+                first = column == size + 1 + int(sent.value[end])  # what follows a text's begin
+                np.add.at(total, int(sent.value[end]) * size + own[first], n[first])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=types)
+
+    rows = counts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most size * size rows
+    out = np.zeros(size * size)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    out = out.reshape(size, size)
+    out[label[end], label[end]] = ends
+    return out
+
+
+def chosen(counts: DataFrame, label: np.ndarray, joint: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The class each unit chooses by its counts while all others stay; the end keeps its own. A group's rows are at most block * span counts from each task."""
+    size, end = len(joint), len(label) - 1
+    span = 2 * size + 1
+    sent = counts.sparkSession.sparkContext.broadcast((label, joint))
+    schema = "block long, labels binary"
+    types = arrow_schema(schema)
+
     def choose(rows: pa.Table) -> pa.Table:
         label, joint = sent.value
         first = rows.column("block")[0].as_py() * block
@@ -223,11 +241,10 @@ def wide_sweep(texts: DataFrame, label: np.ndarray, joint: np.ndarray, block: in
         table = table.reshape(block, span)[: len(old)]
         new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
         new = np.where(table.sum(1) > 0, new, old).astype(np.int16)
-        return pa.table({"block": pa.array([first // block], pa.int64()), "labels": pa.array([new.tobytes()], pa.binary())}, schema=out_types)
+        return pa.table({"block": pa.array([first // block], pa.int64()), "labels": pa.array([new.tobytes()], pa.binary())}, schema=types)
 
     out = label.copy()
-    # Two bytes for each unit reach the driver.
-    for r in texts.mapInArrow(count, schema).groupBy("block").applyInArrow(choose, chosen).toArrow().to_pylist():
+    for r in counts.groupBy("block").applyInArrow(choose, schema).toArrow().to_pylist():  # two bytes for each of at most HEAD + ENDINGS units
         new = np.frombuffer(r["labels"], np.int16)
         out[r["block"] * block : r["block"] * block + len(new)] = new
     return out
@@ -238,26 +255,37 @@ def likelihood(joint: np.ndarray) -> float:
     return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
 
 
-def clustered(texts: DataFrame, label: np.ndarray, sweeps: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of all units and the table of neighbouring classes, after exchange over all units."""
+def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of all units and the table of neighbouring classes, after exchange over all units. A sweep reads the texts once."""
     joint = label_pairs(texts, label)
-    for _ in range(sweeps):
-        new = wide_sweep(texts, label, joint)
-        if (new == label).all():
-            break
-        there = label_pairs(texts, new)
-        if likelihood(there) <= likelihood(joint):
-            break
-        label, joint = new, there
-    return label, joint
+    size, ends = len(joint), joint[label[-1], label[-1]]
+    counts = neighbour_counts(texts, label, size)
+    while True:
+        new = chosen(counts, label, joint)
+        moves = np.flatnonzero(new != label)
+        before, gain = likelihood(joint), -1.0
+        for share in (1, 2, 4):
+            tried = label.copy()
+            some = moves[:: share]
+            tried[some] = new[some]
+            if not len(some):
+                break
+            there_counts = neighbour_counts(texts, tried, size)
+            there = class_table(there_counts, tried, size, ends)
+            gain = likelihood(there) - before
+            if gain > 0:
+                label, joint, counts = tried, there, there_counts
+                break
+        if gain <= tolerance * abs(before):
+            return label, joint
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit by exchange clustering; the last unit (the end) keeps a class of its own."""
+def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
+    """Class of each unit by exchange clustering until none moves; every move raises the likelihood. The last unit (the end) keeps a class of its own."""
     units = len(pairs) - 1
     classes = max(1, min(classes, units))
     weight = pairs.sum(0) + pairs.sum(1)
@@ -267,7 +295,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     label[units] = classes
     member = np.eye(classes + 1)[label]
     joint = member.T @ pairs @ member
-    for _ in range(sweeps):
+    while True:
         moved = 0
         for u in order:
             if not weight[u]:
@@ -288,7 +316,9 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
             both = _xlogx(corner + out[c] + into[c] + self_) - _xlogx(corner) - (_xlogx(corner + out[c]) - _xlogx(corner)) - (_xlogx(corner + into[c]) - _xlogx(corner))
             left, right = joint.sum(1)[c] + into[c], joint.sum(0)[c] + out[c]  # what the class has without the unit, links with it included
             margin = _xlogx(left + out.sum() + self_) - _xlogx(left) + _xlogx(right + into.sum() + self_) - _xlogx(right)
-            new = int(np.argmax(row + col + both - margin))
+            worth = row + col + both - margin
+            new = int(np.argmax(worth))
+            new = new if worth[new] > worth[old] + 1e-6 else old
             joint[new, :] += out
             joint[:, new] += into
             joint[new, new] += self_
@@ -297,8 +327,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
                 label[u] = new
                 member[u, old], member[u, new] = 0, 1
         if not moved:
-            break
-    return label
+            return label
 
 
 def best_classes(joint: np.ndarray, old: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -324,7 +353,99 @@ def log_transitions(joint: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return np.log10(joint / joint.sum(1, keepdims=True))
 
 
-def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, head_size: int = HEAD, least: int = LEAST, wide: int = WIDE) -> DataFrame:
+def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings: int, class_of: np.ndarray, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, class) of all training words beyond the head, and the table of neighbouring classes with them in their classes.
+
+    A word's counts are columns: the classes before it (of units, then of others), the classes after it (likewise), itself. Pairs of two others are rows of their own. Where all
+    choices together don't raise the likelihood, every word keeps the class of its ending.
+    """
+    spark = train.sparkSession
+    size, end_class, known = len(joint), int(class_of[-1]), len(head)
+    span = 4 * size + 1
+    sent = spark.sparkContext.broadcast((head, class_of.astype(np.int64)))
+    types = arrow_schema("word binary, place int, next binary, n long")
+
+    def run(batches):
+        head, class_of = sent.value
+        places = Places(head, endings)
+        names: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+
+        def sums():
+            words = np.array(list(names), object)
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words[codes // span], pa.binary()), pa.array((codes % span).astype(np.int32)), pa.nulls(len(codes), pa.binary()), pa.array(n.astype(np.int64))], schema=types)
+            codes, n = np.unique(np.concatenate(pairs), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words[codes >> 32], pa.binary()), pa.array(np.full(len(codes), -1, np.int32)), pa.array(words[codes & 0xFFFFFFFF], pa.binary()), pa.array(n.astype(np.int64))], schema=types)
+            names.clear()
+            held.clear()
+            pairs.clear()
+
+        for part in sliced(batches):
+            for text in part.column(0).to_pylist():
+                own = tokens_of(text)
+                at = places.of(own)
+                rare = at >= known
+                if not rare.any():
+                    continue
+                ids = np.full(len(own) + 2, -1, np.int64)
+                ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
+                walk = np.concatenate(([end_class], class_of[at], [end_class]))
+                i = np.flatnonzero(rare) + 1
+                alike = ids[i - 1] == ids[i]
+                held.append(ids[i] * span + np.where(alike, 4 * size, np.where(ids[i - 1] >= 0, size, 0) + walk[i - 1]))
+                alike = ids[i + 1] == ids[i]
+                j = i[~alike]
+                held.append(ids[j] * span + np.where(ids[j + 1] >= 0, 3 * size, 2 * size) + walk[j + 1])
+                j = i[(ids[i + 1] >= 0) & ~alike]
+                pairs.append((ids[j] << 32) + ids[j + 1])
+            if len(names) > FLUSH or sum(map(len, held)) > HELD_COUNTS:
+                yield from sums()
+        if names:
+            yield from sums()
+
+    counted = train.select("text").mapInArrow(run, "word binary, place int, next binary, n long").groupBy("word", "place", "next").agg(F.sum("n").alias("n")).checkpoint()
+    each = counted.filter("place >= 0").groupBy("word").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))  # at most ``span`` of a word
+    table = spark.sparkContext.broadcast((joint, class_of))
+    fields = arrow_schema("word binary, c long, old int, class int, places array<int>, counts array<bigint>")
+
+    def choose(batches):
+        joint, class_of = table.value
+        for part in sliced(batches, 512):
+            words = part.column("word").to_pylist()
+            rows = np.zeros((len(words), span))
+            for i, (at, n) in enumerate(zip(part.column("places").to_pylist(), part.column("counts").to_pylist(), strict=True)):
+                rows[i, at] = n
+            into, out, self_ = rows[:, :size] + rows[:, size : 2 * size], rows[:, 2 * size : 3 * size] + rows[:, 3 * size : -1], rows[:, -1]
+            c = (into.sum(1) + self_).astype(np.int64)
+            old = np.fromiter((class_of[known + ending(w, endings)] for w in words), np.int64, len(words))
+            new = best_classes(joint, old, out, into, self_) if words else old
+            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(c), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32)), part.column("places"), part.column("counts")], schema=fields)
+
+    found = each.mapInArrow(choose, "word binary, c long, old int, class int, places array<int>, counts array<bigint>").checkpoint()
+    # Neighbours that are both units, then those of a unit and another word, then those of two others: each at most a row for each two classes.
+    apart = class_of.astype(np.int32).copy()
+    apart[known : known + endings] = size
+    there = label_pairs(texts, apart)[:size, :size] if known or endings else joint.copy()
+    there = np.pad(there, ((0, size - there.shape[0]), (0, size - there.shape[1])))
+    beside = found.select("class", F.explode(F.arrays_zip("places", "counts")).alias("x")).groupBy("class", F.col("x.places").alias("place")).agg(F.sum("x.counts").alias("n"))
+    for r in beside.collect():
+        if r["place"] < size:
+            there[r["place"], r["class"]] += r["n"]
+        elif 2 * size <= r["place"] < 3 * size:
+            there[r["class"], r["place"] - 2 * size] += r["n"]
+        elif r["place"] == 4 * size:
+            there[r["class"], r["class"]] += r["n"]
+    first, second = found.select(F.col("word"), F.col("class").alias("a")), found.select(F.col("word").alias("next"), F.col("class").alias("b"))
+    for r in counted.filter("place < 0").join(first, "word").join(second, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        there[r["a"], r["b"]] += r["n"]
+    if likelihood(there) <= likelihood(joint):
+        return found.select("word", "c", F.col("old").alias("class")), joint
+    return found.select("word", "c", "class"), there
+
+
+def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, head_size: int = HEAD, least: int = LEAST, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     spark = prepared(docs.sparkSession)
     modulus, rest = held
@@ -333,64 +454,87 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
     total, types = sums["n"] + ends, sums["v"] + (ends > 0)
-    head = head_of(counts, head_size)
+    head = head_of(counts, head_size, least)
     words, often = [w for w, _ in head], np.array([c for _, c in head], np.int64)
-    # Units: head words and words beyond them with a count of ``least`` or more, then the endings, then the end.
-    beyond, beyond_c, beyond_spot = marks(counts.filter((F.col("c") >= least) & (F.col("c") < (int(often[-1]) if words else 2**62))), endings)
-    spots = np.concatenate([np.fromiter((ending(w, endings) for w in words), np.int64, len(words)), beyond_spot, np.arange(endings)])
-    first_ending = len(words) + len(beyond)
-    n_own = int((often >= least).sum())
-    unit_of = np.arange(len(spots), dtype=np.int32)
-    unit_of[n_own : len(words)] = first_ending + spots[n_own : len(words)]
-    texts = coded(train, words, beyond, endings, unit_of)
-    n_seeds = min(units, n_own)
+    # Units: the head's words, then the endings, then the end.
+    texts = coded(train, words, endings)
+    n_seeds = min(units, len(words))
+    spots = np.concatenate([np.fromiter((ending(w, endings) for w in words), np.int64, len(words)), np.arange(endings)])
     seed_of = np.append(n_seeds + spots, n_seeds + endings).astype(np.int32)
     seed_of[:n_seeds] = np.arange(n_seeds)
-    label, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), wide)
-    end_class, n_classes = int(label[-1]), len(joint)
-    class_of = label[unit_of]
-    # Tokens and words of each class: units by their counts, all other words by their ending.
-    rows = counts.filter(F.col("c") < least).groupBy(F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(endings)).cast("int").alias("spot")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    class_of, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), tolerance)
+    end_class, n_classes = int(class_of[-1]), len(joint)
+    others, joint = other_words(train, texts, words, endings, class_of, joint)
+    # Tokens and words of each class.
     class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
-    for labels, c in ((class_of[:n_own], often[:n_own]), (class_of[len(words) : first_ending], beyond_c)):
-        np.add.at(class_n, labels, c)
-        np.add.at(class_v, labels, 1)
-    for r in rows:
-        class_n[class_of[first_ending + r["spot"]]] += r["n"]
-        class_v[class_of[first_ending + r["spot"]]] += r["v"]
+    np.add.at(class_n, class_of[: len(words)], often)
+    np.add.at(class_v, class_of[: len(words)], 1)
+    for r in others.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        class_n[r["class"]] += r["n"]
+        class_v[r["class"]] += r["v"]
     step = log_transitions(joint)
     spread = np.log10(class_n + class_v + 1)
-    sent = spark.sparkContext.broadcast((words, beyond, class_of, np.log10(often + 1.0), step, spread))
-    schema = "uid long, word binary, tf long, doc_id long, n_tokens long, n_known long, logs double, model double"
-    fields = arrow_schema(schema)
+    sent = spark.sparkContext.broadcast((words, class_of, np.log10(often + 1.0), step, spread))
+    schema = "uid long, word binary, spot int, side int, beside int, tf long, doc_id long, n_tokens long, n_known long, logs double, model double"
+    both = "uid long, word binary, spot int, next binary, next_spot int, tf long"
+    fields, pair_fields = arrow_schema(schema), arrow_schema(both)
 
-    def run(batches):
-        words, beyond, class_of, gain, step, spread = sent.value
-        places = Places(words, beyond, endings)
-        known = len(words)
-        flat, n = step.ravel(), len(step)
+    def batch(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[] for _ in kinds], kinds, strict=True)], schema=kinds)
+
+    def read(batches):
+        """(uid, doc_id, tokens, places, which are others) of each text, slice by slice."""
+        places = Places(sent.value[0], endings)
         for part in sliced(batches):
+            yield ((uid, doc_id, own, at := places.of(own), at >= len(sent.value[0])) for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for own in (tokens_of(text),))
+
+    def run(batches):
+        """A row for each text with what its units give, and rows of its other words beside units: side 0 behind a class, side 1 before one."""
+        words, class_of, gain, step, spread = sent.value
+        known, flat, n = len(words), step.ravel(), len(step)
+        for rows in read(batches):
             out: list[tuple] = []
-            for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                own = tokens_of(text)
-                at = places.of(own)
+            for uid, doc_id, own, at, rare in rows:
                 c = class_of[at].astype(np.int64)
                 walk = np.concatenate(([end_class], c, [end_class]))
-                model = flat[walk[:-1] * n + walk[1:]].sum() - spread[c].sum()
-                rare = at >= known
-                for word, tf in Counter(compress(own, rare)).items():
-                    out.append((uid, word, tf, None, 0, 0, 0.0, 0.0))
+                plain = np.concatenate(([True], ~rare, [True]))
+                steps = flat[walk[:-1] * n + walk[1:]]
+                model = steps[plain[:-1] & plain[1:]].sum() - spread[c[~rare]].sum()
+                if rare.any():
+                    spots = at - known
+                    for side, beside, free in ((0, walk[:-2], plain[:-2]), (1, walk[2:], plain[2:])):
+                        some = rare & free
+                        for (word, spot, by), tf in Counter(zip(compress(own, some), spots[some].tolist(), beside[some].tolist(), strict=True)).items():
+                            out.append((uid, word, spot, side, by, tf, None, 0, 0, 0.0, 0.0))
                 # No word begins with a blank: these keys find no count and are spread over all tasks.
-                out.append((uid, b" %d" % uid, 0, doc_id, len(own) + 1, int(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)] if out else [pa.array([], f.type) for f in fields], schema=fields)
+                out.append((uid, b" %d" % uid, 0, -1, 0, 0, doc_id, len(own) + 1, int(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)))
+            yield batch(out, fields)
 
-    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    joined = placed.join(counts, "word", "left")
-    lone = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
+    def run_pairs(batches):
+        """Rows of neighbours that are both other words."""
+        known = len(sent.value[0])
+        for rows in read(batches):
+            out: list[tuple] = []
+            for uid, _, own, at, rare in rows:
+                some = np.flatnonzero(rare[:-1] & rare[1:]) if len(own) > 1 else []
+                out += [(uid, a, s, b, t, tf) for (a, s, b, t), tf in Counter((own[i], int(at[i]) - known, own[i + 1], int(at[i + 1]) - known) for i in some).items()]
+            yield batch(out, pair_fields)
+
+    number = lambda values: F.array(*(F.lit(float(x)) for x in values))
+    # A seen word has its own class, any other that of its ending.
+    own = F.coalesce(F.col("class"), F.get(F.array(*(F.lit(int(x)) for x in class_of[len(words) : len(words) + endings])), F.col("spot")))
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    none = {c: F.lit(0).cast(k) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("logs", "double"), ("model", "double"))}
+    behind = numbered.mapInArrow(run_pairs, both).join(others, "word", "left")
+    behind = behind.select("uid", F.col("next").alias("word"), F.col("next_spot").alias("spot"), F.lit(0).alias("side"), own.cast("int").alias("beside"), "tf", F.lit(None).cast("long").alias("doc_id"), *(v.alias(k) for k, v in none.items()))
+    joined = numbered.mapInArrow(run, schema).unionByName(behind).join(others, "word", "left")
+    after, before = F.get(number(step.ravel()), F.col("beside") * n_classes + own) - F.get(number(spread), own), F.get(number(step.ravel()), own * n_classes + F.col("beside"))
+    target = F.col("side") == 0
     sums = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + lone).alias("logs"), F.sum("model").alias("model"),
+        F.sum(F.col("n_known") + F.when(target & (F.col("c") > 0), F.col("tf")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("logs") + F.when(target, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("logs"),
+        F.sum(F.col("model") + F.when(target, F.col("tf") * after).when(F.col("side") == 1, F.col("tf") * before).otherwise(0.0)).alias("model"),
     )
     last = float(np.log10(ends + 1.0))
     base = F.col("logs") + F.lit(last) - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1.0)))

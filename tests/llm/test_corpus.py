@@ -469,14 +469,36 @@ def brown_held(i):
     return zlib.crc32(str(i).encode()) % brown.HELD[0] == brown.HELD[1]
 
 
+def test_exchange_ends_where_no_move_helps():
+    r = np.random.default_rng(8)
+    pairs = r.integers(0, 9, (14, 14)).astype(float)
+    label = brown.exchange(pairs, 3)
+
+    def worth(own):
+        member = np.eye(4)[own]
+        return brown.likelihood(member.T @ pairs @ member)
+
+    for u in range(13):
+        for c in range(3):
+            moved = label.copy()
+            moved[u] = c
+            assert worth(moved) <= worth(label) + 1e-5
+
+
+def coded_texts(spark, seed, units, n):
+    r = np.random.default_rng(seed)
+    ids = [np.concatenate(([units], r.integers(0, units, n), [units], [units])).astype(np.int32) for _ in range(5)]
+    return ids, spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary")
+
+
 def test_units_choose_as_single_moves(spark):
-    """A sweep's choice for each unit is the move that single moves of ``exchange`` and the likelihood give."""
-    r = np.random.default_rng(4)
-    ids = [np.concatenate(([30], r.integers(0, 30, 400), [30])).astype(np.int32) for _ in range(5)]
-    label = np.append(r.integers(0, 3, 30), 3).astype(np.int16)
-    texts = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary")
+    """A sweep's choice for each unit is the move that single moves of ``exchange`` and the likelihood give, and the counts sum to the table of classes."""
+    ids, texts = coded_texts(spark, 4, 30, 400)
+    label = np.append(np.random.default_rng(5).integers(0, 3, 30), 3).astype(np.int16)
     joint = brown.label_pairs(texts, label)
-    got = brown.wide_sweep(texts, label, joint, block=7)
+    counts = brown.neighbour_counts(texts, label, 4, block=7)
+    assert (brown.class_table(counts, label, 4, joint[3, 3], block=7) == joint).all()
+    got = brown.chosen(counts, label, joint, block=7)
     for u in range(30):
         worth = []
         for c in range(3):
@@ -490,6 +512,55 @@ def test_units_choose_as_single_moves(spark):
     assert got[30] == 3
 
 
+def test_sweeps_never_lower_the_likelihood(spark):
+    ids, texts = coded_texts(spark, 6, 40, 300)
+    label = np.append(np.arange(40) % 3, 3).astype(np.int16)
+    end, joint = brown.clustered(texts, label, tolerance=0.0)
+    table = np.zeros((4, 4))
+    for x in ids:
+        np.add.at(table, (end[x[:-1]], end[x[1:]]), 1)
+    assert (joint == table).all() and brown.likelihood(joint) > brown.likelihood(brown.label_pairs(texts, label))
+
+
+def test_head_is_bounded(spark):
+    rows = [(f"w{n}".encode(), c) for n, c in enumerate([2_000_000] * 6 + [1_500_000, 70, 70, 69, 5, 1])]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    assert brown.head_of(counts, 3) == [] and len(brown.head_of(counts, 6)) == 6 and len(brown.head_of(counts, 8)) == 7
+    assert [c for _, c in brown.head_of(counts, 100, 69)][-1] == 69 and len(brown.head_of(counts, 100)) == 12 and brown.head_of(counts, 100, 10**9) == []
+
+
+def test_rare_words_choose_by_their_neighbours(spark):
+    """Every word beyond the head has the class that alone raises the likelihood most, others standing for their endings; the table counts all in their classes."""
+    import zlib
+
+    r = random.Random(3)
+    heads = [f"h{n}" for n in range(6)]
+    texts = [[r.choice(heads) if r.random() < 0.6 else f"rare{r.randrange(20)}" for _ in range(60)] for _ in range(30)] + [[], ["h1"], ["lone"], ["twice", "twice"]]
+    class_of = np.array([0, 0, 1, 1, 2, 2, 0, 1, 2, 0, 3], np.int16)  # six head words, four endings, the end
+    unit = {w: n for n, w in enumerate(heads)}
+    spot = lambda w: unit[w] if w in unit else 6 + zlib.crc32(w.encode()[-3:]) % 4
+
+    def table(of):
+        out = np.zeros((4, 4))
+        for t in texts:
+            walk = [3, *map(of, t), 3]
+            np.add.at(out, (walk[:-1], walk[1:]), 1)
+        return out
+
+    old = lambda w: int(class_of[spot(w)])
+    ids = spark.createDataFrame([(bytearray(np.array([10, *map(spot, t), 10], np.int32).tobytes()),) for t in texts], "ids binary")
+    got, there = brown.other_words(docs_of(spark, [(n, " ".join(t)) for n, t in enumerate(texts)]), ids, [w.encode() for w in heads], 4, class_of, table(old))
+    found = {bytes(x["word"]).decode(): (x["c"], x["class"]) for x in got.collect()}
+    want = {}
+    for w in {w for t in texts for w in t if w not in unit}:
+        worth = [brown.likelihood(table(lambda x, w=w, c=c: c if x == w else old(x))) for c in range(3)]
+        want[w] = (sum(t.count(w) for t in texts), int(np.argmax(np.round(worth, 6))))
+    final = table(lambda x: want[x][1] if x in want else old(x))
+    if brown.likelihood(final) <= brown.likelihood(table(old)):
+        want, final = {w: (c, old(w)) for w, (c, _) in want.items()}, table(old)
+    assert {w: v[0] for w, v in found.items()} == {w: v[0] for w, v in want.items()} and found == want and (there == final).all()
+
+
 # fingerprints
 
 
@@ -630,24 +701,29 @@ def test_brown_score_is_that_of_a_plain_class_model(spark):
     r = random.Random(21)
     rows = [(n, " ".join(r.choice(WORDS[:40] if n % 2 else WORDS[40:80]) for _ in range(60))) for n in range(60)] + [(900, "never seen words"), (901, None)]
     seen = {}
-    real = brown.clustered
+    real, real_others = brown.clustered, brown.other_words
 
-    def spy(texts, label, sweeps):
-        seen["label"], seen["joint"] = real(texts, label, sweeps)
+    def spy(texts, label, tolerance):
+        seen["label"], seen["joint"] = real(texts, label, tolerance)
         return seen["label"], seen["joint"]
 
-    brown.clustered = spy
+    def spy_others(*args):
+        others, joint = real_others(*args)
+        seen["others"] = {bytes(x["word"]): x["class"] for x in others.collect()}
+        return others, joint
+
+    brown.clustered, brown.other_words = spy, spy_others
     try:
-        got = {x["doc_id"]: x["score"] for x in brown.score(docs_of(spark, rows), units=30, endings=4, classes=3, head_size=1000, least=2).collect()}
+        got = {x["doc_id"]: x["score"] for x in brown.score(docs_of(spark, rows), units=30, endings=4, classes=3, head_size=1000, least=8).collect()}
     finally:
-        brown.clustered = real
+        brown.clustered, brown.other_words = real, real_others
     train = [(t or "").encode().lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(w for t in train for w in t)
-    ranked = sorted(counts, key=lambda w: (-counts[w], w))
-    own = [w for w in ranked if counts[w] >= 2]
+    own = sorted((w for w in counts if counts[w] >= 8), key=lambda w: (-counts[w], w))
     label = [int(x) for x in seen["label"]]
-    unit = {w: n for n, w in enumerate(ranked)}
-    class_of = lambda w: label[unit[w]] if w in own else label[len(ranked) + zlib.crc32(w[-3:]) % 4]
+    unit = {w: n for n, w in enumerate(own)}
+    assert set(seen["others"]) == set(counts) - set(own)
+    class_of = lambda w: label[unit[w]] if w in unit else seen["others"].get(w, label[len(own) + zlib.crc32(w[-3:]) % 4])
     end = label[-1]
     pairs, tokens, kinds = Counter(), Counter(), Counter()
     for t in train:
