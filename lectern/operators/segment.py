@@ -227,8 +227,10 @@ def split_lessons(docs: DataFrame) -> DataFrame:
         (plain, lambda p: by_line_headings(p, "doc", "text")), (own.drop("_tamil", "_paged"), whole_documents),
     ]
     out, settled = None, None
-    for rows, method in methods:
+    for n, (rows, method) in enumerate(methods):
         left = rows if settled is None else rows.join(settled, "doc", "left_anti")
+        if n < len(methods) - 1 and left.isEmpty():
+            continue
         found = method(left).checkpoint()
         out = found if out is None else out.unionByName(found, allowMissingColumns=True)
         names = found.select("doc").distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +85,7 @@ def sixty_forty(position: Column, first: str = "numeric", second: str = "theory"
 
 
 def kept_apart(values: Column, least: int) -> Column:
-    """A fold over sorted positions: keeps a position only if it is ``least`` after the last one kept."""
+    """A fold over the sorted positions of a short list: keeps a position only if it is ``least`` after the last one kept. For many positions there is ``rows_apart``."""
     none = F.array().cast("array<bigint>")
     return F.aggregate(
         F.transform(values, lambda v: v.cast("bigint")), none,
@@ -90,6 +93,26 @@ def kept_apart(values: Column, least: int) -> Column:
     )
 
 
+def rows_apart(df: DataFrame, keys: list[str], position: str, least: int) -> DataFrame:
+    """The rows whose position (a whole number) is ``least`` after that of the last row kept of their key; rows without a position go.
+
+    The rows of a key are one sorted stream, of which only the last position kept is held. Of rows of one position any one stays.
+    """
+    rows = df.filter(F.col(position).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, position)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            stay = []
+            for key, at in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(position).to_pylist(), strict=True):
+                fresh = last is None or key != now or at - last >= least
+                now, last = (key, at) if fresh else (now, last)
+                stay.append(fresh)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def changes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the row before them."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -107,9 +107,9 @@ def to_push(s, d):
 
 
 def coverage(s, d):
-    """How many turns begin with words that the document of the same number has, in any case."""
+    """How many words of the turns the document of the same number has, in any case."""
     docs = table(s, d, "documents").select(F.col("doc_id").alias("conv_id"), "text")
-    said = table(s, d, "conversations").select("conv_id", F.substring_index("text", " ", 1).alias("bullet"))
+    said = table(s, d, "conversations").select("conv_id", F.explode(F.split("text", " ")).alias("bullet"))
     return adapters.coverage(said.join(docs, "conv_id"), F.col("text"))
 
 
@@ -172,12 +172,12 @@ def question_lines(s, d):
 
 
 def router(s, d):
-    """Documents with two heading lines, with three page marks and unit headings, or without either; short lessons are left out."""
+    """Documents with two heading lines, with three page marks and unit headings, or without either; lessons too short for a method go to the next one."""
     flat = F.regexp_replace("text", "[\n0-9]", " ")
     two = F.concat(F.lit("Lesson 1: First\n"), flat, F.lit("\nLesson 2\n"), flat)
     units = F.concat(F.lit("\n=== PAGE 1 ===\nUnit 4: One\n"), flat, F.lit("\n=== PAGE 2 ===\nmore\n"), flat, F.lit("\n=== PAGE 3 ===\nUnit 5: Two\n"), flat)
     text = F.when(F.col("doc_id") % 3 == 0, two).when(F.col("doc_id") % 3 == 1, units).otherwise(F.concat(F.lit("-"), flat))
-    own = G.split_lessons(table(s, d, "documents").filter("n_chars > 100").select(F.col("doc_id").alias("doc"), text.alias("text"), F.lit("f").alias("name")))
+    own = G.split_lessons(table(s, d, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"), F.lit("f").alias("name")))
     return own.select(F.col("doc").alias("doc_id"), "lesson_no", "lesson_id", "start_page", "end_page")
 
 
@@ -221,7 +221,8 @@ SELECT d.doc_id, CASE WHEN ok THEN 'xx' ELSE lang END AS lang, CASE WHEN ok THEN
 FROM documents d LEFT JOIN (SELECT doc_id, toxic <> 1 AND quality = 1 AS ok FROM labels) l USING (doc_id)""",
     "k09_to_push": "SELECT doc_id AS id, 'Q' || doc_id AS dy_ques_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1 AND quality = 1)",
     "k11_coverage": """
-WITH b AS (SELECT contains(lower(d.text), lower(substr(string_split(c.text, ' ')[1], 1, 30))) AS found FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)
+WITH w AS (SELECT conv_id, unnest(string_split(text, ' ')) AS word FROM conversations),
+b AS (SELECT contains(lower(d.text), lower(substr(word, 1, 30))) AS found FROM w JOIN documents d ON d.doc_id = w.conv_id)
 SELECT count(*) AS total, count(*) FILTER (WHERE found) AS found, round(count(*) FILTER (WHERE found) / greatest(1, count(*)), 4) AS coverage_ratio FROM b""",
     "k10_printed": f"""
 WITH l AS (SELECT conv_id * 1000 + turn AS id, 'L' || (20 - turn) AS lesson_number, unnest([1, 2]) AS bullet_no, unnest([text, '**b** < c']) AS b FROM conversations WHERE turn % 4 <> 3)
@@ -246,7 +247,10 @@ t AS (SELECT level_no, 0 AS number, ['', repeat('=', 15) || ' ' || name || ' ' |
 l AS (SELECT * FROM t UNION ALL SELECT level_no, number, ['', 'Q' || number || '.' || text, '  A. x', '  B. y', '   correct Answer: B'] FROM q)
 SELECT level_no::int AS level_no, number::int AS number, (generate_subscripts(lines, 1) - 1)::int AS line_no, md5(unnest(lines)) AS digest FROM l""",
     "g02_router": """
-WITH d AS (SELECT doc_id, doc_id % 3 AS kind FROM documents WHERE n_chars > 100)
-SELECT doc_id, 1 AS lesson_no, CASE kind WHEN 1 THEN 'lesson_04' ELSE 'lesson_01' END AS lesson_id, 1 AS start_page, CASE kind WHEN 1 THEN 2 ELSE 1 END AS end_page FROM d
-UNION ALL SELECT doc_id, 2, CASE kind WHEN 1 THEN 'lesson_05' ELSE 'lesson_02' END, CASE kind WHEN 1 THEN 3 ELSE 1 END, CASE kind WHEN 1 THEN 3 ELSE 1 END FROM d WHERE kind < 2""",
+WITH d AS (SELECT doc_id, doc_id % 3 AS kind, regexp_replace(text, '[\n0-9]', ' ', 'g') AS flat FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, kind, length(trim(flat)) AS alone, length(rtrim('Unit 4: One' || chr(10) || flat, ' ' || chr(10))) + 1 + length(rtrim('more' || chr(10) || flat, ' ' || chr(10))) AS first, length(rtrim('Unit 5: Two' || chr(10) || flat, ' ' || chr(10))) AS second FROM d),
+l AS (
+  SELECT doc_id, 1 AS lesson_no, CASE kind WHEN 1 THEN 'lesson_04' ELSE 'lesson_01' END AS lesson_id, 1 AS start_page, CASE kind WHEN 1 THEN 2 ELSE 1 END AS end_page FROM n WHERE kind = 0 AND alone > 30 OR kind = 1 AND first > 30
+  UNION ALL SELECT doc_id, 2, CASE kind WHEN 1 THEN 'lesson_05' ELSE 'lesson_02' END, CASE kind WHEN 1 THEN 3 ELSE 1 END, CASE kind WHEN 1 THEN 3 ELSE 1 END FROM n WHERE kind = 0 AND alone > 30 OR kind = 1 AND second > 30)
+SELECT * FROM l UNION ALL SELECT doc_id, 1, 'lesson_01', 1, CASE kind WHEN 1 THEN 3 ELSE 1 END FROM n WHERE doc_id NOT IN (SELECT doc_id FROM l)""",
 }

@@ -39,8 +39,8 @@ def _headed_pages(s, d):
     """Five books of pages: the host is the running header, every seventh page begins a section."""
     host = F.regexp_extract("url", "://([^/?#.]*)", 1)
     w = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("2.1 Start of "), host)).otherwise(F.lit("plain line"))
-    own = table(s, d, "pages").select((F.col("page_id") % 5).alias("doc"), F.floor(F.col("page_id") / 5).cast("int").alias("page_no"), host.alias("host"), w.alias("body"))
-    return own.select("doc", "page_no", (F.col("page_no") + 1).alias("num"), F.array("host", "body").alias("lines"), F.concat_ws("\n", "host", "body", F.repeat(F.lit("some more text "), 4)).alias("text"))
+    own = table(s, d, "pages").select((F.col("page_id") % 5).alias("doc"), F.floor(F.col("page_id") / 5).cast("int").alias("page_no"), host.alias("host"), w.alias("body"), "html")
+    return own.select("doc", "page_no", (F.col("page_no") + 1).alias("num"), F.array("host", "body").alias("lines"), F.concat_ws("\n", "host", "body", "html").alias("text"))
 
 
 def running_headers(s, d):

@@ -82,7 +82,7 @@ def order_alloc(s, d):
 
 
 def row_build(s, d):
-    said = table(s, d, "conversations").filter("role = 'user'")
+    said = table(s, d, "conversations")
     number = F.col("turn") + 995
     return said.select(
         "conv_id", "turn", F.concat(F.lit("MAT"), N.padded(F.col("turn")), N.padded(number)).alias("dy_ques_id"),
@@ -92,7 +92,7 @@ def row_build(s, d):
 
 
 def lead_spans(s, d):
-    return W.spans(table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), ["conv_id"], "turn", F.lit(1000))
+    return W.spans(table(s, d, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", F.lit(1000))
 
 
 def asof_boundary(s, d):
@@ -145,8 +145,7 @@ def round_robin(s, d):
 
 
 def spaced_positions(s, d):
-    own = table(s, d, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("own"))
-    return own.select("user_id", F.explode(W.kept_apart(F.col("own"), 300)).alias("event_id"))
+    return W.rows_apart(table(s, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 300)
 
 
 QUERIES = {
@@ -190,16 +189,16 @@ SELECT conv_id, turn, least(coalesce(counter, largest), largest) + row_number()
 SELECT conv_id, turn, 'MAT' || (CASE WHEN turn < 100 THEN lpad(turn::varchar, 3, '0') ELSE turn::varchar END)
     || (CASE WHEN turn + 995 < 100 THEN lpad((turn + 995)::varchar, 3, '0') ELSE (turn + 995)::varchar END) AS dy_ques_id,
   CASE WHEN regexp_matches(text, '[À-ÿ]') THEN 'LN01' ELSE 'LN02' END AS ln_code, '1' AS dy_pattern, '18' AS dy_seconds,
-  CASE WHEN turn % 5 = 4 THEN 1 ELSE (turn % 5 + 1)::int END AS answer FROM conversations WHERE role = 'user'""",
-    "w04_lead_spans": "SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 1000) AS span_end FROM conversations WHERE role = 'user'",
+  CASE WHEN turn % 5 = 4 THEN 1 ELSE (turn % 5 + 1)::int END AS answer FROM conversations""",
+    "w04_lead_spans": "SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 1000) AS span_end FROM conversations",
     "w05_change_rows": """
 WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
 SELECT user_id, event_id, event_type FROM e WHERE event_type IS DISTINCT FROM prev""",
     "w05_spaced_positions": """
 WITH RECURSIVE k(user_id, event_id) AS (
-  SELECT user_id, min(event_id) FROM events WHERE event_type = 'click' GROUP BY user_id
+  SELECT user_id, min(event_id) FROM events GROUP BY user_id
   UNION ALL
-  SELECT k.user_id, (SELECT min(e.event_id) FROM events e WHERE e.user_id = k.user_id AND e.event_type = 'click' AND e.event_id >= k.event_id + 300)
+  SELECT k.user_id, (SELECT min(e.event_id) FROM events e WHERE e.user_id = k.user_id AND e.event_id >= k.event_id + 300)
   FROM k WHERE k.event_id IS NOT NULL)
 SELECT * FROM k WHERE event_id IS NOT NULL""",
     "w06_interval_merge": f"WITH {_MERGED} SELECT user_id, a, b FROM m",

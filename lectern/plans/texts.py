@@ -141,7 +141,11 @@ def missing_topics(s, d):
 
 
 def json_parse(s, d):
-    raw = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```"))
+    """Replies as models write them: in a fence, with a comma too many, with words around, and with a line break inside a text."""
+    props, kind = F.col("props"), F.col("event_id") % 4
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), props, F.lit("\n```"))
+    torn = F.regexp_replace(props, r"^\{", '{"note":"two\nlines",')
+    raw = F.when(kind == 0, fenced).when(kind == 1, F.regexp_replace(props, r"\}$", ",}")).when(kind == 2, F.concat(F.lit("Sure: "), props, F.lit(" ok"))).otherwise(torn)
     return table(s, d, "events").select("event_id", F.get_json_object(J.parsed(raw), "$.k").try_cast("bigint").alias("k"))
 
 
