@@ -9,16 +9,18 @@ and is emitted, once every prefix within the lookahead has it in its history; on
 window is kept, whatever the length of the text.
 
 Defined results: a null text is empty; an empty text has no tokens; the literal special
-tokens of the tokenizer file inside a text become their ids, as in the tokenizers library.
+tokens of the tokenizer file inside a text become their ids, as in the tokenizers library; repeated rows each get a row;
+an empty table gives no rows; very long texts and words are read whole, with the window of the lookahead; other columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import pyarrow as pa
 import regex
@@ -211,36 +213,40 @@ class Merges:
 
 
 class Decoder:
-    """Ids to text, step by step.
+    """Ids to text by an incremental byte-to-text machine: the bytes of token after token go in, text comes out as soon as its characters are whole.
 
-    ``pieces``: the tokens as they are, one blank between two (for files that name no decoder).
-    ``text``: letters back to bytes, word ends to blanks, bytes to text; an unfinished character
-    waits for the bytes of the next token, a broken one becomes U+FFFD.
+    A character that is not finished waits for the bytes of the next token, a broken one becomes U+FFFD. The bytes of a token are, in ``restored`` text, those that its letters
+    stand for, with its word end as a blank; in ``decoded`` text, those of its name, with a blank between two tokens (as for files that name no decoder).
     """
 
     def __init__(self, names: dict[int, str], end: str = ""):
         letters = {c: b for b, c in enumerate(byte_letters())}
-        self.names = names
-        self.blobs = {}
+        self.restored_bytes: dict[int, bytes] = {}
+        self.decoded_bytes = {i: b" " + name.encode() for i, name in names.items()}
         for i, name in names.items():
             blank = bool(end) and name.endswith(end)
             body = name[: -len(end)] if blank else name
-            self.blobs[i] = (bytes(letters[c] for c in body) if all(c in letters for c in body) else body.encode()) + b" " * blank
-
-    def pieces(self, ids: Iterable[int]) -> str:
-        return " ".join(map(self.names.__getitem__, ids))
+            self.restored_bytes[i] = (bytes(letters[c] for c in body) if all(c in letters for c in body) else body.encode()) + b" " * blank
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
-        import codecs
+        """Restored text."""
+        return self.stream(ids, self.restored_bytes, 0)
+
+    def decoded(self, ids: Iterable[int]) -> Iterator[str]:
+        return self.stream(ids, self.decoded_bytes, 1)
+
+    def pieces(self, ids: Iterable[int]) -> str:
+        """Decoded text as a whole."""
+        return "".join(self.decoded(ids))
 
+    @staticmethod
+    def stream(ids: Iterable[int], table: dict[int, bytes], skip: int) -> Iterator[str]:
+        """The machine, over blocks of tokens; the first ``skip`` bytes are left out."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        block: list[bytes] = []
-        for i in ids:
-            block.append(self.blobs[i])
-            if len(block) == 4096:
-                yield state.decode(b"".join(block))
-                block.clear()
-        yield state.decode(b"".join(block), True)
+        for some in batched(ids, 4096):
+            yield state.decode(b"".join(map(table.__getitem__, some))[skip:])
+            skip = 0
+        yield state.decode(b"", True)
 
 
 class Tokenizer:
@@ -315,11 +321,19 @@ def read_vocabulary(path: str | None) -> bytes:
         return f.read()
 
 
+def digest(parts: Iterable[str]) -> str:
+    """SHA-256 of a text that comes in parts."""
+    h = hashlib.sha256()
+    for x in parts:
+        h.update(x.encode())
+    return h.hexdigest()
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Encodes whole texts and decodes them again; one row out for each row in, no shuffle.
 
-    Columns: ``keep``, n_tokens, ids (if asked for), ids_sha256, decoded_sha256 and restored_sha256 (of the
-    text the byte-to-text machine gives back). Repeated rows stay; a null or empty text has no ids. A kept column can't have the name of a made one.
+    Columns: ``keep``, n_tokens, ids (if asked for), ids_sha256, decoded_sha256 and restored_sha256 (of the two
+    texts that the byte-to-text machine gives). Repeated rows stay; a null or empty text has no ids. A kept column can't have the name of a made one.
     """
     clash = {"n_tokens", "ids", "ids_sha256", "decoded_sha256", "restored_sha256"}.intersection(keep)
     if clash:
@@ -341,14 +355,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
             out["n_tokens"] = [len(r) for r in rows]
             out["ids"] = rows
             out["ids_sha256"] = [sha(" ".join(map(number.__getitem__, r)).encode()).hexdigest() for r in rows]
-            out["decoded_sha256"] = [sha(tok.decoder.pieces(r).encode()).hexdigest() for r in rows]
-            restored = []
-            for r in rows:
-                h = sha()
-                for x in tok.decoder.text(r):
-                    h.update(x.encode())
-                restored.append(h.hexdigest())
-            out["restored_sha256"] = restored
+            out["decoded_sha256"] = [digest(tok.decoder.decoded(r)) for r in rows]
+            out["restored_sha256"] = [digest(tok.decoder.text(r)) for r in rows]
             return out
 
         return each

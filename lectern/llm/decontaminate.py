@@ -9,7 +9,8 @@ Beyond ``TABLE_BOUND`` n-grams the windows are joined with the n-grams by a shuf
 Words are runs of digits, letters a-z (after lower-casing A-Z) and all characters from U+0080 on. A window is
 ``n`` consecutive item words; an item of fewer words (but not none) is one window.
 Defined results: null or empty texts have no words and no hits; items without words are never found; a null
-item_id counts as the item ''; repeated documents or items each count as they stand; extra columns are ignored.
+item_id counts as the item ''; repeated documents or items each count as they stand; extra columns are ignored, and may have any names where documents
+are kept or cut (``find`` itself adds _words and _hits); very long texts are read whole; an empty benchmark hits nothing, an empty table of documents gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ boundaries from a range shuffle of the ids alone; the first document of each ran
 sorted and streamed, so the texts are shuffled once and a task holds two of them at a time.
 
 Defined results: null text is ''; all texts without code points have one and the same fingerprint; texts shorter than ``k`` are one k-mer; of equal
-doc_ids the smaller text comes first; a null doc_id comes last; a single document is its own next one; repeated rows each get a row.
+doc_ids the smaller text comes first; a null doc_id comes last; a single document is its own next one; repeated rows each get a row;
+extra columns are ignored; very long texts are read whole, in blocks of k-mers; an empty table gives no rows.
 """
 
 from __future__ import annotations

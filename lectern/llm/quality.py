@@ -4,11 +4,11 @@ Terms of a text: the shapes of its tokens (letter and digit runs as one sign, ot
 words in lower case, and repeats of the token before, each hashed to a fixed number of columns. A truncated singular
 value decomposition of the weighted terms of labelled texts gives the latent space. The labelled vectors (at most
 2 * PER_CLASS rows of DIMS numbers) are broadcast; each block of documents is multiplied with all of them, so the cosines are
-exact, and the K nearest vote, each with its cosine to the power SHARP as weight.
+exact, and the K nearest vote, each with its cosine to the power SHARP as weight; all that are as near as the K-th vote with them.
 
 Fitted on a bounded sample of labelled texts; every text is scored whole.
 Defined results: null, empty and blank texts have a zero vector and score as the share of label 1 in the sample (1 without labels);
-repeated rows each get a row; extra columns are ignored.
+repeated rows each get a row; extra columns are ignored; very long texts are one row of fixed width; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,10 +83,11 @@ class Model:
         own = _unit((_unit(vectors(texts)) * self.weight) @ self.space)
         cos = own @ self.known.T
         k = min(K, len(self.known))
-        near = np.argpartition(cos, len(self.known) - k, axis=1)[:, -k:]
-        vote = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** SHARP
-        total = vote.sum(1)
-        score = np.divide((vote * self.label[near]).sum(1), total, out=np.full(len(texts), self.base), where=total > 1e-9)
+        least = np.partition(cos, len(self.known) - k, axis=1)[:, -k]
+        row, near = np.nonzero(cos >= least[:, None])
+        vote = np.maximum(cos[row, near], 0).astype(np.float64) ** SHARP
+        total = np.bincount(row, vote, len(texts))
+        score = np.divide(np.bincount(row, vote * self.label[near], len(texts)), total, out=np.full(len(texts), self.base), where=total > 1e-9)
         return np.clip(score, 0, 1).tolist()
 
 

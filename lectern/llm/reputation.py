@@ -10,7 +10,8 @@ Explicit rules come first: the longest rule whose host is the url's host or a pa
 All counts are partial sums by key, so a host with a third of the pages is one row after the map side; the host table joins the pages
 by a plain equi-join, which is broadcast only if Spark measures it as small and whose hot keys adaptive execution splits.
 Defined results: a null url or one without '://' has an empty host and path, which is a host like any other; repeated pages each get a row;
-several labels of one document count as bad if one of them is; null labels count as good; no labels at all: everything the rules don't name is allowed.
+several labels of one document count as bad if one of them is; null labels count as good; no labels at all: everything the rules don't name is allowed;
+extra columns are ignored; very long urls are read whole; an empty table of pages gives no rows.
 """
 
 from __future__ import annotations
