@@ -71,10 +71,12 @@ def edit_errors(question: Column, answer: Column, options: Column) -> Column:
 def edited(bank: DataFrame, edits: DataFrame, key: str, now: Column) -> DataFrame:
     """The bank with valid edits (key, question, options, answer, explanation) trimmed and put in, letters as numbers and ``updated_at`` set.
 
-    Edits that are wrong by ``edit_errors`` and those of unknown keys change nothing; of several edits of a key any one counts.
+    Edits that are wrong by ``edit_errors`` and those of unknown keys change nothing; of several edits of a key the one that sorts last
+    by question, answer, explanation and options counts.
     """
     c = F.col
-    good = edits.filter(edit_errors(c("question"), c("answer"), c("options")).isNull()).dropDuplicates([key])
+    order = F.struct("question", "answer", "explanation", F.to_json("options"))
+    good = edits.filter(edit_errors(c("question"), c("answer"), c("options")).isNull()).groupBy(key).agg(F.max_by(F.struct("question", "answer", "explanation", "options"), order).alias("_e")).select(key, "_e.*")
     text = lambda x: T.strip(F.coalesce(x, F.lit("")))
     fields = {"dy_question": text(c("question")), **{f"dy_ans_{n}": text(F.try_element_at("options", F.lit(x))) for n, x in enumerate(LETTERS, 1)}}
     fields |= {"dy_correct_ans": (F.ascii(F.upper(text(c("answer")))) - 64).cast("string"), "dy_explain": text(c("explanation")), "updated_at": now}
@@ -84,8 +86,8 @@ def edited(bank: DataFrame, edits: DataFrame, key: str, now: Column) -> DataFram
 
 
 def tag(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Non-null new values overwrite, '' too; null ones keep the old."""
-    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in columns)).dropDuplicates([key])
+    """Non-null new values overwrite, '' too; null ones keep the old. Of several changes of a key the one that sorts last counts."""
+    new = changes.groupBy(key).agg(F.max(F.struct(*(F.col(c).alias(f"_new_{c}") for c in columns))).alias("_n")).select(key, "_n.*")
     joined = df.join(new, key, "left")
     return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*(f"_new_{c}" for c in columns))
 

@@ -10,7 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import dml as K
 from lectern.operators import relational as R
 from lectern.operators import segment as G
-from lectern.plans import adapters, summaries
+from lectern.plans import adapters, exports, prompts, summaries
 from lectern.sources import files, printing, readers
 from lectern.sources.tables import table
 from lectern.streaming import jobs as P
@@ -157,6 +157,43 @@ def validated(s, d):
     return out.select("batch_id", "status", "lessons", "headings", "total", "found", "coverage_ratio")
 
 
+def exported_files(s, d):
+    """Conversations as jobs: some have a printed file, some only stored summaries, and some neither."""
+    stored = _summaries(s, d).filter("batch_id % 3 <> 2").withColumns({c: _none() for c in ("board", "standard", "subject", "difficulty")} | {c: F.lit(None).cast("int") for c in ("start_page", "end_page")})
+    stored = stored.withColumn("source_filename", F.concat(F.lit("notes.v"), "batch_id", F.lit(".pdf")))
+    ids = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("batch_id")).distinct()
+    printed_before = ids.filter("batch_id % 3 = 0").select("batch_id", F.lit(1).alias("pages"), F.lit(b"%PDF-").alias("content"))
+    out = exports.by_job(ids.select(F.col("batch_id").alias("job_id"), F.when(F.col("batch_id") % 2 == 0, F.col("batch_id")).alias("batch_id")), printed_before, stored)
+    return out.select("job_id", "route", "name", (F.length("content") > 5).alias("made"))
+
+
+def prompt_lines(s, d):
+    """What prompts for the turns of conversations ask for: lines of formats, of sums and of theory, and where the notes are."""
+    said = table(s, d, "conversations")
+    n = (F.col("turn") % 7 + 1).cast("int")
+    formats = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.col("turn") + i) % 14 + 1)
+    level, subject = (F.element_at(F.array(*map(F.lit, names)), (F.col("conv_id") % len(names) + 1).cast("int")) for names in (("easy", "moderate", "hard", "odd"), ("Maths", "Tamil", "Accountancy")))
+    text = prompts.questions(F.col("text"), n, level, F.lit("English"), formats, subject)
+    count = lambda pattern: F.regexp_count("p", F.lit(pattern))
+    rows = said.select("conv_id", "turn", "text", text.alias("p"))
+    return rows.select(
+        "conv_id", "turn", count(r"(?m)^Question \d+: format \d+, ").alias("formats"), count(r"(?m)^Question \d+ is a sum").alias("sums"), count(r"(?m)^Question \d+ is theory").alias("theory"),
+        F.regexp_extract("p", r"(?m)^Difficulty (\w+):", 1).alias("level"), F.endswith("p", F.concat(F.lit("NOTES:\n"), F.col("text"))).alias("noted"),
+    )
+
+
+def tamil_units_of(s, d):
+    """Documents as Tamil books of six pages with two units, the second told by its goals alone, or of two pages without any unit."""
+    words = "தமிழ்ச் சொற்கள் நிறைந்த பக்கம் எழுத்துகள் பல வரிகள் கொண்டது"
+    flat = F.regexp_replace("text", "[\n0-9]", " ")
+    page = lambda n, *parts: F.concat(F.lit(f"\n=== PAGE {n} ===\n"), F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts)), F.lit("\n"))
+    book = F.concat(page(1, words, flat), page(2, "இயல் 2", "மொழி", words), page(3, words), page(4, words), page(5, "கற்றல் நோக்கங்கள்", words), page(6, "வானம்", "வானம்", words, flat))
+    plain = F.concat(page(1, "வானம்", "வானம்", words, flat), page(2, words))
+    docs = table(s, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 2 == 0, book).otherwise(plain).alias("text"), F.lit("f").alias("name"))
+    own = G.split_lessons(docs)
+    return own.select(F.col("doc").alias("doc_id"), "lesson_no", "lesson_id", "lesson_name", "start_page", "end_page", F.length("text").alias("n"))
+
+
 def stored_summaries(s, d):
     lessons = table(s, d, "benchmark").select(F.col("item_id").alias("lesson_no"), F.col("item_id").cast("string").alias("lesson_number"), F.lit("L").alias("lesson_name"), F.lit(1).alias("start_page"), F.lit(2).alias("end_page"), F.array("text", F.lit('a "b"')).alias("bullets"))
     old = table(s, d, "labels").select(F.col("doc_id").alias("id"))
@@ -186,6 +223,7 @@ QUERIES = {
     "f15_record_corruption": record_corruption, "f14_corruption": corruption, "f18_intro_pages": intro_pages, "p02_state_read": state_read, "p08_repair": repair, "k09_to_push": to_push, "k11_coverage": coverage,
     "k10_printed": printed, "k15_exported": exported, "k02_stored_summaries": stored_summaries, "k12_question_lines": question_lines, "g02_router": router,
     "k10_printed_and_read": printed_and_read, "k11_validated": validated,
+    "k15_exported_files": exported_files, "p10_prompts": prompt_lines, "g03_tamil_units": tamil_units_of,
 }
 
 _SIGNS = T.R.EXTRA_SIGNS
@@ -235,6 +273,20 @@ SELECT conv_id::varchar AS batch_id, md5(regexp_replace('EXAM REVISION NOTESDocu
     "k11_validated": rf"""
 WITH l AS (SELECT conv_id, CASE WHEN turn % 3 = 2 THEN 0 ELSE 2 END AS total, CASE WHEN turn % 3 = 2 THEN 0 WHEN regexp_replace(substr({_PRINTED.replace("(b,", "(text,")}, 1, 30), '\s+', '', 'g') = '' THEN 1 ELSE 2 END AS found FROM conversations)
 SELECT conv_id::varchar AS batch_id, 'PASS' AS status, count(*) AS lessons, count(*) AS headings, sum(total)::bigint AS total, sum(found)::bigint AS found, round(sum(found) / greatest(1, sum(total)), 4) AS coverage_ratio FROM l GROUP BY conv_id""",
+    "k15_exported_files": """
+WITH j AS (SELECT DISTINCT conv_id AS c FROM conversations), s AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE turn % 4 <> 3 AND conv_id % 3 <> 2)
+SELECT c::varchar AS job_id, CASE WHEN c % 3 = 0 THEN 'file' WHEN c IN (SELECT c FROM s) THEN 'stored' ELSE 'missing' END AS route,
+       CASE WHEN c % 3 = 0 AND c NOT IN (SELECT c FROM s) THEN 'lesson_summary_summary.pdf' WHEN c IN (SELECT c FROM s) THEN 'notes.v' || c || '_summary.pdf' END AS name,
+       CASE WHEN c % 3 = 0 THEN false WHEN c IN (SELECT c FROM s) THEN true END AS made FROM j""",
+    "p10_prompts": """
+WITH c AS (SELECT *, turn % 7 + 1 AS n, ['easy', 'moderate', 'hard', 'odd'][conv_id % 4 + 1] AS level, conv_id % 3 <> 1 AS numeric FROM conversations)
+SELECT conv_id, turn, n::int AS formats, CASE WHEN numeric THEN (n - greatest(0, least(n, 5) - 3))::int ELSE 0 END AS sums, CASE WHEN numeric THEN greatest(0, least(n, 5) - 3)::int ELSE 0 END AS theory, level, text IS NOT NULL AS noted FROM c""",
+    "g03_tamil_units": """
+WITH d AS (SELECT doc_id, 'தமிழ்ச் சொற்கள் நிறைந்த பக்கம் எழுத்துகள் பல வரிகள் கொண்டது' AS w, rtrim('x' || chr(10) || regexp_replace(text, '[\n0-9]', ' ', 'g'), ' ' || chr(10)) AS flat FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, length(w) AS w, length(flat) - 1 AS f FROM d)
+SELECT doc_id, 1 AS lesson_no, 'lesson_02' AS lesson_id, 'இயல் 2 – மொழி' AS lesson_name, 1 AS start_page, 4 AS end_page, (w + f + 1 + length('இயல் 2') + 1 + length('மொழி') + 1 + w + 1 + w + 1 + w)::int AS n FROM n WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 2, 'lesson_03', 'இயல் 3 – வானம்', 5, 6, (length('கற்றல் நோக்கங்கள்') + 1 + w + 1 + 2 * (length('வானம்') + 1) + w + f)::int FROM n WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 1, 'lesson_01', 'இயல் 1 – வானம்', 1, 2, (2 * (length('வானம்') + 1) + w + f + 1 + w)::int FROM n WHERE doc_id % 2 = 1""",
     "k15_exported": """
 WITH l AS (SELECT conv_id * 1000 + turn AS id, conv_id::varchar AS batch_id, abs(20 - turn) AS n FROM conversations WHERE turn % 4 <> 3)
 SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY n, id) AS place FROM l""",

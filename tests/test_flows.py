@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lectern.operators import dedup, segment, tamil_units
 from lectern.operators import sections as S
-from lectern.plans import adapters, prompts, rounds, summaries, summary_job
+from lectern.plans import adapters, exports, prompts, rounds, summaries, summary_job
 from lectern.sources import files, pdf, printing, push, readers, schemas
 from lectern.streaming import jobs, state
 
@@ -332,3 +332,22 @@ def test_chunked_lessons_keep_their_order(spark):
     rows = [(1, 1, json.dumps({"bullets": ["c", "A"]})), (1, 0, json.dumps({"bullets": ["a", "b"]})), (2, 0, "")]
     got = summaries.replies_to_bullets(spark.createDataFrame(rows, "lesson int, chunk_no int, reply string"), "lesson").collect()
     assert [(r["lesson"], r["bullets"]) for r in got] == [(1, ["a", "b", "c"])]
+
+
+def test_exports_by_job_batch_and_choice(spark):
+    rows = [(5, "b1", "10", "Ten", None, None, '["x"]', "no.te.pdf", None, "6", None, None), (4, "b1", "9", None, 1, 2, None, ".hidden", "State", "6", "Maths", "hard"), (6, "b1", "OVERALL", "all", 1, 9, "[]", "z", None, None, None, None), (7, "b2", "OVERALL", "all", 1, 9, "[]", "z", None, None, None, None)]
+    stored = spark.createDataFrame(rows, "id int, batch_id string, lesson_number string, lesson_name string, start_page int, end_page int, bullets string, source_filename string, board string, standard string, subject string, difficulty string")
+    wanted = spark.createDataFrame([("b1",), ("b2",), ("b1",), ("none",)], "batch_id string")
+    got = {r["batch_id"]: r for r in exports.by_batch(stored, wanted).collect()}
+    assert sorted(got) == ["b1", "b2", "none"] and got["b2"]["content"] is None and got["b1"]["name"] == ".hidden_summary.pdf"
+    text = pdf.page_texts(bytes(got["b1"]["content"]))[0]
+    assert text.index("LESSON 9 — LESSON 9") < text.index("No summary points") < text.index("LESSON 10 — TEN") and "Curriculum: State | 6 | Maths" in text and "Pages 1–2" in text
+    printed = spark.createDataFrame([("b1", 1, bytearray(b"kept"))], "batch_id string, pages int, content binary")
+    jobs_ = spark.createDataFrame([("j1", "b1"), ("b1", None), ("j2", "b2"), ("j3", "x")], "job_id string, batch_id string")
+    by_job = {r["job_id"]: (r["route"], r["content"] and bytes(r["content"])) for r in exports.by_job(jobs_, printed, stored).collect()}
+    assert by_job == {"j1": ("file", b"kept"), "b1": ("file", b"kept"), "j2": ("missing", None), "j3": ("missing", None)}
+    assert {r["job_id"]: r["route"] for r in exports.by_job(jobs_, printed.limit(0), stored).collect()} == {"j1": "stored", "b1": "stored", "j2": "missing", "j3": "missing"}
+    one = exports.stored_lessons(stored).filter("lesson_number = '10'")
+    assert [r["name"] for r in exports.chosen(one).collect()] == [".hidden_Lesson_10_summary.pdf"]
+    names = spark.createDataFrame([("a.b.pdf",), ("plain",), ("",), (None,), ("x..y",)], "n string").select(exports.file_name(F.col("n")).alias("f"))
+    assert [r["f"] for r in names.collect()] == ["a.b_summary.pdf", "plain_summary.pdf", "lesson_summary_summary.pdf", "lesson_summary_summary.pdf", "x._summary.pdf"]
