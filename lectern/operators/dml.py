@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -38,6 +38,20 @@ def replace_partition(stored: DataFrame, new: DataFrame, column: str, value) ->
     return stored.filter(~F.col(column).eqNullSafe(F.lit(value))).unionByName(new)
 
 
+def overwrite_partitions(new: DataFrame, path: str, column: str) -> None:
+    """Writes ``new`` into a Parquet table partitioned by ``column``: partitions that it has rows of are replaced, the files of all others stay as they are.
+
+    A value whose partition is to become empty has no rows here; ``emptied`` removes it.
+    """
+    new.write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def emptied(spark: SparkSession, path: str, column: str, value: str) -> None:
+    """Removes the partition of one value of a table on any store that Spark can write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def selection_of(bank: DataFrame, wanted: DataFrame, batch: Column) -> DataFrame:
     """Question ids that are wanted, exist and belong to the batch, each once."""
     return in_keys(bank.filter(batch), "id", wanted).select(F.col("id").alias("question_id")).distinct()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators import dedup, segment, tamil_units
+from lectern.operators import dml, segment, tamil_units
 from lectern.operators import sections as S
 from lectern.plans import adapters, exports, prompts, rounds, summaries, summary_job
 from lectern.sources import files, pdf, printing, push, readers, schemas
@@ -351,3 +351,16 @@ def test_exports_by_job_batch_and_choice(spark):
     assert [r["name"] for r in exports.chosen(one).collect()] == [".hidden_Lesson_10_summary.pdf"]
     names = spark.createDataFrame([("a.b.pdf",), ("plain",), ("",), (None,), ("x..y",)], "n string").select(exports.file_name(F.col("n")).alias("f"))
     assert [r["f"] for r in names.collect()] == ["a.b_summary.pdf", "plain_summary.pdf", "lesson_summary_summary.pdf", "lesson_summary_summary.pdf", "x._summary.pdf"]
+
+
+def test_partitions_are_replaced_on_disk(spark, tmp_path):
+    path = str(tmp_path / "bank")
+    table = lambda *rows: spark.createDataFrame(rows, "id int, batch string, q string")
+    dml.overwrite_partitions(table((1, "a", "x"), (2, "b", "y"), (3, "c", "z")), path, "batch")
+    files_of = lambda b: {f: (tmp_path / "bank" / f"batch={b}" / f).read_bytes() for f in os.listdir(f"{path}/batch={b}")}
+    before = {b: files_of(b) for b in "ac"}
+    dml.overwrite_partitions(table((7, "b", "new"), (8, "d", "more")), path, "batch")
+    assert {b: files_of(b) for b in "ac"} == before
+    assert sorted((r["id"], r["batch"], r["q"]) for r in spark.read.parquet(path).collect()) == [(1, "a", "x"), (3, "c", "z"), (7, "b", "new"), (8, "d", "more")]
+    dml.emptied(spark, path, "batch", "c")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 7, 8] and files_of("a") == before["a"]
