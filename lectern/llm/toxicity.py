@@ -36,7 +36,7 @@ from itertools import compress, repeat
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import labelled_sample, prepared, rejected, scored, sole, table
+from lectern.llm.common import given_back, labelled_sample, prepared, rejected, scored, sole, table
 
 LAMBDA, POWER, LONGEST = 0.75, 3, 26
 LANDMARKS, CONTRASTS, CANDIDATES, PER_CLASS = 32, 16, 600, 1500
@@ -217,16 +217,20 @@ def choose_landmarks(bags: list[set[str]], toxic: np.ndarray) -> tuple[list[str]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps on the points inside the margin; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
+    """Squared-hinge linear SVM by Newton steps on the points inside the margin; the last column of ``x`` is 1, its weight the bias. Sums go by blocks, so that no second copy of ``x`` is made."""
     sign, cost = (2.0 * y - 1).astype(np.float32), cost.astype(np.float32)
     small = np.eye(x.shape[1]) * RIDGE
     small[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        m = sign * (x @ w.astype(np.float32)) < 1
-        g, c = x[m], cost[m]
-        new = np.linalg.solve(small + (g.T @ (g * c[:, None])).astype(np.float64), (g.T @ (sign[m] * c)).astype(np.float64))
+        gram, right = small.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(x), 4096):
+            part, s, c = x[at : at + 4096], sign[at : at + 4096], cost[at : at + 4096]
+            m = s * (part @ w.astype(np.float32)) < 1
+            g, c = part[m], c[m]
+            gram += g.T @ (g * c[:, None])
+            right += g.T @ (s[m] * c)
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-3 * np.abs(new).max():
             return new
         w = new
@@ -378,10 +382,13 @@ def root_of(gram: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     toxic = np.array([v for _, v in rows], np.int64)
-    texts = [words_of(t) for t, _ in rows]
     if len(set(toxic.tolist())) < 2:
         return NOTHING
-    marks, others = choose_landmarks([{b for w in set(words) if (b := bare(w))} for words in texts], toxic)
+    known: dict[str, str] = {}  # each different word is held once
+    texts = [[known.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
+    cores = {w: known.get(core := bare(w), core) for w in known}
+    marks, others = choose_landmarks([{b for w in set(words) if (b := cores[w])} for words in texts], toxic)
+    del known, cores
     if not marks:
         return NOTHING
     kernel = Kernel(marks + others)
@@ -390,16 +397,21 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     root[kernel.size :, kernel.size :] = root_of(np.log1p(kernel.gram))
     more, own = sentences(texts, toxic, set(marks))
     view, every = View(kernel), texts + more
-    pooled = np.concatenate([view.texts(every[i : i + 512]) for i in range(0, len(every), 512)])
-    ceiling, room = ceilings(kernel, marks, pooled[: len(texts)][toxic == 0], random.Random(7))
-    x = features(pooled, root, ceiling, room)
+    pooled = np.concatenate([view.texts(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+    ceiling, room = ceilings(kernel, marks, pooled[toxic == 0], random.Random(7))
+    x = np.ones((len(every), 2 * kernel.size + 2), np.float32)
+    for i in range(0, len(every), 256):
+        x[i : i + 256, :-1] = features(view.texts(every[i : i + 256]), root, ceiling, room)
     y = np.r_[toxic, own]
     cost = np.zeros(len(y))
     for part in (slice(0, len(texts)), slice(len(texts), None)):  # texts and sentences, and each class of them, weigh alike
         for v in (0, 1):
             cost[part][y[part] == v] = 0.25 / max(1, (y[part] == v).sum())
-    weights = fit_svm(x, y, cost)
-    return Model(marks + others, root, ceiling, room, weights.astype(np.float32), fit_logistic(np.c_[x, np.ones(len(x))] @ weights, y))
+    weights = fit_svm(x, y, cost).astype(np.float32)
+    model = Model(marks + others, root, ceiling, room, weights, fit_logistic((x @ weights).astype(np.float64), y))
+    del view, every, more, x
+    given_back()
+    return model
 
 
 def trained(spark: SparkSession, sf_dir: str, held: tuple[int, int] = HELD) -> Model:
