@@ -57,9 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def compact(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
-    """A checkpoint in as many files as ``rows`` need at ``each`` a file, and in no more than there are partitions: small tables don't become many files."""
-    return df.coalesce(max(1, -(-rows // each))).checkpoint()
+def compact(df: DataFrame, rows: int, each: int = 20_000, heavy: bool = False) -> DataFrame:
+    """A checkpoint in as many files as ``rows`` need at ``each`` a file: small tables don't become many files.
+
+    Rows that cost little are made in as many tasks as there are files; where they are ``heavy`` to make, all partitions work and the few rows that come out are shuffled into the files.
+    """
+    files = max(1, -(-rows // each))
+    return (df.repartition(files) if heavy else df.coalesce(files)).checkpoint()
 
 
 def swept() -> None:

@@ -324,7 +324,7 @@ def across(posted: DataFrame, centres: DataFrame, label: DataFrame, classes: Dat
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     kinds = "token long, cls int, i int, j int, side int, set_key binary, label binary"
-    met = compact(signed_rows.groupBy(*cell).applyInArrow(meet, kinds), rows, 5_000)
+    met = compact(signed_rows.groupBy(*cell).applyInArrow(meet, kinds), rows, 5_000, heavy=True)
     return met.join(sets, "set_key").groupBy(*cell).applyInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -342,15 +342,15 @@ def grouped(docs: DataFrame, width: int, percent: int, coords: int, agree: int)
     posted = compact(postings(classes, coords, agree), n, 5_000)
     centres = compact(posted.groupBy("token").agg(F.max(F.struct("typical", "set_key")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.col("c.set_key").alias("a")), n)
     star = posted.join(centres, "token").filter("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
-    star = compact(colliding(star, classes, agree), n)
+    star = compact(colliding(star, classes, agree), n, heavy=True)
     wanted = posted.select("set_key").distinct()
     owners = compact(classes.join(wanted, "set_key", "left_semi").select(F.col("least").alias("owner")).distinct(), n)
     if owners.count() <= BROADCAST_IDS:
         owners = F.broadcast(owners)
     sets = sets_of(docs, owners, width)
-    links = compact(confirmed(star, sets, percent), n, 5_000)
+    links = compact(confirmed(star, sets, percent), n, 5_000, heavy=True)
     label = components(links, links.count())
-    more = compact(across(posted, centres, label, classes, sets, percent, agree, n), n)
+    more = compact(across(posted, centres, label, classes, sets, percent, agree, n), n, heavy=True)
     extra = more.count()
     if extra:
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), n + extra)
@@ -381,7 +381,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords:
     """One document of each near-duplicate group, with all columns as they are; the others go.
 
     ``agree`` is lower than for 85 %, for the same chance to miss a pair. A doc_id on several rows is judged row by row: of its rows in one
-    group one stays if the group has no lower doc_id, and rows with one doc_id and the same blank text count as one.
+    group one stays if the group has no lower doc_id, and rows with one doc_id and the same blank text count as one; of rows that differ
+    in other columns alone the one whose JSON sorts first stays.
     Documents without a doc_id cannot be told apart and stay.
     """
     marks = grouped(docs, width, percent, coords, agree).checkpoint()
@@ -398,8 +399,10 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = 80, coords:
     stays = marks.filter("kept AND doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id", "label").agg(F.min("set_key").alias("_stay_key"))
     stays = stays.select(F.col("doc_id").alias("_stay_id"), "_stay_key")
     several = keyed_rows(held.join(again, F.col("_id") == F.col("_again_id"), "left_semi"), width)
-    blank = several.filter("_set_key IS NULL").dropDuplicates(["_id", "_text"])
-    full = several.join(stays, (F.col("_id") == F.col("_stay_id")) & (F.col("_set_key") == F.col("_stay_key")), "left_semi").dropDuplicates(["_id", "_set_key"])
+    # Of rows that count as one stays the one whose text, then whose JSON, sorts first.
+    one = lambda df, keys: df.groupBy(*keys).agg(F.min_by("_row", F.struct("_text", F.to_json("_row"))).alias("_row"))
+    blank = one(several.filter("_set_key IS NULL"), ["_id", "_text"])
+    full = one(several.join(stays, (F.col("_id") == F.col("_stay_id")) & (F.col("_set_key") == F.col("_stay_key")), "left_semi"), ["_id", "_set_key"])
     return rest.select("_row.*").unionByName(full.select("_row.*")).unionByName(blank.select("_row.*"))
 
 
