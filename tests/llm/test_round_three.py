@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lectern.llm import importance, langid, structure, toxicity
+from lectern.llm import brown, importance, langid, order_minhash, packing, structure, toxicity
 from lectern.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score long, rank string, able string, weight string"
@@ -283,3 +283,40 @@ def test_toxicity_ceilings_leave_out_what_clean_words_come_near_to():
     model = toxicity.fit([(t, 0) for t in clean] + [(t, 1) for t in bad])
     room = dict(zip(model.landmarks, model.room, strict=False))
     assert np.isfinite(room["idiot"]) and not np.isfinite(room["motionx"])
+
+
+# plain columns of operators whose other columns SQL cannot express
+
+
+def duck(folder, sql):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return c.execute(sql).fetchall()
+
+
+def test_counts_of_the_language_model_match_sql(spark, sf):
+    sql = (
+        importance.CRC_TABLE
+        + r""",
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+      xor(__CRC__, 4294967295) % 7 = 2 AS held FROM documents, crc_table),
+t AS (SELECT doc_id, held, unnest(list_append(w, NULL)) AS x FROM w),
+c AS (SELECT coalesce(x, ' ') AS x, count(*) AS c FROM t WHERE NOT held GROUP BY ALL),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held, count(*) AS n_tokens, count(c.c) AS n_known, max(n)::bigint AS train_tokens, sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1))) AS base_score
+FROM t LEFT JOIN c ON c.x = coalesce(t.x, ' '), n GROUP BY doc_id, held"""
+    ).replace("__CRC__", importance.CRC.format("doc_id::varchar"))
+    rows = brown.query(spark, sf).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()
+    rounded = lambda rows: sorted((*r[:5], round(r[5], 6)) for r in map(tuple, rows))
+    assert rounded(rows) == rounded(duck(sf, sql))
+
+
+def test_edited_texts_of_fingerprints_match_sql(spark, sf):
+    sql = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM d)
+SELECT doc_id, length(t), sha256(left(t, length(t) - length(t) // 3) || left(after, length(t) // 3)) FROM n"""
+    rows = order_minhash.query(spark, sf).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, rows)) == sorted(duck(sf, sql))
