@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import dedup as D
-from lectern.operators import sections as S
 from lectern.operators import segment as G
 from lectern.sources.tables import shared, table
 from lectern.streaming import jobs as P

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators import dml, segment, tamil_units
-from lectern.operators import sections as S
 from lectern.plans import adapters, exports, prompts, rounds, summaries, summary_job
-from lectern.sources import files, pdf, printing, push, readers, schemas
+from lectern.sources import files, pdf, printing, push, readers
 from lectern.streaming import jobs, state
 
 # jobs
