@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, fold, prepared, sliced, table, written
+from lectern.llm.common import arrow_schema, dropped, fold, prepared, sliced, table, written
 
 UNITS, ENDINGS, CLASSES, HEAD = 400, 112, 24, 200_000
 #: A word of this count or more may be a unit; UNITS is only the number of seeds. Sweeps go over all units, in groups of BLOCK, and end at a gain of TOLERANCE.
@@ -149,15 +149,23 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
 
 
 def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int = BLOCK) -> DataFrame:
-    """(block, keys, n): counts of each unit with neighbouring classes, a row for each block of units from each task; checkpointed, as it is read twice.
+    """(block, keys, n): counts of each unit with neighbouring classes, a row for each block of units, as a table, since it is read twice.
 
-    A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. The last unit (the end) has no row of its own.
+    A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. The last unit (the end) has no row of its own. Tasks send one
+    row for each block, and a block's rows are summed in one group: at most block * span counts from each task.
     """
     end, span = len(label) - 1, 2 * size + 1
     sent = texts.sparkSession.sparkContext.broadcast(label)
     schema = "block long, keys binary, n binary"
     types = arrow_schema(schema)
 
+    def total(rows: pa.Table) -> pa.Table:
+        table = np.zeros(block * span, np.int64)
+        for keys, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist(), strict=True):
+            table[np.frombuffer(keys, np.uint32)] += np.frombuffer(n, np.int64)  # a row's keys are distinct
+        some = np.flatnonzero(table)
+        return pa.table({"block": rows.column("block").slice(0, 1), "keys": pa.array([some.astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([table[some].tobytes()], pa.binary())}, schema=types)
+
     def packed(keys, n):
         starts = np.flatnonzero(np.diff(keys // (block * span), prepend=-1))
         stops = np.append(starts[1:], len(keys))[: len(starts)]
@@ -193,7 +201,7 @@ def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int
         if held_keys:
             yield packed(*_summed(held_keys, held_n))
 
-    return texts.mapInArrow(count, schema).checkpoint()
+    return written(texts.mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema), "counts")
 
 
 def class_table(counts: DataFrame, label: np.ndarray, size: int, ends: float, block: int = BLOCK) -> np.ndarray:
@@ -224,27 +232,28 @@ def class_table(counts: DataFrame, label: np.ndarray, size: int, ends: float, bl
 
 
 def chosen(counts: DataFrame, label: np.ndarray, joint: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """The class each unit chooses by its counts while all others stay; the end keeps its own. A group's rows are at most block * span counts from each task."""
+    """The class each unit chooses by its counts while all others stay; the end keeps its own."""
     size, end = len(joint), len(label) - 1
     span = 2 * size + 1
     sent = counts.sparkSession.sparkContext.broadcast((label, joint))
     schema = "block long, labels binary"
     types = arrow_schema(schema)
 
-    def choose(rows: pa.Table) -> pa.Table:
+    def run(batches):
         label, joint = sent.value
-        first = rows.column("block")[0].as_py() * block
-        old = label[first : min(first + block, end)].astype(np.int64)
-        table = np.zeros(block * span)
-        for keys, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist(), strict=True):
-            table[np.frombuffer(keys, np.uint32)] += np.frombuffer(n, np.int64)  # a row's keys are distinct
-        table = table.reshape(block, span)[: len(old)]
-        new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
-        new = np.where(table.sum(1) > 0, new, old).astype(np.int16)
-        return pa.table({"block": pa.array([first // block], pa.int64()), "labels": pa.array([new.tobytes()], pa.binary())}, schema=types)
+        for part in batches:
+            numbers, labels = part.column("block").to_pylist(), []
+            for number, keys, n in zip(numbers, part.column("keys").to_pylist(), part.column("n").to_pylist(), strict=True):
+                old = label[number * block : min((number + 1) * block, end)].astype(np.int64)
+                table = np.zeros(block * span)
+                table[np.frombuffer(keys, np.uint32)] = np.frombuffer(n, np.int64)
+                table = table.reshape(block, span)[: len(old)]
+                new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
+                labels.append(np.where(table.sum(1) > 0, new, old).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(labels, pa.binary())], schema=types)
 
     out = label.copy()
-    for r in counts.groupBy("block").applyInArrow(choose, schema).toArrow().to_pylist():  # two bytes for each of at most HEAD + ENDINGS units
+    for r in counts.mapInArrow(run, schema).toArrow().to_pylist():  # two bytes for each of at most HEAD + ENDINGS units
         new = np.frombuffer(r["labels"], np.int16)
         out[r["block"] * block : r["block"] * block + len(new)] = new
     return out
@@ -273,11 +282,14 @@ def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE)
             there_counts = neighbour_counts(texts, tried, size)
             there = class_table(there_counts, tried, size, ends)
             gain = likelihood(there) - before
+            dropped(counts if gain > 0 else there_counts)
             if gain > 0:
                 label, joint, counts = tried, there, there_counts
                 break
         if gain <= tolerance * abs(before):
+            dropped(counts)
             return label, joint
+        texts.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffles of sweeps that are over
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -348,6 +360,28 @@ def best_classes(joint: np.ndarray, old: np.ndarray, out: np.ndarray, into: np.n
     return np.argmax(row + col + both - margin, 1)
 
 
+def best_classes_of_few(joint: np.ndarray, old: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``best_classes`` for words with few neighbours: only cells of the table that a word's counts touch are computed, in blocks of words at once."""
+    size, classes = len(joint), len(joint) - 1
+    some, c = np.arange(len(old)), np.arange(classes)
+    own_class = old[:, None] == c
+    worth = np.zeros((len(old), classes))
+    for counts, other, cells in ((out, into, joint), (into, out, joint.T)):
+        word, k = np.nonzero(counts)
+        n = counts[word, k][:, None]
+        rest = cells[:, k].T[:, :classes] - own_class[word] * n
+        at_own = k == old[word]
+        rest[at_own] -= other[word[at_own], :classes] + own_class[word[at_own]] * own[word[at_own], None]
+        np.add.at(worth, word, _xlogx(rest + n) - _xlogx(rest))
+    o, i, self_ = out[:, c], into[:, c], own[:, None]
+    corner = np.diagonal(joint)[:classes] - own_class * (o + i + self_)
+    both = _xlogx(corner + o + i + self_) + _xlogx(corner) - _xlogx(corner + o) - _xlogx(corner + i)
+    total_out, total_into = out.sum(1)[:, None], into.sum(1)[:, None]
+    left, right = joint.sum(1)[c] - own_class * (total_out + self_), joint.sum(0)[c] - own_class * (total_into + self_)
+    margin = _xlogx(left + total_out + self_) - _xlogx(left) + _xlogx(right + total_into + self_) - _xlogx(right)
+    return np.argmax(worth + both - margin, 1)
+
+
 def log_transitions(joint: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     joint = joint + alpha
     return np.log10(joint / joint.sum(1, keepdims=True))
@@ -365,54 +399,62 @@ def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings:
     sent = spark.sparkContext.broadcast((head, class_of.astype(np.int64)))
     types = arrow_schema("word binary, place int, next binary, n long")
 
-    def run(batches):
-        head, class_of = sent.value
-        places = Places(head, endings)
-        names: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
-
-        def sums():
-            words = np.array(list(names), object)
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words[codes // span], pa.binary()), pa.array((codes % span).astype(np.int32)), pa.nulls(len(codes), pa.binary()), pa.array(n.astype(np.int64))], schema=types)
-            codes, n = np.unique(np.concatenate(pairs), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words[codes >> 32], pa.binary()), pa.array(np.full(len(codes), -1, np.int32)), pa.array(words[codes & 0xFFFFFFFF], pa.binary()), pa.array(n.astype(np.int64))], schema=types)
-            names.clear()
-            held.clear()
-            pairs.clear()
-
-        for part in sliced(batches):
-            for text in part.column(0).to_pylist():
-                own = tokens_of(text)
-                at = places.of(own)
-                rare = at >= known
-                if not rare.any():
-                    continue
-                ids = np.full(len(own) + 2, -1, np.int64)
-                ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
-                walk = np.concatenate(([end_class], class_of[at], [end_class]))
-                i = np.flatnonzero(rare) + 1
-                alike = ids[i - 1] == ids[i]
-                held.append(ids[i] * span + np.where(alike, 4 * size, np.where(ids[i - 1] >= 0, size, 0) + walk[i - 1]))
-                alike = ids[i + 1] == ids[i]
-                j = i[~alike]
-                held.append(ids[j] * span + np.where(ids[j + 1] >= 0, 3 * size, 2 * size) + walk[j + 1])
-                j = i[(ids[i + 1] >= 0) & ~alike]
-                pairs.append((ids[j] << 32) + ids[j + 1])
-            if len(names) > FLUSH or sum(map(len, held)) > HELD_COUNTS:
-                yield from sums()
-        if names:
-            yield from sums()
-
-    counted = train.select("text").mapInArrow(run, "word binary, place int, next binary, n long").groupBy("word", "place", "next").agg(F.sum("n").alias("n")).checkpoint()
-    each = counted.filter("place >= 0").groupBy("word").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))  # at most ``span`` of a word
+    def others_of(text: str | None, places: Places, names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's other words (-1 for units and both ends) and the classes of all, ends included."""
+        own = tokens_of(text)
+        at = places.of(own)
+        rare = at >= known
+        ids = np.full(len(own) + 2, -1, np.int64)
+        ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
+        return ids, np.concatenate(([end_class], sent.value[1][at], [end_class]))
+
+    def summed(kinds: pa.Schema, codes_of, columns_of):
+        """A mapper that sums codes of texts under numbers of words, and sends them as columns when there are many."""
+
+        def run(batches):
+            places, names, held = Places(sent.value[0], endings), {}, []
+
+            def sums():
+                words = np.array(list(names), object)
+                codes, n = np.unique(np.concatenate(held), return_counts=True)
+                names.clear()
+                held.clear()
+                return pa.RecordBatch.from_arrays([*columns_of(words, codes), pa.array(n.astype(np.int64))], schema=kinds)
+
+            for part in sliced(batches):
+                for text in part.column(0).to_pylist():
+                    ids, walk = others_of(text, places, names)
+                    held.extend(codes_of(ids, walk, np.flatnonzero(ids >= 0)))
+                if len(names) > FLUSH or sum(map(len, held)) > HELD_COUNTS:
+                    yield sums()
+            if names:
+                yield sums()
+
+        return run
+
+    def beside_of(ids, walk, i):
+        alike = ids[i - 1] == ids[i]
+        yield ids[i] * span + np.where(alike, 4 * size, np.where(ids[i - 1] >= 0, size, 0) + walk[i - 1])
+        j = i[ids[i + 1] != ids[i]]
+        yield ids[j] * span + np.where(ids[j + 1] >= 0, 3 * size, 2 * size) + walk[j + 1]
+
+    def pairs_of(ids, walk, i):
+        j = i[(ids[i + 1] >= 0) & (ids[i + 1] != ids[i])]
+        yield (ids[j] << 32) + ids[j + 1]
+
+    kinds = "word binary, place int, n long"
+    count = summed(arrow_schema(kinds), beside_of, lambda words, codes: [pa.array(words[codes // span], pa.binary()), pa.array((codes % span).astype(np.int32))])
+    counted = train.select("text").mapInArrow(count, kinds).groupBy("word", "place").agg(F.sum("n").alias("n"))
+    each = counted.groupBy("word").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))  # at most ``span`` of a word
     table = spark.sparkContext.broadcast((joint, class_of))
-    fields = arrow_schema("word binary, c long, old int, class int, places array<int>, counts array<bigint>")
+    outcome = "word binary, c long, old int, class int, sums binary"
+    fields = arrow_schema(outcome)
 
     def choose(batches):
+        """A row for each word; and at the end of the task one without a word, with the sums of its words' columns by class."""
         joint, class_of = table.value
-        for part in sliced(batches, 512):
+        sums = np.zeros((size, span), np.int64)
+        for part in sliced(batches, 2048):
             words = part.column("word").to_pylist()
             rows = np.zeros((len(words), span))
             for i, (at, n) in enumerate(zip(part.column("places").to_pylist(), part.column("counts").to_pylist(), strict=True)):
@@ -420,25 +462,28 @@ def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings:
             into, out, self_ = rows[:, :size] + rows[:, size : 2 * size], rows[:, 2 * size : 3 * size] + rows[:, 3 * size : -1], rows[:, -1]
             c = (into.sum(1) + self_).astype(np.int64)
             old = np.fromiter((class_of[known + ending(w, endings)] for w in words), np.int64, len(words))
-            new = best_classes(joint, old, out, into, self_) if words else old
-            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(c), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32)), part.column("places"), part.column("counts")], schema=fields)
+            new = best_classes_of_few(joint, old, out, into, self_) if words else old
+            np.add.at(sums, new, rows.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(c), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32)), pa.nulls(len(words), pa.binary())], schema=fields)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, 0, 0, 0, sums.tobytes()), fields, strict=True)], schema=fields)
 
-    found = each.mapInArrow(choose, "word binary, c long, old int, class int, places array<int>, counts array<bigint>").checkpoint()
+    made = written(each.mapInArrow(choose, outcome), "others")
+    found = made.filter("word IS NOT NULL").drop("sums")
     # Neighbours that are both units, then those of a unit and another word, then those of two others: each at most a row for each two classes.
     apart = class_of.astype(np.int32).copy()
     apart[known : known + endings] = size
     there = label_pairs(texts, apart)[:size, :size] if known or endings else joint.copy()
     there = np.pad(there, ((0, size - there.shape[0]), (0, size - there.shape[1])))
-    beside = found.select("class", F.explode(F.arrays_zip("places", "counts")).alias("x")).groupBy("class", F.col("x.places").alias("place")).agg(F.sum("x.counts").alias("n"))
-    for r in beside.collect():
-        if r["place"] < size:
-            there[r["place"], r["class"]] += r["n"]
-        elif 2 * size <= r["place"] < 3 * size:
-            there[r["class"], r["place"] - 2 * size] += r["n"]
-        elif r["place"] == 4 * size:
-            there[r["class"], r["class"]] += r["n"]
+    beside = np.zeros((size, span), np.int64)
+    for r in made.filter("word IS NULL").select("sums").toLocalIterator():  # a table of classes from each task, one at a time
+        beside += np.frombuffer(r["sums"], np.int64).reshape(size, span)
+    there += beside[:, :size].T + beside[:, 2 * size : 3 * size]
+    there[np.arange(size), np.arange(size)] += beside[:, 4 * size]
+    kinds = "word binary, next binary, n long"
+    count = summed(arrow_schema(kinds), pairs_of, lambda words, codes: [pa.array(words[codes >> 32], pa.binary()), pa.array(words[codes & 0xFFFFFFFF], pa.binary())])
+    paired = train.select("text").mapInArrow(count, kinds)
     first, second = found.select(F.col("word"), F.col("class").alias("a")), found.select(F.col("word").alias("next"), F.col("class").alias("b"))
-    for r in counted.filter("place < 0").join(first, "word").join(second, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in paired.join(first, "word").groupBy("a", "next").agg(F.sum("n").alias("n")).join(second, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         there[r["a"], r["b"]] += r["n"]
     if likelihood(there) <= likelihood(joint):
         return found.select("word", "c", F.col("old").alias("class")), joint
@@ -465,6 +510,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     class_of, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), tolerance)
     end_class, n_classes = int(class_of[-1]), len(joint)
     others, joint = other_words(train, texts, words, endings, class_of, joint)
+    dropped(texts)
     # Tokens and words of each class.
     class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
     np.add.at(class_n, class_of[: len(words)], often)
@@ -475,66 +521,88 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     step = log_transitions(joint)
     spread = np.log10(class_n + class_v + 1)
     sent = spark.sparkContext.broadcast((words, class_of, np.log10(often + 1.0), step, spread))
-    schema = "uid long, word binary, spot int, side int, beside int, tf long, doc_id long, n_tokens long, n_known long, logs double, model double"
-    both = "uid long, word binary, spot int, next binary, next_spot int, tf long"
+    schema = "uid long, word binary, code long, tf long, doc_id long, facts array<double>"
+    both = "uid long, word binary, next binary, spots long, tf long"
     fields, pair_fields = arrow_schema(schema), arrow_schema(both)
 
-    def batch(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[] for _ in kinds], kinds, strict=True)], schema=kinds)
-
-    def read(batches):
-        """(uid, doc_id, tokens, places, which are others) of each text, slice by slice."""
-        places = Places(sent.value[0], endings)
-        for part in sliced(batches):
-            yield ((uid, doc_id, own, at := places.of(own), at >= len(sent.value[0])) for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True) for own in (tokens_of(text),))
+    def read(part: pa.RecordBatch, places: Places, names: dict[bytes, int]):
+        """(number of the text, tokens, places, numbers of other words, -1 for units and both ends) of each text of a slice."""
+        for i, text in enumerate(part.column("text").to_pylist()):
+            own = tokens_of(text)
+            at = places.of(own)
+            rare = at >= places.head
+            ids = np.full(len(own) + 2, -1, np.int64)
+            ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
+            yield i, own, at, ids
 
     def run(batches):
-        """A row for each text with what its units give, and rows of its other words beside units: side 0 behind a class, side 1 before one."""
+        """A row for each text with what its units give, and rows of its other words beside units. A code is (spot * 2 + side) * n + class: side 0 behind that class, side 1 before it."""
         words, class_of, gain, step, spread = sent.value
-        known, flat, n = len(words), step.ravel(), len(step)
-        for rows in read(batches):
-            out: list[tuple] = []
-            for uid, doc_id, own, at, rare in rows:
-                c = class_of[at].astype(np.int64)
-                walk = np.concatenate(([end_class], c, [end_class]))
-                plain = np.concatenate(([True], ~rare, [True]))
+        places, known, flat, n = Places(words, endings), len(words), step.ravel(), len(step)
+        for part in sliced(batches):
+            names: dict[bytes, int] = {}
+            keys, facts = [np.zeros((4, 0), np.int64)], []
+            uids = part.column("uid").to_numpy()
+            for i, own, at, ids in read(part, places, names):
+                rare, plain = ids[1:-1] >= 0, ids < 0
+                walk = np.concatenate(([end_class], class_of[at], [end_class])).astype(np.int64)
                 steps = flat[walk[:-1] * n + walk[1:]]
-                model = steps[plain[:-1] & plain[1:]].sum() - spread[c[~rare]].sum()
-                if rare.any():
-                    spots = at - known
-                    for side, beside, free in ((0, walk[:-2], plain[:-2]), (1, walk[2:], plain[2:])):
-                        some = rare & free
-                        for (word, spot, by), tf in Counter(zip(compress(own, some), spots[some].tolist(), beside[some].tolist(), strict=True)).items():
-                            out.append((uid, word, spot, side, by, tf, None, 0, 0, 0.0, 0.0))
-                # No word begins with a blank: these keys find no count and are spread over all tasks.
-                out.append((uid, b" %d" % uid, 0, -1, 0, 0, doc_id, len(own) + 1, int(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)))
-            yield batch(out, fields)
+                model = steps[plain[:-1] & plain[1:]].sum() - spread[walk[1:-1][~rare]].sum()
+                for side, beside, free in ((0, walk[:-2], plain[:-2]), (1, walk[2:], plain[2:])):
+                    some = rare & free
+                    keys.append(np.stack((np.full(int(some.sum()), i), ids[1:-1][some], side * n + beside[some], at[some] - known)))
+                facts.append([len(own) + 1.0, float(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)])
+            text, word, code, spot = np.concatenate(keys, 1)
+            spots = np.zeros(len(names) + 1, np.int64)
+            spots[word] = spot
+            found, tf = np.unique((text * (len(names) + 1) + word) * (2 * n) + code, return_counts=True)
+            found, code = np.divmod(found, 2 * n)
+            text, word = np.divmod(found, len(names) + 1)
+            names_of = np.array([*names, b""], object)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[text]), pa.array(names_of[word], pa.binary()), pa.array(spots[word] * 2 * n + code), pa.array(tf.astype(np.int64)), pa.nulls(len(tf), pa.int64()), pa.nulls(len(tf), fields[5].type)], schema=fields)
+            # No word begins with a blank: these keys find no count and are spread over all tasks.
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([b" %d" % u for u in uids.tolist()], pa.binary()), pa.array(np.zeros(len(uids), np.int64)), pa.array(np.zeros(len(uids), np.int64)), part.column("doc_id"), pa.array(facts, fields[5].type)], schema=fields)
 
     def run_pairs(batches):
-        """Rows of neighbours that are both other words."""
-        known = len(sent.value[0])
-        for rows in read(batches):
-            out: list[tuple] = []
-            for uid, _, own, at, rare in rows:
-                some = np.flatnonzero(rare[:-1] & rare[1:]) if len(own) > 1 else []
-                out += [(uid, a, s, b, t, tf) for (a, s, b, t), tf in Counter((own[i], int(at[i]) - known, own[i + 1], int(at[i + 1]) - known) for i in some).items()]
-            yield batch(out, pair_fields)
+        """Rows of neighbours that are both other words, with the endings of both."""
+        places = Places(sent.value[0], endings)
+        for part in sliced(batches):
+            names: dict[bytes, int] = {}
+            keys = [np.zeros((5, 0), np.int64)]
+            uids = part.column("uid").to_numpy()
+            for i, _, at, ids in read(part, places, names):
+                j = np.flatnonzero((ids[1:-2] >= 0) & (ids[2:-1] >= 0)) if len(ids) > 3 else np.zeros(0, np.int64)
+                keys.append(np.stack((np.full(len(j), i), ids[j + 1], ids[j + 2], at[j] - places.head, at[j + 1] - places.head if len(j) else j)))
+            text, word, after, spot, spot_after = np.concatenate(keys, 1)
+            size = len(names) + 1
+            spots = np.zeros(size, np.int64)
+            spots[word], spots[after] = spot, spot_after
+            found, tf = np.unique((text * size + word) * size + after, return_counts=True)
+            found, after = np.divmod(found, size)
+            text, word = np.divmod(found, size)
+            names_of = np.array([*names, b""], object)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[text]), pa.array(names_of[word], pa.binary()), pa.array(names_of[after], pa.binary()), pa.array(spots[word] * endings + spots[after]), pa.array(tf.astype(np.int64))], schema=pair_fields)
 
     number = lambda values: F.array(*(F.lit(float(x)) for x in values))
     # A seen word has its own class, any other that of its ending.
-    own = F.coalesce(F.col("class"), F.get(F.array(*(F.lit(int(x)) for x in class_of[len(words) : len(words) + endings])), F.col("spot")))
+    ending_class = F.array(*(F.lit(int(x)) for x in class_of[len(words) : len(words) + endings]))
+    own_class_of = lambda spot: F.coalesce(F.col("class"), F.get(ending_class, spot.cast("int")))
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    none = {c: F.lit(0).cast(k) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("logs", "double"), ("model", "double"))}
-    behind = numbered.mapInArrow(run_pairs, both).join(others, "word", "left")
-    behind = behind.select("uid", F.col("next").alias("word"), F.col("next_spot").alias("spot"), F.lit(0).alias("side"), own.cast("int").alias("beside"), "tf", F.lit(None).cast("long").alias("doc_id"), *(v.alias(k) for k, v in none.items()))
+    behind = numbered.mapInArrow(run_pairs, both).join(others.select("word", "class"), "word", "left")
+    code = (F.pmod("spots", F.lit(endings)) * 2) * n_classes + own_class_of(F.floor(F.col("spots") / endings))
+    behind = behind.select("uid", F.col("next").alias("word"), code.cast("long").alias("code"), "tf", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<double>").alias("facts"))
     joined = numbered.mapInArrow(run, schema).unionByName(behind).join(others, "word", "left")
-    after, before = F.get(number(step.ravel()), F.col("beside") * n_classes + own) - F.get(number(spread), own), F.get(number(step.ravel()), own * n_classes + F.col("beside"))
-    target = F.col("side") == 0
+    beside, side, spot = F.pmod("code", F.lit(n_classes)), F.pmod(F.floor(F.col("code") / n_classes), F.lit(2)), F.floor(F.col("code") / (2 * n_classes))
+    own = own_class_of(spot)
+    at = lambda i: F.get(number(step.ravel()), i.cast("int"))
+    after, before = at(beside * n_classes + own) - F.get(number(spread), own), at(own * n_classes + beside)
+    word, target = F.col("facts").isNull(), F.col("facts").isNull() & (side == 0)
+    fact = lambda i: F.coalesce(F.get("facts", F.lit(i)), F.lit(0.0))
     sums = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(target & (F.col("c") > 0), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + F.when(target, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("logs"),
-        F.sum(F.col("model") + F.when(target, F.col("tf") * after).when(F.col("side") == 1, F.col("tf") * before).otherwise(0.0)).alias("model"),
+        F.max("doc_id").alias("doc_id"), F.sum(fact(0)).cast("long").alias("n_tokens"),
+        F.sum(fact(1) + F.when(target & (F.col("c") > 0), F.col("tf")).otherwise(0)).cast("long").alias("n_known"),
+        F.sum(fact(2) + F.when(target, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("logs"),
+        F.sum(fact(3) + F.when(target, F.col("tf") * after).when(word, F.col("tf") * before).otherwise(0.0)).alias("model"),
     )
     last = float(np.log10(ends + 1.0))
     base = F.col("logs") + F.lit(last) - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1.0)))

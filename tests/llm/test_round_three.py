@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lectern.llm import brown, importance, langid, order_minhash, packing, structure, toxicity
+from lectern.llm import brown, importance, langid, order_minhash, structure, toxicity
 from lectern.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score long, rank string, able string, weight string"
@@ -320,3 +320,13 @@ n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVE
 SELECT doc_id, length(t), sha256(left(t, length(t) - length(t) // 3) || left(after, length(t) // 3)) FROM n"""
     rows = order_minhash.query(spark, sf).select("doc_id", "n_chars", "edited_sha256").collect()
     assert sorted(map(tuple, rows)) == sorted(duck(sf, sql))
+
+
+def test_words_with_few_neighbours_choose_as_units_do():
+    r = np.random.default_rng(1)
+    joint = r.integers(50, 5000, (9, 9)).astype(float)
+    out, into = (r.poisson(0.4, (300, 9)).astype(float) for _ in range(2))
+    own, old = r.poisson(0.2, 300).astype(float), r.integers(0, 8, 300)
+    assert (brown.best_classes_of_few(joint, old, out, into, own) == brown.best_classes(joint, old, out, into, own)).all()
+    none = np.zeros((0, 9))
+    assert len(brown.best_classes_of_few(joint, np.zeros(0, np.int64), none, none, np.zeros(0))) == 0
