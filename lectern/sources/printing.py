@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -167,13 +167,15 @@ def blocks_of(lessons: DataFrame, document: str) -> DataFrame:
     numbered = F.transform(bullets, lambda b, i: F.struct(F.lit("bullet").alias("kind"), F.concat((i + 1).cast("string"), F.lit(". "), printed(b)).alias("text")))
     none = F.array(block("bullet", F.lit("- No summary points recorded.")))
     own = F.concat(F.array(block("lesson", heading(F.coalesce(c("lesson_number").cast("string"), c("place").cast("string")), c("lesson_name"))), block("pages", span)), F.when(F.size(bullets) > 0, numbered).otherwise(none))
-    rows = lessons.select(document, "place", F.posexplode(own).alias("line", "b")).select(document, c("place").cast("long").alias("place"), "line", "b.kind", "b.text")
     some = lambda title, text: F.when(text != "", block("meta", F.concat(F.lit(title + ": "), text)))
     filled = lambda x: F.when(F.coalesce(c(x), F.lit("")) != "", c(x))
-    first = lessons.groupBy(document).agg(F.min_by(F.struct("source_filename", "board", "standard", "subject", "difficulty"), F.struct("place", F.col("source_filename"))).alias("m")).select(document, "m.*")
     head = F.array(block("title", F.lit(TITLE)), some("Document", F.coalesce("source_filename", F.lit(""))), some("Curriculum", F.concat_ws("  |  ", filled("board"), filled("standard"), filled("subject"))), some("Difficulty", F.initcap(F.coalesce("difficulty", F.lit("")))))
-    titles = first.select(document, F.posexplode(F.array_compact(head)).alias("line", "b")).select(document, F.lit(-1).cast("long").alias("place"), "line", "b.kind", "b.text")
-    return titles.unionByName(rows)
+    placed = lambda place, blocks: F.transform(blocks, lambda b, i: F.struct(place.cast("long").alias("place"), i.alias("line"), b["kind"].alias("kind"), b["text"].alias("text")))
+    none_before = F.array().cast("array<struct<place:bigint,line:int,kind:string,text:string>>")
+    # The head goes with the first lesson rather than as rows of a union: Spark 4.1 takes a union of parts that are dealt by document as dealt by document, and then adaptive execution deals the parts apart.
+    first = F.row_number().over(Window.partitionBy(document).orderBy("place", "source_filename")) == 1
+    rows = lessons.withColumn("_first", first)
+    return rows.select(document, F.inline(F.concat(F.when(c("_first"), placed(F.lit(-1), F.array_compact(head))).otherwise(none_before), placed(c("place"), own))))
 
 
 def printed_files(lessons: DataFrame, document: str = "batch_id") -> DataFrame:
