@@ -185,7 +185,7 @@ UNIT_HEADING = (
 )
 UNIT_IN_FOOTER = r"(?i)(?:Unit|Lesson|Chapter)[-_](\d{1,2})"
 # The number of a Tamil unit, in digits or as a word.
-UNIT_NUMBER = r"(?i)\b(?:UNIT|அலகு|இயல்)\s*[-:]?\s*(\d{1,2})(?!\d)"
+UNIT_NUMBER = r"(?i)\b(?:UNIT|அலகு|இயல்)\s*[-:]?\s*(\d+)"
 UNIT_NUMBER_WORD = r"(?:இயல்|அலகு)\s*[-:]?\s*(" + "|".join(sorted(TAMIL_NUMBERS, key=len, reverse=True)) + ")"
 # How the beginning of a Tamil unit is told: its word with a number, other words with one, learning goals; what may follow a doubled number.
 _TEN = ("ஒன்று", "இரண்டு", "மூன்று", "நான்கு", "ஐந்து", "ஆறு", "ஏழு", "எட்டு", "ஒன்பது", "பத்து")

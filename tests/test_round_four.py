@@ -40,3 +40,9 @@ def test_a_short_line_is_a_lesson_and_no_name(spark, tmp_path):
     texts = [(0, " .44 . Th anatble, thndstnd to ererthing helyou."), (3, "- some words that are long enough for a lesson"), (6, ". short"), (9, "words " * 60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert agree(spark, tmp_path, bank.router, bank.ORACLES["g02_router"], documents=docs)
+
+
+def test_units_beyond_ninety_nine(spark, tmp_path):
+    """Books of more than 99 units: every unit begins a lesson."""
+    pages = spark.range(2050).select(F.col("id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit("<p>words of a page</p>").alias("html"))
+    assert agree(spark, tmp_path, derived.unit_split, derived.ORACLES["g05_unit_split"], pages=pages)
