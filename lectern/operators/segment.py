@@ -6,8 +6,12 @@ that was taken is a fold over a document's pages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from lectern.functions import numbers as N
 from lectern.functions import rules as R
@@ -127,22 +131,28 @@ def by_line_headings(df: DataFrame, key: str, text: str, heading: str = R.LESSON
 def taken(candidates: DataFrame, apart: int, weak_apart: int | None = None) -> DataFrame:
     """Candidates (doc, page_no, unit, title, strong) that are taken, with lesson_no: the unit differs from the last one taken and lies ``apart`` pages after it.
 
-    With ``weak_apart`` only candidates that are not strong have to lie apart. A fold over the candidates of a document, some numbers and a title each.
+    With ``weak_apart`` only candidates that are not strong have to lie apart. The candidates of a document are one sorted stream, of which only the last one taken is held.
     """
-
-    def scan(part):
-        part, keep, last = part.sort_values("page_no", kind="stable"), [], None
-        for page, unit, strong in zip(part["page_no"], part["unit"], part["strong"], strict=True):
-            least = apart if weak_apart is None else 0 if strong else weak_apart
-            fresh = last is None or unit != last[1] and page - last[0] >= least
-            keep.append(fresh)
-            last = (page, unit) if fresh else last
-        out = part[keep].copy()
-        out["lesson_no"] = range(1, len(out) + 1)
-        return out[["doc", "page_no", "unit", "title", "lesson_no"]]
-
-    kind = candidates.schema["doc"].dataType.simpleString()
-    return candidates.select("doc", "page_no", "unit", "title", "strong").groupBy("doc").applyInPandas(scan, f"doc {kind}, page_no int, unit string, title string, lesson_no int")
+    rows = candidates.select("doc", "page_no", "unit", "title", "strong").repartition("doc").sortWithinPartitions("doc", "page_no")
+    schema = S.StructType([*rows.schema.fields[:4], S.StructField("lesson_no", S.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, n = None, None, 0
+        for batch in batches:
+            stay, numbers = [], []
+            for doc, page, unit, strong in zip(*(batch.column(c).to_pylist() for c in ("doc", "page_no", "unit", "strong")), strict=True):
+                if last is None or doc != now:
+                    now, last, n = doc, None, 0
+                least = apart if weak_apart is None else 0 if strong else weak_apart
+                fresh = last is None or unit != last[1] and page - last[0] >= least
+                if fresh:
+                    last, n = (page, unit), n + 1
+                    numbers.append(n)
+                stay.append(fresh)
+            own = batch.filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(numbers, pa.int32())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def spans_of(starts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -214,12 +224,11 @@ def split_lessons(docs: DataFrame) -> DataFrame:
 
     The first method that finds anything in a document counts. Pages are written once, and a method sees only the documents that those before it have not settled.
     """
-    from lectern.operators import sections as S
-    from lectern.operators import tamil_units
+    from lectern.operators import sections, tamil_units
 
     shared(docs.sparkSession)
     own = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("_tamil", tamil_documents(docs)).withColumn("_paged", F.col("text").rlike(R.PAGE_MARK)).checkpoint()
-    pages = S.pages(own.filter("_paged"), "doc", "text").checkpoint()
+    pages = sections.pages(own.filter("_paged"), "doc", "text").checkpoint()
     plain = own.select("doc", F.regexp_replace("text", r"\n=== PAGE \d+ ===\n", "\n").alias("text"))
     of_tamil = own.filter("_tamil AND _paged").select("doc")
     methods = [

@@ -46,3 +46,13 @@ def test_units_beyond_ninety_nine(spark, tmp_path):
     """Books of more than 99 units: every unit begins a lesson."""
     pages = spark.range(2050).select(F.col("id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit("<p>words of a page</p>").alias("html"))
     assert agree(spark, tmp_path, derived.unit_split, derived.ORACLES["g05_unit_split"], pages=pages)
+
+
+def test_units_taken_are_those_of_a_fold(spark):
+    """Several documents, one without a key, in one task: numbers and distances begin anew with each."""
+    rows = [(d, p, str(u), "t", s) for d in (1, 2, None) for p, u, s in ((0, 1, True), (1, 2, False), (2, 2, True), (3, 2, True), (4, 3, False), (9, 3, True), (11, 4, False))]
+    df = spark.createDataFrame(rows, "doc int, page_no int, unit string, title string, strong boolean")
+    for apart, weak, pages in ((3, None, [0, 3, 9]), (0, 2, [0, 2, 4, 11])):
+        got = segment.taken(df, apart, weak).collect()
+        for d in (1, 2, None):
+            assert sorted((r["page_no"], r["lesson_no"]) for r in got if r["doc"] == d) == [(p, n) for n, p in enumerate(pages, 1)]
