@@ -56,3 +56,17 @@ def test_units_taken_are_those_of_a_fold(spark):
         got = segment.taken(df, apart, weak).collect()
         for d in (1, 2, None):
             assert sorted((r["page_no"], r["lesson_no"]) for r in got if r["doc"] == d) == [(p, n) for n, p in enumerate(pages, 1)]
+
+
+def test_tied_intervals_are_merged_once(spark):
+    """Equal intervals, whatever their order, and chains of them: as brute force merges them."""
+    rows = [(k, a, a + w) for k in range(3) for a in (1, 1, 1, 4, 4, 9, 9, 20, 21, 21, 40) for w in (1, 1, 3 + k)]
+    brute = []
+    for k in range(3):
+        for _, a, b in sorted(r for r in rows if r[0] == k):
+            if brute and brute[-1][0] == k and a <= brute[-1][2]:
+                brute[-1] = (k, brute[-1][1], max(b, brute[-1][2]))
+            else:
+                brute.append((k, a, b))
+    df = spark.createDataFrame(rows, "k int, a int, b int").repartition(5)
+    assert sorted(map(tuple, windows.merged_intervals(df, ["k"], "a", "b").collect())) == brute
