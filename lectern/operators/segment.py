@@ -6,7 +6,7 @@ that was taken is a fold over a document's pages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -262,15 +262,22 @@ def _plausible(title: Column, least: int, most: int) -> Column:
     return F.length(title).between(least, most) & named
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; an expression used at several places of a lambda is worked out anew at each, for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def doubled_heading(lines: Column) -> Column:
     """A heading that stands twice in a row, as printed shadows do: one line, or two lines together; null without one."""
-    bare = F.transform(lines, lambda x: trimmed(x, R.TITLE_SIGNS))
-    last = F.size(lines)
-    at = lambda n: F.when(last > n, F.sequence(F.lit(1), last - n)).otherwise(F.array().cast("array<int>"))
-    one = F.filter(at(1), lambda i: (F.element_at(bare, i) == F.element_at(bare, i + 1)) & _plausible(F.element_at(bare, i), 3, 45))
-    pair = lambda i: trimmed(F.concat(F.element_at(lines, i), F.element_at(lines, i + 1)), R.TITLE_SIGNS)
-    two = F.filter(at(3), lambda i: (pair(i) == pair(i + 2)) & _plausible(pair(i), 3, 45))
-    return F.coalesce(F.when(F.size(one) > 0, F.element_at(bare, F.get(one, F.lit(0)))), F.when(F.size(two) > 0, pair(F.get(two, F.lit(0)))))
+
+    def found(lines: Column) -> Column:
+        last = F.size(lines)
+        at = lambda n: F.when(last > n, F.sequence(F.lit(1), last - n)).otherwise(F.array().cast("array<int>"))
+        twice = lambda n, far: lambda x: F.get(F.transform(F.filter(at(n), lambda i: (F.element_at(x, i) == F.element_at(x, i + far)) & _plausible(F.element_at(x, i), 3, 45)), lambda i: F.element_at(x, i)), F.lit(0))
+        pairs = F.transform(at(1), lambda i: trimmed(F.concat(F.element_at(lines, i), F.element_at(lines, i + 1)), R.TITLE_SIGNS))
+        return F.coalesce(bound(F.transform(lines, lambda x: trimmed(x, R.TITLE_SIGNS)), twice(1, 1)), bound(pairs, twice(3, 2)))
+
+    return bound(lines, found)
 
 
 def unit_title(lines: Column) -> Column:

@@ -26,12 +26,16 @@ def _bare(line: Column) -> Column:
 
 def title(lines: Column) -> Column:
     """A doubled heading, else the first plausible of twelve lines, joined with a short next line that is not a heading of a part; null without one."""
-    bare = F.transform(F.slice(lines, 1, 13), _bare)
-    at = F.get(F.filter(F.transform(F.slice(bare, 1, 12), lambda x, i: F.when(G._plausible(x, 3, 40), i)), lambda i: i.isNotNull()), F.lit(0))
-    own, after = F.get(bare, at), F.get(bare, at + 1)
-    joined = scripts.repaired_tamil(F.concat(own, after))
-    goes_on = (after != own) & F.length(after).between(2, 15) & ~after.rlike("|".join(R.NOT_LESSONS)) & F.length(joined).between(3, 40)
-    return F.coalesce(G.doubled_heading(lines), F.when(F.coalesce(goes_on, F.lit(False)), joined).otherwise(own))
+
+    def of(bare: Column, at: Column) -> Column:
+        own, after = F.get(bare, at), F.get(bare, at + 1)
+        joined = scripts.repaired_tamil(F.concat(own, after))
+        goes_on = (after != own) & F.length(after).between(2, 15) & ~after.rlike("|".join(R.NOT_LESSONS)) & F.length(joined).between(3, 40)
+        return F.when(F.coalesce(goes_on, F.lit(False)), joined).otherwise(own)
+
+    first = lambda bare: F.get(F.filter(F.transform(F.slice(bare, 1, 12), lambda x, i: F.when(G._plausible(x, 3, 40), i)), lambda i: i.isNotNull()), F.lit(0))
+    plain = lambda own: G.bound(F.transform(F.slice(own, 1, 13), _bare), lambda bare: G.bound(first(bare), lambda at: of(bare, at)))
+    return G.bound(lines, lambda own: F.coalesce(G.doubled_heading(own), plain(own)))
 
 
 def _number(digits: Column, roman: Column, word: Column) -> Column:
