@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 
 #: Rows turned into Python objects at a time; bounds a worker's memory on long texts.
 SLICE = 128
-#: Rows of an Arrow batch where the session has Spark's own 10,000: a batch is whole in the memory of both sides before it is sliced.
+#: Rows of an Arrow batch where the session has Spark's own 10,000, and of a batch of the Parquet reader where it has 4,096: a batch is whole in memory (of both sides) before it is sliced.
 BATCH_ROWS = 512
+#: Bytes of a Parquet row group where the session names none: a task that writes holds one in the heap, and Parquet's own 128 MB for each of eight threads fill a heap of 1 GB.
+GROUP_BYTES = 16 << 20
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -28,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library, bounds Arrow batches, and sets a checkpoint folder where none is named.
+    """Lets Python workers import this library, bounds Arrow batches and Parquet row groups, and sets a checkpoint folder where none is named.
 
     Only a session whose executors are this very process may use a folder of this machine; any other has to name ``spark.checkpoint.dir``.
     """
@@ -38,6 +40,10 @@ def prepared(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
+    if not spark.conf.get("parquet.block.size", "") and not spark._jsc.hadoopConfiguration().get("parquet.block.size"):
+        spark.conf.set("parquet.block.size", GROUP_BYTES)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", "")
         if not named and spark.sparkContext.master.split("[")[0] != "local":

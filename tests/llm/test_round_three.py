@@ -330,3 +330,19 @@ def test_words_with_few_neighbours_choose_as_units_do():
     assert (brown.best_classes_of_few(joint, old, out, into, own) == brown.best_classes(joint, old, out, into, own)).all()
     none = np.zeros((0, 9))
     assert len(brown.best_classes_of_few(joint, np.zeros(0, np.int64), none, none, np.zeros(0))) == 0
+
+
+# memory of tasks
+
+
+def test_tables_between_stages_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from lectern.llm.common import BATCH_ROWS, GROUP_BYTES, written
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.md5(F.concat(F.col("id").cast("string"), k.cast("string"))))).alias("text"))
+    made = written(rows, "groups")
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 2 * GROUP_BYTES and made.count() == 3000
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(BATCH_ROWS)
