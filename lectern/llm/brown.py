@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, dropped, fold, prepared, sliced, table, written
+from lectern.llm.common import arrow_schema, dropped, fold, given_back, prepared, sliced, table, written
 
 UNITS, ENDINGS, CLASSES, HEAD = 400, 112, 24, 200_000
 #: A word of this count or more may be a unit; UNITS is only the number of seeds. Sweeps go over all units, in groups of BLOCK, and end at a gain of TOLERANCE.
@@ -118,6 +118,7 @@ def _rows_of(batches):
     for batch in batches:
         for at in range(batch.num_rows):
             yield np.frombuffer(batch.column(0)[at].as_buffer(), np.int32)
+    given_back()
 
 
 def label_pairs(texts: DataFrame, label: np.ndarray) -> np.ndarray:
@@ -148,21 +149,26 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return unique, np.bincount(at, np.concatenate(n)).astype(np.int64)
 
 
-def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int = BLOCK) -> DataFrame:
-    """(block, keys, n): counts of each unit with neighbouring classes, a row for each block of units, as a table, since it is read twice.
+def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int = BLOCK, joint: np.ndarray | None = None) -> DataFrame:
+    """(block, keys, n): counts of each unit with neighbouring classes, a row for each block of units. With ``joint`` (block, labels): the classes the block's units choose by them, as in ``chosen``.
 
     A count's key is unit * span + column: the classes after the unit, the unit itself, the classes before it. The last unit (the end) has no row of its own. Tasks send one
     row for each block, and a block's rows are summed in one group: at most block * span counts from each task.
     """
     end, span = len(label) - 1, 2 * size + 1
-    sent = texts.sparkSession.sparkContext.broadcast(label)
+    sent = texts.sparkSession.sparkContext.broadcast(label if joint is None else (label, joint))
     schema = "block long, keys binary, n binary"
     types = arrow_schema(schema)
+    out = schema if joint is None else CHOICES
+    out_types = arrow_schema(out)
 
     def total(rows: pa.Table) -> pa.Table:
         table = np.zeros(block * span, np.int64)
         for keys, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist(), strict=True):
             table[np.frombuffer(keys, np.uint32)] += np.frombuffer(n, np.int64)  # a row's keys are distinct
+        if joint is not None:
+            own = choices(rows.column("block")[0].as_py(), table, *sent.value, block)
+            return pa.table({"block": rows.column("block").slice(0, 1), "labels": pa.array([own], pa.binary())}, schema=out_types)
         some = np.flatnonzero(table)
         return pa.table({"block": rows.column("block").slice(0, 1), "keys": pa.array([some.astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([table[some].tobytes()], pa.binary())}, schema=types)
 
@@ -175,7 +181,7 @@ def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), cut(small), cut(n.astype(np.int64))], schema=types)
 
     def count(batches):
-        label = sent.value
+        label = sent.value if joint is None else sent.value[0]
         held_keys, held_n, held, waiting, room = [], [], 0, [], 0
 
         def counted():
@@ -201,7 +207,7 @@ def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int
         if held_keys:
             yield packed(*_summed(held_keys, held_n))
 
-    return written(texts.mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema), "counts")
+    return texts.mapInArrow(count, schema).groupBy("block").applyInArrow(total, out)
 
 
 def class_table(counts: DataFrame, label: np.ndarray, size: int, ends: float, block: int = BLOCK) -> np.ndarray:
@@ -231,32 +237,43 @@ def class_table(counts: DataFrame, label: np.ndarray, size: int, ends: float, bl
     return out
 
 
+CHOICES = "block long, labels binary"
+
+
+def choices(number: int, counts: np.ndarray, label: np.ndarray, joint: np.ndarray, block: int) -> bytes:
+    """The classes (int16) that the units of a block choose by their ``counts`` while all others stay."""
+    size, end = len(joint), len(label) - 1
+    old = label[number * block : min((number + 1) * block, end)].astype(np.int64)
+    table = counts.reshape(block, 2 * size + 1)[: len(old)].astype(np.float64)
+    new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
+    return np.where(table.sum(1) > 0, new, old).astype(np.int16).tobytes()
+
+
+def relabelled(rows: DataFrame, label: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The labels with the choices of all blocks; the end keeps its own."""
+    out = label.copy()
+    for r in rows.toArrow().to_pylist():  # two bytes for each of at most HEAD + ENDINGS units
+        new = np.frombuffer(r["labels"], np.int16)
+        out[r["block"] * block : r["block"] * block + len(new)] = new
+    return out
+
+
 def chosen(counts: DataFrame, label: np.ndarray, joint: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The class each unit chooses by its counts while all others stay; the end keeps its own."""
-    size, end = len(joint), len(label) - 1
-    span = 2 * size + 1
+    span = 2 * len(joint) + 1
     sent = counts.sparkSession.sparkContext.broadcast((label, joint))
-    schema = "block long, labels binary"
-    types = arrow_schema(schema)
+    types = arrow_schema(CHOICES)
 
     def run(batches):
-        label, joint = sent.value
         for part in batches:
             numbers, labels = part.column("block").to_pylist(), []
             for number, keys, n in zip(numbers, part.column("keys").to_pylist(), part.column("n").to_pylist(), strict=True):
-                old = label[number * block : min((number + 1) * block, end)].astype(np.int64)
-                table = np.zeros(block * span)
+                table = np.zeros(block * span, np.int64)
                 table[np.frombuffer(keys, np.uint32)] = np.frombuffer(n, np.int64)
-                table = table.reshape(block, span)[: len(old)]
-                new = best_classes(joint, old, table[:, :size], table[:, size + 1 :], table[:, size])
-                labels.append(np.where(table.sum(1) > 0, new, old).astype(np.int16).tobytes())
+                labels.append(choices(number, table, *sent.value, block))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(labels, pa.binary())], schema=types)
 
-    out = label.copy()
-    for r in counts.mapInArrow(run, schema).toArrow().to_pylist():  # two bytes for each of at most HEAD + ENDINGS units
-        new = np.frombuffer(r["labels"], np.int16)
-        out[r["block"] * block : r["block"] * block + len(new)] = new
-    return out
+    return relabelled(counts.mapInArrow(run, CHOICES), label, block)
 
 
 def likelihood(joint: np.ndarray) -> float:
@@ -265,12 +282,14 @@ def likelihood(joint: np.ndarray) -> float:
 
 
 def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of all units and the table of neighbouring classes, after exchange over all units. A sweep reads the texts once."""
+    """Labels of all units and the table of neighbouring classes, after exchange over all units.
+
+    A sweep reads the coded texts twice, for the units' counts and for the table after the moves, and writes no table: where Hadoop's native library is not there, each file that an executor
+    makes forks its JVM for a moment.
+    """
     joint = label_pairs(texts, label)
-    size, ends = len(joint), joint[label[-1], label[-1]]
-    counts = neighbour_counts(texts, label, size)
     while True:
-        new = chosen(counts, label, joint)
+        new = relabelled(neighbour_counts(texts, label, len(joint), joint=joint), label)
         moves = np.flatnonzero(new != label)
         before, gain = likelihood(joint), -1.0
         for share in (1, 2, 4):
@@ -279,15 +298,12 @@ def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE)
             tried[some] = new[some]
             if not len(some):
                 break
-            there_counts = neighbour_counts(texts, tried, size)
-            there = class_table(there_counts, tried, size, ends)
+            there = label_pairs(texts, tried)
             gain = likelihood(there) - before
-            dropped(counts if gain > 0 else there_counts)
             if gain > 0:
-                label, joint, counts = tried, there, there_counts
+                label, joint = tried, there
                 break
         if gain <= tolerance * abs(before):
-            dropped(counts)
             return label, joint
         texts.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffles of sweeps that are over
 

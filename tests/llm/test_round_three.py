@@ -346,3 +346,11 @@ def test_tables_between_stages_have_small_row_groups(spark):
     sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
     assert len(sizes) > 1 and max(sizes) < 2 * GROUP_BYTES and made.count() == 3000
     assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(BATCH_ROWS)
+
+
+def test_sweeps_of_the_class_model_write_no_table(spark, monkeypatch):
+    made = []
+    real = brown.written
+    monkeypatch.setattr(brown, "written", lambda df, name: made.append(name) or real(df, name))
+    brown.score(docs_of(spark, [(n, prose(n, 300), "en") for n in range(60)]).checkpoint(), least=1, tolerance=0.0).count()
+    assert sorted(made) == ["coded", "others"]
