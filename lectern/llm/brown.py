@@ -10,25 +10,27 @@ Then every other word of the training text, however rare, moves to the class tha
 the units stand for the classes of their endings. The table of classes is then counted anew with all words in their classes. A text's probability is the product of
 class transitions (additive smoothing) and word emissions (count + 1) / (class tokens + class words + 1), one unseen word for each class; a word that was never seen has the class of its ending.
 
-The driver and the broadcasts hold the units, the endings and tables of classes: at most HEAD words, whatever the size of the vocabulary. Other words meet their counts and classes by
-shuffles: sums over (row, word, class beside it), and over (row, word, word) where two of them are neighbours.
+The driver and the broadcasts hold the units, the endings and tables of classes: at most HEAD words, whatever the size of the vocabulary. Texts are split twice, for
+the counts of words and as coded rows that also hold their own other words; these meet by one shuffle of (word, coded row), where a word's counts are summed and its class is chosen, and
+a second one brings counts and classes back to the coded rows, of which each gives the pairs of its other words and the scores of its texts.
 
 Defined results: a null or blank text is its end token alone; repeated rows each get a row; a null doc_id is in the training fold; extra columns are ignored; long texts are read whole;
-with no training text every token is unknown and base_score is 0; equal gains go to the class of the lower number. Rows are told apart by number, so a table that is not read from files is to be checkpointed first.
+with no training text every token is unknown and base_score is 0; equal gains go to the class of the lower number.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import compress, repeat
+from itertools import compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, dropped, fold, given_back, prepared, sliced, table, written
+from lectern.llm.common import arrow_schema, fold, given_back, prepared, sliced, table, written
 
 UNITS, ENDINGS, CLASSES, HEAD = 400, 112, 24, 200_000
 #: A word of this count or more may be a unit; UNITS is only the number of seeds. Sweeps go over all units, in groups of BLOCK, and end at a gain of TOLERANCE.
@@ -39,26 +41,64 @@ BARS = 64
 CHUNK, HELD_COUNTS = 1_000_000, 3_000_000
 ALPHA = 0.5
 HELD = (7, 2)
-FLUSH = 250_000
+#: Bytes of texts split at a time (or one text), words counted at a time, words of a coded row, rows of other words that choose at a time.
+LONG, COUNTED, PART, AT_ONCE = 8 << 20, 2_000_000, 1 << 16, 8192
+#: A place of a word: a coded row and the word's number there.
+SEAT = np.dtype([("chunk", "<i8"), ("number", "<i4")])
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def portions(batches):
+    """Slices of batches, each text alone where a slice is long."""
+    for part in sliced(batches):
+        yield from sliced([part], 1) if part.nbytes > LONG else [part]
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``tokens_of`` of all texts behind each other, and their number in each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # before a leading blank and behind a trailing one
+    if blank.any():
+        n = n - np.bincount(np.repeat(np.arange(len(n)), n)[blank], minlength=len(n))
+        words = words.filter(pa.array(~blank))
+    return words.cast(pa.binary()), n
+
+
+def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of ``counts`` values each, as bytes."""
+    stops = np.concatenate(([0], np.cumsum(counts))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def objects(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """``to_pylist`` of bytes without a scalar for each, which takes more than ten times as long."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all documents that are given; combined in each task before the shuffle."""
     types = arrow_schema("word binary, n long")
 
+    def counted(waiting):
+        found = pc.value_counts(pa.concat_arrays(waiting))
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], schema=types)
+
     def run(batches):
-        own: Counter = Counter()
-        for part in sliced(batches):
-            for text in part.column(0).to_pylist():
-                own.update(tokens_of(text))
-            if len(own) > FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], schema=types)
-                own.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], schema=types)
+        waiting, room = [], 0
+        for part in portions(batches):
+            words, _ = words_in(part.column(0))
+            waiting.append(words)
+            room += len(words)
+            if room >= COUNTED:
+                yield counted(waiting)
+                waiting, room = [], 0
+        if waiting:
+            yield counted(waiting)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -98,20 +138,49 @@ class Places:
 
 
 def coded(docs: DataFrame, head: list[bytes], endings: int) -> DataFrame:
-    """ids of the units of all texts (int32), some texts a row; the last unit is a text's end, also before the first."""
+    """All texts (doc_id, text, train) as numbers, about PART words a row, either of training texts or of others: the only time that they are split for the model.
+
+    ``ids`` are the units (int32); the last unit is a text's end, also before the first. ``words`` are the row's different words beyond the head, and ``numbers`` (int32) tells which of
+    them each token is that is one. ``chunk`` is the row's own number.
+    """
     spark = prepared(docs.sparkSession)
     sent = spark.sparkContext.broadcast(head)
-    types = arrow_schema("ids binary")
+    schema = "chunk long, train boolean, ids binary, numbers binary, words array<binary>, doc_ids array<long>"
+    types = arrow_schema(schema)
 
     def run(batches):
-        places, end = Places(sent.value, endings), len(sent.value) + endings
-        for part in sliced(batches):
-            row = [np.array([end], np.int32)]
-            for text in part.column(0).to_pylist():
-                row += [places.of(tokens_of(text)).astype(np.int32), row[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(row).tobytes()], pa.binary())], schema=types)
-
-    return written(docs.select("text").mapInArrow(run, "ids binary"), "coded")
+        known, places, end = len(sent.value), Places(sent.value, endings), len(sent.value) + endings
+        numbers_of_rows = count(TaskContext.get().partitionId() << 33)
+
+        def row(parts, train):
+            words, doc_ids = (pa.concat_arrays(x) for x in zip(*((w, d) for w, _, d in parts), strict=True))
+            n = np.concatenate([n for _, n, _ in parts])
+            found = words.dictionary_encode()
+            at, codes = places.of(objects(found.dictionary)), found.indices.to_numpy()
+            rare = at >= known
+            ids = np.full(len(codes) + len(n) + 1, end, np.int32)
+            ids[np.arange(1, len(codes) + 1) + np.repeat(np.arange(len(n)), n)] = at[codes]
+            numbers = (np.cumsum(rare) - 1)[codes[rare[codes]]].astype(np.int32)
+            listed = lambda x, name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=types.field(name).type)
+            columns = [pa.array([next(numbers_of_rows)]), pa.array([train]), pa.array([ids.tobytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, listed(found.dictionary.filter(pa.array(rare)), "words"), listed(doc_ids, "doc_ids")], schema=types)
+
+        waiting, room = {True: [], False: []}, {True: 0, False: 0}
+        for part in portions(batches):
+            for train in (True, False):
+                own = part.filter(pc.equal(part.column("train"), train))
+                if own.num_rows:
+                    words, n = words_in(own.column("text"))
+                    waiting[train].append((words, n, own.column("doc_id")))
+                    room[train] += len(words) + len(n)
+                if room[train] >= PART:
+                    yield row(waiting[train], train)
+                    waiting[train], room[train] = [], 0
+        for train, parts in waiting.items():
+            if parts:
+                yield row(parts, train)
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(run, schema), "coded")
 
 
 def _rows_of(batches):
@@ -145,8 +214,11 @@ def label_pairs(texts: DataFrame, label: np.ndarray) -> np.ndarray:
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(keys) == 1:
         return keys[0], n[0]
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(at, np.concatenate(n)).astype(np.int64)
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(keys, kind="stable")  # merges what is in order already
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(n[order], starts).astype(np.int64)
 
 
 def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int = BLOCK, joint: np.ndarray | None = None) -> DataFrame:
@@ -190,7 +262,8 @@ def neighbour_counts(texts: DataFrame, label: np.ndarray, size: int, block: int
             after = a.astype(np.int64) * span + np.where(same, size, label[b])
             before = b[~same].astype(np.int64) * span + size + 1 + label[a[~same]]
             keys = np.concatenate((after[a != end], before[b[~same] != end]))
-            return np.unique(keys, return_counts=True)
+            keys, n = np.unique(keys.astype(np.uint32) if len(label) * span < 1 << 32 else keys, return_counts=True)  # small numbers sort faster
+            return keys.astype(np.int64), n
 
         for ids in _rows_of(batches):
             waiting.append(ids)
@@ -403,86 +476,127 @@ def log_transitions(joint: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return np.log10(joint / joint.sum(1, keepdims=True))
 
 
+def by_chunk(others: DataFrame) -> DataFrame:
+    """(chunk, numbers, c, classes): what coded rows have to know of their words beyond the head, some of a row's words at a time, from (c, class, seats) of each word."""
+    schema = "chunk long, numbers binary, c binary, classes binary"
+    types = arrow_schema(schema)
+
+    def packed(waiting):
+        seats, c, classes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.argsort(seats["chunk"], kind="stable")
+        seats = seats[order]
+        chunks, n = np.unique(seats["chunk"], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(chunks), binaries(np.ascontiguousarray(seats["number"]), n), binaries(c[order], n), binaries(classes[order], n)], schema=types)
+
+    def run(batches):
+        waiting, room = [], 0
+        for part in batches:
+            seats = objects(part.column("seats"))
+            n = np.fromiter(map(len, seats), np.int64, len(seats)) // SEAT.itemsize
+            waiting.append((np.frombuffer(b"".join(seats), SEAT), np.repeat(part.column("c").to_numpy(), n), np.repeat(part.column("class").to_numpy().astype(np.int16), n)))
+            room += int(n.sum())
+            if room >= CHUNK:
+                yield packed(waiting)
+                waiting, room = [], 0
+        if room:
+            yield packed(waiting)
+        given_back()
+
+    return others.select("c", "class", "seats").mapInArrow(run, schema)
+
+
+def _own_words(known: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each of a row's ``size`` or more words beyond the head, from its rows of ``by_chunk``; 0 and -1 for a word that was never seen."""
+    numbers, c, classes = (np.frombuffer(b"".join(objects(known.column(x))), t) for x, t in (("numbers", np.int32), ("c", np.int64), ("classes", np.int16)))
+    size = max(size, int(numbers.max(initial=-1)) + 1)
+    count, label = np.zeros(size, np.int64), np.full(size, -1, np.int16)
+    count[numbers], label[numbers] = c, classes
+    return count, label
+
+
 def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings: int, class_of: np.ndarray, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(word, c, class) of all training words beyond the head, and the table of neighbouring classes with them in their classes.
+    """(word, c, class, seats) of all training words beyond the head, and the table of neighbouring classes with them in their classes.
 
-    A word's counts are columns: the classes before it (of units, then of others), the classes after it (likewise), itself. Pairs of two others are rows of their own. Where all
-    choices together don't raise the likelihood, every word keeps the class of its ending.
+    ``train`` are rows of ``coded``, those of other texts too, whose words get their seats but no counts; plain texts, all for training, are coded first. A word's counts are columns: the classes
+    before it (of units, then of others), the classes after it (likewise), itself. Its ``seats`` are the coded rows it stands in and its number there. Pairs of two others meet their classes
+    in the coded row. Where all choices together don't raise the likelihood, every word keeps the class of its ending.
     """
     spark = train.sparkSession
-    size, end_class, known = len(joint), int(class_of[-1]), len(head)
-    span = 4 * size + 1
-    sent = spark.sparkContext.broadcast((head, class_of.astype(np.int64)))
-    types = arrow_schema("word binary, place int, next binary, n long")
-
-    def others_of(text: str | None, places: Places, names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of a text's other words (-1 for units and both ends) and the classes of all, ends included."""
-        own = tokens_of(text)
-        at = places.of(own)
-        rare = at >= known
-        ids = np.full(len(own) + 2, -1, np.int64)
-        ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
-        return ids, np.concatenate(([end_class], sent.value[1][at], [end_class]))
-
-    def summed(kinds: pa.Schema, codes_of, columns_of):
-        """A mapper that sums codes of texts under numbers of words, and sends them as columns when there are many."""
-
-        def run(batches):
-            places, names, held = Places(sent.value[0], endings), {}, []
-
-            def sums():
-                words = np.array(list(names), object)
-                codes, n = np.unique(np.concatenate(held), return_counts=True)
-                names.clear()
-                held.clear()
-                return pa.RecordBatch.from_arrays([*columns_of(words, codes), pa.array(n.astype(np.int64))], schema=kinds)
-
-            for part in sliced(batches):
-                for text in part.column(0).to_pylist():
-                    ids, walk = others_of(text, places, names)
-                    held.extend(codes_of(ids, walk, np.flatnonzero(ids >= 0)))
-                if len(names) > FLUSH or sum(map(len, held)) > HELD_COUNTS:
-                    yield sums()
-            if names:
-                yield sums()
-
-        return run
-
-    def beside_of(ids, walk, i):
-        alike = ids[i - 1] == ids[i]
-        yield ids[i] * span + np.where(alike, 4 * size, np.where(ids[i - 1] >= 0, size, 0) + walk[i - 1])
-        j = i[ids[i + 1] != ids[i]]
-        yield ids[j] * span + np.where(ids[j + 1] >= 0, 3 * size, 2 * size) + walk[j + 1]
-
-    def pairs_of(ids, walk, i):
-        j = i[(ids[i + 1] >= 0) & (ids[i + 1] != ids[i])]
-        yield (ids[j] << 32) + ids[j + 1]
-
-    kinds = "word binary, place int, n long"
-    count = summed(arrow_schema(kinds), beside_of, lambda words, codes: [pa.array(words[codes // span], pa.binary()), pa.array((codes % span).astype(np.int32))])
-    counted = train.select("text").mapInArrow(count, kinds).groupBy("word", "place").agg(F.sum("n").alias("n"))
-    each = counted.groupBy("word").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))  # at most ``span`` of a word
-    table = spark.sparkContext.broadcast((joint, class_of))
-    outcome = "word binary, c long, old int, class int, sums binary"
+    size, known = len(joint), len(head)
+    end, span = known + endings, 4 * size + 1
+    sent = spark.sparkContext.broadcast((class_of.astype(np.int64), joint))
+    chunks = train if "chunk" in train.columns else coded(train.withColumn("train", F.lit(True)), head, endings)
+    kinds = "word binary, chunk long, number int, sums binary"
+    types = arrow_schema(kinds)
+
+    def walks(part: pa.RecordBatch):
+        """The units of each coded row, and beside them the numbers of its other words (-1 for units and ends)."""
+        for ids, numbers in zip(objects(part.column("ids")), objects(part.column("numbers")), strict=True):
+            ids = np.frombuffer(ids, np.int32)
+            own = np.full(len(ids), -1, np.int64)
+            own[(ids >= known) & (ids < end)] = np.frombuffer(numbers, np.int32)
+            yield ids, own
+
+    def count(batches):
+        """A row for each word of a coded row, with its (column, count) there."""
+        for part in sliced(batches, 1):
+            (ids, own), words = next(walks(part)), part.column("words")[0].values
+            counts, sums = np.zeros(len(words), np.int64), np.zeros((0, 2), np.int32)
+            if part.column("train")[0].as_py():
+                walk, i = sent.value[0][ids], np.flatnonzero(own >= 0)
+                before = np.where(own[i - 1] == own[i], 4 * size, np.where(own[i - 1] >= 0, size, 0) + walk[i - 1])
+                j = i[own[i + 1] != own[i]]
+                after = np.where(own[j + 1] >= 0, 3 * size, 2 * size) + walk[j + 1]
+                codes, n = np.unique(np.concatenate((own[i] * span + before, own[j] * span + after)), return_counts=True)
+                counts, sums = np.bincount(codes // span, minlength=len(words)), np.stack((codes % span, n), 1).astype(np.int32)
+            at = [pa.array(np.full(len(words), part.column("chunk")[0].as_py())), pa.array(np.arange(len(words), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([words, *at, binaries(sums, 2 * counts)], schema=types)
+
+    outcome = "word binary, c long, old int, class int, seats binary, sums binary"
     fields = arrow_schema(outcome)
 
     def choose(batches):
-        """A row for each word; and at the end of the task one without a word, with the sums of its words' columns by class."""
-        joint, class_of = table.value
-        sums = np.zeros((size, span), np.int64)
-        for part in sliced(batches, 2048):
-            words = part.column("word").to_pylist()
-            rows = np.zeros((len(words), span))
-            for i, (at, n) in enumerate(zip(part.column("places").to_pylist(), part.column("counts").to_pylist(), strict=True)):
-                rows[i, at] = n
-            into, out, self_ = rows[:, :size] + rows[:, size : 2 * size], rows[:, 2 * size : 3 * size] + rows[:, 3 * size : -1], rows[:, -1]
+        """A row for each training word, from rows in order of words; and at the end of the task one without a word, with the sums of its words' columns by class."""
+        class_of, joint = sent.value
+        total = np.zeros((size, span), np.int64)
+
+        def made(rows: pa.Table, word: np.ndarray, words: pa.Array):
+            n_words, entries = len(words), objects(rows.column("sums"))
+            n = np.fromiter(map(len, entries), np.int64, len(entries)) // 8
+            place, n_of = np.frombuffer(b"".join(entries), np.int32).reshape(-1, 2).T
+            counts = np.bincount(np.repeat(word, n) * span + place, n_of, n_words * span).reshape(n_words, span)
+            into, out, self_ = counts[:, :size] + counts[:, size : 2 * size], counts[:, 2 * size : 3 * size] + counts[:, 3 * size : -1], counts[:, -1]
             c = (into.sum(1) + self_).astype(np.int64)
-            old = np.fromiter((class_of[known + ending(w, endings)] for w in words), np.int64, len(words))
-            new = best_classes_of_few(joint, old, out, into, self_) if words else old
-            np.add.at(sums, new, rows.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(c), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32)), pa.nulls(len(words), pa.binary())], schema=fields)
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, 0, 0, 0, sums.tobytes()), fields, strict=True)], schema=fields)
-
+            old = class_of[known + np.fromiter((ending(w, endings) for w in objects(words)), np.int64, n_words)]
+            new = best_classes_of_few(joint, old, out, into, self_)
+            np.add.at(total, new, counts.astype(np.int64))
+            seats = np.empty(len(word), SEAT)
+            seats["chunk"], seats["number"] = rows.column("chunk").to_numpy(), rows.column("number").to_numpy()
+            columns = [words, pa.array(c), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32)), binaries(seats, np.bincount(word, minlength=n_words)), pa.nulls(n_words, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, schema=fields).filter(pa.array(c > 0))
+
+        waiting, room, enough = [], 0, AT_ONCE
+        for part in batches:
+            waiting.append(part)
+            room += part.num_rows
+            if room >= enough:
+                # The last word may go on in the next batch.
+                rows = pa.Table.from_batches(waiting).combine_chunks()
+                found = rows.column("word").chunk(0).dictionary_encode()
+                word, last = found.indices.to_numpy(), len(found.dictionary) - 1
+                stop = int(np.searchsorted(word, last))
+                if last:
+                    yield made(rows.slice(0, stop), word[:stop], found.dictionary.slice(0, last))
+                waiting, room = rows.slice(stop).to_batches(), len(word) - stop
+                enough = AT_ONCE + 2 * room
+        if room:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            found = rows.column("word").chunk(0).dictionary_encode()
+            yield made(rows, found.indices.to_numpy(), found.dictionary)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, 0, 0, 0, None, total.tobytes()), fields, strict=True)], schema=fields)
+        given_back()
+
+    each = chunks.select("chunk", "train", "ids", "numbers", "words").mapInArrow(count, kinds).repartition("word").sortWithinPartitions("word")
     made = written(each.mapInArrow(choose, outcome), "others")
     found = made.filter("word IS NOT NULL").drop("sums")
     # Neighbours that are both units, then those of a unit and another word, then those of two others: each at most a row for each two classes.
@@ -495,15 +609,30 @@ def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings:
         beside += np.frombuffer(r["sums"], np.int64).reshape(size, span)
     there += beside[:, :size].T + beside[:, 2 * size : 3 * size]
     there[np.arange(size), np.arange(size)] += beside[:, 4 * size]
-    kinds = "word binary, next binary, n long"
-    count = summed(arrow_schema(kinds), pairs_of, lambda words, codes: [pa.array(words[codes >> 32], pa.binary()), pa.array(words[codes & 0xFFFFFFFF], pa.binary())])
-    paired = train.select("text").mapInArrow(count, kinds)
-    first, second = found.select(F.col("word"), F.col("class").alias("a")), found.select(F.col("word").alias("next"), F.col("class").alias("b"))
-    for r in paired.join(first, "word").groupBy("a", "next").agg(F.sum("n").alias("n")).join(second, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        there[r["a"], r["b"]] += r["n"]
+
+    def pairs(batches):
+        for part in sliced(batches):
+            both = []
+            for _, own in walks(part):
+                j = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0) & (own[:-1] != own[1:]))
+                both.append(np.stack((own[j], own[j + 1]), 1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("chunk"), pa.array(both, pa.binary())], names=["chunk", "pairs"])
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows:
+            a, b = np.frombuffer(objects(left.column("pairs"))[0], np.int32).reshape(-1, 2).T
+            label = _own_words(right, 0)[1].astype(np.int64)
+            codes, n = np.unique(label[a] * size + label[b], return_counts=True)
+        return pa.table({"pair": codes, "n": n.astype(np.int64)})
+
+    paired = chunks.filter("train").select("chunk", "ids", "numbers").mapInArrow(pairs, "chunk long, pairs binary")
+    both = paired.groupBy("chunk").cogroup(by_chunk(found).groupBy("chunk")).applyInArrow(met, "pair long, n long")
+    for r in both.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        there[divmod(r["pair"], size)] += r["n"]
     if likelihood(there) <= likelihood(joint):
-        return found.select("word", "c", F.col("old").alias("class")), joint
-    return found.select("word", "c", "class"), there
+        return found.select("word", "c", F.col("old").alias("class"), "seats"), joint
+    return found.select("word", "c", "class", "seats"), there
 
 
 def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, head_size: int = HEAD, least: int = LEAST, tolerance: float = TOLERANCE) -> DataFrame:
@@ -518,15 +647,15 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     head = head_of(counts, head_size, least)
     words, often = [w for w, _ in head], np.array([c for _, c in head], np.int64)
     # Units: the head's words, then the endings, then the end.
-    texts = coded(train, words, endings)
+    chunks = coded(docs.withColumn("train", fold(F.col("doc_id"), modulus) != rest), words, endings)
+    texts = chunks.filter("train").select("ids")
     n_seeds = min(units, len(words))
     spots = np.concatenate([np.fromiter((ending(w, endings) for w in words), np.int64, len(words)), np.arange(endings)])
     seed_of = np.append(n_seeds + spots, n_seeds + endings).astype(np.int32)
     seed_of[:n_seeds] = np.arange(n_seeds)
     class_of, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), tolerance)
     end_class, n_classes = int(class_of[-1]), len(joint)
-    others, joint = other_words(train, texts, words, endings, class_of, joint)
-    dropped(texts)
+    others, joint = other_words(chunks, texts, words, endings, class_of, joint)
     # Tokens and words of each class.
     class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
     np.add.at(class_n, class_of[: len(words)], often)
@@ -536,90 +665,34 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
         class_v[r["class"]] += r["v"]
     step = log_transitions(joint)
     spread = np.log10(class_n + class_v + 1)
-    sent = spark.sparkContext.broadcast((words, class_of, np.log10(often + 1.0), step, spread))
-    schema = "uid long, word binary, code long, tf long, doc_id long, facts array<double>"
-    both = "uid long, word binary, next binary, spots long, tf long"
-    fields, pair_fields = arrow_schema(schema), arrow_schema(both)
-
-    def read(part: pa.RecordBatch, places: Places, names: dict[bytes, int]):
-        """(number of the text, tokens, places, numbers of other words, -1 for units and both ends) of each text of a slice."""
-        for i, text in enumerate(part.column("text").to_pylist()):
-            own = tokens_of(text)
-            at = places.of(own)
-            rare = at >= places.head
-            ids = np.full(len(own) + 2, -1, np.int64)
-            ids[1:-1][rare] = [names.setdefault(w, len(names)) for w in compress(own, rare)]
-            yield i, own, at, ids
-
-    def run(batches):
-        """A row for each text with what its units give, and rows of its other words beside units. A code is (spot * 2 + side) * n + class: side 0 behind that class, side 1 before it."""
-        words, class_of, gain, step, spread = sent.value
-        places, known, flat, n = Places(words, endings), len(words), step.ravel(), len(step)
-        for part in sliced(batches):
-            names: dict[bytes, int] = {}
-            keys, facts = [np.zeros((4, 0), np.int64)], []
-            uids = part.column("uid").to_numpy()
-            for i, own, at, ids in read(part, places, names):
-                rare, plain = ids[1:-1] >= 0, ids < 0
-                walk = np.concatenate(([end_class], class_of[at], [end_class])).astype(np.int64)
-                steps = flat[walk[:-1] * n + walk[1:]]
-                model = steps[plain[:-1] & plain[1:]].sum() - spread[walk[1:-1][~rare]].sum()
-                for side, beside, free in ((0, walk[:-2], plain[:-2]), (1, walk[2:], plain[2:])):
-                    some = rare & free
-                    keys.append(np.stack((np.full(int(some.sum()), i), ids[1:-1][some], side * n + beside[some], at[some] - known)))
-                facts.append([len(own) + 1.0, float(len(own) - rare.sum()) + (ends > 0), float(gain[at[~rare]].sum()), float(model)])
-            text, word, code, spot = np.concatenate(keys, 1)
-            spots = np.zeros(len(names) + 1, np.int64)
-            spots[word] = spot
-            found, tf = np.unique((text * (len(names) + 1) + word) * (2 * n) + code, return_counts=True)
-            found, code = np.divmod(found, 2 * n)
-            text, word = np.divmod(found, len(names) + 1)
-            names_of = np.array([*names, b""], object)
-            yield pa.RecordBatch.from_arrays([pa.array(uids[text]), pa.array(names_of[word], pa.binary()), pa.array(spots[word] * 2 * n + code), pa.array(tf.astype(np.int64)), pa.nulls(len(tf), pa.int64()), pa.nulls(len(tf), fields[5].type)], schema=fields)
-            # No word begins with a blank: these keys find no count and are spread over all tasks.
-            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([b" %d" % u for u in uids.tolist()], pa.binary()), pa.array(np.zeros(len(uids), np.int64)), pa.array(np.zeros(len(uids), np.int64)), part.column("doc_id"), pa.array(facts, fields[5].type)], schema=fields)
-
-    def run_pairs(batches):
-        """Rows of neighbours that are both other words, with the endings of both."""
-        places = Places(sent.value[0], endings)
-        for part in sliced(batches):
-            names: dict[bytes, int] = {}
-            keys = [np.zeros((5, 0), np.int64)]
-            uids = part.column("uid").to_numpy()
-            for i, _, at, ids in read(part, places, names):
-                j = np.flatnonzero((ids[1:-2] >= 0) & (ids[2:-1] >= 0)) if len(ids) > 3 else np.zeros(0, np.int64)
-                keys.append(np.stack((np.full(len(j), i), ids[j + 1], ids[j + 2], at[j] - places.head, at[j + 1] - places.head if len(j) else j)))
-            text, word, after, spot, spot_after = np.concatenate(keys, 1)
-            size = len(names) + 1
-            spots = np.zeros(size, np.int64)
-            spots[word], spots[after] = spot, spot_after
-            found, tf = np.unique((text * size + word) * size + after, return_counts=True)
-            found, after = np.divmod(found, size)
-            text, word = np.divmod(found, size)
-            names_of = np.array([*names, b""], object)
-            yield pa.RecordBatch.from_arrays([pa.array(uids[text]), pa.array(names_of[word], pa.binary()), pa.array(names_of[after], pa.binary()), pa.array(spots[word] * endings + spots[after]), pa.array(tf.astype(np.int64))], schema=pair_fields)
-
-    number = lambda values: F.array(*(F.lit(float(x)) for x in values))
-    # A seen word has its own class, any other that of its ending.
-    ending_class = F.array(*(F.lit(int(x)) for x in class_of[len(words) : len(words) + endings]))
-    own_class_of = lambda spot: F.coalesce(F.col("class"), F.get(ending_class, spot.cast("int")))
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    behind = numbered.mapInArrow(run_pairs, both).join(others.select("word", "class"), "word", "left")
-    code = (F.pmod("spots", F.lit(endings)) * 2) * n_classes + own_class_of(F.floor(F.col("spots") / endings))
-    behind = behind.select("uid", F.col("next").alias("word"), code.cast("long").alias("code"), "tf", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<double>").alias("facts"))
-    joined = numbered.mapInArrow(run, schema).unionByName(behind).join(others, "word", "left")
-    beside, side, spot = F.pmod("code", F.lit(n_classes)), F.pmod(F.floor(F.col("code") / n_classes), F.lit(2)), F.floor(F.col("code") / (2 * n_classes))
-    own = own_class_of(spot)
-    at = lambda i: F.get(number(step.ravel()), i.cast("int"))
-    after, before = at(beside * n_classes + own) - F.get(number(spread), own), at(own * n_classes + beside)
-    word, target = F.col("facts").isNull(), F.col("facts").isNull() & (side == 0)
-    fact = lambda i: F.coalesce(F.get("facts", F.lit(i)), F.lit(0.0))
-    sums = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(fact(0)).cast("long").alias("n_tokens"),
-        F.sum(fact(1) + F.when(target & (F.col("c") > 0), F.col("tf")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(fact(2) + F.when(target, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("logs"),
-        F.sum(fact(3) + F.when(target, F.col("tf") * after).when(word, F.col("tf") * before).otherwise(0.0)).alias("model"),
-    )
+    sent = spark.sparkContext.broadcast((class_of.astype(np.int64), np.log10(often + 1.0), step, spread))
+    schema = "doc_id long, n_tokens long, n_known long, logs double, model double"
+    fields, seen_ends = arrow_schema(schema), int(ends > 0)
+
+    def texts_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A row for each text of a coded row. A seen word has its own class, any other that of its ending."""
+        if not left.num_rows:
+            return fields.empty_table()
+        class_of, gain, step, spread = sent.value
+        known, end, n = len(gain), len(class_of) - 1, len(step)
+        ids, numbers = (np.frombuffer(objects(left.column(x))[0], np.int32) for x in ("ids", "numbers"))
+        unit, at_end = ids < known, ids == end
+        rare = ~unit & ~at_end
+        count, label = _own_words(right, int(numbers.max(initial=-1)) + 1)
+        own, c = label[numbers], count[numbers]
+        walk = class_of[ids]
+        walk[rare] = np.where(own >= 0, own, walk[rare])
+        logs, seen = np.zeros(len(ids)), unit.astype(np.float64)
+        logs[unit], logs[rare], seen[rare] = gain[ids[unit]], np.log10(c + 1.0), c > 0
+        model = step.ravel()[walk[:-1] * n + walk[1:]] - np.where(at_end, 0.0, spread[walk])[:-1]
+        doc_ids, text = left.column("doc_ids")[0].values, (np.cumsum(at_end) - 1)[:-1]
+        sums = lambda x: np.bincount(text, x, len(doc_ids))
+        n_tokens = np.bincount(text, minlength=len(doc_ids)).astype(np.int64)
+        columns = (doc_ids, n_tokens, sums(seen[:-1]).astype(np.int64) + seen_ends, sums(logs[:-1]), sums(model))
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=fields)
+
+    rows = chunks.select("chunk", "ids", "numbers", "doc_ids")
+    sums = rows.groupBy("chunk").cogroup(by_chunk(others).groupBy("chunk")).applyInArrow(texts_of, schema)
     last = float(np.log10(ends + 1.0))
     base = F.col("logs") + F.lit(last) - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1.0)))
     value = F.col("logs") + F.col("model")

@@ -63,14 +63,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a table that ``written`` has made and that is not read any more."""
-    for spark, folder in [x for x in _FOLDERS if x[1] in (df.inputFiles() or [""])[0]]:
-        _FOLDERS.remove((spark, folder))
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def compact(df: DataFrame, rows: int, each: int = 20_000, heavy: bool = False) -> DataFrame:
     """A checkpoint in as many files as ``rows`` need at ``each`` a file: small tables don't become many files.
 

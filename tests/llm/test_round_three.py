@@ -354,3 +354,31 @@ def test_sweeps_of_the_class_model_write_no_table(spark, monkeypatch):
     monkeypatch.setattr(brown, "written", lambda df, name: made.append(name) or real(df, name))
     brown.score(docs_of(spark, [(n, prose(n, 300), "en") for n in range(60)]).checkpoint(), least=1, tolerance=0.0).count()
     assert sorted(made) == ["coded", "others"]
+
+
+def test_texts_are_split_twice_by_the_class_model(spark, monkeypatch):
+    docs = docs_of(spark, [(n, prose(n, 300), "en") for n in range(60)]).checkpoint()
+    real, split = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *args, **named: split.append("text" in self.columns) or real(self, *args, **named))
+    rows = brown.score(docs, least=400)
+    assert rows.count() == 60 and sum(split) == 2
+
+
+def test_words_of_arrow_are_those_of_python():
+    import pyarrow as pa
+
+    texts = [" a  B\t\x0bC\x0c\r\n", "", None, "  ", "\x1cÉ\x85x\u2003y \x1f", "ÀB\u0130 K\u212a", "\n", "z"]
+    for column in (pa.array(texts), pa.array(["gone", *texts, "gone"]).slice(1, len(texts))):
+        words, n = brown.words_in(column)
+        assert words.to_pylist() == [w for t in texts for w in brown.tokens_of(t)] and n.tolist() == [len(brown.tokens_of(t)) for t in texts]
+
+
+def test_the_class_model_is_the_same_in_small_rows(spark, monkeypatch):
+    """Words that stand in many coded rows, and that go on over many batches, choose and score as in one; words that only other texts have are unseen."""
+    r = random.Random(4)
+    docs = docs_of(spark, [(n, " ".join(r.choice([f"w{r.randrange(60)}", f"rare{r.randrange(40)}", f"only{n}"]) for _ in range(n % 30)), "en") for n in range(120)] + [(None, None, "en"), (7, "w1 w1", "en")]).checkpoint()
+    run = lambda: sorted(((x["doc_id"] is None, x["doc_id"] or 0, x["n_tokens"], x["n_known"], round(x["base_score"], 6), round(x["score"], 6)) for x in brown.score(docs, units=20, endings=4, classes=3, least=15).collect()))
+    whole = run()
+    for name, value in (("PART", 9), ("AT_ONCE", 3), ("CHUNK", 5), ("COUNTED", 4), ("LONG", 1)):
+        monkeypatch.setattr(brown, name, value)
+    assert len(whole) == 122 and run() == whole
