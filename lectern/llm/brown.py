@@ -20,6 +20,7 @@ with no training text every token is unknown and base_score is 0; equal gains go
 
 from __future__ import annotations
 
+import gc
 import zlib
 from itertools import compress, count, repeat
 
@@ -354,6 +355,12 @@ def likelihood(joint: np.ndarray) -> float:
     return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles of jobs that are over; Python's objects in cycles hold the JVM's, so they go first."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Labels of all units and the table of neighbouring classes, after exchange over all units.
 
@@ -376,9 +383,9 @@ def clustered(texts: DataFrame, label: np.ndarray, tolerance: float = TOLERANCE)
             if gain > 0:
                 label, joint = tried, there
                 break
+        tidied(texts.sparkSession)
         if gain <= tolerance * abs(before):
             return label, joint
-        texts.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffles of sweeps that are over
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -596,8 +603,8 @@ def other_words(train: DataFrame, texts: DataFrame, head: list[bytes], endings:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, 0, 0, 0, None, total.tobytes()), fields, strict=True)], schema=fields)
         given_back()
 
-    each = chunks.select("chunk", "train", "ids", "numbers", "words").mapInArrow(count, kinds).repartition("word").sortWithinPartitions("word")
-    made = written(each.mapInArrow(choose, outcome), "others")
+    made = written(chunks.select("chunk", "train", "ids", "numbers", "words").mapInArrow(count, kinds).repartition("word").sortWithinPartitions("word").mapInArrow(choose, outcome), "others")
+    tidied(spark)
     found = made.filter("word IS NOT NULL").drop("sums")
     # Neighbours that are both units, then those of a unit and another word, then those of two others: each at most a row for each two classes.
     apart = class_of.astype(np.int32).copy()
@@ -656,6 +663,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, units: int = UNITS, end
     class_of, joint = clustered(texts, exchange(label_pairs(texts, seed_of), classes)[seed_of].astype(np.int16), tolerance)
     end_class, n_classes = int(class_of[-1]), len(joint)
     others, joint = other_words(chunks, texts, words, endings, class_of, joint)
+    tidied(spark)
     # Tokens and words of each class.
     class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
     np.add.at(class_n, class_of[: len(words)], often)
