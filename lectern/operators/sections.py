@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import rules as R
@@ -60,12 +60,24 @@ def bullets(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "line_no", F.explode(F.array_compact(F.array(out))).alias("bullet"))
 
 
-def pages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pages of a text with page marks: number, text, lines and header (the first of two lines that is no number, if short)."""
+def page_lines(text: Column) -> Column:
+    """The lines of a page without outer white space; blank ones are left out."""
+    return F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: T.strip(x)), lambda x: x != "")
+
+
+def page_cuts(text: str) -> tuple[Column, Column]:
+    """The numbers of a text's page marks, and what follows each mark up to the next one."""
     nums = F.regexp_extract_all(text, F.lit(R.PAGE_MARK), F.lit(1))
-    parts = F.slice(F.split(text, R.PAGE_MARK), F.lit(2), F.size(nums))
-    rows = df.select(key, F.posexplode(F.arrays_zip(nums.alias("num"), parts.alias("text"))).alias("page_no", "p"))
-    own = F.filter(F.transform(F.split(F.col("p.text"), "\r\n|[\n\r]"), lambda x: T.strip(x)), lambda x: x != "")
-    rows = rows.select(key, "page_no", F.col("p.num").try_cast("int").alias("num"), T.strip(F.col("p.text")).alias("text"), own.alias("lines"))
+    return nums, F.slice(F.split(text, R.PAGE_MARK), F.lit(2), F.size(nums))
+
+
+def pages(df: DataFrame, key: str, text: str, following: bool = False) -> DataFrame:
+    """Pages of a text with page marks: number, text, lines and header (the first of two lines that is no number, if short); with ``following`` also the next page's lines."""
+    nums, parts = page_cuts(text)
+    cut = df.select(key, nums.alias("_nums"), parts.alias("_parts"))
+    after = [F.slice("_parts", F.lit(2), F.size("_parts")).alias("next")] if following else []
+    rows = cut.select(key, F.posexplode(F.arrays_zip(F.col("_nums").alias("num"), F.col("_parts").alias("text"), *after)).alias("page_no", "p"))
+    more = [F.coalesce(page_lines(F.col("p.next")), F.array().cast("array<string>")).alias("next_lines")] if following else []
+    rows = rows.select(key, "page_no", F.col("p.num").try_cast("int").alias("num"), T.strip(F.col("p.text")).alias("text"), page_lines(F.col("p.text")).alias("lines"), *more)
     first = F.get(F.filter(F.slice("lines", F.lit(1), F.lit(2)), lambda x: ~x.rlike("^[0-9]+$")), F.lit(0))
     return rows.withColumn("header", F.coalesce(F.when(F.length(first) < 70, first), F.lit("")))

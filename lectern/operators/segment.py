@@ -18,7 +18,7 @@ from lectern.functions import rules as R
 from lectern.functions import text as T
 from lectern.operators import aggregates as A
 from lectern.operators import windows as W
-from lectern.sources.tables import shared
+from lectern.sources.tables import kept
 
 TRIM = " -:."
 
@@ -222,25 +222,25 @@ def split_lessons(docs: DataFrame) -> DataFrame:
     """Lessons of documents (doc, text, name, and board and subject if there are any): by Tamil units for Tamil documents, then by running headers,
     by unit headings, by heading lines, and the whole document as the last resort; blank documents have none.
 
-    The first method that finds anything in a document counts. Pages are written once, and a method sees only the documents that those before it have not settled.
+    The first method that finds anything in a document counts, and a method sees only the documents that those before it have not settled.
+    Documents, pages and lessons are compressed tables in the shared folder; pages are written once, and only for documents that are not settled by Tamil units.
     """
     from lectern.operators import sections, tamil_units
 
-    shared(docs.sparkSession)
-    own = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("_tamil", tamil_documents(docs)).withColumn("_paged", F.col("text").rlike(R.PAGE_MARK)).checkpoint()
-    pages = sections.pages(own.filter("_paged"), "doc", "text").checkpoint()
+    own = kept(docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("_tamil", tamil_documents(docs)).withColumn("_paged", F.col("text").rlike(R.PAGE_MARK)), "documents")
+    out, settled, pages = None, None, None
+    left = lambda rows: rows if settled is None else rows.join(settled, "doc", "left_anti")
     plain = own.select("doc", F.regexp_replace("text", r"\n=== PAGE \d+ ===\n", "\n").alias("text"))
-    of_tamil = own.filter("_tamil AND _paged").select("doc")
     methods = [
-        (pages.join(of_tamil, "doc", "left_semi"), lambda p: tamil_units.lessons(p, own)), (pages, by_running_headers), (pages, by_unit_headings),
+        (own.filter("_tamil AND _paged"), tamil_units.lessons), (None, by_running_headers), (None, by_unit_headings),
         (plain, lambda p: by_line_headings(p, "doc", "text")), (own.drop("_tamil", "_paged"), whole_documents),
     ]
-    out, settled = None, None
     for n, (rows, method) in enumerate(methods):
-        left = rows if settled is None else rows.join(settled, "doc", "left_anti")
-        if n < len(methods) - 1 and left.isEmpty():
+        if left(own.filter("_paged") if rows is None else rows).isEmpty() and (out is not None or n < len(methods) - 1):
             continue
-        found = method(left).checkpoint()
+        if rows is None:
+            pages = rows = kept(sections.pages(left(own.filter("_paged")), "doc", "text"), "pages") if pages is None else pages
+        found = kept(method(left(rows)), "lessons")
         out = found if out is None else out.unionByName(found, allowMissingColumns=True)
         names = found.select("doc").distinct()
         settled = names if settled is None else settled.unionByName(names)

@@ -6,13 +6,14 @@ numbers are settled by a fold over a document's candidate pages; titles come fro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import numbers as N
 from lectern.functions import rules as R
 from lectern.functions import scripts
 from lectern.functions import text as T
+from lectern.operators import sections
 from lectern.operators import segment as G
 
 #: Pages that two units are apart at least, lines of a page that can begin one, and pages before the first unit that belong to it.
@@ -50,10 +51,9 @@ def _after(lines: Column, words: tuple[str, ...]) -> Column:
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """(doc, page_no, unit, first, title) of pages that may begin a unit; ``unit`` is null where it has to be inferred, ``first`` what it is if no unit was taken before."""
+    """(doc, page_no, unit, first, title) of pages (with the lines of the next one) that may begin a unit; ``unit`` is null where it has to be inferred, ``first`` what it is if no unit was taken before."""
     group = lambda text, pattern, n: F.regexp_extract(text, pattern, n)
-    own = pages.withColumn("next_lines", F.coalesce(F.lead("lines").over(Window.partitionBy("doc").orderBy("page_no")), F.array().cast("array<string>")))
-    own = own.withColumn("top", F.slice("lines", 1, TOP)).withColumn("blob", F.array_join("top", " "))
+    own = pages.withColumn("top", F.slice("lines", 1, TOP)).withColumn("blob", F.array_join("top", " "))
     blob = F.col("blob")
     iyal, other, goals = blob.rlike(R.IYAL), blob.rlike(R.OTHER_UNIT), blob.rlike(R.TAMIL_GOALS)
     own = own.withColumn("kind", F.when(iyal, "iyal").when(other, "other").when(goals, "goals")).filter("kind IS NOT NULL")
@@ -104,22 +104,27 @@ def named(title_text: Column, unit: Column) -> Column:
     return F.when(begins, title_text).otherwise(F.concat(F.lit(R.IYAL_WORD + " "), unit, F.lit(" – "), title_text))
 
 
-def lessons(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Lessons of Tamil documents' pages; ``docs`` (doc, name) give a title to those without any unit."""
-    starts = taken(candidates(pages))
+def lessons(docs: DataFrame) -> DataFrame:
+    """Lessons of Tamil documents (doc, text with page marks, name; the name gives a title to those without any unit).
+
+    Units are found from pages without a shuffle of their texts; a document's text meets its units once, and its pages are put together where they stand.
+    """
+    starts = taken(candidates(sections.pages(docs, "doc", "text", following=True)))
     starts = starts.withColumn("start", F.when((F.col("lesson_no") == 1) & (F.col("page_no") <= LEAD_IN), 0).otherwise(F.col("page_no")))
-    starts = starts.select("doc", "lesson_no", "unit", F.coalesce("title", F.concat(F.lit(R.IYAL_WORD + " "), "unit")).alias("title"), "start")
-    whole = pages.join(starts.select("doc").distinct(), "doc", "left_anti")
-    first = whole.groupBy("doc").agg(F.sort_array(F.collect_list(F.when(F.col("page_no") <= 1, F.struct("page_no", "lines")))).alias("p"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    lines = lambda n: F.coalesce(F.get("p", F.lit(n))["lines"], F.array().cast("array<string>"))
-    own_title = F.coalesce(G.doubled_heading(lines(0)), G.doubled_heading(lines(1)), title(lines(0)), G.document_title(F.col("text"), F.coalesce("name", F.lit(""))))
-    alone = first.join(docs.select("doc", "name"), "doc").select("doc", F.lit(1).alias("lesson_no"), F.lit("1").alias("unit"), own_title.alias("title"), F.lit(0).alias("start"))
-    spans = G.spans_of(starts.unionByName(alone.withColumn("lone", F.lit(True)), allowMissingColumns=True), pages)
-    inside = spans.select("doc", "lesson_no", "unit", "title", F.coalesce("lone", F.lit(False)).alias("lone"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("page_no"))
-    made = inside.join(pages.select("doc", "page_no", "num", "text"), ["doc", "page_no"]).groupBy("doc", "lesson_no", "unit", "title", "lone").agg(F.sort_array(F.collect_list(F.struct("page_no", "num", "text"))).alias("p"))
-    made = made.withColumn("text", T.strip(F.array_join(F.transform("p", lambda x: x["text"]), "\n"))).withColumn("name", scripts.clean_tamil(F.col("title")))
+    units = starts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lesson_no", "start", "unit", F.coalesce("title", F.concat(F.lit(R.IYAL_WORD + " "), "unit")).alias("title")))).alias("units"))
+    nums, texts = sections.page_cuts("text")
+    met = docs.select("doc", "text", "name").join(units, "doc", "left").select("doc", "name", "units", F.arrays_zip(nums.alias("num"), F.transform(texts, lambda x: T.strip(x)).alias("text")).alias("p"))
+    joined = lambda p: F.array_join(F.transform(p, lambda x: x["text"]), "\n")
+    lines = lambda n: F.coalesce(sections.page_lines(F.get("p", F.lit(n))["text"]), F.array().cast("array<string>"))
+    own_title = F.coalesce(G.doubled_heading(lines(0)), G.doubled_heading(lines(1)), title(lines(0)), G.document_title(joined(F.col("p")), F.coalesce("name", F.lit(""))))
+    alone = F.array(F.struct(F.lit(1).alias("lesson_no"), F.lit(0).alias("start"), F.lit("1").alias("unit"), own_title.alias("title")))
+    met = met.select("doc", "p", F.col("units").isNull().alias("lone"), F.when(F.col("units").isNull(), alone).otherwise(F.col("units")).alias("units"))
+    end = lambda i: F.coalesce(F.get("units", i + 1)["start"], F.size("p"))
+    own = F.transform("units", lambda u, i: F.struct(u["lesson_no"].alias("lesson_no"), u["unit"].alias("unit"), u["title"].alias("title"), F.slice("p", u["start"] + 1, end(i) - u["start"]).alias("p")))
+    made = met.select("doc", "lone", F.explode(own).alias("l")).select("doc", "lone", "l.*")
+    made = made.withColumn("text", T.strip(joined(F.col("p")))).withColumn("name", scripts.clean_tamil(F.col("title")))
     none = F.array().cast("array<struct<code:string,title:string>>")
     return made.select(
         "doc", "lesson_no", N.lesson_id(F.col("unit")).alias("lesson_id"), F.col("unit").alias("lesson_number"), named(F.col("name"), F.col("unit")).alias("lesson_name"),
-        F.get("p", F.lit(0))["num"].alias("start_page"), F.element_at("p", -1)["num"].alias("end_page"), F.when(F.col("lone"), none).otherwise(parts(F.col("text"))).alias("subsections"), "text",
+        F.get("p", F.lit(0))["num"].try_cast("int").alias("start_page"), F.element_at("p", -1)["num"].try_cast("int").alias("end_page"), F.when(F.col("lone"), none).otherwise(parts(F.col("text"))).alias("subsections"), "text",
     )
